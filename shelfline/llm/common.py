@@ -116,8 +116,16 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+class Spans:
+    """64-bit hashes of spans of buf, the same for the same bytes everywhere."""
+
+    def __init__(self, buf: np.ndarray):
+        self.total = np.zeros(len(buf) + 1, np.uint64)
+        np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * _power("up", _BASE, len(buf)), out=self.total[1:], dtype=np.uint64)
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mixed((self.total[ends] - self.total[starts]) * _power("down", _INVERSE, len(self.total))[starts])
+
+
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of buf, the same for the same bytes everywhere."""
-    total = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * _power("up", _BASE, len(buf)), out=total[1:], dtype=np.uint64)
-    return mixed((total[ends] - total[starts]) * _power("down", _INVERSE, len(buf) + 1)[starts])
+    return Spans(buf)(starts, ends)

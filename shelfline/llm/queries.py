@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, ngram_lm
+from . import bpe, langid, ngram_lm, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": bpe.op1_bpe,
         "op2_ngram_lm": ngram_lm.op2_lm,
+        "op3_langid": langid.op3_langid,
+        "op8_simhash": simhash.op8_simhash,
     }
 
 
