@@ -25,7 +25,7 @@ _NONE = 65535  # no token; a rank must be below it
 _INF = np.int64(1) << np.int64(62)
 _POS = 24  # bits of a position in a node
 _WIDE = 512  # bytes from which a match gets a tree of its own
-_CACHE = 1_000_000  # distinct matches kept by a Python worker
+_CACHE = 250_000  # distinct matches kept by a Python worker
 
 
 class Vocabulary:
