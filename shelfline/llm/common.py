@@ -35,6 +35,14 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with underscores in front until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def crc_mod(key: str, n: int) -> Column:
     """crc32 of the key as text, modulo n; a null key counts as empty text."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))) % n
