@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, ngram_lm, secrets, simhash
+from . import bpe, langid, ngram_lm, secrets, sharding, simhash, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,11 +15,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_ngram_lm": ngram_lm.op2_lm,
         "op3_langid": langid.op3_langid,
         "op4_secrets": secrets.op4_secrets,
+        "op6_urls": urls.op6_urls,
         "op8_simhash": simhash.op8_simhash,
+        "op10_sharding": sharding.op10_sharding,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_secrets": secrets.op4_sql(),
+        "op6_urls": urls.op6_sql(),
     }
