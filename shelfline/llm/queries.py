@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, ngram_lm, secrets, sharding, simhash, urls
+from . import bpe, decontaminate, langid, minhash, ngram_lm, secrets, sharding, simhash, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,7 +16,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_langid": langid.op3_langid,
         "op4_secrets": secrets.op4_secrets,
         "op6_urls": urls.op6_urls,
+        "op7_decontaminate": decontaminate.op7_decontaminate,
         "op8_simhash": simhash.op8_simhash,
+        "op9_minhash": minhash.op9_minhash,
         "op10_sharding": sharding.op10_sharding,
     }
 
