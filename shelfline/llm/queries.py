@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, langid, minhash, ngram_lm, secrets, sharding, simhash, urls
+from . import bpe, decontaminate, langid, licenses, minhash, ngram_lm, secrets, sharding, simhash, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_ngram_lm": ngram_lm.op2_lm,
         "op3_langid": langid.op3_langid,
         "op4_secrets": secrets.op4_secrets,
+        "op5_licenses": licenses.op5_licenses,
         "op6_urls": urls.op6_urls,
         "op7_decontaminate": decontaminate.op7_decontaminate,
         "op8_simhash": simhash.op8_simhash,
