@@ -106,33 +106,52 @@ def words(buf: np.ndarray, offsets: np.ndarray, sep: np.ndarray) -> tuple[np.nda
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-_powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+#: Weights of positions start anew every _PERIOD bytes, so that their tables stay small under texts of any length.
+_PERIOD = 1 << 20
+_powers: dict[str, np.ndarray] = {}
 
 
-def _power(kind: str, base: int, n: int) -> np.ndarray:
-    if len(_powers[kind]) < n:
-        steps = np.full(1 << max(22, n.bit_length()), base, np.uint64)
+def _power(kind: str) -> np.ndarray:
+    if kind not in _powers:
+        steps = np.full(_PERIOD, _BASE if kind == "up" else _INVERSE, np.uint64)
         steps[0] = 1
         _powers[kind] = np.cumprod(steps, dtype=np.uint64)
-    return _powers[kind][:n]
+    return _powers[kind]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64."""
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
+    h = h ^ (h >> np.uint64(30))
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(27)
+    h *= np.uint64(0x94D049BB133111EB)
+    h ^= h >> np.uint64(31)
+    return h
 
 
 class Spans:
     """64-bit hashes of spans of buf, the same for the same bytes everywhere."""
 
     def __init__(self, buf: np.ndarray):
+        self.buf = buf
         self.total = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * _power("up", _BASE, len(buf)), out=self.total[1:], dtype=np.uint64)
+        for k in range(0, len(buf), _PERIOD):
+            part = buf[k : k + _PERIOD].astype(np.uint64)
+            part += np.uint64(1)
+            part *= _power("up")[: len(part)]
+            np.cumsum(part, out=self.total[k + 1 : k + 1 + len(part)])
+            self.total[k + 1 : k + 1 + len(part)] += self.total[k]
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mixed((self.total[ends] - self.total[starts]) * _power("down", _INVERSE, len(self.total))[starts])
+        out = self.total[ends]
+        out -= self.total[starts]
+        out *= _power("down")[starts & (_PERIOD - 1)]
+        for i in np.flatnonzero((starts // _PERIOD != (ends - 1) // _PERIOD) & (ends > starts)).tolist():
+            own, weight = self.buf[starts[i] : ends[i]].astype(np.uint64) + np.uint64(1), np.uint64(1)
+            steps = np.full(len(own), _BASE, np.uint64)
+            steps[0] = weight
+            out[i] = (own * np.cumprod(steps, dtype=np.uint64)).sum(dtype=np.uint64)
+        return mixed(out)
 
 
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
