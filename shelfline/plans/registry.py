@@ -10,9 +10,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.testdata import Tables
-from . import sellin
+from . import lifecycle, sellin
 
-MODULES = (sellin,)
+MODULES = (sellin, lifecycle)
 
 
 def _all() -> dict[str, tuple]:
