@@ -10,9 +10,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.testdata import Tables
-from . import lifecycle, sellin
+from . import imports, lifecycle, sellin
 
-MODULES = (sellin, lifecycle)
+MODULES = (sellin, lifecycle, imports)
 
 
 def _all() -> dict[str, tuple]:
