@@ -10,9 +10,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.testdata import Tables
-from . import imports, lifecycle, sellin
+from . import imports, introductions, lifecycle, sellin, sellout
 
-MODULES = (sellin, lifecycle, imports)
+MODULES = (sellin, lifecycle, imports, sellout, introductions)
 
 
 def _all() -> dict[str, tuple]:
