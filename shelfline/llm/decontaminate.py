@@ -120,7 +120,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: s
 
     A passage is `window` consecutive words (the whole item, if it has fewer, but SPAN at least) of which a share of
     `similarity` or more equal the item's words in the same order and places. Words are ASCII letters and digits in
-    lower case and all other characters beyond ASCII. Items of fewer than SPAN words cannot be told from chance and
+    lower case and all other characters beyond ASCII; places beyond a text's ends count as different words. Items of fewer than SPAN words cannot be told from chance and
     match nothing. Null texts hold nothing; rows without a key are compared and reported under null.
     """
     items = benchmark.select(F.col(f"`{item}`").alias("_item"), F.col(f"`{item_text}`").cast("string").alias("_text"))
