@@ -10,9 +10,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.testdata import Tables
-from . import imports, introductions, layouts, lifecycle, sellin, sellout
+from . import imports, introductions, layouts, lifecycle, matching, sellin, sellout
 
-MODULES = (sellin, lifecycle, imports, sellout, introductions, layouts)
+MODULES = (sellin, lifecycle, imports, sellout, introductions, layouts, matching)
 
 
 def _all() -> dict[str, tuple]:
