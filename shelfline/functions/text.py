@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: What the rules count as blank: \\s and the ideographic, no-break and zero-width no-break spaces.
 BLANK = "\\s\u3000\u00a0\ufeff"
@@ -17,7 +18,7 @@ SYMBOLS = "・･\\\\/／\\-ー‐‑‒–—―_,，、.．()（）［\\]\\[
 HEADER_WORDS = ("発注番号", "発注日", "着荷指定", "口座", "商品コード", "条件区分", "有償", "景品")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(values: pd.Series) -> pd.Series:
     """Unicode NFKC. Apply it to distinct texts where a column repeats."""
     return values.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from ..functions import text as tx
 
@@ -31,7 +32,7 @@ CHANNELS = {
 CHANNEL_WORDS = (("variety", ("ロフト", "loft", "ハンズ")), ("drugstore", ("ドラッグ", "薬局", "薬品")), ("discount", ("ドンキ",)), ("gms", ("イオン", "ヨーカドー", "西友")), ("cvs", ("セブン", "ファミリ", "ローソン", "ミニストップ")))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def name_keys(values: pd.Series) -> pd.Series:
     """Keys of normalised names, the name first: without leading parts, without trailing parts, without both."""
 
