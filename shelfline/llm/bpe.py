@@ -25,7 +25,7 @@ _NONE = 65535  # no token; a rank must be below it
 _INF = np.int64(1) << np.int64(62)
 _POS = 24  # bits of a position in a node
 _WIDE = 512  # bytes from which a match gets a tree of its own
-_CACHE = 250_000  # distinct matches kept by a Python worker
+_CACHE = 150_000  # distinct matches kept by a Python worker
 
 
 class Vocabulary:
@@ -66,7 +66,7 @@ class Vocabulary:
             else:
                 by_width.setdefault(max(1, (len(m) - 1).bit_length()), []).append(i)
         for bits, rows in by_width.items():
-            for k in range(0, len(rows), step := max(1, (1 << 20) >> bits)):
+            for k in range(0, len(rows), step := max(1, (1 << 18) >> bits)):
                 part = rows[k : k + step]
                 for i, ids in zip(part, self._encode_block([matches[i] for i in part], 1 << bits), strict=True):
                     out[i] = ids
