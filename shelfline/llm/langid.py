@@ -180,7 +180,7 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray], text: str = "tex
         voc, prob = pieces(_resolved(path)), shared.value
         for batch in batches:
             names, scores = [], []
-            for first, end, buf, offsets in chunks(batch, 16 << 20):
+            for first, end, buf, offsets in chunks(batch, 6 << 20):
                 starts, ends, before = words(buf, offsets, _LETTERS)
                 total = np.zeros((end - first, max(1, len(langs))))
                 if len(starts) and langs:
