@@ -19,6 +19,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import lean
+
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 _NONE = 65535  # no token; a rank must be below it
@@ -195,7 +197,7 @@ def encode(df: DataFrame, text: str = "text", out: str = "token_ids", path: str
                 done += [b"".join(map(voc.found.__getitem__, f)) for f in found]
             yield pa.array(done, pa.binary())
 
-    return df.withColumn(out, encoded(F.col(f"`{text}`")))
+    return lean(df).withColumn(out, encoded(F.col(f"`{text}`")))
 
 
 def decode(df: DataFrame, ids: str = "token_ids", out: str = "decoded", path: str | None = None) -> DataFrame:
@@ -207,7 +209,7 @@ def decode(df: DataFrame, ids: str = "token_ids", out: str = "decoded", path: st
         for batch in batches:
             yield pa.array([b"".join([token[i] for i in np.frombuffer(x.as_buffer() or b"", "<u4").tolist()]) if x.is_valid else b"" for x in batch], pa.binary())
 
-    return df.withColumn(out, decoded(F.col(f"`{ids}`")))
+    return lean(df).withColumn(out, decoded(F.col(f"`{ids}`")))
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,6 +35,16 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def lean(df: DataFrame) -> DataFrame:
+    """df, after Arrow batches were held to 8 MB in its session: long texts then cost a Python worker little memory. A limit
+    that differs from Spark's default stays.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key, "").rstrip("b") in ("67108864", "64m"):
+        conf.set(key, "8m")
+    return df
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """name, with underscores in front until df has no such column."""
     taken = {c.lower() for c in df.columns}

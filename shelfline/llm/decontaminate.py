@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, mixed, separators, span_hashes, words
+from .common import chunks, lean, mixed, separators, span_hashes, words
 
 MASKS = ((0, 1, 3, 6, 7), (0, 1, 4, 6, 7))
 SPAN = 8
@@ -89,7 +89,7 @@ def seeds(df: DataFrame, key: str, text: str, window: int = WINDOW, table: np.nd
         for batch in batches:
             yield _hits(batch, window, keep)
 
-    return df.select(F.col(f"`{key}`").alias(key), F.explode(hashed(F.col(f"`{text}`").cast("string"))).alias("s")).select(key, "s.*")
+    return lean(df).select(F.col(f"`{key}`").alias(key), F.explode(hashed(F.col(f"`{text}`").cast("string"))).alias("s")).select(key, "s.*")
 
 
 def table_of(index: DataFrame, bits: int = TABLE_BITS) -> np.ndarray:

@@ -21,7 +21,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Spans, chunks, crc_mod, separators, span_hashes, words
+from .common import Spans, chunks, crc_mod, lean, separators, span_hashes, words
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 SAMPLE = 4000  # texts of each language that are learned from, about
@@ -203,7 +203,7 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray], text: str = "tex
                 scores += np.where(some, odds, 0.0).tolist()
             yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["lang_pred", "score"])
 
-    both = df.withColumn("_judged", judged(F.col(f"`{text}`").cast("string")))
+    both = lean(df).withColumn("_judged", judged(F.col(f"`{text}`").cast("string")))
     return both.withColumn("lang_pred", F.col("_judged.lang_pred")).withColumn("score", F.col("_judged.score")).drop("_judged")
 
 

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, separators, words, written
+from .common import chunks, lean, separators, words, written
 from .components import components
 
 SHINGLE = 4
@@ -58,7 +58,7 @@ def fingerprints(df: DataFrame, text: str = "text", out: str = "fingerprint", sh
                     found[row] = _majority(h)
             yield pa.array(found.view(np.int64))
 
-    return df.withColumn(out, printed(F.col(f"`{text}`").cast("string")))
+    return lean(df).withColumn(out, printed(F.col(f"`{text}`").cast("string")))
 
 
 def _majority(h: np.ndarray) -> np.uint64:
