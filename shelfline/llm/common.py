@@ -40,7 +40,7 @@ def lean(df: DataFrame) -> DataFrame:
     that differs from Spark's default stays.
     """
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if conf.get(key, "").rstrip("b") in ("67108864", "64m"):
+    if conf.get(key).rstrip("b") in ("67108864", "64m"):
         conf.set(key, "8m")
     return df
 
