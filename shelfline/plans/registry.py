@@ -10,9 +10,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.testdata import Tables
-from . import imports, introductions, layouts, lifecycle, masters, matching, sellin, sellout
+from . import imports, introductions, layouts, lifecycle, masters, matching, sellin, sellout, sheets
 
-MODULES = (sellin, lifecycle, imports, sellout, introductions, layouts, matching, masters)
+MODULES = (sellin, lifecycle, imports, sellout, introductions, layouts, matching, masters, sheets)
 
 
 def _all() -> dict[str, tuple]:
