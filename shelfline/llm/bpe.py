@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lean
+from .common import lean, tidy
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -27,7 +27,7 @@ _NONE = 65535  # no token; a rank must be below it
 _INF = np.int64(1) << np.int64(62)
 _POS = 24  # bits of a position in a node
 _WIDE = 512  # bytes from which a match gets a tree of its own
-_CACHE = 150_000  # distinct matches kept by a Python worker
+_CACHE = 400_000  # distinct matches kept by a Python worker
 
 
 class Vocabulary:
@@ -37,18 +37,30 @@ class Vocabulary:
         if max(self.ranks.values()) >= _NONE:
             raise ValueError("the vocabulary has too many tokens for 16-bit pairs")
         self.token = [b""] * (max(self.ranks.values()) + 1)
-        pairs = {}
         for word, rank in self.ranks.items():
             self.token[rank] = word
+        self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
+        self.found: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    @cached_property
+    def pairs(self) -> dict[int, int]:
+        """Rank of each pair's union; a pair is two ids of 16 bits."""
+        found = {}
+        for word, rank in self.ranks.items():
             for i in range(1, len(word)):
                 a, b = self.ranks.get(word[:i]), self.ranks.get(word[i:])
                 if a is not None and b is not None:
-                    pairs[a << 16 | b] = rank
-        self.pairs = pairs
-        self.keys = np.array(sorted(pairs), np.int64)
-        self.merged = np.array([pairs[k] for k in self.keys.tolist()], np.int64)
-        self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
-        self.found: dict[str, bytes] = {}
+                    found[a << 16 | b] = rank
+        return found
+
+    @cached_property
+    def keys(self) -> np.ndarray:
+        return np.array(sorted(self.pairs), np.int64)
+
+    @cached_property
+    def merged(self) -> np.ndarray:
+        return np.array([self.pairs[k] for k in self.keys.tolist()], np.int64)
 
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of each pair's union, _INF without one."""
@@ -155,11 +167,14 @@ class Vocabulary:
         return [t for t, on in zip(token, live, strict=True) if on]
 
     def learn(self, matches: set[str]) -> None:
-        """Encodes what is not yet known."""
-        new = [m for m in matches if m not in self.found]
-        if len(self.found) + len(new) > _CACHE:
-            self.found.clear()
-            new = list(matches)
+        """Encodes what is not yet known. When the cache is half full it becomes the older half, from which matches that
+        recur are taken over, so that frequent ones stay.
+        """
+        if len(self.found) + len(matches) > _CACHE // 2:
+            self.older, self.found = self.found, {}
+        open_ = [m for m in matches if m not in self.found]
+        new = [m for m in open_ if m not in self.older]
+        self.found |= {m: self.older[m] for m in open_ if m in self.older}
         self.found |= zip(new, (ids.astype("<u4").tobytes() for ids in self.encode_many([m.encode() for m in new])), strict=True)
 
 
@@ -182,6 +197,7 @@ def encode(df: DataFrame, text: str = "text", out: str = "token_ids", path: str
     pattern = pattern or public_tokenizers.PATTERN
 
     @F.arrow_udf("binary")
+    @tidy
     def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         voc, split = vocabulary(_resolved(path)), regex.compile(pattern).findall
         for batch in batches:
@@ -204,6 +220,7 @@ def decode(df: DataFrame, ids: str = "token_ids", out: str = "decoded", path: st
     """Adds `out`: the bytes of the tokens in `ids` (as encode() writes them). Null gives an empty binary."""
 
     @F.arrow_udf("binary")
+    @tidy
     def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         token = vocabulary(_resolved(path)).token
         for batch in batches:
