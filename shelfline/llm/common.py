@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +47,23 @@ def lean(df: DataFrame) -> DataFrame:
     return df
 
 
+def tidy(f: Callable) -> Callable:
+    """A function over an iterator of batches that hands freed memory back to the system after each one, as Python workers
+    live on between stages.
+    """
+
+    @functools.wraps(f)
+    def run(batches):
+        for out in f(batches):
+            yield out
+            del out
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return run
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """name, with underscores in front until df has no such column."""
     taken = {c.lower() for c in df.columns}

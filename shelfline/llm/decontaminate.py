@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, lean, mixed, separators, span_hashes, words
+from .common import chunks, lean, mixed, separators, span_hashes, tidy, words
 
 MASKS = ((0, 1, 3, 6, 7), (0, 1, 4, 6, 7))
 SPAN = 8
@@ -77,6 +77,7 @@ def seeds(df: DataFrame, key: str, text: str, window: int = WINDOW, table: np.nd
     shared = df.sparkSession.sparkContext.broadcast(table) if table is not None else None
 
     @F.arrow_udf(_KIND)
+    @tidy
     def hashed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bits = shared.value if shared else None
 

@@ -21,7 +21,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Spans, chunks, crc_mod, lean, separators, span_hashes, words
+from .common import Spans, chunks, crc_mod, lean, separators, span_hashes, tidy, words
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 SAMPLE = 4000  # texts of each language that are learned from, about
@@ -149,6 +149,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     share = known.groupBy("lang").count().select(F.col("lang").alias("l"), (F.least(F.lit(1.0), sample / F.col("count")) * 1_000_000).alias("cut"))
     chosen = known.join(F.broadcast(share.orderBy(F.desc("cut"), "l").limit(1000)), F.col("lang") == F.col("l")).where(F.pmod(F.xxhash64("k"), F.lit(1_000_000)) < F.col("cut"))
 
+    @tidy
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs = batch.column(0)
@@ -176,11 +177,12 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray], text: str = "tex
     shared = df.sparkSession.sparkContext.broadcast(np.ascontiguousarray(model[1]))
 
     @F.arrow_udf("struct<lang_pred:string,score:double>")
+    @tidy
     def judged(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         voc, prob = pieces(_resolved(path)), shared.value
         for batch in batches:
             names, scores = [], []
-            for first, end, buf, offsets in chunks(batch, 6 << 20):
+            for first, end, buf, offsets in chunks(batch, 3 << 20):
                 starts, ends, before = words(buf, offsets, _LETTERS)
                 total = np.zeros((end - first, max(1, len(langs))))
                 if len(starts) and langs:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, lean, separators, words, written
+from .common import chunks, lean, separators, tidy, words, written
 from .components import components
 
 SHINGLE = 4
@@ -31,6 +31,7 @@ def fingerprints(df: DataFrame, text: str = "text", out: str = "fingerprint", sh
     """Adds `out`, the 64 bits as a long. A null or empty text, or one of white space, has fingerprint zero."""
 
     @F.arrow_udf("long")
+    @tidy
     def printed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             found = np.zeros(len(batch), np.uint64)
