@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -44,9 +44,9 @@ def _at(i: int | Column) -> Column:
 
 def _entries(rows: DataFrame, ord_: Column) -> DataFrame:
     """Five entries at least; of equal (jan, code, name) the last."""
-    kept = latest(rows.withColumn("ord", ord_), [F.col(x) for x in (*SHEET, "jan", "store_code", "store_name")], [F.desc("ord")])
-    enough = rows.groupBy(*SHEET).agg(F.count("*").alias("_n")).where(F.col("_n") >= LEAST).drop("_n")
-    return kept.join(enough, SHEET, "left_semi").select(*SHEET, *OUT, "is_introduced", "ord")
+    counted = rows.withColumn("ord", ord_).withColumn("_n", F.count("*").over(Window.partitionBy(*SHEET))).where(F.col("_n") >= LEAST)
+    kept = latest(counted, [F.col(x) for x in (*SHEET, "jan", "store_code", "store_name")], [F.desc("ord")])
+    return kept.select(*SHEET, *OUT, "is_introduced", "ord")
 
 
 def _header_row(cells: DataFrame, groups: list[tuple[str, ...]]) -> DataFrame:
@@ -132,8 +132,8 @@ def dispatch(cells: DataFrame) -> DataFrame:
     for rank, (name, parse) in enumerate(LAYOUTS):
         part = parse(cells).drop("ord").withColumn("layout", F.lit(name)).withColumn("rank", F.lit(rank))
         out = part if out is None else out.unionByName(part)
-    first = out.groupBy(*SHEET).agg(F.min("rank").alias("rank"))
-    return out.join(first, [*SHEET, "rank"], "left_semi").drop("rank")
+    first = F.min("rank").over(Window.partitionBy(*SHEET))
+    return out.withColumn("_first", first).where("rank = _first").drop("rank", "_first")
 
 
 def code_aliases(code: Column) -> Column:
