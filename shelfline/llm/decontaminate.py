@@ -157,3 +157,17 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that hold a benchmark passage: one row for each document and item."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return overlaps(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"))
+
+
+def op7_sql() -> str:
+    """The same by brute force in DuckDB: equal words on a diagonal, counted for every window of the item."""
+    least = -(-int(SPAN * SIMILARITY * 10) // 10)
+    split = lambda t: f"regexp_extract_all(translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    return f"""WITH d AS (SELECT doc_id, unnest(range(len(ws))) AS p, unnest(ws) AS w FROM (SELECT doc_id, {split("text")} AS ws FROM documents)),
+b AS (SELECT item_id, len(ws) AS n, unnest(range(len(ws))) AS q, unnest(ws) AS w FROM (SELECT item_id, {split("text")} AS ws FROM benchmark) WHERE len(ws) >= {SPAN}),
+met AS (SELECT doc_id, item_id, p - q AS diagonal, n, list(q) AS qs FROM d JOIN b USING (w) GROUP BY ALL HAVING count(*) >= {least}),
+counted AS (SELECT doc_id, item_id, diagonal, n, s, count(*) AS matched
+  FROM (SELECT doc_id, item_id, diagonal, n, unnest(qs) AS q FROM met), (SELECT unnest(range(-{WINDOW - 1}, 1)) AS back) o, LATERAL (SELECT q + back AS s)
+  WHERE s >= 0 AND s + least({WINDOW}, n) <= n AND q < s + least({WINDOW}, n) GROUP BY ALL),
+good AS (SELECT * FROM counted WHERE matched >= ceil({SIMILARITY} * least({WINDOW}, n) - 1e-9))
+SELECT doc_id, item_id, CAST(max(matched) AS INTEGER) AS matched, CAST(min(diagonal + s) FILTER (matched = m) AS INTEGER) AS at FROM (SELECT *, max(matched) OVER (PARTITION BY doc_id, item_id) AS m FROM good) GROUP BY ALL"""

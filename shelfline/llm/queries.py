@@ -28,4 +28,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op4_secrets": secrets.op4_sql(),
         "op6_urls": urls.op6_sql(),
+        "op7_decontaminate": decontaminate.op7_sql(),
     }
