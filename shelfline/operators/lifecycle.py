@@ -21,7 +21,7 @@ def confirm(orders: DataFrame, lines: DataFrame, products: DataFrame, clients: D
     An order is refused if a line's product is not registered, or if a payout cannot be computed.
     """
     open_ = orders.where("status = 'imported'")
-    priced = with_products(open_, lines, products).join(F.broadcast(fee_of(clients)), "client_id")
+    priced = with_products(open_, lines, products).join(fee_of(clients), "client_id")
     rate = payout_rate(F.col("wholesale_price"), F.col("retail_price"))
     rows = priced.select(
         "order_id",

@@ -32,7 +32,7 @@ class Tables:
         k = F.col("p_partkey")
         regions = self.raw("region").select("r_regionkey")
         part = self.raw("part").withColumn("r_regionkey", F.explode(F.array(*[F.lit(i) for i in range(5)])))
-        both = part.join(F.broadcast(regions), "r_regionkey").where(k % 5 != F.col("r_regionkey"))
+        both = part.join(regions, "r_regionkey").where(k % 5 != F.col("r_regionkey"))
         return both.select(
             _client(F.col("r_regionkey")).alias("client_id"),
             jan(k).alias("jan"),
@@ -46,7 +46,7 @@ class Tables:
 
     def orders(self) -> DataFrame:
         nation = self.raw("nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name", "n_regionkey")
-        customer = self.raw("customer").join(F.broadcast(nation), "c_nationkey").withColumnRenamed("c_custkey", "o_custkey")
+        customer = self.raw("customer").join(nation, "c_nationkey").withColumnRenamed("c_custkey", "o_custkey")
         day = F.col("o_orderdate").cast("date")
         status = F.when(F.col("o_orderstatus") == "F", "shipped").when(F.col("o_orderstatus") == "O", "confirmed").otherwise("imported")
         return self.raw("orders").join(customer, "o_custkey").select(
@@ -82,7 +82,7 @@ class Tables:
 
     def sellout_entries(self) -> DataFrame:
         nation = self.raw("nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
-        customer = self.raw("customer").join(F.broadcast(nation), "c_nationkey").select(F.col("c_custkey").alias("o_custkey"), "c_name", "n_name")
+        customer = self.raw("customer").join(nation, "c_nationkey").select(F.col("c_custkey").alias("o_custkey"), "c_name", "n_name")
         orders = self.raw("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
         part = self.raw("part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
         start = F.trunc("l_shipdate", "MM")
@@ -105,7 +105,7 @@ class Tables:
 
     def store_locations(self) -> DataFrame:
         nation = self.raw("nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
-        return self.raw("customer").join(F.broadcast(nation), "c_nationkey").select(
+        return self.raw("customer").join(nation, "c_nationkey").select(
             F.lpad(F.col("c_custkey").cast("string"), 6, "0").alias("store_code"),
             F.col("c_name").alias("store_name"),
             F.col("n_name").alias("chain_name"),
@@ -116,7 +116,7 @@ class Tables:
         """A store has introduced a part that it ordered if a line of it has return flag N."""
         orders = self.raw("orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey"))
         nation = self.raw("nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
-        customer = self.raw("customer").join(F.broadcast(nation), "c_nationkey")
+        customer = self.raw("customer").join(nation, "c_nationkey")
         part = self.raw("part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_brand")
         return self.raw("lineitem").join(orders, "l_orderkey").join(customer, "c_custkey").join(part, "l_partkey").select(
             F.concat(F.lit("I-"), "n_name").alias("import_id"),
