@@ -18,13 +18,14 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Spans, chunks, crc_mod, lean, separators, span_hashes, tidy, words
+from .common import Spans, chunks, crc_mod, fresh, lean, separators, span_hashes, tidy, words
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 SAMPLE = 4000  # texts of each language that are learned from, about
+LANGUAGES = 1000  # most frequent ones, at most: the width of the model that every worker holds
 LEXICON = 30_000  # most frequent words of each language that EM sees
 ROUNDS = 4
 
@@ -144,10 +145,10 @@ def learn(voc: Pieces, lexicon: dict[str, dict[bytes, int]], rounds: int = ROUND
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE, lexicon: int = LEXICON, path: str | None = None) -> tuple[list[str], np.ndarray]:
-    """Learns from about `sample` texts of each language, chosen by a hash of the key; rows without text or lang are left out."""
+    """Learns from about `sample` texts of each language, chosen by a hash of the key, and from LANGUAGES languages at most; rows without text or lang are left out."""
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(lang).alias("lang"), F.col(text).alias("t"))
-    share = known.groupBy("lang").count().select(F.col("lang").alias("l"), (F.least(F.lit(1.0), sample / F.col("count")) * 1_000_000).alias("cut"))
-    chosen = known.join(F.broadcast(share.orderBy(F.desc("cut"), "l").limit(1000)), F.col("lang") == F.col("l")).where(F.pmod(F.xxhash64("k"), F.lit(1_000_000)) < F.col("cut"))
+    share = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select(F.col("lang").alias("l"), (F.least(F.lit(1.0), sample / F.col("count")) * 1_000_000).alias("cut"))
+    chosen = known.join(F.broadcast(share), F.col("lang") == F.col("l")).where(F.pmod(F.xxhash64("k"), F.lit(1_000_000)) < F.col("cut"))
 
     @tidy
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,8 +159,6 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
                 raw, of = buf.tobytes(), np.repeat(np.arange(first, end), np.diff(before))
                 yield pa.record_batch([langs.take(pa.array(of)), pa.array([raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], pa.binary())], names=["lang", "word"])
 
-    from pyspark.sql import Window
-
     counts = chosen.select("lang", "t").mapInArrow(counted, "lang string, word binary").groupBy("lang", "word").count()
     best = counts.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))).where(F.col("r") <= lexicon)
     by_lang: dict[str, dict[bytes, int]] = {}
@@ -205,8 +204,9 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray], text: str = "tex
                 scores += np.where(some, odds, 0.0).tolist()
             yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["lang_pred", "score"])
 
-    both = lean(df).withColumn("_judged", judged(F.col(f"`{text}`").cast("string")))
-    return both.withColumn("lang_pred", F.col("_judged.lang_pred")).withColumn("score", F.col("_judged.score")).drop("_judged")
+    own = fresh(df, "_judged")
+    both = lean(df).withColumn(own, judged(F.col(f"`{text}`").cast("string")))
+    return both.withColumn("lang_pred", F.col(own)["lang_pred"]).withColumn("score", F.col(own)["score"]).drop(own)
 
 
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

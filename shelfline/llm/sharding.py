@@ -25,29 +25,29 @@ def assign(df: DataFrame, order: list[str], source: str = "source", shards: int
     """
     df = df.drop("shard", "slot", "rank")
     hashed = F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in order])
-    shuffled = df.withColumn("_h", hashed).withColumn("_b", F.pmod(F.shiftrightunsigned("_h", 40), F.lit(buckets)).cast("int"))
-    ranked = _ranked(shuffled, [source], "_b", ["_h", *order], "_place")
-    sizes = df.groupBy(F.col(f"`{source}`").alias("_s")).agg(F.count("*").alias("_n"))
-    part = ranked.join(sizes, F.col(f"`{source}`").eqNullSafe(F.col("_s"))).withColumn("_f", (F.col("_place") + 0.5) / F.col("_n"))
-    part = part.withColumn("_b", F.floor(F.col("_f") * buckets).cast("int"))
+    shuffled = df.withColumn("__h", hashed).withColumn("__b", F.pmod(F.shiftrightunsigned("__h", 40), F.lit(buckets)).cast("int"))
+    ranked = _ranked(shuffled, [source], "__b", ["__h", *order], "__place")
+    sizes = df.groupBy(F.col(f"`{source}`").alias("__s")).agg(F.count("*").alias("__n"))
+    part = ranked.join(sizes, F.col(f"`{source}`").eqNullSafe(F.col("__s"))).withColumn("__f", (F.col("__place") + 0.5) / F.col("__n"))
+    part = part.withColumn("__b", F.floor(F.col("__f") * buckets).cast("int"))
     total = df.count()
-    mixed = _ranked(part, [], "_b", ["_f", F.xxhash64(F.lit(seed), F.col("_s")), "_s", "_h", *order], "rank")
+    mixed = _ranked(part, [], "__b", ["__f", F.xxhash64(F.lit(seed), F.col("__s")), "__s", "__h", *order], "rank")
     cut = mixed.withColumn("shard", F.expr(f"(rank * {shards}) div {max(total, 1)}").cast("int"))
     cut = cut.withColumn("slot", F.col("rank") - F.expr(f"(shard * {total}L + {shards - 1}) div {shards}"))
-    return cut.drop("_h", "_b", "_s", "_n", "_f", "_place")
+    return cut.drop("__h", "__b", "__s", "__n", "__f", "__place")
 
 
 def _ranked(df: DataFrame, keys: list[str], bucket: str, order: list[str | Column], out: str) -> DataFrame:
     """Adds `out`, the rank from 0 among the rows of equal keys, by bucket and then by order."""
     own = [F.col(f"`{k}`") for k in keys]
-    sizes = df.groupBy(*[k.alias(f"_k{i}") for i, k in enumerate(own)], F.col(bucket).alias("_kb")).agg(F.count("*").alias("_c"))
-    before = Window.partitionBy(*[f"_k{i}" for i in range(len(keys))]).orderBy("_kb").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c")
-    inner = df.withColumn("_r", F.row_number().over(Window.partitionBy(*own, bucket).orderBy(*order)))
-    on = F.col(bucket) == F.col("_kb")
+    sizes = df.groupBy(*[k.alias(f"__k{i}") for i, k in enumerate(own)], F.col(bucket).alias("__kb")).agg(F.count("*").alias("__c"))
+    before = Window.partitionBy(*[f"__k{i}" for i in range(len(keys))]).orderBy("__kb").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("__before", F.coalesce(F.sum("__c").over(before), F.lit(0))).drop("__c")
+    inner = df.withColumn("__r", F.row_number().over(Window.partitionBy(*own, bucket).orderBy(*order)))
+    on = F.col(bucket) == F.col("__kb")
     for i, k in enumerate(own):
-        on &= k.eqNullSafe(F.col(f"_k{i}"))
-    return inner.join(sizes, on).withColumn(out, F.col("_before") + F.col("_r") - 1).drop("_r", "_kb", "_before", *[f"_k{i}" for i in range(len(keys))])
+        on &= k.eqNullSafe(F.col(f"__k{i}"))
+    return inner.join(sizes, on).withColumn(out, F.col("__before") + F.col("__r") - 1).drop("__r", "__kb", "__before", *[f"__k{i}" for i in range(len(keys))])
 
 
 def write_shards(df: DataFrame, path: str) -> None:
