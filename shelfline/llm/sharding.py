@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 SHARDS = 40
 SEED = 7
 BUCKETS = 1024
+ROWS = 1 << 20  # in a bucket, about, once there are more rows than BUCKETS times as many
 
 
-def assign(df: DataFrame, order: list[str], source: str = "source", shards: int = SHARDS, seed: int = SEED, buckets: int = BUCKETS) -> DataFrame:
+def assign(df: DataFrame, order: list[str], source: str = "source", shards: int = SHARDS, seed: int = SEED, buckets: int | None = None) -> DataFrame:
     """Adds shard (0 to shards - 1), slot (from 0 within a shard), and rank (from 0 over all rows).
 
     Shard sizes are at most one apart, and so is each source's share of a shard up to the sources' rounding. A null
@@ -24,13 +25,14 @@ def assign(df: DataFrame, order: list[str], source: str = "source", shards: int
     Columns already named shard, slot or rank are replaced. An empty table stays empty.
     """
     df = df.drop("shard", "slot", "rank")
+    total = df.count()
+    buckets = buckets or max(BUCKETS, -(-total // ROWS))
     hashed = F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in order])
     shuffled = df.withColumn("__h", hashed).withColumn("__b", F.pmod(F.shiftrightunsigned("__h", 40), F.lit(buckets)).cast("int"))
     ranked = _ranked(shuffled, [source], "__b", ["__h", *order], "__place")
     sizes = df.groupBy(F.col(f"`{source}`").alias("__s")).agg(F.count("*").alias("__n"))
     part = ranked.join(sizes, F.col(f"`{source}`").eqNullSafe(F.col("__s"))).withColumn("__f", (F.col("__place") + 0.5) / F.col("__n"))
     part = part.withColumn("__b", F.floor(F.col("__f") * buckets).cast("int"))
-    total = df.count()
     mixed = _ranked(part, [], "__b", ["__f", F.xxhash64(F.lit(seed), F.col("__s")), "__s", "__h", *order], "rank")
     cut = mixed.withColumn("shard", F.expr(f"(rank * {shards}) div {max(total, 1)}").cast("int"))
     cut = cut.withColumn("slot", F.col("rank") - F.expr(f"(shard * {total}L + {shards - 1}) div {shards}"))
