@@ -74,9 +74,9 @@ def _sql(tail: str) -> str:
     return using("store_locations", _STORES + tail)
 
 
-_ALLOCATION = "SELECT file_id, '490000000001' || i AS jan, 'item ' || i AS product_name, no AS store_code, store_name, '' AS address, '' AS postal_code, CASE WHEN i = 0 THEN n % 2 > 0 ELSE n % 3 > 0 END AS is_introduced FROM s, (VALUES (0), (1)) v(i)"
-_FLAGS = "SELECT file_id, '4900000000011' AS jan, '' AS product_name, no AS store_code, store_name, '' AS address, '' AS postal_code, n % 2 = 1 AS is_introduced FROM s"
-_PROMO = "SELECT file_id, 'UNKNOWN' AS jan, '' AS product_name, no AS store_code, store_name, coalesce(address, '-') AS address, '100-0001' AS postal_code, n % 3 < 2 AS is_introduced FROM s"
+_ALLOCATION = "SELECT file_id, '490000000001' || i AS jan, 'item ' || i AS product_name, no AS store_code, store_name, '' AS address, '' AS postal_code, CASE WHEN i = 0 THEN n % 2 > 0 ELSE n % 3 > 0 END AS is_introduced FROM s, (VALUES (0), (1)) v(i) QUALIFY count(*) OVER (PARTITION BY file_id) >= 10"
+_FLAGS = "SELECT file_id, '4900000000011' AS jan, '' AS product_name, no AS store_code, store_name, '' AS address, '' AS postal_code, n % 2 = 1 AS is_introduced FROM s QUALIFY count(*) OVER (PARTITION BY file_id) >= 5"
+_PROMO = "SELECT file_id, 'UNKNOWN' AS jan, '' AS product_name, no AS store_code, store_name, coalesce(address, '-') AS address, '100-0001' AS postal_code, n % 3 < 2 AS is_introduced FROM s QUALIFY count(*) OVER (PARTITION BY file_id) >= 5"
 
 QUERIES = {
     "sheet_flag_list": (lambda t: _pick(op.flag_list(_flags(t))), _sql(_FLAGS)),
@@ -88,7 +88,7 @@ QUERIES = {
     "sheet_allocation": (lambda t: _pick(op.allocation(_allocation(t))), _sql(_ALLOCATION)),
     "sheet_store_allocation": (
         lambda t: _pick(op.store_allocation(_store_allocation(t))),
-        _sql("SELECT file_id, '490000000001' || i AS jan, 'item ' || i AS product_name, no AS store_code, store_name, '' AS address, '' AS postal_code, CASE WHEN i = 0 THEN n % 2 > 0 ELSE n % 5 > 0 END AS is_introduced FROM s, (VALUES (0), (1)) v(i)"),
+        _sql("SELECT file_id, '490000000001' || i AS jan, 'item ' || i AS product_name, no AS store_code, store_name, '' AS address, '' AS postal_code, CASE WHEN i = 0 THEN n % 2 > 0 ELSE n % 5 > 0 END AS is_introduced FROM s, (VALUES (0), (1)) v(i) QUALIFY count(*) OVER (PARTITION BY file_id) >= 5"),
     ),
     "sheet_dispatch": (
         lambda t: op.dispatch(_flags(t).unionByName(_promo(t)).unionByName(_allocation(t))).groupBy("file_id", "sheet_name", "layout").agg(F.count("*").alias("entries"), F.count_if("is_introduced").alias("introduced")),
