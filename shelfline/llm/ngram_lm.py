@@ -3,8 +3,9 @@
 Counts of unigrams and bigrams are quantised to levels 1 + floor(log(c) / log(step)) and an n-gram is entered once for
 each level up to its own. The filter is cut into segments by the leading bits of the n-gram's hash: one Spark task
 builds a segment, so no task sees more than its share, and the driver gathers bytes whose number is fixed by
-`filter_bits` whatever the corpus. A segment whose entries would exceed one per `bits_per_entry` bits leaves out its
-rarest bigram classes (counts 1, then 2-3, then 4-7, ...), as count cut-offs do; unigrams are always entered.
+`filter_bits` whatever the corpus. A segment whose entries would exceed one per BITS_PER_ENTRY bits leaves its rarest
+classes (bigrams, then unigrams, of count 1, then of 2-3, then of 4-7, ...) to a table. Scoring joins the n-grams of a text
+that may be there with that table by their hashes, so every n-gram keeps its count at any size of the corpus.
 Scoring asks for level 1, 2, ... until a probe misses, takes the count that the last level stands for, and smooths:
 
     p(w)     = (c(w) + 1) / (N + V + 1)
@@ -17,14 +18,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, crc_mod, mixed, separators, span_hashes, tidy, words, written
+from .common import chunks, crc_mod, fresh, lean, mixed, separators, span_hashes, tidy, words, written
 
 FILTER_BITS = 1 << 28  # 32 MB, on the driver and in every Python worker
 BITS_PER_ENTRY = 6
@@ -37,7 +38,7 @@ FREQUENT = 100_000  # words whose counts are broadcast at most; all others are j
 
 _SPACE = separators("space")
 _START, _END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
-_CLASSES = 8  # of bigrams by log2 of the count; the last holds all larger ones
+_CLASSES = 8  # by log2 of the count, for bigrams and for unigrams; the last holds all larger ones
 
 
 def _bigram(v: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -125,17 +126,47 @@ def _level(count: np.ndarray) -> np.ndarray:
     return 1 + np.floor(np.log(count) / math.log(STEP) + 1e-9).astype(np.int64)
 
 
+def _settled(df: DataFrame, name: str) -> DataFrame:
+    """written(), after which the shuffle files that df took are removed."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, "false")
+    conf.set(key, "true")
+    try:
+        return written(df, name)
+    finally:
+        conf.set(key, before)
+
+
+def _class(h: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Rarest first: bigrams of count 1, unigrams of count 1, bigrams of 2-3, ..."""
+    return 2 * np.minimum(np.log2(count).astype(np.int64), _CLASSES - 1) + (h & np.uint64(1)).astype(np.int64)
+
+
+#: The least level of n-grams in the filter, by the number of classes of their kind that it leaves out.
+_LEAST_LEVEL = np.array([0, *_level(2 ** np.arange(1, _CLASSES)), 255])
+
+
 @dataclass
 class Model:
-    """bits: the segments, one after the other; tokens and vocabulary: N and V of the training tokens."""
+    """bits: the segments, one after the other; tokens and vocabulary: N and V of the training tokens.
+
+    least: how many classes each segment leaves out. rest: their n-grams, packed; it stays on the driver.
+    """
 
     bits: np.ndarray
     size: int
     tokens: int
     vocabulary: int
+    least: np.ndarray = field(default_factory=lambda: np.zeros(SEGMENTS, np.int64))
+    rest: DataFrame | None = None
 
-    def count(self, h: np.ndarray) -> np.ndarray:
-        """The count that the filter holds for each hash, 0 if none."""
+    def left_out(self, h: np.ndarray, level: np.ndarray) -> np.ndarray:
+        """Whether the table may hold the n-gram, as the filter has a level below those that it keeps."""
+        least = self.least[h >> np.uint64(64 - SEGMENTS.bit_length() + 1)]
+        return level < _LEAST_LEVEL[(least + 1 - (h & np.uint64(1)).astype(np.int64)) // 2]
+
+    def levels(self, h: np.ndarray) -> np.ndarray:
+        """The level that the filter holds for each hash, 0 if none."""
         level, open_ = np.zeros(len(h), np.int64), np.arange(len(h))
         base = (h >> np.uint64(64 - SEGMENTS.bit_length() + 1)) * np.uint64(self.size)
         while len(open_):
@@ -143,95 +174,165 @@ class Model:
                 at = _place(h[open_], level[open_] + 1, i, self.size) + base[open_]
                 open_ = open_[(self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)]
             level[open_] += 1
+        return level
+
+    def count(self, h: np.ndarray, table: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        """The count that the filter holds for each hash, or `table` (hashes in order, levels) where the filter leaves it out."""
+        level = self.levels(h)
+        if table is not None:
+            at = np.flatnonzero(self.left_out(h, level))
+            place = np.minimum(np.searchsorted(table[0], h[at]), max(0, len(table[0]) - 1))
+            level[at] = np.where(table[0][place] == h[at], table[1][place], 0) if len(table[0]) else 0
         low = np.where(level > 0, np.ceil(STEP ** (level - 1.0) - 1e-9), 0)
         high = np.where(level > 0, np.maximum(np.ceil(STEP ** (level * 1.0) - 1e-9) - 1, low), 0)
         return (low + high) / 2
 
-    def log10(self, tokens: np.ndarray, previous: np.ndarray) -> np.ndarray:
+    def log10(self, tokens: np.ndarray, previous: np.ndarray, table: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
         """log10 of each token's probability after its predecessor."""
         uni, at = np.unique(np.concatenate([tokens, previous]), return_inverse=True)
-        c = self.count(_unigram(uni))[at]
+        c = self.count(_unigram(uni), table)[at]
         cw, cv = c[: len(tokens)], c[len(tokens) :]
         pairs, at = np.unique(_bigram(previous, tokens), return_inverse=True)
-        both = np.minimum(self.count(pairs)[at], np.minimum(cv, cw))
+        both = np.minimum(self.count(pairs, table)[at], np.minimum(cv, cw))
         p = np.minimum(1.0, (cw + 1) / (self.tokens + self.vocabulary + 1))
         return np.log10((both + MU * p) / (cv + MU))
 
 
 def fit(docs: DataFrame, tokens: int, vocabulary: int, text: str = "text", filter_bits: int = FILTER_BITS) -> Model:
-    """The filter of all n-grams of docs. The driver receives filter_bits / 8 bytes at most."""
+    """The filter of all n-grams of docs, and the table of those it has no room for. The driver receives filter_bits / 8 bytes at most."""
     size = filter_bits // SEGMENTS
     room = size // BITS_PER_ENTRY
+    kind = "segment int, least int, bits binary, h binary, level binary, class binary"
 
     def built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row_of = np.full(SEGMENTS * (_CLASSES + 1), -1, np.int64)  # of a segment's class in `bits`
-        entries = np.zeros(SEGMENTS * (_CLASSES + 1), np.int64)
-        bits, used = np.zeros((64, size // 8), np.uint8), 0
+        schema = pa.schema([("segment", pa.int32()), ("least", pa.int32()), *((x, pa.binary()) for x in ("bits", "h", "level", "class"))])
+        bits, entries = np.zeros((2 * _CLASSES, size // 8), np.uint8), np.zeros(2 * _CLASSES, np.int64)
+        waiting: list[tuple] = []  # what the table may need, while the segment still has room
 
-        def enter(segment: int, parts: list[tuple[np.ndarray, np.ndarray]]) -> None:
-            nonlocal bits, used
+        def enter(segment: int, parts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
             h, count = _added(parts)
-            level = _level(count)
-            own = segment * (_CLASSES + 1) + np.where(h & np.uint64(1), _CLASSES, np.minimum(np.log2(count).astype(np.int64), _CLASSES - 1))
-            new = np.unique(own[row_of[own] < 0])
-            row_of[new] = np.arange(used, used := used + len(new))
-            if used > len(bits):
-                bits = np.concatenate([bits, np.zeros((used, size // 8), np.uint8)])
+            level, own = _level(count), _class(h, count)
             np.add.at(entries, own, level)
             each = np.arange(level.sum()) - np.repeat(np.cumsum(level) - level, level) + 1
-            first, x, flat = np.repeat(row_of[own].astype(np.uint64) * np.uint64(size), level), np.repeat(h, level), bits.reshape(-1)
+            first, x, flat = np.repeat(own.astype(np.uint64) * np.uint64(size), level), np.repeat(h, level), bits.reshape(-1)
             for i in range(PROBES):
                 at = _place(x, each, i, size) + first
                 np.bitwise_or.at(flat, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+            waiting.append((h, level, own))
+            if entries.sum() > room:
+                for h, level, own in waiting:
+                    yield pa.record_batch([[segment], [None], [None], [h.tobytes()], [level.astype(np.uint8).tobytes()], [own.astype(np.uint8).tobytes()]], schema=schema)
+                waiting.clear()
+
+        def closed(segment: int) -> pa.RecordBatch:
+            total, least = int(entries.sum()), 0
+            while total > room and least < 2 * _CLASSES:
+                total -= int(entries[least])
+                least += 1
+            kept = np.bitwise_or.reduce(bits[least:], axis=0) if least < 2 * _CLASSES else bits[0] * 0
+            bits[:], entries[:] = 0, 0
+            waiting.clear()
+            return pa.record_batch([[segment], [least], [kept.tobytes()], [None], [None], [None]], schema=schema)
 
         held, holding = [], None
         for batch in batches:
             for row in batch.to_pylist():
                 if (row["segment"], row["slice"]) != holding and held:
-                    enter(holding[0], held)
+                    yield from enter(holding[0], held)
                     held = []
+                    if row["segment"] != holding[0]:
+                        yield closed(holding[0])
                 holding = row["segment"], row["slice"]
                 held.append((np.frombuffer(row["h"], np.uint64), np.frombuffer(row["count"], np.int64)))
         if held:
-            enter(holding[0], held)
-        row_of, entries = row_of.reshape(SEGMENTS, -1), entries.reshape(SEGMENTS, -1)
-        for s in np.flatnonzero((row_of >= 0).any(1)).tolist():
-            total, least = int(entries[s].sum()), 0
-            while total > room and least < _CLASSES:
-                total -= int(entries[s][least])
-                least += 1
-            rows = row_of[s][least:]
-            kept = np.bitwise_or.reduce(bits[rows[rows >= 0]], axis=0) if (rows >= 0).any() else bits[0] * 0
-            yield pa.record_batch([pa.array([s], pa.int32()), pa.array([kept.tobytes()], pa.binary())], names=["segment", "bits"])
+            yield from enter(holding[0], held)
+            yield closed(holding[0])
 
-    bits = np.zeros((SEGMENTS, size // 8), np.uint8)
+    bits, least = np.zeros((SEGMENTS, size // 8), np.uint8), np.zeros(SEGMENTS, np.int64)
     slices = 1 << max(0, math.ceil(math.log2(max(1, tokens) / (SEGMENTS * SLICE))))
     counts = ngram_counts(docs.select(text), text, slices).repartition("segment").sortWithinPartitions("segment", "slice")
-    found = counts.mapInArrow(built, "segment int, bits binary").toArrow()
+    made = _settled(counts.mapInArrow(built, kind), "filter")
+    found = made.where(F.col("bits").isNotNull()).select("segment", "least", "bits").toArrow()
     for batch in found.to_batches():
-        for segment, own in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            bits[segment] = np.frombuffer(own.as_buffer(), np.uint8)
+        for segment, n, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            bits[segment], least[segment] = np.frombuffer(own.as_buffer(), np.uint8), n
     del found
-    return Model(bits.reshape(-1), size, tokens, vocabulary)
+    rest = made.where(F.col("h").isNotNull()).select("segment", "h", "level", "class") if least.any() else None
+    return Model(bits.reshape(-1), size, tokens, vocabulary, least, rest)
+
+
+def left_out(model: Model) -> DataFrame:
+    """h, level: the n-grams that the filter leaves out."""
+    least = model.least
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                at = np.flatnonzero(np.frombuffer(row["class"], np.uint8) < least[row["segment"]])
+                yield pa.record_batch([pa.array(np.frombuffer(row["h"], np.int64)[at]), pa.array(np.frombuffer(row["level"], np.uint8)[at].astype(np.int32))], names=["h", "level"])
+
+    return model.rest.mapInArrow(unpacked, "h long, level int")
+
+
+def _looked_up(df: DataFrame, model: Model, shared, text: str, key: str) -> DataFrame:
+    """key, table: for each hash of a text, the n-grams of such texts that the filter leaves out, as far as they occur in training."""
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            keys = batch.column(0).to_numpy()
+            for first, end, buf, offsets in chunks(batch.column(1)):
+                *_, before, tokens, previous = _token_hashes(buf, offsets)
+                own = np.repeat(keys[first:end], np.diff(before) + 1)
+                h, at = np.unique(np.concatenate([_unigram(tokens), _unigram(previous), _bigram(previous, tokens)]), return_inverse=True)
+                ask = m.left_out(h, m.levels(h))[at]
+                h, k = h[at[ask]], np.tile(own, 3)[ask]
+                order = np.lexsort((h, k))
+                h, k = h[order], k[order]
+                new = np.append(True, (h[1:] != h[:-1]) | (k[1:] != k[:-1])) if len(h) else np.zeros(0, bool)
+                yield pa.record_batch([pa.array(k[new]), pa.array(h[new].view(np.int64))], names=["k", "h"])
+
+    probes = lean(df).select(F.xxhash64(F.col(f"`{text}`").cast("string")), F.col(f"`{text}`").cast("string")).mapInArrow(tidy(asked), "k long, h long")
+    once = _settled(probes.join(left_out(model), "h").groupBy("h", "k").agg(F.first("level").alias("level")), "found")
+    return once.groupBy(F.col("k").alias(key)).agg(F.collect_list(F.struct("h", "level")).alias("table"))
 
 
 def model_scores(df: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
     """Adds `out`, the log10 probability of the text with its end mark. Null and empty texts hold the end mark alone."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    shared = df.sparkSession.sparkContext.broadcast(replace(model, rest=None))
 
     @F.arrow_udf("double")
     @tidy
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        m = shared.value
         for batch in batches:
-            parts = [np.zeros(0)]
-            for _, _, buf, offsets in chunks(batch):
-                *_, before, tokens, previous = _token_hashes(buf, offsets)
-                at = before[:-1] + np.arange(len(before) - 1)
-                parts.append(np.add.reduceat(m.log10(tokens, previous), at))
-            yield pa.array(np.concatenate(parts))
+            yield _scores(shared.value, batch)
 
-    return df.withColumn(out, scored(F.col(f"`{text}`")))
+    @F.arrow_udf("double")
+    @tidy
+    def scored_with(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for batch, tables in batches:
+            yield _scores(shared.value, batch, tables)
+
+    if model.rest is None:
+        return df.withColumn(out, scored(F.col(f"`{text}`")))
+    key, table = fresh(df, "_text_key"), fresh(df, "_table")
+    found = _looked_up(df, model, shared, text, key).withColumnRenamed("table", table)
+    both = df.withColumn(key, F.xxhash64(F.col(f"`{text}`").cast("string"))).join(found, key, "left")
+    return both.withColumn(out, scored_with(F.col(f"`{text}`"), F.col(table))).select(*[f"`{c}`" for c in df.columns if c != out], out)
+
+
+def _scores(m: Model, texts: pa.Array, tables: pa.Array | None = None) -> pa.Array:
+    parts = [np.zeros(0)]
+    for first, end, buf, offsets in chunks(texts):
+        *_, before, tokens, previous = _token_hashes(buf, offsets)
+        at = before[:-1] + np.arange(len(before) - 1)
+        own = None
+        if tables is not None:
+            flat = tables.slice(first, end - first).flatten()
+            h, once = np.unique(flat.field("h").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), return_index=True)
+            own = h, flat.field("level").to_numpy(zero_copy_only=False).astype(np.int64)[once]
+        parts.append(np.add.reduceat(m.log10(tokens, previous, own), at))
+    return pa.array(np.concatenate(parts))
 
 
 def base_scores(df: DataFrame, counts: DataFrame, tokens: Column, vocabulary: Column, ends: Column, key: str = "doc_id", text: str = "text", frequent: int = FREQUENT) -> DataFrame:
@@ -311,12 +412,13 @@ def op2_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     held_out = crc_mod("doc_id", 7) == 2
     train = docs.where(~held_out)
-    counts = written(word_counts(train), "words")
+    counts = _settled(word_counts(train), "words")
     total = counts.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     ends = train.count()
     tokens, vocabulary = total.n + ends, total.v + (ends > 0)
     model = fit(train, tokens, vocabulary)
     scores = model_scores(docs, model).select("doc_id", "score").groupBy("doc_id").agg(F.sum("score").alias("score"))
+    scores = _settled(scores, "scores")
     base = base_scores(docs, counts, F.lit(tokens), F.lit(vocabulary), F.lit(ends))
     both = base.withColumnRenamed("doc_id", "k").join(scores, F.col("k").eqNullSafe(F.col("doc_id")))
     return both.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -161,6 +161,24 @@ def test_known_text_scores_above_shuffled_words(spark, docs):
     assert a > b
 
 
+def test_what_the_filter_has_no_room_for_keeps_its_count(spark, docs, rows):
+    c = Counter()
+    for _, text, *_ in rows:
+        toks = ["<s>", *(text or "").translate(LOW).split(), "</s>"]
+        c.update(toks)
+        c.update(itertools.pairwise(toks))
+    step = lambda n: ((lo := math.ceil(1.5 ** (k := math.floor(math.log(n) / math.log(1.5) + 1e-9)) - 1e-9)) + max(lo, math.ceil(1.5 ** (k + 1) - 1e-9) - 1)) / 2 if n else 0
+    model = ngram_lm.fit(docs, 10_000, 500, filter_bits=1 << 15)
+    assert model.least.any()
+    for r in ngram_lm.model_scores(docs, model).where("doc_id < 10").collect():
+        toks = ["<s>", *(r.text or "").translate(LOW).split(), "</s>"]
+        want = 0.0
+        for v, w in itertools.pairwise(toks):
+            cv, cw = step(c[v]), step(c[w])
+            want += math.log10((min(step(c[v, w]), cv, cw) + ngram_lm.MU * min(1, (cw + 1) / 10_501)) / (cv + ngram_lm.MU))
+        assert r.score == pytest.approx(want, rel=0.02)
+
+
 def test_language_model_of_nothing(spark, empty_folder):
     assert ngram_lm.op2_lm(spark, empty_folder).count() == 0
 
