@@ -5,8 +5,8 @@ ignore it as they were. Hashes of all benchmark positions are joined with those
 meeting is verified by comparing the words around it one by one, substitutions allowed. Training positions pass a bit
 table of fixed size before the join, which spares the shuffle of hashes that no benchmark item has.
 
-The masks find every stretch of `window` words with at most two substitutions (tests/llm tries them all), which is what
-a similarity of 0.8 of 13 words allows.
+The masks find every stretch of 8 to 13 words with as many substitutions as a similarity of 0.8 allows (tests/llm tries
+them all). A mask needs its own words alone, so passages that begin before a text or end after it are found too.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import chunks, lean, mixed, separators, span_hashes, tidy, words
 
-MASKS = ((0, 1, 3, 6, 7), (0, 1, 4, 6, 7))
+MASKS = ((0, 1, 3, 6, 7), (0, 1, 4, 6, 7), (0, 1, 3, 4, 5))
 SPAN = 8
 WINDOW = 13
 SIMILARITY = 0.8
@@ -31,8 +31,8 @@ _FACTOR = np.array([mixed(np.array([i + 1], np.uint64))[0] | np.uint64(1) for i
 
 
 def _masked(h: np.ndarray, mask: tuple[int, ...], k: int) -> np.ndarray:
-    """Hash under the mask of each position from which SPAN words follow."""
-    n = len(h) - SPAN + 1
+    """Hash under the mask of each position from which the mask's words follow."""
+    n = max(0, len(h) - mask[-1])
     total = np.full(n, k + 1, np.uint64)
     for place in mask:
         total += h[place : place + n] * _FACTOR[place]
@@ -49,14 +49,11 @@ def _hits(texts: pa.Array, window: int, keep) -> pa.Array:
         n = len(h)
         text = np.repeat(np.arange(end - first), np.diff(before))
         rows = []
-        if n >= SPAN:
-            whole = text[: n - SPAN + 1] == text[SPAN - 1 :]
-            for k, mask in enumerate(MASKS):
-                x = _masked(h, mask, k)
-                at = np.flatnonzero(whole & keep(x))
-                rows.append((x[at], at))
-        x = np.concatenate([r[0] for r in rows]) if rows else np.zeros(0, np.uint64)
-        at = np.concatenate([r[1] for r in rows]) if rows else np.zeros(0, np.int64)
+        for k, mask in enumerate(MASKS):
+            x = _masked(h, mask, k)
+            at = np.flatnonzero((text[: len(x)] == text[mask[-1] :]) & keep(x)) if len(x) else np.zeros(0, np.int64)
+            rows.append((x[at], at))
+        x, at = (np.concatenate(r) for r in zip(*rows, strict=True))
         order = np.argsort(at, kind="stable")
         x, at = x[order], at[order]
         around = at[:, None] - reach + np.arange(wide)
@@ -145,7 +142,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: s
             got = np.where((at >= low) & (at + size <= high), equal[np.arange(len(x)), stop] - equal[:, at], -1)
             better = got > matched
             matched[better], start[better] = got[better], at
-        enough = matched >= np.ceil(similarity * size - 1e-9)
+        enough = (there.sum(1) >= SPAN) & (matched >= np.ceil(similarity * size - 1e-9))
         return pa.StructArray.from_arrays([pa.array(np.where(enough, matched, 0), pa.int32()), pa.array(start - (window - 1), pa.int32())], names=["matched", "start"])
 
     met = found.join(index, "h").select("_key", "_item", "at", verified("near", "_near").alias("v")).where("v.matched > 0")

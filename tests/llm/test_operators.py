@@ -9,6 +9,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -317,6 +318,33 @@ def test_masks_find_every_window_with_two_substitutions():
             assert any(all(s + o not in wrong for o in m) for m in decontaminate.MASKS for s in range(n - decontaminate.SPAN + 1))
 
 
+def test_masks_find_short_items_with_every_allowed_substitution():
+    for n in range(decontaminate.SPAN, decontaminate.WINDOW + 1):
+        for r in range(n - math.ceil(n * decontaminate.SIMILARITY - 1e-9) + 1):
+            for wrong in itertools.combinations(range(n), r):
+                assert any(all(s + o not in wrong for o in m) for m in decontaminate.MASKS for s in range(n - m[-1])), (n, wrong)
+
+
+def test_short_items_with_substitutions_are_those_of_the_sql(spark):
+    noise = " ".join(f"n{i}" for i in range(30))
+    seven = " ".join(f"i7x{i}" for i in range(7))
+    bench, docs = [(7, seven)], [("seven", seven)]
+    for n in range(8, 12):
+        item = [f"i{n}x{i}" for i in range(n)]
+        bench.append((n, " ".join(item)))
+        for i, j in itertools.combinations_with_replacement(range(n), 2):
+            text = " ".join("zz" if k in (i, j) else w for k, w in enumerate(item))
+            docs += [(f"{n} {i} {j}", text), (f"{n} {i} {j} within", f"{noise} {text} {noise}")]
+        docs += [(f"{n} cut", " ".join(item[1:])), (f"{n} cut end", " ".join(item[:-1]) + " " + noise), (f"{n} cut start", " ".join([*item[1:], noise])), (f"{n} end", f"{noise} {' '.join(item[:-1])}")]
+    docs, bench = spark.createDataFrame(docs, "doc_id string, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())
+    con.register("benchmark", bench.toArrow())
+    want = set(con.sql(decontaminate.op7_sql()).select(*[f'"{c}"' for c in ("doc_id", "item_id", "matched", "at")]).fetchall())
+    assert {tuple(r) for r in decontaminate.overlaps(docs, bench).select("doc_id", "item_id", "matched", "at").collect()} == want
+    assert {"8 0 0", "8 7 7 within", "10 1 7", "11 1 9", "8 cut", "9 end"} <= {r[0] for r in want} and "seven" not in {r[0] for r in want}
+
+
 def test_passages_with_substitutions_are_found(spark):
     item = " ".join(f"w{i}" for i in range(40))
     noise = " ".join(f"n{i}" for i in range(200))
