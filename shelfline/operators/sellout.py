@@ -10,12 +10,13 @@ from ..functions import text as tx
 IMPORTS_READ = 100
 
 
-def latest_imports(imports: DataFrame, read: int = IMPORTS_READ) -> DataFrame:
+def latest_imports(imports: DataFrame, read: int | None = IMPORTS_READ) -> DataFrame:
     """The `read` newest imports, and of these the newest of each retailer and period; imports without a retailer are left out.
 
-    The limit comes first: it is what the report reads.
+    The limit comes first: it is what the report reads. Without one (None) all imports count.
     """
-    newest = imports.orderBy(F.desc("imported_at"), F.desc("import_id")).limit(read).where("coalesce(retailer, '') <> ''")
+    newest = imports if read is None else imports.orderBy(F.desc("imported_at"), F.desc("import_id")).limit(read)
+    newest = newest.where("coalesce(retailer, '') <> ''")
     rank = F.row_number().over(Window.partitionBy("retailer", "period_start", "period_end").orderBy(F.desc("imported_at"), F.desc("import_id")))
     return newest.withColumn("_r", rank).where("_r = 1").drop("_r")
 

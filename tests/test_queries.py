@@ -37,6 +37,11 @@ def test_query(spark, duck, name):
         assert _rows(rows) == _rows(want.select(*[f'"{c}"' for c in cols]).fetchall())
 
 
+def test_whole_reports_read_more_than_the_newest_imports(spark):
+    whole, newest = (QUERIES[f"sellout_{x}latest_imports"](spark, FOLDER) for x in ("whole_", ""))
+    assert whole.count() > newest.count() and not newest.exceptAll(whole).count()
+
+
 def test_entry(spark):
     import __spark_entry__
 
