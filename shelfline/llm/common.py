@@ -10,14 +10,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Odd, so that its powers can be inverted modulo 2**64.
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
 _CHUNK = 2 << 20
 
 
@@ -30,9 +28,13 @@ def written(df: DataFrame, name: str = "part") -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names; a folder of our own only where it names none, as in tests."""
+    """The folder that the cluster names in spark.checkpoint.dir. A folder of our own only where it names none and all tasks run
+    in this one process, as in tests; a cluster without one is an error, as its machines would not see each other's files.
+    """
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
     return sc.getCheckpointDir()
 
@@ -135,19 +137,6 @@ def words(buf: np.ndarray, offsets: np.ndarray, sep: np.ndarray) -> tuple[np.nda
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-#: Weights of positions start anew every _PERIOD bytes, so that their tables stay small under texts of any length.
-_PERIOD = 1 << 20
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(kind: str) -> np.ndarray:
-    if kind not in _powers:
-        steps = np.full(_PERIOD, _BASE if kind == "up" else _INVERSE, np.uint64)
-        steps[0] = 1
-        _powers[kind] = np.cumprod(steps, dtype=np.uint64)
-    return _powers[kind]
-
-
 def mixed(h: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64."""
     h = h ^ (h >> np.uint64(30))
@@ -158,30 +147,28 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h
 
 
-class Spans:
-    """64-bit hashes of spans of buf, the same for the same bytes everywhere."""
+def spelled(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The bytes of each span; spans may overlap."""
+    size = ends - starts
+    stops = np.cumsum(size)
+    at = np.arange(int(stops[-1]) if len(stops) else 0) + np.repeat(starts - stops + size, size)
+    cuts = np.concatenate([np.zeros(1, np.int64), stops])
+    return pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(buf[at]))])
+
+
+def distinct(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The different spans, told apart by their bytes, and the number of each span's own among them."""
+    coded = spelled(buf, starts, ends).dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy().astype(np.int64)
 
-    def __init__(self, buf: np.ndarray):
-        self.buf = buf
-        self.total = np.zeros(len(buf) + 1, np.uint64)
-        for k in range(0, len(buf), _PERIOD):
-            part = buf[k : k + _PERIOD].astype(np.uint64)
-            part += np.uint64(1)
-            part *= _power("up")[: len(part)]
-            np.cumsum(part, out=self.total[k + 1 : k + 1 + len(part)])
-            self.total[k + 1 : k + 1 + len(part)] += self.total[k]
 
-    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        out = self.total[ends]
-        out -= self.total[starts]
-        out *= _power("down")[starts & (_PERIOD - 1)]
-        for i in np.flatnonzero((starts // _PERIOD != (ends - 1) // _PERIOD) & (ends > starts)).tolist():
-            own, weight = self.buf[starts[i] : ends[i]].astype(np.uint64) + np.uint64(1), np.uint64(1)
-            steps = np.full(len(own), _BASE, np.uint64)
-            steps[0] = weight
-            out[i] = (own * np.cumprod(steps, dtype=np.uint64)).sum(dtype=np.uint64)
-        return mixed(out)
+def hashes(found: pa.Array, seed: int = 0) -> np.ndarray:
+    """XXH64 of each binary."""
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(w, seed) for w in found.to_pylist()), np.uint64, len(found))
 
 
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return Spans(buf)(starts, ends)
+    """XXH64 of each span, computed once for equal ones."""
+    found, at = distinct(buf, starts, ends)
+    return hashes(found)[at] if len(found) else np.zeros(0, np.uint64)

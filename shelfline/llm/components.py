@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from .common import written
 
 
-def components(edges: DataFrame, steps: int = 50) -> DataFrame:
-    """node, root: for each node of the edges (a, b) the smallest node reachable.
+def components(edges: DataFrame) -> DataFrame:
+    """node, root: for each node of the edges (a, b) the smallest node reachable. Runs until a pair of steps changes nothing.
 
     Every step joins a node's neighbours to the smallest among them, so the steps needed grow with the logarithm of the
     longest path; the edges of each pair of steps are written to the shared folder, and only their number and a checksum
@@ -17,7 +17,7 @@ def components(edges: DataFrame, steps: int = 50) -> DataFrame:
     """
     now = written(edges.where("a <> b").select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).distinct(), "edges")
     seen = None
-    for _ in range(steps):
+    while True:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("low", "high").cast("decimal(38,0)"))).first()
         if tuple(mark) == seen:
             break

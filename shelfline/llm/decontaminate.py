@@ -6,7 +6,9 @@ meeting is verified by comparing the words around it one by one, substitutions a
 table of fixed size before the join, which spares the shuffle of hashes that no benchmark item has.
 
 The masks find every stretch of 8 to 13 words with as many substitutions as a similarity of 0.8 allows (tests/llm tries
-them all). A mask needs its own words alone, so passages that begin before a text or end after it are found too.
+them all). A mask needs its own words alone, so passages that begin before a text or end after it are found too. Items
+of fewer words have seeds of their own: up to four words the whole item, as no substitution is allowed there, and of
+five to seven words each half, as the one substitution allowed leaves one half as it was.
 """
 
 from __future__ import annotations
@@ -15,10 +17,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, lean, mixed, separators, span_hashes, tidy, words
+from .common import ascii_lower, chunks, distinct, hashes, lean, mixed, separators, tidy, words, written
 
 MASKS = ((0, 1, 3, 6, 7), (0, 1, 4, 6, 7), (0, 1, 3, 4, 5))
 SPAN = 8
@@ -30,6 +33,11 @@ _SYMBOL = separators("symbol")
 _FACTOR = np.array([mixed(np.array([i + 1], np.uint64))[0] | np.uint64(1) for i in range(SPAN)])
 
 
+def short_seeds(n: int) -> list[tuple[int, int]]:
+    """First place and number of words of each seed of an item of n words, n below SPAN."""
+    return [(0, n)] if n < 5 else [(0, n // 2), (n // 2, n - n // 2)]
+
+
 def _masked(h: np.ndarray, mask: tuple[int, ...], k: int) -> np.ndarray:
     """Hash under the mask of each position from which the mask's words follow."""
     n = max(0, len(h) - mask[-1])
@@ -39,17 +47,26 @@ def _masked(h: np.ndarray, mask: tuple[int, ...], k: int) -> np.ndarray:
     return mixed(total)
 
 
-def _hits(texts: pa.Array, window: int, keep) -> pa.Array:
+def _masks(lengths: list[int]) -> list[tuple[int, tuple[int, ...]]]:
+    """Number and places of the masks for long items and for short ones of the given lengths."""
+    short = sorted({size for n in lengths for _, size in short_seeds(n)})
+    return [*enumerate(MASKS), *((len(MASKS) + size, tuple(range(size))) for size in short)]
+
+
+def _lists(values: pa.Array, cuts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), values)
+
+
+def _hits(texts: pa.Array, reach: int, masks: list, keep) -> pa.Array:
     """For each text a list of (hash, at, words around) for its masked positions that keep() lets through."""
-    reach, out = window - 1, []
-    wide = SPAN + 2 * reach
+    out, wide = [], SPAN + 2 * reach
     for first, end, buf, offsets in chunks(texts):
         starts, ends, before = words(buf, offsets, _SYMBOL)
-        h = span_hashes(buf, starts, ends)
-        n = len(h)
+        found, code = distinct(buf, starts, ends)
+        h = hashes(found)[code] if len(code) else np.zeros(0, np.uint64)
         text = np.repeat(np.arange(end - first), np.diff(before))
-        rows = []
-        for k, mask in enumerate(MASKS):
+        rows = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+        for k, mask in masks:
             x = _masked(h, mask, k)
             at = np.flatnonzero((text[: len(x)] == text[mask[-1] :]) & keep(x)) if len(x) else np.zeros(0, np.int64)
             rows.append((x[at], at))
@@ -58,36 +75,54 @@ def _hits(texts: pa.Array, window: int, keep) -> pa.Array:
         x, at = x[order], at[order]
         around = at[:, None] - reach + np.arange(wide)
         inside = (around >= before[text[at]][:, None]) & (around < before[text[at] + 1][:, None])
-        near = np.where(inside, (h[np.clip(around, 0, max(n - 1, 0))] >> np.uint64(33)).astype(np.int32) if n else 0, -1).astype(np.int32)
-        lists = pa.FixedSizeListArray.from_arrays(pa.array(near.reshape(-1), pa.int32()), wide).cast(pa.list_(pa.int32()))
-        items = pa.StructArray.from_arrays([pa.array(x.view(np.int64)), pa.array((at - before[text[at]]).astype(np.int32)), lists], names=["h", "at", "near"])
-        cuts = np.concatenate([[0], np.cumsum(np.bincount(text[at], minlength=end - first))]).astype(np.int32)
-        out.append(pa.ListArray.from_arrays(pa.array(cuts), items))
-    return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.struct([("h", pa.int64()), ("at", pa.int32()), ("near", pa.list_(pa.int32()))])))
-
+        near = np.where(inside, code[np.clip(around, 0, max(len(code) - 1, 0))] if len(code) else 0, -1).reshape(-1)
+        near = found.cast(pa.large_string()).cast(pa.string()).take(pa.array(near, mask=near < 0))
+        items = [pa.array(x.view(np.int64)), pa.array((at - before[text[at]]).astype(np.int32)), _lists(near, np.arange(len(at) + 1) * wide)]
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(text[at], minlength=end - first))])
+        out.append(_lists(pa.StructArray.from_arrays(items, names=["h", "at", "near"]), cuts))
+    return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.struct([("h", pa.int64()), ("at", pa.int32()), ("near", pa.list_(pa.string()))])))
 
-_KIND = "array<struct<h:long,at:int,near:array<int>>>"
 
+def seeds(df: DataFrame, keys: list[str], text: str, masks: list, reach: int, table: np.ndarray) -> DataFrame:
+    """keys, h, at, near: a row for each masked position whose hash is in the bit table, with the words around it."""
+    shared = df.sparkSession.sparkContext.broadcast(table)
 
-def seeds(df: DataFrame, key: str, text: str, window: int = WINDOW, table: np.ndarray | None = None) -> DataFrame:
-    """key, size (words), h, at, near: a row for each masked position, or for those whose hash is in the bit table."""
-    shared = df.sparkSession.sparkContext.broadcast(table) if table is not None else None
-
-    @F.arrow_udf(_KIND)
+    @F.arrow_udf("array<struct<h:long,at:int,near:array<string>>>")
     @tidy
     def hashed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        bits = shared.value if shared else None
+        bits = shared.value
 
         def keep(x: np.ndarray) -> np.ndarray:
-            if bits is None:
-                return np.ones(len(x), bool)
             at = x & np.uint64(8 * len(bits) - 1)
             return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
         for batch in batches:
-            yield _hits(batch, window, keep)
+            yield _hits(batch, reach, masks, keep)
+
+    return lean(df).select(*keys, F.explode(hashed(F.col(f"`{text}`").cast("string"))).alias("s")).select(*keys, "s.*")
+
+
+def item_seeds(items: DataFrame) -> DataFrame:
+    """_row, _at, h of the items in column _words: all masks at all positions, or the seeds of a short item."""
+
+    @F.arrow_udf("array<struct<h:long,at:int>>")
+    def hashed(texts: pa.Array) -> pa.Array:
+        out = []
+        for own in texts.to_pylist():
+            h = hashes(pa.array([w.encode() for w in own], pa.large_binary()))
+            if len(own) < SPAN:
+                found = [(_masked(h[a : a + n], tuple(range(n)), len(MASKS) + n)[:1], a) for a, n in short_seeds(len(own)) if n]
+            else:
+                found = [(_masked(h, mask, k), 0) for k, mask in enumerate(MASKS)]
+            out.append([{"h": int(x), "at": a + i} for xs, a in found for i, x in enumerate(xs.view(np.int64).tolist())])
+        return pa.array(out, pa.list_(pa.struct([("h", pa.int64()), ("at", pa.int32())])))
+
+    return items.select("_row", F.explode(hashed("_words")).alias("s")).select("_row", F.col("s.at").alias("_at"), "s.h")
+
 
-    return lean(df).select(F.col(f"`{key}`").alias(key), F.explode(hashed(F.col(f"`{text}`").cast("string"))).alias("s")).select(key, "s.*")
+def words_of(text: Column) -> Column:
+    """Runs of ASCII letters and digits, lower-cased, and of characters beyond ASCII; an empty array for null."""
+    return F.regexp_extract_all(ascii_lower(F.coalesce(text.cast("string"), F.lit(""))), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0))
 
 
 def table_of(index: DataFrame, bits: int = TABLE_BITS) -> np.ndarray:
@@ -116,36 +151,48 @@ def table_of(index: DataFrame, bits: int = TABLE_BITS) -> np.ndarray:
 def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, similarity: float = SIMILARITY) -> DataFrame:
     """key, item, matched, at: for each text and item that share a passage, the most equal words in one window and where it starts.
 
-    A passage is `window` consecutive words (the whole item, if it has fewer, but SPAN at least) of which a share of
-    `similarity` or more equal the item's words in the same order and places. Words are ASCII letters and digits in
-    lower case and all other characters beyond ASCII; places beyond a text's ends count as different words. Items of fewer than SPAN words cannot be told from chance and
-    match nothing. Null texts hold nothing; rows without a key are compared and reported under null.
+    A passage is `window` consecutive words (the whole item, if it has fewer) of which a share of `similarity` or more
+    equal the item's words in the same order and places; `at` may lie before the text if the passage's first words are
+    cut off. Words are ASCII letters and digits in lower case and all characters beyond ASCII, compared letter by letter;
+    places beyond a text's ends count as different words. An item of a few words matches wherever these stand, so a
+    benchmark that has such answers as items of their own should be filtered first. Null and empty texts and items hold
+    nothing; rows without a key are compared and reported under null; equal matches give the smallest `at`.
     """
-    items = benchmark.select(F.col(f"`{item}`").alias("_item"), F.col(f"`{item_text}`").cast("string").alias("_text"))
-    index = seeds(items, "_item", "_text", window).select("_item", "h", F.col("at").alias("_at"), F.col("near").alias("_near")).distinct()
-    found = seeds(docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_t")), "_key", "_t", window, table_of(index))
+    reach, wide = window - 1, SPAN + 2 * (window - 1)
+    items = benchmark.select(F.col(f"`{item}`").alias("_item"), words_of(F.col(f"`{item_text}`")).alias("_words")).where(F.size("_words") > 0)
+    items = written(items.distinct().withColumn("_row", F.monotonically_increasing_id()), "items")
+    index = item_seeds(items)
+    lengths = [r.n for r in items.select(F.size("_words").alias("n")).where(F.col("n") < SPAN).distinct().collect()]  # SPAN rows at most
+    found = seeds(docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_t")), ["_key"], "_t", _masks(lengths), reach, table_of(index))
 
     @F.arrow_udf("struct<matched:int,start:int>")
-    def verified(a: pa.Array, b: pa.Array) -> pa.Array:
-        if not len(a):
+    def verified(near: pa.Array, own: pa.Array, lead: pa.Array) -> pa.Array:
+        """near: `wide` words of the text, null beyond its ends; own: the item's, of which `lead` stand before the seed."""
+        n = len(near)
+        if not n:
             return pa.StructArray.from_arrays([pa.array([], pa.int32())] * 2, names=["matched", "start"])
-        wide = SPAN + 2 * (window - 1)
-        x, y = (c.flatten().to_numpy().reshape(-1, wide) for c in (a, b))
-        there = y >= 0
-        equal = np.cumsum(np.pad((x == y) & there, ((0, 0), (1, 0))), axis=1)
-        size = np.minimum(window, there.sum(1))
-        matched, start = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
+        size = own.value_lengths().to_numpy().astype(np.int64)
+        row = np.repeat(np.arange(n), size)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(reach - lead.to_numpy(), size)
+        same = pc.equal(near.flatten().take(pa.array(row * wide + place)), own.flatten())
+        equal, there = np.zeros((n, wide), bool), np.zeros((n, wide), bool)
+        there[row, place] = True
+        equal[row, place] = pc.fill_null(same, False).to_numpy(zero_copy_only=False)
+        sums = np.cumsum(np.pad(equal, ((0, 0), (1, 0))), axis=1)
+        most = np.minimum(window, size)
+        matched, start = np.zeros(n, np.int64), np.zeros(n, np.int64)
         low = there.argmax(1)
-        high = wide - there[:, ::-1].argmax(1)
         for at in range(wide):
-            stop = np.minimum(at + size, wide)
-            got = np.where((at >= low) & (at + size <= high), equal[np.arange(len(x)), stop] - equal[:, at], -1)
+            stop = np.minimum(at + most, wide)
+            got = np.where((at >= low) & (at + most <= low + size), sums[np.arange(n), stop] - sums[:, at], -1)
             better = got > matched
             matched[better], start[better] = got[better], at
-        enough = (there.sum(1) >= SPAN) & (matched >= np.ceil(similarity * size - 1e-9))
-        return pa.StructArray.from_arrays([pa.array(np.where(enough, matched, 0), pa.int32()), pa.array(start - (window - 1), pa.int32())], names=["matched", "start"])
+        enough = matched >= np.ceil(similarity * most - 1e-9)
+        return pa.StructArray.from_arrays([pa.array(np.where(enough, matched, 0), pa.int32()), pa.array(start - reach, pa.int32())], names=["matched", "start"])
 
-    met = found.join(index, "h").select("_key", "_item", "at", verified("near", "_near").alias("v")).where("v.matched > 0")
+    lead = F.least(F.col("_at"), F.lit(reach))
+    around = F.slice("_words", F.col("_at") - lead + 1, lead + SPAN + reach)
+    met = found.join(index, "h").join(items, "_row").select("_key", "_item", "at", verified("near", around, lead).alias("v")).where("v.matched > 0")
     best = met.groupBy("_key", "_item").agg(F.max(F.struct(F.col("v.matched").alias("matched"), (-(F.col("at") + F.col("v.start"))).alias("back"))).alias("b"))
     return best.select(F.col("_key").alias(key), F.col("_item").alias(item), F.col("b.matched").alias("matched"), (-F.col("b.back")).alias("at"))
 
@@ -158,11 +205,10 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_sql() -> str:
     """The same by brute force in DuckDB: equal words on a diagonal, counted for every window of the item."""
-    least = -(-int(SPAN * SIMILARITY * 10) // 10)
     split = lambda t: f"regexp_extract_all(translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
     return f"""WITH d AS (SELECT doc_id, unnest(range(len(ws))) AS p, unnest(ws) AS w FROM (SELECT doc_id, {split("text")} AS ws FROM documents)),
-b AS (SELECT item_id, len(ws) AS n, unnest(range(len(ws))) AS q, unnest(ws) AS w FROM (SELECT item_id, {split("text")} AS ws FROM benchmark) WHERE len(ws) >= {SPAN}),
-met AS (SELECT doc_id, item_id, p - q AS diagonal, n, list(q) AS qs FROM d JOIN b USING (w) GROUP BY ALL HAVING count(*) >= {least}),
+b AS (SELECT item_id, len(ws) AS n, unnest(range(len(ws))) AS q, unnest(ws) AS w FROM (SELECT item_id, {split("text")} AS ws FROM benchmark)),
+met AS (SELECT doc_id, item_id, p - q AS diagonal, n, list(q) AS qs FROM d JOIN b USING (w) GROUP BY ALL HAVING count(*) >= ceil({SIMILARITY} * least({WINDOW}, n) - 1e-9)),
 counted AS (SELECT doc_id, item_id, diagonal, n, s, count(*) AS matched
   FROM (SELECT doc_id, item_id, diagonal, n, unnest(qs) AS q FROM met), (SELECT unnest(range(-{WINDOW - 1}, 1)) AS back) o, LATERAL (SELECT q + back AS s)
   WHERE s >= 0 AND s + least({WINDOW}, n) <= n AND q < s + least({WINDOW}, n) GROUP BY ALL),

@@ -1,12 +1,13 @@
 """Language identification by segmentation-marginalised unigrams.
 
 Every language has a probability for each piece of a fixed public vocabulary. A word's likelihood is the sum, over all
-of its segmentations into pieces, of the products of their probabilities; a forward pass over byte positions gives it.
-A text's likelihood is the product over its words. Piece probabilities are learned by expectation maximisation
-(forward-backward over the same lattice) from word counts of each language.
+of its segmentations into pieces, of the products of their probabilities; a forward pass over byte positions gives it,
+scaled as it goes, so that words of any length are taken whole. A text's likelihood is the product over its words. Piece
+probabilities are learned by expectation maximisation: Spark tasks run the forward and the backward pass over the
+different words of each language, and Spark adds up the expected counts.
 
-Letters only are scored: white space, ASCII digits and symbols separate words. Words longer than `_WORD` bytes are
-scored in runs of that many bytes, so that no text is cut short and no product underflows.
+Letters only are scored: white space, ASCII digits and symbols separate words. Pieces are the vocabulary's, without
+white space around them and with A-Z in lower case, like the words; letters beyond ASCII keep their case.
 """
 
 from __future__ import annotations
@@ -17,63 +18,79 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Spans, chunks, crc_mod, fresh, lean, separators, span_hashes, tidy, words
+from .common import chunks, crc_mod, distinct, fresh, lean, mixed, separators, tidy, words, written
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-SAMPLE = 4000  # texts of each language that are learned from, about
-LANGUAGES = 1000  # most frequent ones, at most: the width of the model that every worker holds
-LEXICON = 30_000  # most frequent words of each language that EM sees
+SAMPLE = 4000  # different texts of each language that are learned from, about
 ROUNDS = 4
 
-_WORD = 24
-_LONGEST = 10  # bytes of a piece
-_BLOCK = 8192  # spans scored together
+_BYTES = 1 << 16  # of words whose lattices are walked together; a longer word is walked alone
+_CELLS = 1 << 20  # sums held while walking
+_SCALED = 16  # places between two scalings
 _FLOOR = 1e-9
+_TINY = 1e-300
+_SLICE = 4096  # pieces whose expected counts travel in a row
 _LETTERS = separators("symbol")
 _LETTERS[48:58] = True
 
 
 class Pieces:
-    """Pieces of the vocabulary file, by the hash of their bytes; every single byte is one, so every word can be cut up."""
+    """The pieces of the vocabulary file as a trie; every single byte is a piece, so every word can be cut up."""
 
     def __init__(self, path: str):
         with open(path, "rb") as f:
-            found = {base64.b64decode(line.split()[0]) for line in f}
-        found = {x.strip().lower() for x in found}
-        kept = sorted({x for x in found if 0 < len(x) <= _LONGEST} | {bytes([i]) for i in range(256)})
-        ends = np.cumsum([len(x) for x in kept])
-        h = span_hashes(np.frombuffer(b"".join(kept), np.uint8), ends - [len(x) for x in kept], ends)
-        self.order = np.argsort(h)
-        self.hash = h[self.order]
-        self.number = len(kept)
-        self.length = np.array([len(x) for x in kept])
-        # A table by the leading bits, so that a lookup starts next to its place.
-        self.start = np.searchsorted(self.hash, np.arange(1 << 20, dtype=np.uint64) << np.uint64(44)).astype(np.int32)
-        self.reach = int(np.diff(np.append(self.start, len(self.hash))).max())
-
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """Number of the piece with each hash, or -1."""
-        at, out = self.start[h >> np.uint64(44)], np.full(len(h), -1, np.int32)
+            found = {base64.b64decode(line.split()[0]).strip().lower() for line in f}
+        self.names = sorted((found - {b""}) | {bytes([i]) for i in range(256)})
+        self.number = len(self.names)
+        self.length = np.array([len(x) for x in self.names])
+        self.longest = int(self.length.max())
+        child, piece = {}, [-1]
+        for i, name in enumerate(self.names):
+            node = 0
+            for b in name:
+                node = child.setdefault(node << 8 | b, len(piece))
+                if node == len(piece):
+                    piece.append(-1)
+            piece[node] = i
+        self.piece = np.array(piece, np.int32)
+        keys = np.fromiter(child, np.int64, len(child))
+        order = np.argsort(mixed(keys.view(np.uint64)))
+        self.key, self.child = keys[order], np.fromiter(child.values(), np.int32, len(child))[order]
+        # Where to look by the leading bits of a key's hash; exact keys are compared from there on.
+        bounds = np.searchsorted(mixed(self.key.view(np.uint64)), np.arange(1 << 18, dtype=np.uint64) << np.uint64(46))
+        self.start = bounds.astype(np.int32)
+        self.reach = int(np.diff(np.append(bounds, len(self.key))).max())
+        self.root = self.next(np.zeros(256, np.int32), np.arange(256, dtype=np.uint8))
+
+    def next(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """The child of each node by a byte, -1 without one."""
+        key = node.astype(np.int64) << 8 | byte
+        at, out = self.start[mixed(key.view(np.uint64)) >> np.uint64(46)], np.full(len(key), -1, np.int32)
         for k in range(self.reach):
-            i = np.minimum(at + k, len(self.hash) - 1)
-            hit = self.hash[i] == h
-            out[hit] = self.order[i[hit]]
+            i = np.minimum(at + k, len(self.key) - 1)
+            hit = self.key[i] == key
+            out[hit] = self.child[i[hit]]
         return out
 
-    def lattice(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """End position, piece length, the words that reach the position, and the number of their piece that ends there."""
-        size, spans = ends - starts, Spans(buf)
-        for end in range(1, int(size.max(initial=0)) + 1):
-            rows = np.flatnonzero(size >= end)
-            for n in range(1, min(end, _LONGEST) + 1):
-                stop = starts[rows] + end
-                piece = self.find(spans(stop - n, stop))
-                hit = piece >= 0
-                yield end, n, rows[hit], piece[hit]
+    def lattice(self, buf: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Word, start, end and piece of every piece in words that stand one after the other in buf."""
+        word = np.repeat(np.arange(len(size)), size)
+        place = np.arange(len(buf)) - np.repeat(np.cumsum(size) - size, size)
+        at, node, n, found = np.arange(len(buf)), self.root[buf], 1, []
+        while len(at):
+            ends = self.piece[node] >= 0
+            own = at[ends]
+            found.append((word[own], place[own], place[own] + n, self.piece[node[ends]]))
+            more = place[at] + n < size[word[at]]
+            at, node = at[more], node[more]
+            node = self.next(node, buf[at + n])
+            at, node, n = at[node >= 0], node[node >= 0], n + 1
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 4
 
 
 @lru_cache(2)
@@ -85,70 +102,112 @@ def _resolved(path: str | None) -> str:
     return path or public_tokenizers.path(VOCABULARY)
 
 
-def _runs(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words cut into runs of _WORD bytes at most; the place of each word's first run."""
-    each = -(-(ends - starts) // _WORD)
-    first = np.cumsum(each) - each
-    at = np.repeat(starts, each) + _WORD * (np.arange(int(each.sum())) - np.repeat(first, each))
-    return at, np.minimum(at + _WORD, np.repeat(ends, each)), first
-
-
-def _gathered(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of the spans one after the other, and where each ends."""
-    size = ends - starts
-    stops = np.cumsum(size)
-    return buf[np.arange(int(size.sum())) + np.repeat(starts - stops + size, size)], stops
-
-
-def forward(voc: Pieces, prob: np.ndarray, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Likelihood of each span (of _WORD bytes at most, in order) under each language; prob: pieces x languages."""
-    out = np.zeros((len(starts), prob.shape[1]))
-    for k in range(0, len(starts), _BLOCK):
-        low, high = starts[k : k + _BLOCK], ends[k : k + _BLOCK]
-        alpha = np.zeros((_WORD + 1, len(low), prob.shape[1]))
-        alpha[0] = 1
-        span = buf[low[0] : high[-1]]
-        for end, n, rows, piece in voc.lattice(span, low - low[0], high - low[0]):
-            alpha[end, rows] += alpha[end - n, rows] * prob[piece]
-        out[k : k + _BLOCK] = alpha[high - low, np.arange(len(low))]
+def _blocks(found: pa.Array, rows: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Words by length in blocks of about _BYTES bytes and `rows` words at most: their places in found, bytes and sizes."""
+    size = pc.binary_length(found).to_numpy().astype(np.int64)
+    order = np.argsort(size, kind="stable")
+    total = np.cumsum(size[order])
+    first = int(np.searchsorted(size[order], 1))  # empty words have a likelihood of one
+    while first < len(order):
+        end = int(np.searchsorted(total, (total[first - 1] if first else 0) + _BYTES, side="right"))
+        at = order[first : min(max(end, first + 1), first + rows)]
+        yield at, np.frombuffer(b"".join(found.take(pa.array(at)).to_pylist()), np.uint8), size[at]
+        first += len(at)
+
+
+def _sums(lattice: tuple, size: np.ndarray, prob: np.ndarray, longest: int, every: bool = False) -> np.ndarray:
+    """Log of the sum over all segmentations, for words in order of their sizes; one column for each column of prob.
+
+    every: for each place of each word, from 0 to its size, the same of the word's bytes before it.
+    """
+    word, start, end, piece = lattice
+    order = np.argsort(start, kind="stable")
+    word, start, end, piece = word[order], start[order], end[order], piece[order]
+    n, k, most, ring = len(size), prob.shape[1], int(size[-1]), longest + 1
+    sums, scale = np.zeros((ring, n, k)), np.zeros((n, k))
+    sums[0] = 1
+    first, left = np.searchsorted(start, np.arange(most + 2)), np.searchsorted(size, np.arange(most + 2))
+    own = np.cumsum(size + 1) - size - 1
+    out = np.empty((int((size + 1).sum()) if every else n, k))
+    for s in range(most + 1):
+        low, after, now = left[s], left[s + 1], sums[s % ring]
+        if s % _SCALED == 0 and s and after < n:
+            top = np.maximum(sums[:, after:].max(0), _TINY)
+            sums[:, after:] /= top
+            scale[after:] += np.log(top)
+        if every:
+            out[own[low:] + s] = np.log(np.maximum(now[low:], _TINY)) + scale[low:]
+        elif after > low:
+            out[low:after] = np.log(np.maximum(now[low:after], _TINY)) + scale[low:after]
+        here = slice(first[s], first[s + 1])
+        rows = word[here]
+        sums[end[here] % ring, rows] += now[rows] * prob[piece[here]]
+        now[:] = 0
+    return out
+
+
+def forward(voc: Pieces, prob: np.ndarray, found: pa.Array) -> np.ndarray:
+    """Log likelihood of each word under each language; prob: pieces x languages."""
+    out = np.zeros((len(found), prob.shape[1]))
+    for at, buf, size in _blocks(found, max(1, _CELLS // ((voc.longest + 1) * max(1, prob.shape[1])))):
+        out[at] = _sums(voc.lattice(buf, size), size, prob, voc.longest)
+    return out
+
+
+def expected(voc: Pieces, prob: np.ndarray, found: pa.Array, count: np.ndarray) -> np.ndarray:
+    """How often each piece is expected in the words, of which each occurs `count` times; prob: one for each piece."""
+    out, log_prob = np.zeros(voc.number), np.log(prob)
+    for at, buf, size in _blocks(found, max(1, _CELLS // (voc.longest + 1))):
+        word, start, end, piece = voc.lattice(buf, size)
+        before = _sums((word, start, end, piece), size, prob[:, None], voc.longest, every=True)[:, 0]
+        after = _sums((word, size[word] - end, size[word] - start, piece), size, prob[:, None], voc.longest, every=True)[:, 0]
+        own = np.cumsum(size + 1) - size - 1
+        share = np.exp(before[own[word] + start] + log_prob[piece] + after[own[word] + size[word] - end] - before[own + size][word])
+        out += np.bincount(piece, share * count[at][word], voc.number)
     return out
 
 
-def learn(voc: Pieces, lexicon: dict[str, dict[bytes, int]], rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
-    """Languages, and piece probabilities (pieces x languages), from each language's word counts."""
-    langs = sorted(lexicon)
-    prob = np.zeros((voc.number, len(langs)))
-    for k, lang in enumerate(langs):
-        raw = b"".join(lexicon[lang])
-        stop = np.cumsum([len(w) for w in lexicon[lang]])
-        starts, ends, first = _runs(stop - [len(w) for w in lexicon[lang]], stop)
-        weight = np.repeat(np.array([*lexicon[lang].values()], float), np.diff(np.append(first, len(starts))))
-        buf = np.frombuffer(raw, np.uint8)
-        steps = [*voc.lattice(buf, starts, ends)]
-        p = np.exp(-1.0 * voc.length)
-        p /= p.sum()
-        for _ in range(rounds):
-            alpha, beta = np.zeros((_WORD + 1, len(starts))), np.zeros((_WORD + 1, len(starts)))
-            alpha[0] = 1
-            for end, n, rows, piece in steps:
-                alpha[end, rows] += alpha[end - n, rows] * p[piece]
-            beta[ends - starts, np.arange(len(starts))] = 1
-            for end, n, rows, piece in reversed(steps):
-                beta[end - n, rows] += beta[end, rows] * p[piece]
-            expected = np.full(voc.number, 0.01)
-            for end, n, rows, piece in steps:
-                share = alpha[end - n, rows] * p[piece] * beta[end, rows] / beta[0, rows]
-                expected += np.bincount(piece, share * weight[rows], voc.number)
-            p = np.maximum(expected / expected.sum(), _FLOOR)
-        prob[:, k] = p
+def learn(counts: DataFrame, rounds: int = ROUNDS, path: str | None = None) -> tuple[list[str], np.ndarray]:
+    """Languages, and piece probabilities (pieces x languages), from a table of lang, word (binary) and count.
+
+    The driver receives one number for each piece and language in a round, which is the size of the model.
+    """
+    spark, number = counts.sparkSession, pieces(_resolved(path)).number
+    langs = sorted(r.lang for r in counts.select("lang").distinct().collect())  # as many as the model has columns
+    start = np.exp(-1.0 * pieces(_resolved(path)).length)
+    prob = np.repeat((start / start.sum())[:, None], len(langs), axis=1)
+
+    def added(table: pa.Table) -> pa.Table:
+        total = np.sum([np.frombuffer(x, np.float64) for x in table.column("expected").to_pylist()], axis=0)
+        return pa.table({"lang": table.column("lang").slice(0, 1), "slice": table.column("slice").slice(0, 1), "expected": pa.array([total.tobytes()], pa.binary())})
+
+    for _ in range(rounds if langs else 0):
+        shared = spark.sparkContext.broadcast(prob)
+
+        @tidy
+        def counted(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            voc, total = pieces(_resolved(path)), {}
+            for batch in batches:
+                own = batch.column(0).to_pylist()
+                for lang in set(own):
+                    at = np.flatnonzero(np.array([x == lang for x in own]))
+                    found = expected(voc, shared.value[:, langs.index(lang)], batch.column(1).take(pa.array(at)), batch.column(2).to_numpy()[at])
+                    total[lang] = total.get(lang, 0) + found
+            for lang, found in total.items():
+                parts = [found[k : k + _SLICE].tobytes() for k in range(0, number, _SLICE)]
+                yield pa.record_batch([pa.array([lang] * len(parts)), pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["lang", "slice", "expected"])
+
+        kind = "lang string, slice int, expected binary"
+        for row in counts.mapInArrow(counted, kind).groupBy("lang", "slice").applyInArrow(added, kind).toLocalIterator():
+            part = np.frombuffer(bytes(row.expected), np.float64)
+            prob[row.slice * _SLICE : row.slice * _SLICE + len(part), langs.index(row.lang)] = part + 0.01
+        prob = np.maximum(prob / prob.sum(0), _FLOOR)
+        shared.unpersist()
     return langs, prob
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE, lexicon: int = LEXICON, path: str | None = None) -> tuple[list[str], np.ndarray]:
-    """Learns from about `sample` texts of each language, chosen by a hash of the key, and from LANGUAGES languages at most; rows without text or lang are left out."""
-    known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(lang).alias("lang"), F.col(text).alias("t"))
-    share = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select(F.col("lang").alias("l"), (F.least(F.lit(1.0), sample / F.col("count")) * 1_000_000).alias("cut"))
-    chosen = known.join(F.broadcast(share), F.col("lang") == F.col("l")).where(F.pmod(F.xxhash64("k"), F.lit(1_000_000)) < F.col("cut"))
+def word_counts(docs: DataFrame, lang: str, text: str) -> DataFrame:
+    """lang, word (binary), count: how often each word occurs in the texts of each language."""
 
     @tidy
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,21 +215,38 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
             langs = batch.column(0)
             for first, end, buf, offsets in chunks(batch.column(1)):
                 starts, ends, before = words(buf, offsets, _LETTERS)
-                raw, of = buf.tobytes(), np.repeat(np.arange(first, end), np.diff(before))
-                yield pa.record_batch([langs.take(pa.array(of)), pa.array([raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], pa.binary())], names=["lang", "word"])
+                found, at = distinct(buf, starts, ends)
+                names = langs.slice(first, end - first).dictionary_encode()
+                own = np.repeat(names.indices.to_numpy().astype(np.int64), np.diff(before))
+                pair, n = np.unique(own * max(1, len(found)) + at, return_counts=True)
+                yield pa.record_batch(
+                    [names.dictionary.take(pa.array(pair // max(1, len(found)))), found.take(pa.array(pair % max(1, len(found)))).cast(pa.binary()), pa.array(n)], names=["lang", "word", "n"]
+                )
 
-    counts = chosen.select("lang", "t").mapInArrow(counted, "lang string, word binary").groupBy("lang", "word").count()
-    best = counts.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))).where(F.col("r") <= lexicon)
-    by_lang: dict[str, dict[bytes, int]] = {}
-    for row in best.select("lang", "word", "count").orderBy("lang", "r").toLocalIterator():
-        by_lang.setdefault(row.lang, {})[bytes(row.word)] = row["count"]
-    return learn(pieces(_resolved(path)), by_lang)
+    rows = lean(docs).select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").cast("string").alias("t"))
+    return rows.mapInArrow(counted, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("count"))
+
+
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE, rounds: int = ROUNDS, path: str | None = None) -> tuple[list[str], np.ndarray]:
+    """Learns from about `sample` different texts of each language, all if there are fewer, and from all of their words.
+
+    Texts are chosen by a hash of themselves, so that neither a key that repeats nor copies of one text are chosen
+    together; equal texts of a language count once. Rows without text or lang are left out.
+    """
+    h = F.xxhash64("t")
+    known = docs.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").cast("string").alias("t")).dropna()
+    sizes = known.groupBy("lang").agg(F.approx_count_distinct(h, 0.02).alias("n")).collect()  # one row for each column of the model
+    share = F.create_map(*[F.lit(x) for r in sizes for x in (r.lang, min(1.0, sample / max(1, r.n)))]) if sizes else F.create_map().cast("map<string,double>")
+    chosen = known.where(F.pmod(h, F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * (1 << 30))
+    counts = word_counts(chosen.dropDuplicates(["lang", "t"]), "lang", "t")
+    return learn(written(counts, "lexicon"), rounds, path)
 
 
 def predict(df: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", path: str | None = None) -> DataFrame:
     """Adds lang_pred and score, the probability of lang_pred among the languages with equal priors.
 
-    A text that is null or has no letter, and any text where no language was learned, is `und` with score 0.
+    A text that is null or has no letter, and any text where no language was learned, is `und` with score 0. Among
+    languages that are equally likely the first by name is predicted. Columns already named so are replaced.
     """
     langs = model[0]
     shared = df.sparkSession.sparkContext.broadcast(np.ascontiguousarray(model[1]))
@@ -185,10 +261,8 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray], text: str = "tex
                 starts, ends, before = words(buf, offsets, _LETTERS)
                 total = np.zeros((end - first, max(1, len(langs))))
                 if len(starts) and langs:
-                    _, one, at = np.unique(span_hashes(buf, starts, ends), return_index=True, return_inverse=True)
-                    own, stops = _gathered(buf, starts[one], ends[one])
-                    low, high, runs = _runs(stops - (ends - starts)[one], stops)
-                    likely = np.add.reduceat(np.log(np.maximum(forward(voc, prob, own, low, high), 1e-300)), runs, axis=0)
+                    found, at = distinct(buf, starts, ends)
+                    likely = forward(voc, prob, found)
                     doc = np.repeat(np.arange(end - first), np.diff(before))
                     for k in range(len(langs)):
                         total[:, k] = np.bincount(doc, likely[at, k], end - first)
@@ -210,6 +284,11 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray], text: str = "tex
 
 
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicts every document's language; learns from three quarters of the documents, by crc32 of doc_id.
+
+    Null texts and texts without a letter are `und`; without any labelled text all are. Rows that share a doc_id, or
+    have none, are judged one by one.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     held_out = crc_mod("doc_id", 4) == 2
     model = fit(docs.where(~held_out))

@@ -65,12 +65,18 @@ def empty_folder(tmp_path_factory, empty):
 # Shared pieces
 
 
-def test_hashes_are_the_same_across_periods_and_texts():
-    buf = np.frombuffer(b"hello world " * 200_000, np.uint8)
+def test_words_are_told_apart_by_their_bytes():
+    one = "0"
+    for _ in range(10):
+        one += one.translate(str.maketrans("01", "10"))
+    one = one.translate(str.maketrans("01", "ab"))
+    two = one.translate(str.maketrans("ab", "ba"))  # a polynomial modulo a power of two hashes both alike
+    buf = np.frombuffer(f"{one} {two} {one}".encode(), np.uint8)
     starts, ends, _ = common.words(buf, np.array([0, len(buf)]), common.separators("space"))
-    assert len(np.unique(common.span_hashes(buf, starts, ends))) == 2
-    alone = np.frombuffer(b"hello", np.uint8)
-    assert common.span_hashes(alone, np.array([0]), np.array([5]))[0] in common.span_hashes(buf, starts[:2], ends[:2])
+    found, at = common.distinct(buf, starts, ends)
+    assert found.to_pylist() == [one.encode(), two.encode()] and at.tolist() == [0, 1, 0]
+    h = common.span_hashes(buf, starts, ends)
+    assert h[0] == h[2] == xxhash.xxh64_intdigest(one) != h[1]
 
 
 def test_components_of_a_path_a_star_and_a_pair(spark):
@@ -187,23 +193,72 @@ def test_language_model_of_nothing(spark, empty_folder):
 # 3: language ID
 
 
-def test_forward_sums_all_segmentations():
-    voc = langid.pieces(public_tokenizers.path(langid.VOCABULARY))
+def brute_sum(voc, prob, word):
+    """Sum over all segmentations, by its first piece."""
+    known = {name: prob[i] for i, name in enumerate(voc.names)}
+    after = [np.zeros(prob.shape[1]) for _ in range(len(word))] + [np.ones(prob.shape[1])]
+    for i in range(len(word) - 1, -1, -1):
+        after[i] = sum(known[word[i:j]] * after[j] for j in range(i + 1, len(word) + 1) if word[i:j] in known)
+    return after[0]
+
+
+@pytest.fixture(scope="module")
+def voc():
+    return langid.pieces(public_tokenizers.path(langid.VOCABULARY))
+
+
+def test_forward_sums_all_segmentations(voc):
     prob = np.random.default_rng(1).random((voc.number, 2)) * 0.01
-    word = np.frombuffer("forêt".encode(), np.uint8)
-    known = {}
-    for i, j in itertools.combinations(range(len(word) + 1), 2):
-        piece = voc.find(common.span_hashes(word, np.array([i]), np.array([j])))[0]
-        if j - i <= langid._LONGEST and piece >= 0:
-            known[i, j] = prob[piece]
-    total = np.zeros(2)
+    known = {name: prob[i] for i, name in enumerate(voc.names)}
+    word, total = "forêt".encode(), np.zeros(2)
     for n in range(len(word)):
         for cuts in itertools.combinations(range(1, len(word)), n):
             marks = [0, *cuts, len(word)]
-            if all((a, b) in known for a, b in zip(marks, marks[1:], strict=False)):
-                total += np.prod([known[a, b] for a, b in zip(marks, marks[1:], strict=False)], axis=0)
-    got = langid.forward(voc, prob, word, np.array([0]), np.array([len(word)]))[0]
-    assert got == pytest.approx(total)
+            own = [word[a:b] for a, b in itertools.pairwise(marks)]
+            if all(x in known for x in own):
+                total += np.prod([known[x] for x in own], axis=0)
+    words = [word, b"", b"a", b"x" * 200, max(voc.names, key=len), "日本語の文には空白がない".encode() * 5, b"internationalization" * 4]
+    got = langid.forward(voc, prob, common.pa.array(words, common.pa.large_binary()))
+    assert np.exp(got[0]) == pytest.approx(total)
+    for k, w in enumerate(words):
+        assert got[k] == pytest.approx(np.log(brute_sum(voc, prob, w))), w
+    long = b"abcdefghij" * 3000
+    ten, many = langid.forward(voc, prob, common.pa.array([long[:30000], long[:15000]], common.pa.large_binary()))
+    assert np.isfinite(ten).all() and ten == pytest.approx(2 * many, rel=0.01)
+
+
+def test_expected_counts_are_those_of_all_segmentations(voc):
+    prob = np.random.default_rng(2).random(voc.number) * 0.01
+    words, count = [b"the", b"there", "été".encode(), b"q" * 40], np.array([3, 1, 2, 5])
+    want = np.zeros(voc.number)
+    for w, n in zip(words, count, strict=True):
+        whole = brute_sum(voc, prob[:, None], w)[0]
+        for i, j in itertools.combinations(range(len(w) + 1), 2):
+            if w[i:j] in set(voc.names[k] for k in (np.searchsorted(np.array(voc.names, object), w[i:j]),) if k < voc.number):
+                k = voc.names.index(w[i:j])
+                parts = [brute_sum(voc, prob[:, None], x)[0] if x else 1.0 for x in (w[:i], w[j:])]
+                want[k] += n * parts[0] * prob[k] * parts[1] / whole
+    assert langid.expected(voc, prob, common.pa.array(words, common.pa.large_binary()), count) == pytest.approx(want)
+
+
+def test_learning_is_that_of_one_process(spark, voc):
+    counts = [("en", b"the", 5), ("en", b"there", 2), ("fr", b"le", 4), ("fr", "forêt".encode(), 1)]
+    langs, got = langid.learn(spark.createDataFrame(counts, "lang string, word binary, count long").repartition(3), rounds=2)
+    assert langs == ["en", "fr"]
+    for k, lang in enumerate(langs):
+        own = [(w, n) for x, w, n in counts if x == lang]
+        p = np.exp(-1.0 * voc.length)
+        p /= p.sum()
+        for _ in range(2):
+            p = langid.expected(voc, p, common.pa.array([w for w, _ in own], common.pa.large_binary()), np.array([n for _, n in own])) + 0.01
+            p = np.maximum(p / p.sum(), langid._FLOOR)
+        assert got[:, k] == pytest.approx(p)
+
+
+def test_sample_is_bounded_by_different_texts(spark):
+    rows = [("same text here", "en", None)] * 500 + [(f"texte numero {i} {'abc'[i % 3]}", "fr", None) for i in range(30)] + [("ein wort", "de", 1)]
+    df = spark.createDataFrame(rows, "text string, lang string, doc_id long")
+    assert langid.fit(df, sample=5)[0] == ["de", "en", "fr"]
 
 
 def test_languages_of_held_out_texts(spark, folder, empty_folder):
@@ -311,25 +366,21 @@ def test_filter_lets_all_listed_keys_pass_whatever_its_size(spark):
 # 7: decontamination
 
 
-def test_masks_find_every_window_with_two_substitutions():
-    n = decontaminate.WINDOW
-    for r in range(3):
-        for wrong in itertools.combinations(range(n), r):
-            assert any(all(s + o not in wrong for o in m) for m in decontaminate.MASKS for s in range(n - decontaminate.SPAN + 1))
-
-
-def test_masks_find_short_items_with_every_allowed_substitution():
-    for n in range(decontaminate.SPAN, decontaminate.WINDOW + 1):
+def test_seeds_find_items_of_every_length_with_every_allowed_substitution():
+    for n in range(1, decontaminate.WINDOW + 1):
+        if n < decontaminate.SPAN:
+            masks = [[range(a, a + k)] for a, k in decontaminate.short_seeds(n)]
+        else:
+            masks = [[[s + o for o in m] for s in range(n - m[-1])] for m in decontaminate.MASKS]
         for r in range(n - math.ceil(n * decontaminate.SIMILARITY - 1e-9) + 1):
             for wrong in itertools.combinations(range(n), r):
-                assert any(all(s + o not in wrong for o in m) for m in decontaminate.MASKS for s in range(n - m[-1])), (n, wrong)
+                assert any(not set(seed) & set(wrong) for m in masks for seed in m), (n, wrong)
 
 
-def test_short_items_with_substitutions_are_those_of_the_sql(spark):
+def test_items_with_substitutions_are_those_of_the_sql(spark):
     noise = " ".join(f"n{i}" for i in range(30))
-    seven = " ".join(f"i7x{i}" for i in range(7))
-    bench, docs = [(7, seven)], [("seven", seven)]
-    for n in range(8, 12):
+    bench, docs = [], []
+    for n in range(1, 14):
         item = [f"i{n}x{i}" for i in range(n)]
         bench.append((n, " ".join(item)))
         for i, j in itertools.combinations_with_replacement(range(n), 2):
@@ -342,7 +393,7 @@ def test_short_items_with_substitutions_are_those_of_the_sql(spark):
     con.register("benchmark", bench.toArrow())
     want = set(con.sql(decontaminate.op7_sql()).select(*[f'"{c}"' for c in ("doc_id", "item_id", "matched", "at")]).fetchall())
     assert {tuple(r) for r in decontaminate.overlaps(docs, bench).select("doc_id", "item_id", "matched", "at").collect()} == want
-    assert {"8 0 0", "8 7 7 within", "10 1 7", "11 1 9", "8 cut", "9 end"} <= {r[0] for r in want} and "seven" not in {r[0] for r in want}
+    assert {"5 0 0", "7 4 4 within", "8 0 0", "8 7 7 within", "10 1 7", "11 1 9", "8 cut", "9 end"} <= {r[0] for r in want} and "4 1 1" not in {r[0] for r in want}
 
 
 def test_passages_with_substitutions_are_found(spark):
@@ -354,7 +405,7 @@ def test_passages_with_substitutions_are_found(spark):
     docs = spark.createDataFrame([*texts.items(), (1, texts[1])], "doc_id long, text string")
     bench = spark.createDataFrame([(0, item), (1, item), (2, None), (3, "short item"), (4, " ".join(f"s{i}" for i in range(9)))], "item_id long, text string")
     got = {(r.doc_id, r.item_id): r for r in decontaminate.overlaps(docs, bench).collect()}
-    assert set(got) == {(d, i) for d in (1, 2, 3, 7, 8) for i in (0, 1)}
+    assert set(got) == {(d, i) for d in (1, 2, 3, 7, 8) for i in (0, 1)}  # nobody has the short items
     assert got[1, 0].matched == 13 and got[1, 0].at == 200 and got[2, 0].matched == 11
     assert decontaminate.overlaps(docs.limit(0), bench).count() == 0 and decontaminate.overlaps(docs, bench.limit(0)).count() == 0
 
