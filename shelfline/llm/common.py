@@ -19,14 +19,25 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _CHUNK = 2 << 20
 
 
-def written(df: DataFrame, name: str = "part") -> DataFrame:
+def written(df: DataFrame, name: str = "part", **options) -> DataFrame:
     """df as a table in the folder of spark.checkpoint.dir, so that later steps neither compute it again nor need its executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(df: DataFrame, name: str, **options) -> DataFrame:
+    """written(), after which the shuffle files that df took are removed."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, "false")
+    conf.set(key, "true")
+    try:
+        return written(df, name, **options)
+    finally:
+        conf.set(key, before)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir. A folder of our own only where it names none and all tasks run
     in this one process, as in tests; a cluster without one is an error, as its machines would not see each other's files.
@@ -148,12 +159,13 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 def spelled(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """The bytes of each span; spans may overlap."""
-    size = ends - starts
-    stops = np.cumsum(size)
-    at = np.arange(int(stops[-1]) if len(stops) else 0) + np.repeat(starts - stops + size, size)
-    cuts = np.concatenate([np.zeros(1, np.int64), stops])
-    return pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(buf[at]))])
+    """The bytes of each span; spans are in order and do not overlap."""
+    step = np.zeros(len(buf) + 1, np.int8)
+    step[starts] += 1
+    step[ends] -= 1
+    cuts = np.concatenate([np.zeros(1, np.int64), np.cumsum(ends - starts)])
+    inside = buf[np.cumsum(step[:-1], dtype=np.int8) > 0]
+    return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(cuts), pa.py_buffer(inside)])
 
 
 def distinct(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[pa.Array, np.ndarray]:

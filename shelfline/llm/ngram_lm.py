@@ -1,12 +1,13 @@
-"""Language-model scoring with a log-frequency Bloom filter.
+"""Language-model scoring with log-frequency Bloom filters.
 
-Counts of unigrams and bigrams are quantised to levels 1 + floor(log(c) / log(step)) and an n-gram is entered once for
-each level up to its own. The filter is cut into segments by the leading bits of the n-gram's hash: one Spark task
-builds a segment, so no task sees more than its share, and the driver gathers bytes whose number is fixed by
-`filter_bits` whatever the corpus. A segment whose entries would exceed one per BITS_PER_ENTRY bits leaves its rarest
-classes (bigrams, then unigrams, of count 1, then of 2-3, then of 4-7, ...) to a table. Scoring joins the n-grams of a text
-that may be there with that table by their hashes, so every n-gram keeps its count at any size of the corpus.
-Scoring asks for level 1, 2, ... until a probe misses, takes the count that the last level stands for, and smooths:
+Counts of unigrams and bigrams are quantised to levels 1 + floor(log(c) / log(STEP)), and an n-gram is entered once for
+each level up to its own; who asks for a count probes level after level until a probe misses. There are two filters.
+The n-grams of the highest counts are in one of fixed size that is broadcast: they come up in almost every text. All
+n-grams are in a filter that is cut into segments by the leading bits of their hashes. A Spark task builds a segment, of
+as many bits as its entries need; segments stay in a table, and the n-grams that the broadcast filter doesn't hold are
+asked there: the texts are put into packs, the different n-grams of a pack are dealt to their segments, and the levels
+come back to the pack. So nothing that grows with the corpus is broadcast or passes the driver, no n-gram is left out,
+and the work is the same for every text at any size of the corpus. The probabilities are smoothed:
 
     p(w)     = (c(w) + 1) / (N + V + 1)
     p(w | v) = (c(v w) + mu p(w)) / (c(v) + mu)
@@ -18,27 +19,33 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import chunks, crc_mod, fresh, lean, mixed, separators, span_hashes, tidy, words, written
+from .common import chunks, crc_mod, distinct, fresh, hashes, lean, mixed, separators, settled, tidy, words
 
-FILTER_BITS = 1 << 28  # 32 MB, on the driver and in every Python worker
-BITS_PER_ENTRY = 6
-SEGMENTS = 4096
+FILTER_BITS = 1 << 26  # 8 MB, on the driver and in every Python worker
+BITS_PER_ENTRY = 6  # at least
 PROBES = 4
 STEP = 1.5
 MU = 4.0
-SLICE = 1 << 18  # n-grams, about, that a task holds at once while it builds a segment
-FREQUENT = 100_000  # words whose counts are broadcast at most; all others are joined
+SEGMENTS, SEGMENT = 256, 1 << 19  # segments at least; training tokens in one, about
+LEAST_LEVEL = 6  # of the n-grams in the broadcast filter, at least: counts of 8 and more
+PACK = 1 << 20  # bytes of the texts that ask together
+FREQUENT, FREQUENT_BYTES = 100_000, 4 << 20  # words whose counts are broadcast, and their bytes, at most; all others are joined
 
 _SPACE = separators("space")
 _START, _END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
-_CLASSES = 8  # by log2 of the count, for bigrams and for unigrams; the last holds all larger ones
+_BELOW = 2  # levels below its least one that the broadcast filter also holds, so that few others pass by chance
+_PARTS = 64  # of the broadcast filter, each built by one task
+_LEVELS = 160  # more than a count of 64 bits has
 
 
 def _bigram(v: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -49,61 +56,42 @@ def _unigram(h: np.ndarray) -> np.ndarray:
     return h | np.uint64(1)
 
 
-def _token_hashes(buf: np.ndarray, offsets: np.ndarray) -> tuple:
-    """Starts, ends and hashes of the words; then hashes with an end mark after each text, and each one's predecessor."""
+def _token_hashes(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each text the number of words before it; hashes of the words, with an end mark after each text; each one's predecessor."""
     starts, ends, before = words(buf, offsets, _SPACE)
-    h = span_hashes(buf, starts, ends)
+    found, code = distinct(buf, starts, ends)
+    h = hashes(found)[code] if len(found) else np.zeros(0, np.uint64)
     with_end = np.insert(h, before[1:], _END)
     previous = np.empty_like(with_end)
     previous[1:] = with_end[:-1]
     previous[before[:-1] + np.arange(len(before) - 1)] = _START
-    return starts, ends, h, before, with_end, previous
+    return before, with_end, previous
 
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """word (binary), count: how often each lower-cased white-space word occurs; the end mark is not among them."""
+    """word (binary), count: how often each lower-cased white-space word occurs; the end mark is not among them. Exact."""
 
+    @tidy
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h, n, found = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], []
-            for _, _, buf, offsets in chunks(batch.column(0)):
+            for _, _, buf, offsets in chunks(batch.column(0), 4 << 20):
                 starts, ends, _ = words(buf, offsets, _SPACE)
-                key, first, count = np.unique(span_hashes(buf, starts, ends), return_index=True, return_counts=True)
-                raw = buf.tobytes()
-                found += [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-                h.append(key)
-                n.append(count)
-            _, first, at = np.unique(np.concatenate(h), return_index=True, return_inverse=True)
-            count = np.bincount(at, np.concatenate(n), len(first)).astype(np.int64)
-            yield pa.record_batch([pa.array([found[i] for i in first.tolist()], pa.binary()), pa.array(count)], names=["word", "count"])
+                found, code = distinct(buf, starts, ends)
+                yield pa.record_batch([found.cast(pa.binary()), pa.array(np.bincount(code, minlength=len(found)))], names=["word", "count"])
 
-    return docs.select(F.col(f"`{text}`").cast("string").alias("t")).mapInArrow(counted, "word binary, count long").groupBy("word").agg(F.sum("count").alias("count"))
+    return lean(docs).select(F.col(f"`{text}`").cast("string").alias("t")).mapInArrow(counted, "word binary, count long").groupBy("word").agg(F.sum("count").alias("count"))
 
 
-def ngram_counts(docs: DataFrame, text: str = "text", slices: int = 1) -> DataFrame:
-    """segment, slice, h, count: partial counts of hashed unigrams and bigrams, the end mark included.
-
-    A row holds the sorted hashes of one slice of one segment as packed 64-bit integers, and their counts likewise, so
-    that a shuffle moves few rows. h is even for bigrams.
-    """
-    bits = (SEGMENTS * slices).bit_length() - 1
+def _split(h: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of hashes in order: the segments that they lie in, and where each segment's begin and, last, end."""
+    own = h >> np.uint64(64 - (segments - 1).bit_length())
+    first = np.flatnonzero(np.diff(own, prepend=own[:1] ^ np.uint64(1))) if len(h) else np.zeros(0, np.int64)
+    return own[first].astype(np.int32), np.append(first, len(h))
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
-            for _, _, buf, offsets in chunks(batch.column(0)):
-                *_, tokens, previous = _token_hashes(buf, offsets)
-                starts = np.full(len(offsets) - 1, _START)
-                parts.append(np.unique(np.concatenate([_unigram(tokens), _unigram(starts), _bigram(previous, tokens)]), return_counts=True))
-            h, n = _added(parts)
-            own = h >> np.uint64(64 - bits)
-            first = np.flatnonzero(np.diff(own, prepend=own[:1] ^ np.uint64(1))) if len(h) else np.zeros(0, np.int64)
-            at = np.append(first, len(h)) * 8
-            packed = [pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))]) for x in (h, n)]
-            slot = own[first].astype(np.int64)
-            yield pa.record_batch([pa.array((slot // slices).astype(np.int32)), pa.array((slot % slices).astype(np.int32)), *packed], names=["segment", "slice", "h", "count"])
 
-    return docs.select(F.col(f"`{text}`").cast("string").alias("t")).mapInArrow(counted, "segment int, slice int, h binary, count binary")
+def _packed(x: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """The stretches of x between the cuts as binaries."""
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * x.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))])
 
 
 def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -115,275 +103,303 @@ def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return h[first], np.add.reduceat(n, first) if len(h) else n
 
 
-def _place(h: np.ndarray, level: np.ndarray, i: int, size: int) -> np.ndarray:
-    """The i-th bit of (h, level) within a segment of `size` bits, a power of two."""
-    x = mixed(h + level.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    x += np.uint64(i) * (x >> np.uint64(32) | np.uint64(1))
-    return x & np.uint64(size - 1)
+def ngram_counts(docs: DataFrame, text: str, segments: int) -> DataFrame:
+    """segment, h, count: partial counts of hashed unigrams and bigrams, the end mark included.
+
+    A row holds hashes of one segment, in order, as packed 64-bit integers, and their counts as 32-bit ones, so that a
+    shuffle moves few rows. h is even for bigrams.
+    """
+
+    @tidy
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+            for _, _, buf, offsets in chunks(batch.column(0)):
+                _, tokens, previous = _token_hashes(buf, offsets)
+                starts = np.full(len(offsets) - 1, _START)
+                parts.append(np.unique(np.concatenate([_unigram(tokens), _unigram(starts), _bigram(previous, tokens)]), return_counts=True))
+            h, n = _added(parts)
+            own, cuts = _split(h, segments)
+            yield pa.record_batch([pa.array(own), _packed(h, cuts), _packed(n.astype(np.uint32), cuts)], names=["segment", "h", "count"])
+
+    return lean(docs).select(F.col(f"`{text}`").cast("string").alias("t")).mapInArrow(counted, "segment int, h binary, count binary")
 
 
 def _level(count: np.ndarray) -> np.ndarray:
     return 1 + np.floor(np.log(count) / math.log(STEP) + 1e-9).astype(np.int64)
 
 
-def _settled(df: DataFrame, name: str) -> DataFrame:
-    """written(), after which the shuffle files that df took are removed."""
-    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = conf.get(key, "false")
-    conf.set(key, "true")
-    try:
-        return written(df, name)
-    finally:
-        conf.set(key, before)
+def _count(level: np.ndarray) -> np.ndarray:
+    """The count that a level stands for."""
+    low = np.where(level > 0, np.ceil(STEP ** (level - 1.0) - 1e-9), 0)
+    high = np.where(level > 0, np.maximum(np.ceil(STEP ** (level * 1.0) - 1e-9) - 1, low), 0)
+    return (low + high) / 2
+
+
+def _mix(h: np.ndarray, level: np.ndarray) -> np.ndarray:
+    return mixed(h + level.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def _class(h: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """Rarest first: bigrams of count 1, unigrams of count 1, bigrams of 2-3, ..."""
-    return 2 * np.minimum(np.log2(count).astype(np.int64), _CLASSES - 1) + (h & np.uint64(1)).astype(np.int64)
+def _enter(bits: np.ndarray, h: np.ndarray, level: np.ndarray, first: int = 1) -> None:
+    """Enters each hash for the levels from `first` to its own; bits: a power of two of bytes."""
+    each = np.maximum(level - first + 1, 0)
+    own = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each) + first
+    x = _mix(np.repeat(h, each), own)
+    step = x >> np.uint64(32) | np.uint64(1)
+    for _ in range(PROBES):
+        at = x & np.uint64(8 * len(bits) - 1)
+        np.bitwise_or.at(bits, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+        x = x + step
 
 
-#: The least level of n-grams in the filter, by the number of classes of their kind that it leaves out.
-_LEAST_LEVEL = np.array([0, *_level(2 ** np.arange(1, _CLASSES)), 255])
+def _probe(bits: np.ndarray, h: np.ndarray, size: int, base: np.ndarray | None = None, first: int = 1) -> np.ndarray:
+    """The last level for which a filter of `size` bits (from bit `base` of `bits` on) holds each hash, first - 1 if none."""
+    level, open_ = np.full(len(h), first - 1, np.int64), np.arange(len(h))
+    while len(open_):
+        x = _mix(h[open_], level[open_] + 1)
+        step = x >> np.uint64(32) | np.uint64(1)
+        for _ in range(PROBES):
+            at = x & np.uint64(size - 1)
+            if base is not None:
+                at += base[open_]
+            hit = (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+            open_, step = open_[hit], step[hit]
+            x = x[hit] + step
+        level[open_] += 1
+    return level
 
 
 @dataclass
 class Model:
-    """bits: the segments, one after the other; tokens and vocabulary: N and V of the training tokens.
+    """tokens and vocabulary: N and V of the training tokens. bits: the broadcast filter, of n-grams of level `least` and above.
 
-    least: how many classes each segment leaves out. rest: their n-grams, packed; it stays on the driver.
+    table: segment, bits; the filter of all n-grams. It stays on the workers.
     """
 
-    bits: np.ndarray
-    size: int
     tokens: int
     vocabulary: int
-    least: np.ndarray = field(default_factory=lambda: np.zeros(SEGMENTS, np.int64))
-    rest: DataFrame | None = None
-
-    def left_out(self, h: np.ndarray, level: np.ndarray) -> np.ndarray:
-        """Whether the table may hold the n-gram, as the filter has a level below those that it keeps."""
-        least = self.least[h >> np.uint64(64 - SEGMENTS.bit_length() + 1)]
-        return level < _LEAST_LEVEL[(least + 1 - (h & np.uint64(1)).astype(np.int64)) // 2]
-
-    def levels(self, h: np.ndarray) -> np.ndarray:
-        """The level that the filter holds for each hash, 0 if none."""
-        level, open_ = np.zeros(len(h), np.int64), np.arange(len(h))
-        base = (h >> np.uint64(64 - SEGMENTS.bit_length() + 1)) * np.uint64(self.size)
-        while len(open_):
-            for i in range(PROBES):
-                at = _place(h[open_], level[open_] + 1, i, self.size) + base[open_]
-                open_ = open_[(self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)]
-            level[open_] += 1
-        return level
-
-    def count(self, h: np.ndarray, table: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
-        """The count that the filter holds for each hash, or `table` (hashes in order, levels) where the filter leaves it out."""
-        level = self.levels(h)
-        if table is not None:
-            at = np.flatnonzero(self.left_out(h, level))
-            place = np.minimum(np.searchsorted(table[0], h[at]), max(0, len(table[0]) - 1))
-            level[at] = np.where(table[0][place] == h[at], table[1][place], 0) if len(table[0]) else 0
-        low = np.where(level > 0, np.ceil(STEP ** (level - 1.0) - 1e-9), 0)
-        high = np.where(level > 0, np.maximum(np.ceil(STEP ** (level * 1.0) - 1e-9) - 1, low), 0)
-        return (low + high) / 2
-
-    def log10(self, tokens: np.ndarray, previous: np.ndarray, table: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
-        """log10 of each token's probability after its predecessor."""
-        uni, at = np.unique(np.concatenate([tokens, previous]), return_inverse=True)
-        c = self.count(_unigram(uni), table)[at]
-        cw, cv = c[: len(tokens)], c[len(tokens) :]
-        pairs, at = np.unique(_bigram(previous, tokens), return_inverse=True)
-        both = np.minimum(self.count(pairs, table)[at], np.minimum(cv, cw))
+    segments: int
+    bits: np.ndarray
+    least: int
+    table: DataFrame | None
+
+    def frequent(self, h: np.ndarray) -> np.ndarray:
+        """The level of each hash that the broadcast filter holds, 0 for others."""
+        size = 8 * len(self.bits) // _PARTS
+        level = _probe(self.bits, h, size, (h >> np.uint64(64 - _PARTS.bit_length() + 1)) * np.uint64(size), max(1, self.least - _BELOW))
+        return np.where(level >= self.least, level, 0)
+
+    def log10(self, level: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """log10 of each token's probability; at: for the tokens, their predecessors and the bigrams, the places of their levels."""
+        cw, cv, both = _count(level)[at]
         p = np.minimum(1.0, (cw + 1) / (self.tokens + self.vocabulary + 1))
-        return np.log10((both + MU * p) / (cv + MU))
+        return np.log10((np.minimum(both, np.minimum(cv, cw)) + MU * p) / (cv + MU))
 
 
 def fit(docs: DataFrame, tokens: int, vocabulary: int, text: str = "text", filter_bits: int = FILTER_BITS) -> Model:
-    """The filter of all n-grams of docs, and the table of those it has no room for. The driver receives filter_bits / 8 bytes at most."""
-    size = filter_bits // SEGMENTS
-    room = size // BITS_PER_ENTRY
-    kind = "segment int, least int, bits binary, h binary, level binary, class binary"
+    """The filters of all n-grams of docs. The driver receives the broadcast one, of filter_bits / 8 bytes, and _LEVELS sizes."""
+    segments = 1 << max(SEGMENTS.bit_length() - 1, math.ceil(math.log2(max(1, tokens) / SEGMENT)))
+    schema = pa.schema([("segment", pa.int32()), *((x, pa.binary()) for x in ("bits", "h", "level")), ("sizes", pa.list_(pa.int64()))])
 
+    @tidy
     def built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("segment", pa.int32()), ("least", pa.int32()), *((x, pa.binary()) for x in ("bits", "h", "level", "class"))])
-        bits, entries = np.zeros((2 * _CLASSES, size // 8), np.uint8), np.zeros(2 * _CLASSES, np.int64)
-        waiting: list[tuple] = []  # what the table may need, while the segment still has room
-
-        def enter(segment: int, parts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-            h, count = _added(parts)
-            level, own = _level(count), _class(h, count)
-            np.add.at(entries, own, level)
-            each = np.arange(level.sum()) - np.repeat(np.cumsum(level) - level, level) + 1
-            first, x, flat = np.repeat(own.astype(np.uint64) * np.uint64(size), level), np.repeat(h, level), bits.reshape(-1)
-            for i in range(PROBES):
-                at = _place(x, each, i, size) + first
-                np.bitwise_or.at(flat, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
-            waiting.append((h, level, own))
-            if entries.sum() > room:
-                for h, level, own in waiting:
-                    yield pa.record_batch([[segment], [None], [None], [h.tobytes()], [level.astype(np.uint8).tobytes()], [own.astype(np.uint8).tobytes()]], schema=schema)
-                waiting.clear()
-
-        def closed(segment: int) -> pa.RecordBatch:
-            total, least = int(entries.sum()), 0
-            while total > room and least < 2 * _CLASSES:
-                total -= int(entries[least])
-                least += 1
-            kept = np.bitwise_or.reduce(bits[least:], axis=0) if least < 2 * _CLASSES else bits[0] * 0
-            bits[:], entries[:] = 0, 0
-            waiting.clear()
-            return pa.record_batch([[segment], [least], [kept.tobytes()], [None], [None], [None]], schema=schema)
-
         held, holding = [], None
+
+        def closed() -> pa.RecordBatch:
+            h, count = _added(held)
+            level = _level(count)
+            bits = np.zeros(1 << max(3, math.ceil(math.log2(max(1, int(level.sum())) * BITS_PER_ENTRY)) - 3), np.uint8)
+            for k in range(0, len(h), 1 << 17):
+                _enter(bits, h[k : k + (1 << 17)], level[k : k + (1 << 17)])
+            often = level >= LEAST_LEVEL
+            sizes = np.bincount(level, minlength=_LEVELS).tolist()
+            return pa.record_batch([[holding], [bits.tobytes()], [h[often].tobytes()], [level[often].astype(np.uint8).tobytes()], [sizes]], schema=schema)
+
         for batch in batches:
-            for row in batch.to_pylist():
-                if (row["segment"], row["slice"]) != holding and held:
-                    yield from enter(holding[0], held)
+            for segment, h, count in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if segment != holding and held:
+                    yield closed()
                     held = []
-                    if row["segment"] != holding[0]:
-                        yield closed(holding[0])
-                holding = row["segment"], row["slice"]
-                held.append((np.frombuffer(row["h"], np.uint64), np.frombuffer(row["count"], np.int64)))
+                holding = segment
+                held.append((np.frombuffer(h, np.uint64), np.frombuffer(count, np.uint32).astype(np.int64)))
         if held:
-            yield from enter(holding[0], held)
-            yield closed(holding[0])
-
-    bits, least = np.zeros((SEGMENTS, size // 8), np.uint8), np.zeros(SEGMENTS, np.int64)
-    slices = 1 << max(0, math.ceil(math.log2(max(1, tokens) / (SEGMENTS * SLICE))))
-    counts = ngram_counts(docs.select(text), text, slices).repartition("segment").sortWithinPartitions("segment", "slice")
-    made = _settled(counts.mapInArrow(built, kind), "filter")
-    found = made.where(F.col("bits").isNotNull()).select("segment", "least", "bits").toArrow()
-    for batch in found.to_batches():
-        for segment, n, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            bits[segment], least[segment] = np.frombuffer(own.as_buffer(), np.uint8), n
-    del found
-    rest = made.where(F.col("h").isNotNull()).select("segment", "h", "level", "class") if least.any() else None
-    return Model(bits.reshape(-1), size, tokens, vocabulary, least, rest)
-
-
-def left_out(model: Model) -> DataFrame:
-    """h, level: the n-grams that the filter leaves out."""
-    least = model.least
-
-    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield closed()
+
+    counts = ngram_counts(docs, text, segments).repartition("segment").sortWithinPartitions("segment")
+    made = settled(counts.mapInArrow(built, "segment int, bits binary, h binary, level binary, sizes array<long>"), "segments")
+    sizes = np.zeros(_LEVELS, np.int64)
+    for row in made.select(F.posexplode("sizes").alias("level", "n")).groupBy("level").agg(F.sum("n").alias("n")).collect():  # _LEVELS rows
+        sizes[row.level] = row.n
+    least = LEAST_LEVEL
+    while (sizes[least:] * (np.arange(_LEVELS - least) + 1 + _BELOW)).sum() > filter_bits // BITS_PER_ENTRY:
+        least += 1
+
+    @tidy
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[int, np.ndarray] = {}
         for batch in batches:
-            for row in batch.to_pylist():
-                at = np.flatnonzero(np.frombuffer(row["class"], np.uint8) < least[row["segment"]])
-                yield pa.record_batch([pa.array(np.frombuffer(row["h"], np.int64)[at]), pa.array(np.frombuffer(row["level"], np.uint8)[at].astype(np.int32))], names=["h", "level"])
+            for part, h, level in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                h, level = np.frombuffer(h, np.uint64), np.frombuffer(level, np.uint8).astype(np.int64)
+                _enter(own.setdefault(part, np.zeros(filter_bits // 8 // _PARTS, np.uint8)), h[level >= least], level[level >= least], max(1, least - _BELOW))
+        for part, bits in own.items():
+            yield pa.record_batch([pa.array([part], pa.int32()), pa.array([bits.tobytes()], pa.binary())], names=["part", "bits"])
+
+    parts = made.select(F.shiftright("segment", (segments // _PARTS).bit_length() - 1).alias("part"), "h", "level").repartition(_PARTS, "part")
+    bits = np.zeros((_PARTS, filter_bits // 8 // _PARTS), np.uint8)
+    found = parts.mapInArrow(marked, "part int, bits binary").toArrow()  # _PARTS rows
+    for part, own in zip(found["part"].to_pylist(), found["bits"], strict=True):
+        bits[part] = np.frombuffer(own.as_buffer(), np.uint8)
+    return Model(tokens, vocabulary, segments, bits.reshape(-1), least, made.select("segment", "bits"))
+
+
+def packed(df: DataFrame, text: str = "text", row: str = "_row", size: int = PACK) -> DataFrame:
+    """pack, rows: the rows of df, with a number of their own in column `row`, in packs of texts of about `size` bytes, as a table."""
+    fields = [T.StructField(row, T.LongType()), *df.select(*[f"`{c}`" for c in df.columns if c != row]).schema.fields]
+    schema = T.StructType([T.StructField("pack", T.LongType()), T.StructField("rows", T.ArrayType(T.StructType(fields)))])
+    names = [f.name for f in fields]
 
-    return model.rest.mapInArrow(unpacked, "h long, level int")
+    @tidy
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            for first, end, _, _ in chunks(batch.column(names.index(text) - 1), size):
+                rows = batch.slice(first, end - first)
+                ids = pa.array(np.arange(number, number + len(rows)))
+                own = pa.StructArray.from_arrays([ids, *rows.columns], names=names)
+                yield pa.record_batch([pa.array([number]), pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), own)], names=["pack", "rows"])
+                number += len(rows)
 
+    # Packs are long rows: small groups keep what a reader holds at once small.
+    return settled(lean(df).select(*[f"`{c}`" for c in names[1:]]).mapInArrow(dealt, schema), "packs", **{"parquet.block.size": 16 << 20})
 
-def _looked_up(df: DataFrame, model: Model, shared, text: str, key: str) -> DataFrame:
-    """key, table: for each hash of a text, the n-grams of such texts that the filter leaves out, as far as they occur in training."""
 
-    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for batch in batches:
-            keys = batch.column(0).to_numpy()
-            for first, end, buf, offsets in chunks(batch.column(1)):
-                *_, before, tokens, previous = _token_hashes(buf, offsets)
-                own = np.repeat(keys[first:end], np.diff(before) + 1)
-                h, at = np.unique(np.concatenate([_unigram(tokens), _unigram(previous), _bigram(previous, tokens)]), return_inverse=True)
-                ask = m.left_out(h, m.levels(h))[at]
-                h, k = h[at[ask]], np.tile(own, 3)[ask]
-                order = np.lexsort((h, k))
-                h, k = h[order], k[order]
-                new = np.append(True, (h[1:] != h[:-1]) | (k[1:] != k[:-1])) if len(h) else np.zeros(0, bool)
-                yield pa.record_batch([pa.array(k[new]), pa.array(h[new].view(np.int64))], names=["k", "h"])
+def _grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each text the number of tokens before it; the different n-grams in order; of tokens, predecessors, bigrams the places in them."""
+    _, _, buf, offsets = next(chunks(texts, 1 << 60))
+    before, tokens, previous = _token_hashes(buf, offsets)
+    h, at = np.unique(np.concatenate([_unigram(tokens), _unigram(previous), _bigram(previous, tokens)]), return_inverse=True)
+    return before + np.arange(len(before)), h, at.reshape(3, -1)
 
-    probes = lean(df).select(F.xxhash64(F.col(f"`{text}`").cast("string")), F.col(f"`{text}`").cast("string")).mapInArrow(tidy(asked), "k long, h long")
-    once = _settled(probes.join(left_out(model), "h").groupBy("h", "k").agg(F.first("level").alias("level")), "found")
-    return once.groupBy(F.col("k").alias(key)).agg(F.collect_list(F.struct("h", "level")).alias("table"))
 
+def answers(packs: DataFrame, model: Model, shared, text: str = "text") -> DataFrame:
+    """pack, segment, levels: the levels (bytes) of the pack's n-grams that lie in the segment and not in the broadcast filter, in order."""
 
-def model_scores(df: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
-    """Adds `out`, the log10 probability of the text with its end mark. Null and empty texts hold the end mark alone."""
-    shared = df.sparkSession.sparkContext.broadcast(replace(model, rest=None))
+    @tidy
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            for k in range(len(batch)):
+                _, h, _ = _grams(batch.column(1).slice(k, 1).flatten())
+                h = h[m.frequent(h) == 0]
+                own, cuts = _split(h, m.segments)
+                yield pa.record_batch([pa.array(own), pa.array(np.full(len(own), batch.column(0)[k].as_py())), _packed(h, cuts)], names=["segment", "pack", "data"])
 
-    @F.arrow_udf("double")
     @tidy
-    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holding, bits = None, None
         for batch in batches:
-            yield _scores(shared.value, batch)
+            out = []
+            for segment, pack, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if segment != holding:
+                    holding, bits = segment, None
+                if pack is None:
+                    bits = np.frombuffer(data.as_buffer(), np.uint8).copy()
+                    continue
+                h = np.frombuffer(data.as_buffer(), np.uint64)
+                level = _probe(bits, h, 8 * len(bits)) if bits is not None else np.zeros(len(h), np.int64)
+                out.append((pack, segment, level.astype(np.uint8).tobytes()))
+            yield pa.record_batch([pa.array(x, t) for x, t in zip(list(zip(*out, strict=True)) or [[]] * 3, (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["pack", "segment", "levels"])
+
+    asks = packs.select("pack", F.col("rows")[text].alias("t")).mapInArrow(asked, "segment int, pack long, data binary")
+    filters = model.table.select("segment", F.lit(None).cast("long").alias("pack"), F.col("bits").alias("data"))
+    both = filters.unionByName(asks).repartition("segment").sortWithinPartitions("segment", F.asc_nulls_first("pack"))
+    return both.mapInArrow(answered, "pack long, segment int, levels binary")
+
+
+def pack_scores(packs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
+    """The rows of the packs with `out`, the log10 probability of the text with its end mark."""
+    shared = packs.sparkSession.sparkContext.broadcast(Model(model.tokens, model.vocabulary, model.segments, model.bits, model.least, None))
+    fields = [f for f in packs.schema["rows"].dataType.elementType.fields if f.name != out]
+    names = [f.name for f in fields]
+    came = settled(answers(packs, model, shared, text), "levels")
 
-    @F.arrow_udf("double")
     @tidy
-    def scored_with(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for batch, tables in batches:
-            yield _scores(shared.value, batch, tables)
-
-    if model.rest is None:
-        return df.withColumn(out, scored(F.col(f"`{text}`")))
-    key, table = fresh(df, "_text_key"), fresh(df, "_table")
-    found = _looked_up(df, model, shared, text, key).withColumnRenamed("table", table)
-    both = df.withColumn(key, F.xxhash64(F.col(f"`{text}`").cast("string"))).join(found, key, "left")
-    return both.withColumn(out, scored_with(F.col(f"`{text}`"), F.col(table))).select(*[f"`{c}`" for c in df.columns if c != out], out)
-
-
-def _scores(m: Model, texts: pa.Array, tables: pa.Array | None = None) -> pa.Array:
-    parts = [np.zeros(0)]
-    for first, end, buf, offsets in chunks(texts):
-        *_, before, tokens, previous = _token_hashes(buf, offsets)
-        at = before[:-1] + np.arange(len(before) - 1)
-        own = None
-        if tables is not None:
-            flat = tables.slice(first, end - first).flatten()
-            h, once = np.unique(flat.field("h").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), return_index=True)
-            own = h, flat.field("level").to_numpy(zero_copy_only=False).astype(np.int64)[once]
-        parts.append(np.add.reduceat(m.log10(tokens, previous, own), at))
-    return pa.array(np.concatenate(parts))
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, holding, held = shared.value, None, []
+        for batch in batches:
+            for k, (pack, levels) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2), strict=True)):
+                if pack != holding:
+                    holding, held = pack, []
+                if levels.is_valid:
+                    held.append(np.frombuffer(levels.as_buffer(), np.uint8))
+                    continue
+                rows = batch.column(3).slice(k, 1).flatten()
+                cols = [rows.field(name) for name in names]
+                before, h, at = _grams(cols[names.index(text)])
+                level = m.frequent(h)
+                level[level == 0] = np.concatenate([np.zeros(0, np.uint8), *held])
+                scores = np.add.reduceat(m.log10(level, at), before[:-1])
+                yield pa.record_batch([*cols, pa.array(scores)], names=[*names, out])
+
+    texts = packs.select("pack", F.lit(None).cast("int").alias("segment"), F.lit(None).cast("binary").alias("levels"), "rows")
+    none = F.lit(None).cast(packs.schema["rows"].dataType).alias("rows")
+    both = texts.unionByName(came.select("pack", "segment", "levels", none)).repartition("pack").sortWithinPartitions("pack", F.asc_nulls_last("segment"))
+    return both.mapInArrow(scored, T.StructType([*fields, T.StructField(out, T.DoubleType())]))
+
+
+def model_scores(df: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
+    """Adds `out`, the log10 probability of the text with its end mark. Null and empty texts hold the end mark alone.
+
+    Every row of df is scored, rows that repeat too; all other columns stay, and one already named `out` is replaced.
+    """
+    row = fresh(df, "_row")
+    own = pack_scores(packed(lean(df), text, row), model, text, out)
+    return own.select(*[f"`{c}`" for c in df.columns if c != out], f"`{out}`")
 
 
 def base_scores(df: DataFrame, counts: DataFrame, tokens: Column, vocabulary: Column, ends: Column, key: str = "doc_id", text: str = "text", frequent: int = FREQUENT) -> DataFrame:
-    """key, n_tokens, n_known, base_score: add-one unigram scores from exact counts.
+    """key, n_tokens, n_known, base_score: add-one unigram scores from exact counts; words are compared by their bytes.
 
-    The counts of the most frequent words, `frequent` at most, are broadcast, so that what is left to join has no hot word; the other
-    words are joined by Spark, one row for each of a text's different words. Rows with the same key are added up.
+    The counts of the most frequent words, `frequent` and FREQUENT_BYTES at most, are broadcast, so that what is left to
+    join has no hot word; the other words are joined by Spark, one row for each of a text's different words. Rows with
+    the same key are added up.
     """
     share = F.floor(F.log2("count") * 4)
-    left, least = frequent, None
-    for row in counts.groupBy(share.alias("b")).agg(F.count("*").alias("n"), F.min("count").alias("least")).orderBy(F.desc("b")).collect():  # 256 rows at most
-        left -= row.n
-        if left < 0:
+    left, room, least = frequent, FREQUENT_BYTES, None
+    for row in counts.groupBy(share.alias("b")).agg(F.count("*").alias("n"), F.sum(F.length("word")).alias("size"), F.min("count").alias("least")).orderBy(F.desc("b")).collect():  # 256 rows at most
+        left, room = left - row.n, room - row["size"]
+        if left < 0 or room < 0:
             break
         least = row.least
     top = counts.where(F.col("count") >= least if least is not None else F.lit(False)).toArrow()
-    hashes = _hash_all(top["word"])
-    order = np.argsort(hashes)
-    keys, values = hashes[order], top["count"].to_numpy()[order].astype(np.float64)
+    shared = df.sparkSession.sparkContext.broadcast((top["word"].combine_chunks().cast(pa.large_binary()), np.log10(top["count"].to_numpy() + 1.0)))
     del top
-    shared = df.sparkSession.sparkContext.broadcast((keys, values))
 
+    @tidy
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, values = shared.value
+        often, logs_of = shared.value
         for batch in batches:
             ids = batch.column(0)
             for first, end, buf, offsets in chunks(batch.column(1)):
                 starts, ends_, before = words(buf, offsets, _SPACE)
-                h = span_hashes(buf, starts, ends_)
-                at = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))
-                hit = keys[at] == h if len(keys) else np.zeros(len(h), bool)
-                doc = np.repeat(np.arange(end - first), np.diff(before))
-                logs = np.bincount(doc[hit], np.log10(values[at[hit]] + 1) if hit.any() else None, end - first).astype(np.float64)
-                known = np.bincount(doc[hit], minlength=end - first)
+                found, code = distinct(buf, starts, ends_)
+                place = pc.fill_null(pc.index_in(found, value_set=often), -1).to_numpy()[code]
+                hit, doc = place >= 0, np.repeat(np.arange(end - first), np.diff(before))
+                logs = np.bincount(doc[hit], logs_of[place[hit]], end - first)
                 own = ids.slice(first, end - first)
                 yield pa.record_batch(
-                    [own, pa.nulls(end - first, pa.binary()), pa.array(np.diff(before), pa.int64()), pa.array(known, pa.int64()), pa.array(logs)],
+                    [own, pa.nulls(end - first, pa.binary()), pa.array(np.diff(before), pa.int64()), pa.array(np.bincount(doc[hit], minlength=end - first), pa.int64()), pa.array(logs.astype(np.float64))],
                     names=["k", "word", "n", "known", "logs"],
                 )
-                rest = np.flatnonzero(~hit)
-                if len(rest):
-                    pair, one, n = np.unique(mixed(h[rest]) + doc[rest].astype(np.uint64) * np.uint64(0xD1B54A32D192ED03), return_index=True, return_counts=True)
-                    raw, one = buf.tobytes(), rest[one]
-                    found = [raw[a:b] for a, b in zip(starts[one].tolist(), ends_[one].tolist(), strict=True)]
+                if not hit.all():
+                    pair, n = np.unique(doc[~hit] * len(found) + code[~hit], return_counts=True)
                     yield pa.record_batch(
-                        [own.take(pa.array(doc[one])), pa.array(found, pa.binary()), pa.array(n, pa.int64()), pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.float64())],
+                        [own.take(pa.array(pair // len(found))), found.take(pa.array(pair % len(found))).cast(pa.binary()), pa.array(n, pa.int64()), pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.float64())],
                         names=["k", "word", "n", "known", "logs"],
                     )
 
     kind = df.schema[key].dataType.simpleString()
-    rows = df.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").cast("string").alias("t")).mapInArrow(split, f"k {kind}, word binary, n long, known long, logs double")
+    rows = lean(df).select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").cast("string").alias("t")).mapInArrow(split, f"k {kind}, word binary, n long, known long, logs double")
     joined = rows.join(counts, "word", "left")
     c = F.coalesce("count", F.lit(0))
     per = joined.groupBy("k").agg(
@@ -401,24 +417,19 @@ def base_scores(df: DataFrame, counts: DataFrame, tokens: Column, vocabulary: Co
     )
 
 
-def _hash_all(found: pa.ChunkedArray) -> np.ndarray:
-    raw = found.to_pylist()
-    ends = np.cumsum([len(w) for w in raw], dtype=np.int64)
-    return span_hashes(np.frombuffer(b"".join(raw), np.uint8), ends - [len(w) for w in raw], ends) if raw else np.zeros(0, np.uint64)
-
-
 def op2_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores every document. Rows that share a doc_id get the sums over their texts. An empty training set leaves N = V = 0."""
+    """Scores every document, rows that share a doc_id or have none one by one. Null and empty texts hold the end mark alone.
+
+    An empty training set leaves N = V = 0: every probability is then one, as nothing else is known.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     held_out = crc_mod("doc_id", 7) == 2
     train = docs.where(~held_out)
-    counts = _settled(word_counts(train), "words")
+    counts = settled(word_counts(train), "words")
     total = counts.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     ends = train.count()
     tokens, vocabulary = total.n + ends, total.v + (ends > 0)
-    model = fit(train, tokens, vocabulary)
-    scores = model_scores(docs, model).select("doc_id", "score").groupBy("doc_id").agg(F.sum("score").alias("score"))
-    scores = _settled(scores, "scores")
-    base = base_scores(docs, counts, F.lit(tokens), F.lit(vocabulary), F.lit(ends))
-    both = base.withColumnRenamed("doc_id", "k").join(scores, F.col("k").eqNullSafe(F.col("doc_id")))
-    return both.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    packs = packed(docs)
+    scores = settled(pack_scores(packs, fit(train, tokens, vocabulary)).select("_row", "doc_id", "score"), "scores")
+    base = base_scores(packs.select(F.inline("rows")), counts, F.lit(tokens), F.lit(vocabulary), F.lit(ends), key="_row")
+    return base.join(scores, "_row").select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
