@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, chunks, distinct, hashes, lean, mixed, separators, tidy, words, written
+from .common import ascii_lower, chunks, distinct, lean, mixed, separators, span_hashes, tidy, words, written
 
 MASKS = ((0, 1, 3, 6, 7), (0, 1, 4, 6, 7), (0, 1, 3, 4, 5))
 SPAN = 8
@@ -63,7 +63,7 @@ def _hits(texts: pa.Array, reach: int, masks: list, keep) -> pa.Array:
     for first, end, buf, offsets in chunks(texts):
         starts, ends, before = words(buf, offsets, _SYMBOL)
         found, code = distinct(buf, starts, ends)
-        h = hashes(found)[code] if len(code) else np.zeros(0, np.uint64)
+        h = span_hashes(buf, starts, ends)
         text = np.repeat(np.arange(end - first), np.diff(before))
         rows = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
         for k, mask in masks:
@@ -109,7 +109,9 @@ def item_seeds(items: DataFrame) -> DataFrame:
     def hashed(texts: pa.Array) -> pa.Array:
         out = []
         for own in texts.to_pylist():
-            h = hashes(pa.array([w.encode() for w in own], pa.large_binary()))
+            raw = [w.encode() for w in own]
+            ends = np.cumsum([len(w) for w in raw], dtype=np.int64)
+            h = span_hashes(np.frombuffer(b"".join(raw), np.uint8), ends - [len(w) for w in raw], ends)
             if len(own) < SPAN:
                 found = [(_masked(h[a : a + n], tuple(range(n)), len(MASKS) + n)[:1], a) for a, n in short_seeds(len(own)) if n]
             else:

@@ -29,16 +29,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, crc_mod, distinct, fresh, hashes, lean, mixed, separators, settled, tidy, words
+from .common import chunks, crc_mod, distinct, fresh, lean, mixed, separators, settled, span_hashes, tidy, words
 
 FILTER_BITS = 1 << 26  # 8 MB, on the driver and in every Python worker
-BITS_PER_ENTRY = 6  # at least
+BITS_PER_ENTRY = 8  # at least
 PROBES = 4
 STEP = 1.5
 MU = 4.0
 SEGMENTS, SEGMENT = 256, 1 << 19  # segments at least; training tokens in one, about
 LEAST_LEVEL = 6  # of the n-grams in the broadcast filter, at least: counts of 8 and more
-PACK = 1 << 20  # bytes of the texts that ask together
+PACK = 2 << 20  # bytes of the texts that ask together
 FREQUENT, FREQUENT_BYTES = 100_000, 4 << 20  # words whose counts are broadcast, and their bytes, at most; all others are joined
 
 _SPACE = separators("space")
@@ -59,8 +59,7 @@ def _unigram(h: np.ndarray) -> np.ndarray:
 def _token_hashes(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each text the number of words before it; hashes of the words, with an end mark after each text; each one's predecessor."""
     starts, ends, before = words(buf, offsets, _SPACE)
-    found, code = distinct(buf, starts, ends)
-    h = hashes(found)[code] if len(found) else np.zeros(0, np.uint64)
+    h = span_hashes(buf, starts, ends)
     with_end = np.insert(h, before[1:], _END)
     previous = np.empty_like(with_end)
     previous[1:] = with_end[:-1]
@@ -116,8 +115,8 @@ def ngram_counts(docs: DataFrame, text: str, segments: int) -> DataFrame:
             parts = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
             for _, _, buf, offsets in chunks(batch.column(0)):
                 _, tokens, previous = _token_hashes(buf, offsets)
-                starts = np.full(len(offsets) - 1, _START)
-                parts.append(np.unique(np.concatenate([_unigram(tokens), _unigram(starts), _bigram(previous, tokens)]), return_counts=True))
+                parts += [np.unique(x, return_counts=True) for x in (_unigram(tokens), _bigram(previous, tokens))]
+                parts.append((_unigram(_START)[None], np.array([len(offsets) - 1])))
             h, n = _added(parts)
             own, cuts = _split(h, segments)
             yield pa.record_batch([pa.array(own), _packed(h, cuts), _packed(n.astype(np.uint32), cuts)], names=["segment", "h", "count"])
@@ -277,8 +276,16 @@ def _grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each text the number of tokens before it; the different n-grams in order; of tokens, predecessors, bigrams the places in them."""
     _, _, buf, offsets = next(chunks(texts, 1 << 60))
     before, tokens, previous = _token_hashes(buf, offsets)
-    h, at = np.unique(np.concatenate([_unigram(tokens), _unigram(previous), _bigram(previous, tokens)]), return_inverse=True)
-    return before + np.arange(len(before)), h, at.reshape(3, -1)
+    cuts = before + np.arange(len(before))
+    uni, own = np.unique(_unigram(tokens), return_inverse=True)
+    pairs, both = np.unique(_bigram(previous, tokens), return_inverse=True)
+    ahead = np.append(len(uni), own[:-1])  # the start mark comes after the tokens
+    ahead[cuts[:-1]] = len(uni)
+    every = np.concatenate([uni, _unigram(_START)[None], pairs])
+    order = np.argsort(every, kind="stable")
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
+    return cuts, every[order], place[np.stack([own, ahead, both + len(uni) + 1])]
 
 
 def answers(packs: DataFrame, model: Model, shared, text: str = "text") -> DataFrame:
@@ -298,17 +305,21 @@ def answers(packs: DataFrame, model: Model, shared, text: str = "text") -> DataF
     def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         holding, bits = None, None
         for batch in batches:
-            out = []
-            for segment, pack, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                if segment != holding:
-                    holding, bits = segment, None
-                if pack is None:
-                    bits = np.frombuffer(data.as_buffer(), np.uint8).copy()
-                    continue
-                h = np.frombuffer(data.as_buffer(), np.uint64)
-                level = _probe(bits, h, 8 * len(bits)) if bits is not None else np.zeros(len(h), np.int64)
-                out.append((pack, segment, level.astype(np.uint8).tobytes()))
-            yield pa.record_batch([pa.array(x, t) for x, t in zip(list(zip(*out, strict=True)) or [[]] * 3, (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["pack", "segment", "levels"])
+            segments, out = batch.column(0).to_numpy(), []
+            cuts = [0, *(np.flatnonzero(np.diff(segments)) + 1).tolist(), len(segments)]
+            for first, end in zip(cuts, cuts[1:], strict=False):
+                if first < end and segments[first] != holding:
+                    holding, bits = segments[first], None
+                data = batch.column(2).slice(first, end - first)
+                if first < end and not batch.column(1)[first].is_valid:  # the segment's filter comes before what it is asked
+                    bits, data, first = np.frombuffer(data[0].as_buffer(), np.uint8).copy(), data.slice(1), first + 1
+                if first < end:
+                    h = np.frombuffer(b"".join(data.to_pylist()), np.uint64)
+                    level = (_probe(bits, h, 8 * len(bits)) if bits is not None else np.zeros(len(h), np.int64)).astype(np.uint8)
+                    stops = np.concatenate([[0], np.cumsum(pc.binary_length(data).to_numpy() // 8)])
+                    out.append((batch.column(1).slice(first, end - first), batch.column(0).slice(first, end - first), _packed(level, stops)))
+            for pack, segment, levels in out:
+                yield pa.record_batch([pack, segment, levels], names=["pack", "segment", "levels"])
 
     asks = packs.select("pack", F.col("rows")[text].alias("t")).mapInArrow(asked, "segment int, pack long, data binary")
     filters = model.table.select("segment", F.lit(None).cast("long").alias("pack"), F.col("bits").alias("data"))
