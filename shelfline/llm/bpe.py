@@ -9,8 +9,10 @@ up in logarithmically many steps. Trees of many distinct matches of like length
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 from functools import cached_property, lru_cache
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +27,9 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 _NONE = 65535  # no token; a rank must be below it
 _INF = np.int64(1) << np.int64(62)
-_POS = 24  # bits of a position in a node
+_POS = 24  # bits of a position in a node of a shared array
 _WIDE = 512  # bytes from which a match gets a tree of its own
-_CACHE = 400_000  # distinct matches kept by a Python worker
+_CACHE, _CACHE_BYTES = 400_000, 32 << 20  # distinct matches kept by a Python worker, and their bytes and ids', at most
 
 
 class Vocabulary:
@@ -42,6 +44,7 @@ class Vocabulary:
         self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
         self.found: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.size = 0  # of found
 
     @cached_property
     def pairs(self) -> dict[int, int]:
@@ -134,27 +137,31 @@ class Vocabulary:
         ranks = self.rank(a, b)
         return np.where(ranks < _INF >> _POS, ranks << _POS | at, _INF)
 
-    def _encode_long(self, match: bytes) -> list[int]:
-        """One tree in plain lists; for a single long match the array form has too few rows."""
-        n, inf = len(match), int(_INF)
-        width, pairs = 1 << (n - 1).bit_length(), self.pairs
-        token, left, right = [int(self.byte[x]) for x in match], [*range(-1, n - 1)], [*range(1, n + 1)]
-        tree = [inf] * (2 * width)
+    def _encode_long(self, match: bytes) -> array:
+        """One tree of its own in packed arrays, about 40 bytes for a byte; for a single long match the other form has too few rows.
+
+        Positions take as many bits as the match needs.
+        """
+        n, inf, pairs = len(match), int(_INF), self.pairs
+        width, bits = 1 << (n - 1).bit_length(), n.bit_length()
+        token = array("q", self.byte[np.frombuffer(match, np.uint8)].tobytes())
+        left, right = array("q", range(-1, n - 1)), array("q", range(1, n + 1))
+        tree = array("q", [inf]) * (2 * width)
 
         def leaf(i: int, j: int) -> int:
             rank = pairs.get(token[i] << 16 | token[j]) if i >= 0 and j < n else None
-            return inf if rank is None else rank << _POS | i
+            return inf if rank is None else rank << bits | i
 
         for i in range(n - 1):
             tree[width + i] = leaf(i, i + 1)
         for node in range(width - 1, 0, -1):
             tree[node] = min(tree[2 * node], tree[2 * node + 1])
-        live = [True] * n
+        live = bytearray(b"\1") * n
         while (root := tree[1]) < inf:
-            at = root & ((1 << _POS) - 1)
+            at = root & ((1 << bits) - 1)
             dead, before = right[at], left[at]
             after = right[dead]
-            token[at], live[dead], right[at] = root >> _POS, False, after
+            token[at], live[dead], right[at] = root >> bits, 0, after
             if after < n:
                 left[after] = at
             for i, value in ((dead, inf), (at, leaf(at, after)), (before, leaf(before, at))):
@@ -164,18 +171,19 @@ class Vocabulary:
                     while node > 1:
                         node >>= 1
                         tree[node] = min(tree[2 * node], tree[2 * node + 1])
-        return [t for t, on in zip(token, live, strict=True) if on]
+        return array("q", compress(token, live))
 
     def learn(self, matches: set[str]) -> None:
         """Encodes what is not yet known. When the cache is half full it becomes the older half, from which matches that
         recur are taken over, so that frequent ones stay.
         """
-        if len(self.found) + len(matches) > _CACHE // 2:
-            self.older, self.found = self.found, {}
+        if len(self.found) + len(matches) > _CACHE // 2 or self.size > _CACHE_BYTES // 2:
+            self.older, self.found, self.size = self.found, {}, 0
         open_ = [m for m in matches if m not in self.found]
         new = [m for m in open_ if m not in self.older]
         self.found |= {m: self.older[m] for m in open_ if m in self.older}
         self.found |= zip(new, (ids.astype("<u4").tobytes() for ids in self.encode_many([m.encode() for m in new])), strict=True)
+        self.size += sum(len(m) + len(self.found[m]) for m in open_)
 
 
 @lru_cache(2)
@@ -230,6 +238,7 @@ def decode(df: DataFrame, ids: str = "token_ids", out: str = "decoded", path: st
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encodes and decodes every document; null and empty texts have no tokens. Rows that repeat are encoded each."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return digests(decode(encode(docs)))
 

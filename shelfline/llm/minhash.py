@@ -18,8 +18,8 @@ from .common import written
 BINS = 64
 SHINGLE = 5
 BITS = 8
-RUN = 2000  # rows ordered together when texts meet their next ones
-RUNS = 1000
+RUN = 4000  # rows ordered together, about, when texts meet their next ones
+CUTS = 1000  # quantiles of the key, at most, that a plan holds
 
 
 def _probes(bins: int) -> list[list[int]]:
@@ -73,47 +73,63 @@ def likeness(a: Column, b: Column, bins: int = BINS) -> Column:
     return F.when((a == "") | (b == ""), (a == b).cast("double")).otherwise(corrected)
 
 
-def runs(df: DataFrame, key: str, run: int = RUN, most: int = RUNS) -> DataFrame:
-    """Adds _run: rows by descending key (null last) lie in consecutive runs of about `run` rows.
+def runs(df: DataFrame, key: str, hash_: str, run: int = RUN, cuts: int = CUTS) -> DataFrame:
+    """Adds _run, a struct by whose order rows lie by descending key (null last) and then by `hash_`, in runs of about `run` rows.
 
-    Runs are cut at quantiles of the key, so no task orders the whole table; `most` bounds the cuts that a plan holds.
+    Keys are cut at quantiles, `cuts` at most, and between two of them in equal steps. A key that more rows share than lie
+    between quantiles, of which there are `cuts` at most, has runs of its own, cut by ranges of the hash; rows equal in key
+    and hash, if there are as many, are cut by a salt, so that their order is that of their salts. No task then orders more
+    than a few runs, whatever the number of rows and however often a key or a text repeats.
     """
-    n = df.count()
-    cuts = min(max(1, -(-n // run)), most)
-    bounds = df.agg(F.percentile_approx(key, [i / cuts for i in range(1, cuts)], 100_000).alias("b")).first().b if cuts > 1 else None
-    k = F.col(key)
-    if bounds:
-        steps = F.array(*[F.lit(b) for b in sorted(set(bounds), reverse=True)])
-        return df.withColumn("_run", F.when(k.isNull(), F.size(steps) + 1).otherwise(F.size(F.filter(steps, lambda b: b > k))))
-    return df.withColumn("_run", F.when(k.isNull(), 1).otherwise(0))
-
-
-def following(df: DataFrame, value: str, order: list[Column], firsts: DataFrame, out: str) -> DataFrame:
+    n, k, h = df.count(), F.col(f"`{key}`"), F.col(f"`{hash_}`")
+    most = max(1, min(-(-n // run), cuts))
+    share, parts = max(run, -(-n // most)), max(1, -(-n // most // run))
+    often = df.groupBy(k.alias("_k")).agg(F.count("*").alias("_n")).where(F.col("_n") > share).select("_k", F.ceil(F.log2(F.col("_n") / run)).cast("int").alias("_bits")).collect()  # `cuts` rows at most
+    same = df.groupBy(k.alias("_sk"), h.alias("_sh")).agg(F.count("*").alias("_n")).where(F.col("_n") > share).select("_sk", "_sh", F.ceil(F.col("_n") / run).cast("int").alias("_salts"))  # as many
+    bounds = set(df.agg(F.percentile_approx(k, [i / most for i in range(most + 1)], 100_000).alias("b")).first().b or []) if most > 1 else set()
+    bounds = sorted(bounds | {r._k for r in often if r._k is not None}, reverse=True)
+    steps = F.array(*map(F.lit, bounds)).cast(f"array<{df.schema[key].dataType.simpleString()}>")
+    bits = df.sparkSession.createDataFrame([tuple(r) for r in often], f"_k {df.schema[key].dataType.simpleString()}, _bits int")
+    both = df.join(F.broadcast(bits), k.eqNullSafe(F.col("_k")), "left").join(F.broadcast(same), k.eqNullSafe(F.col("_sk")) & h.eqNullSafe(F.col("_sh")), "left")
+    above = F.size(F.filter(steps, lambda b: b > k))
+    bucket = F.when(k.isNull(), 2 * len(bounds) + 2).otherwise(2 * above + F.col("_bits").isNotNull().cast("int"))
+    high, low = F.get(steps, above - 1), F.get(steps, above)
+    part = F.when(F.col("_bits").isNull() & k.isNotNull(), F.floor((high - k) / (high - low) * parts)).cast("long")
+    own = [F.coalesce(c, F.lit(0).cast("long")) for c in (part, F.call_function("shiftright", h, F.lit(64) - F.col("_bits")), F.pmod(F.monotonically_increasing_id(), F.col("_salts")))]
+    return both.select(*[f"`{c}`" for c in df.columns], F.struct(bucket.alias("bucket"), *[c.alias(name) for c, name in zip(own, ("part", "range", "salt"), strict=True)]).alias("_run"))
+
+
+def following(df: DataFrame, value: str, order: list[Column], first: Column, out: str) -> DataFrame:
     """Adds _place (from 1, within _run) and `out`, the value of the next row; after the last row of all comes the first.
 
-    firsts: _run, _head, the value of each run's first row. Only these cross from one run to the one before it, by a join
-    on the run's number.
+    first: greatest in the row that `order` puts first. Only the first value of each run crosses to the run before it, by a join on the runs.
     """
     own = Window.partitionBy("_run").orderBy(*order)
-    placed = df.withColumn("_place", F.row_number().over(own)).withColumn(out, F.lead(value).over(own)).withColumn("_last", F.lead(F.lit(1)).over(own).isNull())
-    every = Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    heads = firsts.select("_head", F.coalesce(F.lag("_run").over(Window.orderBy("_run")), F.last("_run").over(every)).alias("_to"))
-    joined = placed.join(heads, (F.col("_run") == F.col("_to")) & F.col("_last"), "left")
-    return joined.withColumn(out, F.when(F.col("_last"), F.col("_head")).otherwise(F.col(out))).drop("_to", "_head", "_last")
+    placed = df.withColumn("_place", F.row_number().over(own)).withColumn(out, F.lead(value).over(own)).withColumn("_end", F.lead(F.lit(1)).over(own).isNull())
+    heads = df.groupBy("_run").agg(F.max_by(value, first).alias("_head"))
+    every = Window.orderBy("_r")  # over the numbers of runs alone
+    before = F.coalesce(F.lag("_r").over(every), F.last("_r").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    names = df.select(F.col("_run").alias("_r")).distinct().select("_r", before.alias("_to"))
+    crossing = heads.join(names, F.col("_run") == F.col("_r")).select("_to", "_head")
+    joined = placed.join(crossing, (F.col("_run") == F.col("_to")) & F.col("_end"), "left")
+    return joined.withColumn(out, F.when(F.col("_end"), F.col("_head")).otherwise(F.col(out))).drop("_to", "_head", "_end")
 
 
 def with_next(df: DataFrame, key: str, text: str, out: str = "next_text") -> DataFrame:
-    """Adds _run, _place and `out`, the text of the next row in descending order of key and text, nulls last."""
-    ordered = runs(df, key)
-    order = [F.col(key).desc_nulls_last(), F.col(text).desc_nulls_last()]
-    tops = ordered.groupBy(F.col("_run").alias("_r")).agg(F.max(key).alias("_k"))  # RUNS + 2 rows at most
-    firsts = ordered.join(F.broadcast(tops), (F.col("_run") == F.col("_r")) & F.col(key).eqNullSafe(F.col("_k"))).groupBy("_run").agg(F.max(text).alias("_head"))
-    return following(ordered, text, order, firsts, out)
+    """_run, _place, _key, _text and `out`, the text of the next row in descending order of key, null last; rows that share
+    a key lie in the order of their texts' hashes.
+    """
+    rows = df.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text"), F.xxhash64(F.col(f"`{text}`")).alias("_hash"))
+    order = [F.col("_key").desc_nulls_last(), F.col("_hash")]
+    return following(runs(rows, "_key", "_hash"), "_text", order, F.struct("_key", F.bitwise_not("_hash")), out).drop("_hash")
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text. Null texts are empty; rows that share a doc_id, or have none,
+    stay apart and lie in the order of their texts' hashes. The only document of a table is its own next one.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    paired = with_next(docs, "doc_id", "text").withColumn("n_chars", F.length("text").cast("long"))
+    paired = with_next(docs, "doc_id", "text").withColumnsRenamed({"_key": "doc_id", "_text": "text"}).withColumn("n_chars", F.length("text").cast("long"))
     edited = paired.withColumn("edited", F.concat(F.expr("substring(text, 1, cast(n_chars - n_chars div 2 as int))"), F.expr("substring(next_text, 1, cast(n_chars div 2 as int))")))
     sha = F.sha2("edited", 256)
     parts = [F.conv(F.substring(sha, 16 * i + 1, 16), 16, -10).cast("long").alias(f"_s{i}") for i in range(4)]
@@ -122,8 +138,7 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints = fingerprints(both, ["_run", "_place", "_which"], keep=kept)
     pick = lambda w: F.max(F.when(F.col("_which") == w, F.col("fingerprint")))
     rows = written(prints.groupBy("_run", "_place").agg(*[F.max(c).alias(c) for c in kept], pick(0).alias("fingerprint"), pick(1).alias("edited_fingerprint")), "prints")
-    firsts = rows.where("_place = 1").select("_run", F.col("fingerprint").alias("_head"))
-    near = following(rows.withColumnRenamed("_place", "_at"), "fingerprint", [F.col("_at")], firsts, "next_fingerprint")
+    near = following(rows.withColumnRenamed("_place", "_at"), "fingerprint", [F.col("_at")], -F.col("_at"), "next_fingerprint")
     return near.select(
         "doc_id",
         "n_chars",

@@ -2,9 +2,11 @@
 
 Each rule's pattern gives a Boolean query over trigrams that any match must hold (an AND of ORs; from Python's own
 parse of the pattern, on the driver). The inverted index holds a posting (trigram, text key) for just those trigrams.
-Postings are intersected by key, as bits, and keys that satisfy a rule's query are joined to their texts, where the
-rule's pattern verifies them. A rule without mandatory trigrams scans every text. The key is a hash of the text: equal
-texts share postings, and a collision could only add a candidate.
+Postings are intersected by key, as bits; keys that satisfy a rule's query make a table of candidates, which is joined to
+the texts, where the rule's pattern verifies them. A rule without mandatory trigrams scans every text. The key is a hash
+of the text: equal texts share postings, and a collision could only add a candidate. Spark broadcasts the candidates if
+their table is small enough for that, and no text is shuffled then; otherwise both sides are dealt by key and salt, so
+that the copies of one text meet their candidate in several tasks.
 
 Spans come from splitting a text at a pattern: the lengths of the pieces between matches and of the matches add up to
 code-point positions.
@@ -19,13 +21,14 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, fresh
+from .common import ascii_lower, fresh, settled
 
 try:  # the parser of patterns moved in Python 3.11
     from re import _parser as _sre
 except ImportError:
     import sre_parse as _sre
 
+SALTS = 8
 _MOST, _WIDE = 64, 8  # strings that a run, and a node, may stand for before it counts as unknown
 
 
@@ -163,18 +166,22 @@ def _spans(text: Column, rule: Rule) -> Column:
 def scan(df: DataFrame, text: str = "text", rules=RULES, out: str = "spans") -> DataFrame:
     """Adds `out`: array of (start, rank, end, kind) of all secrets, by start and then by the rules' order.
 
-    Null and empty texts give an empty array. A column already named `out` is replaced; all others stay.
+    Null and empty texts give an empty array. Rows that repeat are scanned each. A column already named `out` is
+    replaced; all others stay.
     """
     whole = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    key, bits = fresh(df, "_key"), fresh(df, "_rules")
-    found = candidates(postings(df, whole, F.xxhash64(whole), rules), rules).select(F.col("key").alias(key), F.col("rules").alias(bits))
-    joined = df.withColumn(key, F.xxhash64(whole)).join(found, key, "left")
+    key, salt, bits = (fresh(df, c) for c in ("_key", "_salt", "_rules"))
+    found = settled(candidates(postings(df, whole, F.xxhash64(whole), rules), rules), "candidates")
+    found = found.select(F.col("key").alias(key), F.explode(F.array(*map(F.lit, range(SALTS)))).alias(salt), F.col("rules").alias(bits))
+    # Any salt will do, as each of them finds the candidate.
+    keyed = df.withColumn(key, F.xxhash64(whole)).withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    joined = keyed.join(found, [key, salt], "left")
     none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
     spans = []
     for k, rule in enumerate(rules):
         may = F.coalesce(F.col(bits).bitwiseAND(F.lit(1 << k)), F.lit(0)) != 0 if trigram_query(rule.pattern) else F.lit(True)
         spans.append(F.when(may & whole.rlike(rule.pattern), _spans(whole, rule)).otherwise(none))
-    return joined.withColumn(out, F.array_sort(F.concat(*spans))).drop(key, bits)
+    return joined.withColumn(out, F.array_sort(F.concat(*spans))).drop(key, salt, bits)
 
 
 def redact(df: DataFrame, text: str = "text", spans: str = "spans", mark: str = "[SECRET]") -> DataFrame:
@@ -197,6 +204,7 @@ BASE = ("assign", "access", "hex")
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The secrets of every document; null and empty texts have none. Rows that share a doc_id are scanned one by one."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = scan(docs).select("doc_id", "spans")
     joined = lambda a: F.array_join(F.transform(a, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")

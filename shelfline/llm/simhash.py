@@ -1,10 +1,10 @@
 """SimHash near-duplicates by tiled exact comparison.
 
 Fingerprints within `radius` bits agree on at least one of radius + 1 bands of bits, so each distinct fingerprint is
-dealt to its band values and compared only there; no link is lost. A band value with more than `tile` fingerprints is
-split into tiles, and pairs of tiles are dealt to tasks one by one. Within a pair, fingerprints are sorted by population
-count and compared in blocks by numpy exclusive-or and bit counts; pairs of blocks whose population counts differ by
-more than the radius are skipped. A pair of tiles gives back one edge for each fingerprint that it links, not all links.
+dealt to its band values and compared only there; no link is lost. A band value with more than `tile` fingerprints is cut
+into tiles of one population count each, and pairs of tiles are dealt to tasks one by one, but for those whose population
+counts differ by more than the radius: they are skipped before anything is shuffled. A pair of tiles is compared in
+blocks by numpy exclusive-or and bit counts. It gives back one edge for each fingerprint that it links, not all links.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from .components import components
 SHINGLE = 4
 RADIUS = 4
 TILE = 4096
+HOT = 1000
 _BLOCK = 512
 _SPACE = separators("space")
 
@@ -112,10 +113,18 @@ def edges(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFram
     fp = F.col("fingerprint")
     keys = [F.struct(F.lit(k).alias("band"), fp.bitwiseAND((((1 << cuts[k + 1]) - (1 << cuts[k])) + (1 << 63)) % (1 << 64) - (1 << 63)).alias("part")) for k in range(bands)]
     dealt = prints.select("fingerprint", F.explode(F.array(*keys)).alias("key")).select("fingerprint", "key.*")
-    sizes = dealt.groupBy("band", "part").agg(F.count("*").alias("size")).where("size > 1").withColumn("tiles", F.ceil(F.col("size") / tile).cast("int"))
+    dealt = dealt.withColumn("ones", F.bit_count("fingerprint"))
+    counts = dealt.groupBy("band", "part", "ones").agg(F.count("*").alias("n"))
+    tiles = F.struct("ones", F.ceil(F.col("n") / tile).cast("int").alias("tiles"))  # 65 for a band value at most
+    sizes = counts.groupBy("band", "part").agg(F.sum("n").alias("size"), F.collect_list(tiles).alias("counts")).where("size > 1")
     both = dealt.join(sizes, ["band", "part"])
-    own = F.pmod(F.xxhash64("fingerprint"), F.col("tiles")).cast("int")
-    to = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least(t, own).alias("one"), F.greatest(t, own).alias("two"), own.alias("own")))
+    near = F.filter("counts", lambda c: F.abs(c["ones"] - F.col("ones")) <= radius)
+    tiles_of = F.element_at(F.filter("counts", lambda c: c["ones"] == F.col("ones")), 1)["tiles"]
+    number = lambda ones, k: (ones * F.lit(1 << 40)).cast("long") + k
+    own = number(F.col("ones"), F.pmod(F.xxhash64("fingerprint"), tiles_of))
+    others = F.flatten(F.transform(near, lambda c: F.transform(F.sequence(F.lit(0), c["tiles"] - 1), lambda k: number(c["ones"], k))))
+    one_tile = F.struct(F.lit(0).cast("long").alias("one"), F.lit(0).cast("long").alias("two"), F.lit(0).cast("long").alias("own"))
+    to = F.when(F.col("size") <= tile, F.array(one_tile)).otherwise(F.transform(others, lambda t: F.struct(F.least(t, own).alias("one"), F.greatest(t, own).alias("two"), own.alias("own"))))
     spread = both.select("fingerprint", "band", "part", F.explode(to).alias("t")).select("fingerprint", "band", "part", "t.*")
     key = ["band", "part", "one", "two"]
     n = max(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
@@ -163,16 +172,21 @@ def classes(df: DataFrame, text: str = "text", key: str = "doc_id", radius: int
     Rows without a key are judged like others; a component of such rows alone has a null component_id. Equal texts have
     equal fingerprints and so the same component. An empty table gives no rows.
     """
-    docs = written(fingerprints(df.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").alias("t")), "t", shingle=shingle).select(key, "fingerprint"), "prints")
-    prints = written(docs.groupBy("fingerprint").agg(F.min(key).alias("least")), "distinct")
+    docs = written(fingerprints(df.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("t")), "t", shingle=shingle).select("_key", "fingerprint"), "prints")
+    prints = written(docs.groupBy("fingerprint").agg(F.min("_key").alias("least"), F.count("*").alias("n")), "distinct")
     roots = components(edges(prints.select("fingerprint"), radius, tile))
-    named = prints.join(roots, prints.fingerprint == roots.node, "left").select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
-    named = named.select("fingerprint", "root", "least")
+    named = prints.join(roots, prints.fingerprint == roots.node, "left").select("fingerprint", "least", "n", F.coalesce("root", "fingerprint").alias("root"))
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = named.join(smallest, "root").select("fingerprint", "component_id")
-    return docs.join(by_print, "fingerprint", "left").select(key, "fingerprint", "component_id")
+    by_print = written(named.join(smallest, "root").select("fingerprint", "n", "component_id"), "classes")
+    # Fingerprints that many rows share, HOT at most, are joined by broadcast, all others by their hash.
+    often = F.col("n") > F.lit(max(1, docs.count() // HOT))
+    hot, cold = (by_print.where(x).select(F.col("fingerprint").alias("f"), "component_id") for x in (often, ~often))
+    on = F.col("fingerprint") == F.col("f")
+    joined = docs.join(F.broadcast(hot), on).unionByName(docs.join(F.broadcast(hot), on, "left_anti").join(cold, on))
+    return joined.select(F.col("_key").alias(key), "fingerprint", "component_id")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and class of every document; null, empty and blank texts have fingerprint zero and are one class."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return classes(docs).withColumn("fingerprint", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")))
