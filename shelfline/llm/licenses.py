@@ -1,10 +1,11 @@
 """License scans over a positional rare-token index, in DataFrame operations only.
 
-The index holds, for every template, each of its words with its position (postings). The rarity of a licence word is its
-inverse document frequency over the scanned texts. Of each text the positions of its highest-IDF licence words are
+The index holds, for every template, its rare words with their positions (postings). The rarity of a licence word is its
+inverse document frequency over the scanned texts. Of each text the positions of its own highest-IDF licence words are
 looked up; a posting puts the template's start at the word's place less the posting's, and postings that agree on the
-start are added up. A start with enough of the template's words is verified: the template's mandatory key phrases must
-stand there. A template that is a phrase demands all of its words.
+start are added up. A start with enough of the template's words, of those as rare as the ones looked up in this text, is
+verified: the template's mandatory key phrases must stand there. A phrase is found by its rarest word, which is always
+looked up, and must stand there with all of its words.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower
 
-RARE = 24  # different licence words of a text that are looked up, the rarest first
+RARE = 24  # different licence words of a text that are looked up, the rarest first; those of phrases come on top
 
 
 @dataclass(frozen=True)
@@ -33,7 +34,7 @@ class Template:
 #: The contract's phrases and labels.
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
 
-#: Opening words of public licence notices. Fixed values.
+#: Passages of public licence notices. Fixed values.
 TEMPLATES = (
     Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ("permission is hereby granted",)),
     Template("apache", "licensed under the apache license version 2 0 you may not use this file except in compliance with the license", ("apache license",)),
@@ -45,6 +46,19 @@ TEMPLATES = (
     Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("with or without fee",)),
     Template("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
     Template("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", ("creative commons attribution",)),
+    Template("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", ("this permission notice shall be included",)),
+    Template("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability", ("the software is provided as is",)),
+    Template("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis", ("unless required by applicable law",)),
+    Template("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability", ("in the hope that it will be useful",)),
+    Template("gpl", "you should have received a copy of the gnu general public license along with this program", ("gnu general public license",)),
+    Template("agpl", "under the terms of the gnu affero general public license as published by the free software foundation", ("affero general public license",)),
+    Template("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer", ("redistributions in binary form",)),
+    Template("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software", ("endorse or promote products",)),
+    Template("boost", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation", ("person or organization",)),
+    Template("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages", ("in no event will the authors",)),
+    Template("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license", ("eclipse public license",)),
+    Template("cc0", "the person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights", ("dedicated the work to the public domain",)),
+    Template("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license", ("creative commons attribution sharealike",)),
     Template("all-rights-reserved", "all rights reserved", ("all rights reserved",), 1.0),
 )
 
@@ -82,41 +96,58 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text", templates=TEMPL
     place = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (-idf[w], w)))}
     index, detail = [], []
     for i, label, is_phrase, words, keys, share in entries:
-        chosen = sorted(range(len(words)), key=lambda p: (place[words[p]], p))[: 1 if is_phrase else min(rare, max(2, len(words) * 3 // 5))]
+        chosen = sorted(range(len(words)), key=lambda p: (place[words[p]], p))[: 1 if is_phrase else max(2, len(words) * 3 // 5)]
         index += [(words[p], i, p, k) for k, p in enumerate(chosen)]
-        detail.append((i, label, is_phrase, len(words), [" " + " ".join(k) + " " for k in keys], len(chosen), 1 if is_phrase else math.ceil(share * len(chosen))))
-    spark = df.sparkSession
+        detail.append((i, label, is_phrase, len(words), [" " + " ".join(k) + " " for k in keys], [place[words[p]] for p in chosen], share))
+    spark, wide = df.sparkSession, max(len(e[3]) for e in entries)
     posting = spark.createDataFrame(index, "word string, template int, offset int, bit int").join(
-        spark.createDataFrame(detail, "template int, label string, is_phrase boolean, long int, keys array<string>, size int, need int"), "template"
+        spark.createDataFrame(detail, "template int, label string, is_phrase boolean, long int, keys array<string>, places array<int>, share double"), "template"
     )
     # As long as the templates' rare words: the catalogue bounds it, not the corpus.
-    posting = posting.groupBy("word").agg(F.collect_list(F.struct("template", "offset", "bit", "label", "is_phrase", "long", "keys", "size", "need")).alias("found"))
-
-    rows = plain.select("_key", F.xxhash64("_t").alias("_x"), words_of(F.col("_t")).alias("w"))
-    first = F.coalesce(F.col("pos"), F.lit(0)) == 0
-    each = rows.select("_key", "_x", "w", F.posexplode_outer("w").alias("pos", "word")).where(first | F.col("word").isin(*sorted({x[0] for x in index})))
-    met = each.join(F.broadcast(posting), "word", "left")
-    kind = "array<struct<template:int,offset:int,bit:int,label:string,is_phrase:boolean,long:int,keys:array<string>,size:int,need:int>>"
-    text_row = F.array(F.struct(F.lit(-1).alias("template"), F.lit(0).alias("offset"), F.lit(0).alias("bit"), F.lit("").alias("label"), F.lit(False).alias("is_phrase"), F.lit(0).alias("long"), F.array().cast("array<string>").alias("keys"), F.lit(0).alias("size"), F.lit(0).alias("need")))
-    none = F.array().cast(kind)
-    votes = met.select("_key", "_x", "w", "pos", F.explode(F.concat(F.coalesce("found", none), F.when(first, text_row).otherwise(none))).alias("f")).select("_key", "_x", "w", "pos", "f.*")
-    start = F.when(F.col("template") >= 0, F.col("pos") - F.col("offset"))
-    stretch = F.concat(F.lit(" "), F.array_join(F.slice("w", F.greatest(start, F.lit(0)) + 1, F.greatest(F.col("long") + F.least(start, F.lit(0)), F.lit(0))), " "), F.lit(" "))
+    names = ["template", "offset", "bit", "label", "is_phrase", "long", "keys", "places", "share"]
+    posting = posting.groupBy("word").agg(F.collect_list(F.struct(*names)).alias("found"))
+
+    listed = sorted({x[0] for x in index})
+    anchors = {words[min(range(len(words)), key=lambda p: (place[words[p]], p))] for _, _, is_phrase, words, _, _ in entries if is_phrase}
+    ranks = F.create_map(*[F.lit(x) for w in listed for x in (w, place[w])])
+    split = plain.select("_key", F.xxhash64("_t").alias("_x"), words_of(F.col("_t")).alias("w"))
+    rows = split.withColumn("n", F.size("w")).withColumn("own", F.array_sort(F.transform(F.array_intersect("w", F.array(*map(F.lit, listed))), lambda x: F.element_at(ranks, x))))
+    rows = rows.withColumn("cut", F.when(F.size("own") > rare, F.element_at("own", rare)).otherwise(F.lit(len(vocabulary))))
+    looked = lambda x: x["word"].isin(*anchors) | (F.element_at(ranks, x["word"]) <= F.col("cut"))
+    hits = F.filter(F.transform("w", lambda x, i: F.struct(i.alias("pos"), x.alias("word"))), lambda x: x["word"].isin(*listed) & looked(x))
+    # A hit takes the words around it along, so that the text itself goes no further.
+    around = lambda x: F.slice("w", F.greatest(x["pos"] - wide, F.lit(0)) + 1, F.lit(2 * wide))
+    hits = F.transform(hits, lambda x: F.struct(x["pos"].alias("pos"), x["word"].alias("word"), around(x).alias("near")))
+    none = F.array(F.struct(F.lit(None).cast("int").alias("pos"), F.lit(None).cast("string").alias("word"), F.lit(None).cast("array<string>").alias("near")))
+    # A row for the text itself, whose template is -1, carries its number of words.
+    each = rows.select("_key", "_x", "n", "cut", F.explode(F.concat(none, hits)).alias("h")).select("_key", "_x", "n", "cut", "h.*")
+    own = F.array(F.struct(F.lit(-1).alias("template"), *[F.lit(None).cast(f"{t}").alias(c) for c, t in (("offset", "int"), ("bit", "int"), ("label", "string"), ("is_phrase", "boolean"), ("long", "int"), ("keys", "array<string>"), ("places", "array<int>"), ("share", "double"))]))
+    met = each.join(F.broadcast(posting), "word", "left").select("_key", "_x", "n", "cut", "pos", "near", F.explode(F.coalesce("found", own)).alias("f")).select("_key", "_x", "n", "cut", "pos", "near", "f.*")
+    # An anchor that is looked up for its phrase only says nothing of other templates.
+    met = met.where((F.col("template") < 0) | F.col("is_phrase") | (F.get("places", F.col("bit")) <= F.col("cut")))
+    start = F.col("pos") - F.col("offset")
+    from_ = start - F.greatest(F.col("pos") - wide, F.lit(0))  # the template's start among the words around
+    stretch = F.concat(F.lit(" "), F.array_join(F.slice("near", F.greatest(from_, F.lit(0)) + 1, F.greatest(F.col("long") + F.least(from_, F.lit(0)), F.lit(0))), " "), F.lit(" "))
     keyed = F.forall("keys", lambda k: F.contains(stretch, k))
-    votes = votes.select("_key", "_x", "template", start.alias("start"), "label", "is_phrase", "size", "need", F.size("w").alias("n"), F.expr("shiftleft(1L, bit)").alias("vote"), F.when(F.col("template") >= 0, keyed).alias("ok"))
-    starts = votes.groupBy("_key", "_x", "template", "start", "label", "is_phrase", "size", "need").agg(
+    size = F.size(F.filter("places", lambda p: F.col("is_phrase") | (p <= F.col("cut"))))
+    votes = met.select("_key", "_x", "n", "template", start.alias("start"), "label", "is_phrase", size.alias("size"), "share", F.expr("shiftleft(1L, bit)").alias("vote"), F.when(F.col("template") >= 0, keyed).alias("ok"))
+    starts = votes.groupBy("_key", "_x", "template", "start", "label", "is_phrase", "size", "share").agg(
         F.max("n").alias("n"), F.count("*").alias("rows"), F.bit_count(F.bit_or("vote")).alias("votes"), F.max("ok").alias("ok")
     )
-    good = F.col("ok") & (F.col("votes") >= F.col("need"))
-    found = F.struct("start", "label", "is_phrase", (F.col("votes") / F.col("size")).alias("score"))
+    good = F.col("ok") & (F.col("votes") >= F.ceil(F.col("share") * F.col("size")))
+    found = F.struct("start", "label", "is_phrase", F.try_divide("votes", "size").alias("score"))
     per = starts.groupBy("_key", "_x").agg(
         F.max("n").cast("long").alias("n_words"), F.sum(F.when(F.col("template") < 0, F.col("rows"))).alias("copies"), F.array_sort(F.collect_list(F.when(good, found))).alias("places")
     )
-    whole = per.select(F.col("_key").alias(key), "n_words", "places", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy"))
+    whole = per.select(F.col("_key").alias(key), "n_words", "places", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("_copy"))
     return whole.drop("_copy")
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence phrases and notices of every document; null and empty texts have no words, places or labels.
+
+    Rows that share doc_id and text give equal rows; score is the best place's, 0 without one.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     base = F.filter("places", lambda p: p["is_phrase"])
     starts = F.transform(base, lambda p: p["start"].cast("long"))

@@ -359,6 +359,36 @@ def test_phrases_are_found_at_their_words(spark):
             assert [(p.start, p.label) for p in r.places if not p.is_phrase] == [(50, "mit")]
 
 
+def brute_places(text, idf, rare):
+    """Templates by comparing words, without an index."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(LOW))
+    entries = licenses.catalogue()
+    place = {w: i for i, w in enumerate(sorted(idf, key=lambda w: (-idf[w], w)))}
+    chosen = {e[0]: sorted(range(len(e[3])), key=lambda p: (place[e[3][p]], p))[: 1 if e[2] else max(2, len(e[3]) * 3 // 5)] for e in entries}
+    listed = {e[3][p] for e in entries for p in chosen[e[0]]}
+    own = sorted(place[w] for w in set(words) & listed)
+    cut = own[rare - 1] if len(own) > rare else len(idf)
+    out = []
+    for i, label, is_phrase, tw, keys, share in entries:
+        looked = [p for p in chosen[i] if is_phrase or place[tw[p]] <= cut]
+        for start in range(1 - len(tw), len(words)):
+            votes = sum(0 <= start + p < len(words) and words[start + p] == tw[p] for p in looked)
+            there = " " + " ".join(words[max(0, start) : max(0, start + len(tw))]) + " "
+            if votes and votes >= math.ceil(share * len(looked)) and all(" " + " ".join(k) + " " in there for k in keys):
+                out.append((start, label, is_phrase, round(votes / len(looked), 9)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("rare", [licenses.RARE, 6])
+def test_notices_are_those_of_a_scan_without_index(spark, rare):
+    all_ = [t.text for t in licenses.TEMPLATES]
+    texts = [*all_, " filler words ".join(all_), "of the and " * 300 + all_[0] + " or any " * 7000 + all_[2], all_[1].replace("compliance", "zzz"), " ".join(all_[5].split()[3:]), LONG, "cc by " * 40]
+    df = spark.createDataFrame([(i, t, "mine") for i, t in enumerate(texts)], "doc_id long, text string, _x string")
+    idf = licenses.rarity(df.select(licenses.words_of(F.col("text")).alias("w")), sorted({w for e in licenses.catalogue() for w in e[3]}))
+    for r in licenses.scan(df, rare=rare).collect():
+        assert sorted((p.start, p.label, p.is_phrase, round(p.score, 9)) for p in r.places) == brute_places(texts[r.doc_id], idf, rare), r.doc_id
+
+
 def test_licences_of_nothing(spark, empty_folder, folder):
     assert licenses.op5_licenses(spark, empty_folder).count() == 0
     assert licenses.op5_licenses(spark, folder).count() == 73
