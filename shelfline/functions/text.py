@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -176,3 +177,106 @@ def inferred_chain(code: Column, name: Column) -> Column:
     for pattern, chain in (("(?i)ロフト|loft", "ロフト"), ("(?i)ハンズ|hands", "ハンズ"), ("(?i)@cosme|アットコスメ", "@cosme STORE"), ("(?i)アインズ|ainz", "アインズ")):
         out = out.when(name.rlike(pattern), chain)
     return out.otherwise("")
+
+
+def jan_value(c: Column, number: Column) -> Column:
+    """A sell-out cell as JAN: numbers without their fraction, exponents written out; text needs eight digits; empty otherwise."""
+    t = F.coalesce(c, F.lit(""))
+    t = F.regexp_replace(t, f"^[{BLANK}]+|[{BLANK}]+$", "")
+    whole = t.try_cast("decimal(38,10)")
+    plain = F.when(whole < 0, F.ceil(whole)).otherwise(F.floor(whole)).cast("string")
+    digits = F.length(F.regexp_replace(t, "[^0-9]", ""))
+    return F.when(number & whole.isNotNull(), plain).when(t.rlike(r"(?i)^\d+(\.\d+)?e\+\d+$"), plain).when(digits >= 8, F.regexp_replace(t, f"[{BLANK}]+", "")).otherwise("")
+
+
+def jan_cell(c: Column, number: Column) -> Column:
+    """A product-master cell as JAN: numbers rounded halves up, text without blanks and without `.0` at its end."""
+    n = c.try_cast("decimal(38,10)")
+    return F.when(number & n.isNotNull(), F.floor(n + F.lit(0.5).cast("decimal(2,1)")).cast("string")).otherwise(F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), f"[{BLANK}]", ""), r"\.0$", ""))
+
+
+def unit_volume(value: Column, unit: Column) -> Column:
+    """Value and unit with a blank between; ml is written mL; the value alone without a unit, empty without a value."""
+    u = trim(unit)
+    u = F.when(u == "ml", "mL").otherwise(u)
+    v = F.coalesce(value.cast("string"), F.lit(""))
+    return F.when(v == "", "").when(u == "", v).otherwise(F.concat(v, F.lit(" "), u))
+
+
+def preferred_name(other: Column, name: Column) -> Column:
+    """The formal, or the export's, name where it is not blank, else the name."""
+    return F.coalesce(F.nullif(trim(other), F.lit("")), name, F.lit(""))
+
+
+def format_key(key: Column, file_name: Column) -> Column:
+    """A row list whose file is called an address book is a promotional address list."""
+    return F.when((key == "row-list") & F.contains(file_name, F.lit("住所録")), "promotional-address-list").otherwise(key)
+
+
+def has_useful_text(c: Column) -> Column:
+    """Twenty characters or more that are neither blank nor a page mark."""
+    marks = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?i)--\s*\d+\s*of\s*\d+\s*--", "")
+    return F.length(F.regexp_replace(marks, r"\s", "")) >= 20
+
+
+def text_quality(c: Column) -> Column:
+    """Length, 200 for each 13-digit number, 100 for each date, 3 for each Japanese character, 1 for each digit; blanks don't count."""
+    t = F.regexp_replace(F.coalesce(c, F.lit("")), r"\s", "")
+    n = lambda p: F.regexp_count(t, F.lit(p))
+    return F.length(t) + 200 * n(r"\d{13}") + 100 * n(r"\d{4}[/\-.年月]\d{1,2}[/\-.月]\d{1,2}") + 3 * n(r"[\p{IsHiragana}\p{IsKatakana}\p{IsHan}]") + n(r"\d")
+
+
+#: Labels around the ship-to part of an order. Fixed values.
+SHIP_TO = ("お届け先", "お届先", "納品先")
+SHIP_TO_ENDS = ("お届け先住所", "お届先住所", "納品先住所", "お届け先TEL", "お届先TEL", "納品先TEL", "発注先", "発注元")
+
+
+def ship_to_block(c: Column) -> Column:
+    """Up to seven lines after the first ship-to label, as far as a line that holds another label; empty without one."""
+    lines = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), "\r?\n"), trim), lambda x: x != "")
+    start = f"^({'|'.join(SHIP_TO)})(|[:：]| .*)$"
+    is_label = lambda x: x.rlike(start) & ~F.contains(x, F.lit("住所")) & ~F.contains(x, F.lit("TEL"))
+    at = F.array_position(F.transform(lines, is_label), True).cast("int")
+    rest = F.when(at > 0, F.slice(lines, F.greatest(at, F.lit(1)) + 1, F.lit(7)))
+    end = F.array_position(F.transform(rest, lambda x: x.rlike("|".join(SHIP_TO_ENDS))), True).cast("int")
+    return F.coalesce(F.array_join(F.when(end > 0, F.slice(rest, F.lit(1), end - 1)).otherwise(rest), "\n"), F.lit(""))
+
+
+#: Words of an order that tell its wholesaler. Fixed values.
+WHOLESALERS = (("大山", "081701|大山|オオヤマ|フィットエクスプレス"), ("あらた", "あらた|アラタ"))
+
+
+def wholesaler(c: Column) -> Column:
+    """The wholesaler that a text names, the first of the list on ties; empty without one."""
+    t = nfkc(F.coalesce(c, F.lit("")))
+    return F.coalesce(*[F.when(t.rlike(p), name) for name, p in WHOLESALERS], F.lit(""))
+
+
+#: Parts of store names of two chains. Fixed values.
+COSME_TOKENS = (
+    "cosme", "アットコスメ", "ルミネ", "マルイ", "ニュウマン", "アミュエスト", "天満橋", "なんばウォーク", "サンシャイン", "mozo", "フォーラス", "ステラプレイス",
+    "ラゾーナ", "ららぽーと", "シドニー", "錦糸町", "マルート", "tsutaya", "イオンモール高崎", "イオンモール高岡", "イオンモール浦和美園", "アトレ亀戸", "金沢",
+)
+AEON_PREFIXES = ("イオンスタイル", "イオンリテール", "イオンスーパー", "イオンモール", "aeon")
+
+
+def plain_key(c: Column) -> Column:
+    """A name for comparison: NFKC, lower case, without blanks, dashes and brackets."""
+    return F.regexp_replace(F.lower(nfkc(F.coalesce(c, F.lit("")))), f"[{BLANK}{SYMBOLS}]", "")
+
+
+def _plain(text: str) -> str:
+    return re.sub(f"[{BLANK}{SYMBOLS}]", "", unicodedata.normalize("NFKC", text).lower())
+
+
+def cosme_score(key: Column) -> Column:
+    """How surely a plain key names a store of @cosme: 1000 and its length, else 500 and the longest part's length, else 0."""
+    best = [F.when((key != "") & (F.contains(key, F.lit(t)) | F.contains(F.lit(t), key)), 500 + len(t)).otherwise(0) for t in map(_plain, COSME_TOKENS)]
+    named = F.contains(key, F.lit("cosme")) | F.contains(key, F.lit(_plain("アットコスメ")))
+    return F.when(named, F.length(key) + 1000).otherwise(F.greatest(*best))
+
+
+def aeon_score(key: Column) -> Column:
+    """How surely a plain key names a store of AEON: its length and 200 if it starts like one and is none of @cosme's, else 0."""
+    starts = key.rlike("^(" + "|".join(map(_plain, AEON_PREFIXES)) + ")")
+    return F.when((cosme_score(key) == 0) & starts, F.length(key) + 200).otherwise(0)

@@ -6,19 +6,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from .stores import newest
 
 IMPORTS_READ = 100
 
 
 def latest_imports(imports: DataFrame, read: int | None = IMPORTS_READ) -> DataFrame:
-    """The `read` newest imports, and of these the newest of each retailer and period; imports without a retailer are left out.
+    """The `read` newest imports of each client, and of these the newest of each retailer and period; imports without a retailer are left out.
 
     The limit comes first: it is what the report reads. Without one (None) all imports count.
     """
-    newest = imports if read is None else imports.orderBy(F.desc("imported_at"), F.desc("import_id")).limit(read)
-    newest = newest.where("coalesce(retailer, '') <> ''")
+    newest_ = imports if read is None else newest(imports, read)
+    newest_ = newest_.where("coalesce(retailer, '') <> ''")
     rank = F.row_number().over(Window.partitionBy("retailer", "period_start", "period_end").orderBy(F.desc("imported_at"), F.desc("import_id")))
-    return newest.withColumn("_r", rank).where("_r = 1").drop("_r")
+    return newest_.withColumn("_r", rank).where("_r = 1").drop("_r")
 
 
 def entries_of(entries: DataFrame, imports: DataFrame) -> DataFrame:

@@ -10,9 +10,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.testdata import Tables
-from . import imports, introductions, layouts, lifecycle, lists, masters, matching, sellin, sellout, sheets
+from . import imports, introductions, layouts, lifecycle, lists, masters, matching, sellin, sellout, sheets, stores
 
-MODULES = (sellin, lifecycle, imports, sellout, introductions, layouts, matching, masters, sheets, lists)
+MODULES = (sellin, lifecycle, imports, sellout, introductions, layouts, matching, masters, sheets, lists, stores)
 
 
 def _all() -> dict[str, tuple]:

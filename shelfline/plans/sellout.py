@@ -8,7 +8,7 @@ from ..operators import sellout as op
 from ..sources.testdata import Tables
 from .views import using
 
-READ = 400  # imports; the small folders have 2,074 nation-months in two versions
+READ = op.IMPORTS_READ  # of each client
 
 
 def _latest(t: Tables, read: int | None) -> DataFrame:
@@ -19,7 +19,7 @@ def _named(t: Tables, read: int | None) -> DataFrame:
     return op.with_product_names(_latest(t, read), t.products().where("client_id = 'C1'"))
 
 
-_LATEST = """, newest AS (SELECT * FROM sellout_imports ORDER BY imported_at DESC, import_id DESC{limit}),
+_LATEST = """, newest AS (SELECT * FROM sellout_imports{limit}),
 latest AS (SELECT * FROM newest QUALIFY row_number() OVER (PARTITION BY retailer, period_start, period_end ORDER BY imported_at DESC, import_id DESC) = 1),
 own AS (SELECT *, coalesce(nullif(matched_store_name, ''), nullif(store_name, ''), '店舗不明') AS store, strftime(period_end, '%Y-%m') AS label FROM sellout_entries WHERE import_id IN (SELECT import_id FROM latest)),
 named AS (SELECT o.* REPLACE (coalesce(nullif(p.name, ''), nullif(o.product_name, ''), '未登録') AS product_name) FROM own o LEFT JOIN (SELECT * FROM products WHERE client_id = 'C1') p ON p.jan = o.jan)
@@ -27,13 +27,13 @@ named AS (SELECT o.* REPLACE (coalesce(nullif(p.name, ''), nullif(o.product_name
 
 
 def _sql(read: int | None, tail: str) -> str:
-    return using("products sellout_entries sellout_imports", _LATEST.replace("{limit}", "" if read is None else f" LIMIT {read}") + tail)
+    return using("products sellout_entries sellout_imports", _LATEST.replace("{limit}", "" if read is None else f" QUALIFY row_number() OVER (PARTITION BY client_id ORDER BY imported_at DESC, import_id DESC) <= {read}") + tail)
 
 
 _FILTER = "retailer = 'NATION_3' AND contains(lower(store), 'shop 1') AND label LIKE '2001-%'"
 
 def _reports(read: int | None) -> dict:
-    """The reports over the `read` newest imports, or over all of them."""
+    """The reports over the `read` newest imports of each client, which is what its screen reads, or over all of them."""
     return {
         "sellout_latest_imports": (lambda t: op.latest_imports(t.sellout_imports(), read).select("import_id", "entry_count"), _sql(read, "SELECT import_id, entry_count FROM latest")),
         "sellout_import_summary": (

@@ -27,7 +27,7 @@ VIEWS = {
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN part ON l_partkey = p_partkey""",
     "import_batches": """SELECT 'B' || event_id AS id, CASE WHEN user_id % 11 = 0 THEN ' ' ELSE CASE WHEN event_id % 2 = 0 THEN 'Order ' ELSE 'order ' END || (user_id % 40) || '.PDF ' END AS file_name,
   CASE event_type WHEN 'error' THEN 'blocked' WHEN 'purchase' THEN 'saved' ELSE 'checked' END AS status, ts AS imported_at, event_id AS ord FROM events""",
-    "sellout_imports": """SELECT import_id, retailer, period_start, period_end, version, count(*) AS entry_count, CAST(period_end AS TIMESTAMP) + version * INTERVAL 1 DAY AS imported_at FROM sellout_entries GROUP BY ALL""",
+    "sellout_imports": """SELECT import_id, retailer, period_start, period_end, version, count(*) AS entry_count, CAST(period_end AS TIMESTAMP) + version * INTERVAL 1 DAY AS imported_at, 'C' || (CAST(regexp_extract(retailer, '(\\d+)$', 1) AS INT) % 5) AS client_id FROM sellout_entries GROUP BY ALL""",
 }
 
 

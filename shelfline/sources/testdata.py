@@ -78,7 +78,7 @@ class Tables:
         e = self.sellout_entries()
         return e.groupBy("import_id", "retailer", "period_start", "period_end", "version").agg(F.count("*").alias("entry_count")).withColumn(
             "imported_at", F.expr("cast(period_end as timestamp) + make_interval(0, 0, 0, version)")
-        )
+        ).withColumn("client_id", _client(F.regexp_extract("retailer", r"(\d+)$", 1).cast("int") % 5))
 
     def sellout_entries(self) -> DataFrame:
         nation = self.raw("nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
