@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from .matching import _meet
 
 LEAD = 8  # by which the best centre name must be ahead
 
@@ -83,7 +84,8 @@ def resolve(documents: DataFrame, destinations: DataFrame) -> DataFrame:
     one = pick(1, "code", base.join(d, F.col("t_code") == F.col("d_code")), many, ~postal_only | compatible())
     two = pick(2, "code", base.where("given <> ''").join(d, F.col("given") == F.col("d_key")), many, ~postal_only | compatible())
 
-    near = base.where("center <> ''").withColumn("g", F.substring("center", 1, 4)).join(dest.withColumn("g", F.substring("d_center", 1, 4)), "g").drop("g")
+    pairs = _meet(base.where("center <> ''").select("center").distinct(), "center", dest.where("d_center <> ''").select("d_center").distinct(), "d_center")
+    near = base.join(pairs, "center").join(dest, "d_center")
     points = F.when(F.col("d_center") == F.col("center"), 100).when((F.length("d_center") >= 8) & (F.contains("center", F.col("d_center")) | F.contains("d_center", F.col("center"))), 80).when((F.length("d_center") >= 6) & F.contains("center", F.col("d_center")), 60)
     w = Window.partitionBy("doc_id").orderBy(F.desc("points"), "d_code")
     ranked = near.withColumn("points", points).where("points IS NOT NULL").withColumn("r", F.row_number().over(w)).withColumn("next", F.lead("points").over(w))

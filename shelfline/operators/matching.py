@@ -86,13 +86,31 @@ def memo_chains(memos: DataFrame, stores: DataFrame, memo: str = "memo") -> Data
     return own.join(best, "memo", "left").select("memo", F.coalesce("first", "best", F.lit(tx.UNKNOWN)).alias("chain"))
 
 
+def _grams(c: str, n: int) -> Column:
+    """The different grams of up to n characters; of a shorter text the text itself among them."""
+    of = lambda k: F.transform(F.sequence(F.lit(1), F.length(c) - k + 1), lambda i: F.substring(F.col(c), i, F.lit(k)))
+    return F.array_distinct(F.concat(*[F.when(F.length(c) >= k, of(k)).otherwise(F.array().cast("array<string>")) for k in range(1, n + 1)]))
+
+
+def _inside(a: DataFrame, x: str, b: DataFrame, y: str, n: int = 4) -> DataFrame:
+    """Pairs where y holds x. They meet on that gram of x, of n characters or all of a shorter one, which the fewest y hold.
+
+    A gram of x that no y holds rules x out. Names that share their beginning so meet on what tells them apart.
+    """
+    size = F.least(F.length(x), F.lit(n))
+    own = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(x) - size + 1), lambda i: F.substring(F.col(x), i, size)))
+    held = b.where(F.length(y) > 0).select(y).distinct().withColumn("_g", F.explode(_grams(y, n)))
+    count = held.groupBy("_g").agg(F.count("*").alias("_n"))
+    asked = a.where(F.length(x) > 0).select(x).distinct().withColumn("_g", F.explode(own)).join(count, "_g", "left")
+    rare = asked.groupBy(x).agg(F.min_by("_g", F.struct("_n", "_g")).alias("_g"), F.count_if(F.col("_n").isNull()).alias("_none")).where("_none = 0").select(x, "_g")
+    pairs = rare.join(held, "_g").where(F.contains(F.col(y), F.col(x))).select(x, y)
+    return a.join(pairs, x).join(b, y)
+
+
 def _meet(a: DataFrame, x: str, b: DataFrame, y: str) -> DataFrame:
-    """Pairs where one text holds the other, by equi joins on the shorter one's first gram of up to two characters."""
-    gram = lambda c: F.substring(c, 1, 2)
-    every = lambda c: F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.array(F.substring(F.col(c), i, F.lit(1)), F.substring(F.col(c), i, F.lit(2))))))
-    inside = a.withColumn("_g", gram(F.col(x))).join(b.withColumn("_g", F.explode(every(y))), "_g").where(F.contains(F.col(y), F.col(x)))
-    around = a.withColumn("_g", F.explode(every(x))).join(b.withColumn("_g", gram(F.col(y))), "_g").where(F.contains(F.col(x), F.col(y)))
-    return inside.unionByName(around).drop("_g").distinct()
+    """Pairs where one text holds the other."""
+    both = [*a.columns, *b.columns]
+    return _inside(a, x, b, y).select(*both).unionByName(_inside(b, y, a, x).select(*both)).distinct()
 
 
 def channels(stores: DataFrame, name: str = "store_name", matched: str = "matched_store_name") -> DataFrame:
@@ -165,10 +183,17 @@ def resolve_locations(entries: DataFrame, locations: DataFrame) -> DataFrame:
 
 
 def _loose(keys: DataFrame, names: DataFrame) -> DataFrame:
-    """Pairs (key, cand) that are loosely equal, met over three- and four-character grams."""
-    grams = lambda c, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(F.col(c), i, F.lit(n))))
-    core = F.substring("key", 1, 6)
-    head = keys.withColumn("g", F.substring("key", 1, 3)).join(names.withColumn("g", F.substring("cand", 1, 3)), "g").where(F.startswith("cand", F.col("key")) | F.startswith("key", F.col("cand")))
-    inside = keys.where(F.length("key") >= 4).withColumn("g", F.substring("key", 1, 4)).join(names.where(F.length("cand") >= 4).withColumn("g", F.explode(grams("cand", 4))), "g").where(F.contains("cand", core))
-    around = keys.where(F.length("key") >= 4).withColumn("g", F.explode(grams("key", 4))).join(names.where(F.length("cand") >= 4).withColumn("g", F.substring("cand", 1, 4)), "g").where(F.contains("key", F.col("cand")))
-    return head.unionByName(inside).unionByName(around).drop("g")
+    """Pairs (key, cand) that are loosely equal, of a key only the first location where its first six characters stand.
+
+    Beginnings meet as wholes: each text's beginnings are joined with the other texts. Of equal first six characters, which
+    many names share, one stands for all, and only the first location that holds them counts.
+    """
+    begin = lambda c: F.transform(F.sequence(F.lit(3), F.length(c)), lambda i: F.substring(F.col(c), F.lit(1), i))
+    ahead = names.withColumn("_p", F.explode(begin("cand"))).join(keys, F.col("_p") == F.col("key")).drop("_p")
+    behind = keys.withColumn("_p", F.explode(begin("key"))).join(names, F.col("_p") == F.col("cand")).drop("_p")
+    cores = keys.where(F.length("key") >= 4).select(F.substring("key", 1, 6).alias("core")).distinct()
+    first = _inside(cores, "core", names.where(F.length("cand") >= 4), "cand").groupBy("core").agg(F.min(F.struct("l_name", "l_code", "cand")).alias("_l")).select("core", "_l.*")
+    inside = keys.where(F.length("key") >= 4).withColumn("core", F.substring("key", 1, 6)).join(first, "core").drop("core")
+    around = _inside(names.where(F.length("cand") >= 4), "cand", keys, "key")
+    cols = [*keys.columns, *names.columns]
+    return ahead.select(*cols).unionByName(behind.select(*cols)).unionByName(inside.select(*cols)).unionByName(around.select(*cols))

@@ -30,20 +30,20 @@ def _memos(t: Tables) -> DataFrame:
 
 
 def _stores(t: Tables) -> DataFrame:
-    """Locations under reversed names, so that names begin differently."""
-    return t.store_locations().select("store_code", F.reverse("store_name").alias("store_name"))
+    return t.store_locations().select("store_code", "store_name")
 
 
 def _entries(t: Tables) -> DataFrame:
-    n = F.col("store_code").cast("int") % 4
-    name = F.when(n == 0, F.concat(F.upper("store_name"), F.lit(" 店"))).when(n == 1, F.concat("store_name", F.lit("annex"))).when(n == 2, "zz").otherwise(F.concat(F.lit("q"), "store_code"))
+    """By an equal name, by one that goes on, by code alone, by the first six characters, or not at all."""
+    n = F.col("store_code").cast("int") % 5
+    name = F.when(n == 0, F.concat(F.upper("store_name"), F.lit(" 店"))).when(n == 1, F.concat("store_name", F.lit("annex"))).when(n == 2, "zz").when(n == 3, F.concat(F.lit("custom"), "store_code")).otherwise(F.concat(F.lit("q"), "store_code"))
     code = F.when(n == 2, F.col("store_code")).otherwise("")
     return _stores(t).select(name.alias("store_name"), code.alias("store_code"))
 
 
-_ENTRIES = """, loc AS (SELECT store_code AS l_code, lower(reverse(store_name)) AS l_key, CAST(store_code AS INT) AS n FROM store_locations),
-e AS (SELECT DISTINCT CASE n % 4 WHEN 0 THEN upper(l_key) || ' 店' WHEN 1 THEN reverse(store_name) || 'annex' WHEN 2 THEN 'zz' ELSE 'q' || l_code END AS store_name, CASE n % 4 WHEN 2 THEN l_code ELSE '' END AS store_code, n, l_code, l_key FROM loc JOIN store_locations s ON s.store_code = l_code),
-loose AS (SELECT e.store_name, arg_min(c.l_code, {'k': c.l_key, 'c': c.l_code}) AS code FROM (SELECT store_name, lower(store_name) AS k FROM e WHERE n % 4 = 1) e JOIN loc c
+_ENTRIES = """, loc AS (SELECT store_code AS l_code, lower(store_name) AS l_key, CAST(store_code AS INT) AS n FROM store_locations),
+e AS (SELECT DISTINCT CASE n % 5 WHEN 0 THEN upper(l_key) || ' 店' WHEN 1 THEN store_name || 'annex' WHEN 2 THEN 'zz' WHEN 3 THEN 'custom' || l_code ELSE 'q' || l_code END AS store_name, CASE n % 5 WHEN 2 THEN l_code ELSE '' END AS store_code, n, l_code, l_key FROM loc JOIN store_locations s ON s.store_code = l_code),
+loose AS (SELECT e.store_name, arg_min(c.l_code, {'k': c.l_key, 'c': c.l_code}) AS code FROM (SELECT store_name, lower(store_name) AS k FROM e WHERE n % 5 IN (1, 3, 4)) e JOIN loc c
   ON starts_with(c.l_key, k) OR starts_with(k, c.l_key) OR contains(c.l_key, k) OR contains(k, c.l_key) OR contains(c.l_key, substr(k, 1, 6)) GROUP BY e.store_name)
 """
 
@@ -73,8 +73,8 @@ def _destinations(t: Tables) -> DataFrame:
 
 
 def _delivery_docs(t: Tables) -> DataFrame:
-    """A document for each order of a week: by code in the text, by code beside it, by postal code with the address, by phone with it, or by none."""
-    o = t.raw("orders").where("o_orderdate < DATE '1995-02-01'").join(t.raw("customer"), F.col("o_custkey") == F.col("c_custkey"))
+    """A document for each order: by code in the text, by code beside it, by postal code with the address, by phone with it, by a centre's name with more behind it, or by none."""
+    o = t.raw("orders").join(t.raw("customer"), F.col("o_custkey") == F.col("c_custkey"))
     k, no = F.col("c_nationkey"), F.lpad(F.col("c_nationkey").cast("string"), 4, "0")
     address = F.concat(F.lit("東京都港区"), k + 1, F.lit("-2-3"))
     kind = F.col("o_orderkey") % 5
@@ -83,19 +83,20 @@ def _delivery_docs(t: Tables) -> DataFrame:
         F.when(kind == 0, F.concat(F.lit("納品先 "), F.when(even, F.concat(F.lit("D-77"), no)).otherwise("X"), F.lit(" 御中")))
         .when(kind == 2, F.concat(F.lit("〒200-"), no, F.lit(" "), address))
         .when(kind == 3, F.concat(F.lit("TEL 03-5555-"), no, F.lit(" "), address))
+        .when((kind == 4) & even, address)
         .otherwise("なし")
     )
-    return o.select("o_orderkey", k.alias("n"), F.col("o_orderkey").alias("doc_id"), text.alias("text"), F.when((kind == 1) & even, F.concat(F.lit("d77"), no)).otherwise("").alias("code"), F.lit("").alias("center_name"))
+    return o.select("o_orderkey", k.alias("n"), F.col("o_orderkey").alias("doc_id"), text.alias("text"), F.when((kind == 1) & even, F.concat(F.lit("d77"), no)).otherwise("").alias("code"), F.when((kind == 4) & even, F.concat(F.lit("物流センター NATION_"), k, F.lit(" 第一倉庫"))).otherwise("").alias("center_name"))
 
 
 def _maker(t: Tables) -> DataFrame:
-    o = t.orders().where("order_date BETWEEN DATE '1997-07-01' AND DATE '1997-07-31'")
+    o = t.orders()
     n = F.regexp_extract("warehouse", r"(\d+)$", 1).cast("int")
     o = o.withColumn("ship_to_center", F.when(n % 2 == 0, F.concat(F.lit("d77"), F.lpad(n.cast("string"), 4, "0"))).otherwise("")).withColumn("ship_to_address", F.lit("999-0001 大阪府大阪市北区9-9"))
     return ex.maker_rows(o, t.order_lines(), t.products(), _destinations(t))
 
 
-_MAKER = """, o AS (SELECT *, CAST(substr(warehouse, 8) AS INT) AS n FROM shop_orders WHERE order_date BETWEEN DATE '1997-07-01' AND DATE '1997-07-31' AND status IN ('confirmed', 'shipped')),
+_MAKER = """, o AS (SELECT *, CAST(substr(warehouse, 8) AS INT) AS n FROM shop_orders WHERE status IN ('confirmed', 'shipped')),
 r AS (SELECT o.*, l.line_no, l.jan, l.qty, coalesce(p.wholesale_price, 0e0) AS price, coalesce(p.wholesale_price, 0e0) * l.qty AS amount, p.name, p.internal_sku, lpad(CAST(n AS VARCHAR), 4, '0') AS no
   FROM order_lines l JOIN o ON o.id = l.order_id LEFT JOIN products p ON p.client_id = o.client_id AND p.jan = l.jan)
 SELECT order_no, line_no, lpad(order_no, CAST(greatest(8, length(order_no)) AS INTEGER), '0') AS c1, CASE WHEN n % 2 = 0 THEN 'D-77' || no ELSE '' END AS c2, 'FBP' AS c3, CASE WHEN n % 2 = 0 THEN '物流センターNATION_' || n ELSE ship_to_name END AS c4,
@@ -156,7 +157,7 @@ QUERIES = {
         using(
             "store_locations",
             _ENTRIES
-            + """SELECT e.store_name, e.store_code, CASE n % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 END AS step, CASE n % 4 WHEN 0 THEN l_code WHEN 1 THEN loose.code WHEN 2 THEN l_code END AS matched_code
+            + """SELECT e.store_name, e.store_code, CASE WHEN n % 5 = 0 THEN 1 WHEN n % 5 = 2 THEN 3 WHEN loose.code IS NOT NULL THEN 2 END AS step, CASE WHEN n % 5 IN (0, 2) THEN l_code ELSE loose.code END AS matched_code
 FROM e LEFT JOIN loose ON loose.store_name = e.store_name""",
         ),
     ),
@@ -166,10 +167,10 @@ FROM e LEFT JOIN loose ON loose.store_name = e.store_name""",
     ),
     "delivery_destinations": (
         lambda t: ds.resolve(_delivery_docs(t), _destinations(t)),
-        """SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 5 IN (2, 3) OR (o_orderkey % 5 IN (0, 1) AND c_nationkey % 2 = 0) THEN CASE WHEN c_nationkey % 2 = 0 THEN 'D-77' || lpad(CAST(c_nationkey AS VARCHAR), 4, '0') ELSE '200-' || lpad(CAST(c_nationkey AS VARCHAR), 4, '0') END END AS code,
-  CASE WHEN o_orderkey % 5 IN (0, 1) AND c_nationkey % 2 = 0 THEN 'code' WHEN o_orderkey % 5 = 2 THEN CASE WHEN c_nationkey % 2 = 1 THEN 'code' ELSE 'postal' END WHEN o_orderkey % 5 = 3 THEN 'tel' ELSE 'none' END AS method,
-  NOT (o_orderkey % 5 IN (2, 3) OR (o_orderkey % 5 IN (0, 1) AND c_nationkey % 2 = 0)) AS needs_review
-FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderdate < DATE '1995-02-01'""",
+        # A name of two digits holds that of its first digit too, so no name leads.
+        """WITH d AS (SELECT o_orderkey AS doc_id, c_nationkey AS k, o_orderkey % 5 AS kind, c_nationkey % 2 = 0 AS even, CASE WHEN c_nationkey % 2 = 0 THEN 'D-77' || lpad(CAST(c_nationkey AS VARCHAR), 4, '0') ELSE '200-' || lpad(CAST(c_nationkey AS VARCHAR), 4, '0') END AS own FROM orders JOIN customer ON o_custkey = c_custkey),
+m AS (SELECT *, CASE WHEN kind IN (0, 1) AND even THEN 'code' WHEN kind = 2 THEN CASE WHEN even THEN 'postal' ELSE 'code' END WHEN kind = 3 THEN 'tel' WHEN kind = 4 AND even AND k < 10 THEN 'centerName' ELSE 'none' END AS method FROM d)
+SELECT doc_id, CASE WHEN method <> 'none' THEN own END AS code, method, method IN ('none', 'centerName') AS needs_review FROM m""",
     ),
     "maker_rows": (lambda t: _maker(t).withColumn("line_no", F.col("line_no").cast("long")), using("products shop_orders order_lines", _MAKER)),
     "sell_in_export": (
