@@ -64,8 +64,8 @@ def to_day(c: Column) -> Column:
     return F.try_to_date(F.concat(text[0], F.lit("-"), F.lpad(text[1], 2, "0"), F.lit("-"), F.lpad(text[2], 2, "0")), "yyyy-MM-dd")
 
 
-def errors(rows: DataFrame, header_row: int = 1) -> DataFrame:
-    """file_id, row_number, field, message, drops: every fault of every row; drops: the row cannot become a line."""
+def _faults() -> Column:
+    """array<struct<field, message, drops>> of a row's faults; drops: the row cannot become a line."""
 
     def fault(field: str, message: str, bad: Column, drops: bool) -> Column:
         return F.when(bad, F.struct(F.lit(field).alias("field"), F.lit(message).alias("message"), F.lit(drops).alias("drops")))
@@ -74,7 +74,12 @@ def errors(rows: DataFrame, header_row: int = 1) -> DataFrame:
     qty = F.col("qty").try_cast("double")
     found.append(fault("qty", "not a whole number above 0", ~F.coalesce((qty > 0) & (qty == F.floor(qty)), F.lit(False)), True))
     found += [fault(f, "not a date", (F.col(f) != "") & to_day(F.col(f)).isNull(), False) for f in ("order_date", "arrival_due_date")]
-    return rows.select("file_id", (F.col("row_idx") + header_row + 1).alias("row_number"), F.explode(F.array_compact(F.array(*found))).alias("e")).select("file_id", "row_number", "e.*")
+    return F.array_compact(F.array(*found))
+
+
+def errors(rows: DataFrame, header_row: int = 1) -> DataFrame:
+    """file_id, row_number, field, message, drops: every fault of every row."""
+    return rows.select("file_id", (F.col("row_idx") + header_row + 1).alias("row_number"), F.explode(_faults()).alias("e")).select("file_id", "row_number", "e.*")
 
 
 def missing_jans(rows: DataFrame, products: DataFrame, client: str, clients: DataFrame) -> DataFrame:
@@ -86,9 +91,13 @@ def missing_jans(rows: DataFrame, products: DataFrame, client: str, clients: Dat
     return missing.join(hints, "jan", "left").select("jan", F.coalesce("other_clients", F.lit("")).alias("other_clients"))
 
 
-def drafts(rows: DataFrame, faults: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(headers, lines) of files without any fault: the first row of an order gives the header, lines are numbered in file order."""
-    clean = rows.join(faults.select("file_id").distinct(), "file_id", "left_anti")
+def drafts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(headers, lines) of files without any fault: the first row of an order gives the header, lines are numbered in file order.
+
+    Rows are dealt by file once; whether a file has a fault and the numbers of its lines both come from there.
+    """
+    faulty = F.max(F.size(_faults()) > 0).over(Window.partitionBy("file_id"))
+    clean = rows.withColumn("_faulty", faulty).where("NOT _faulty").drop("_faulty")
     first = F.struct(to_day(F.col("order_date")).alias("order_date"), to_day(F.col("arrival_due_date")).alias("arrival_due_date"), "ship_to_name", "warehouse", "memo", "review_reasons")
     headers = clean.groupBy("file_id", "order_no").agg(F.min_by(first, "row_idx").alias("h")).select("file_id", "order_no", "h.*")
     number = F.row_number().over(Window.partitionBy("file_id", "order_no").orderBy("row_idx"))
@@ -96,6 +105,17 @@ def drafts(rows: DataFrame, faults: DataFrame) -> tuple[DataFrame, DataFrame]:
     return headers, lines
 
 
+def recheck(rows: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """file_id, unregistered_before, unregistered_after: how many of a file's JANs lack a product before and after registration.
+
+    before, after: the client's products. A file whose number falls to zero passes the check without being read again.
+    """
+    jans = rows.select("file_id", "jan").where("jan <> ''").distinct()
+    known = lambda p, name: p.select("jan", F.lit(1).alias(name)).distinct()
+    both = jans.join(known(before, "b"), "jan", "left").join(known(after, "a"), "jan", "left")
+    return both.groupBy("file_id").agg(F.count_if(F.col("b").isNull()).alias("unregistered_before"), F.count_if(F.col("a").isNull()).alias("unregistered_after"))
+
+
 def locked(headers: DataFrame, existing: DataFrame) -> DataFrame:
     """Orders of the headers (client_id, order_no) that exist and have left the imported state; each locks its whole file."""
     past = existing.where("status <> 'imported'").select("client_id", "order_no", F.col("id").alias("existing_id"), F.col("status").alias("existing_status"))
@@ -154,14 +174,19 @@ def deletable(products: DataFrame, lines: DataFrame) -> DataFrame:
     return products.join(lines.select("client_id", "jan").distinct(), ["client_id", "jan"], "left_anti")
 
 
+def insert_or_update(current: DataFrame, new: DataFrame, keys: list[str], id_: str = "id") -> DataFrame:
+    """A snapshot in which new rows replace those of their key, under the old id, or are added under their own."""
+    return upsert(current, keep_ids(new, current, keys, id_), keys)
+
+
 def replace_partition(current: DataFrame, new: DataFrame, column: str, value: str) -> DataFrame:
     """All rows of one chain give way to the new ones."""
     return current.where(~F.col(column).eqNullSafe(F.lit(value))).unionByName(new, allowMissingColumns=True)
 
 
 def merge_locations(current: DataFrame, new: DataFrame) -> DataFrame:
-    """Upsert by store_code; rows without a code are dropped and a blank chain does not overwrite one."""
-    usable = latest(new.where("coalesce(store_code, '') <> ''").withColumn("_o", F.monotonically_increasing_id()), [F.col("store_code")], [F.desc("_o")]).drop("_o")
+    """Upsert by store_code, the last row by `ord` of equal ones; rows without a code are dropped and a blank chain does not overwrite one."""
+    usable = latest(new.where("coalesce(store_code, '') <> ''"), [F.col("store_code")], [F.desc("ord")]).drop("ord")
     chain = current.select("store_code", F.col("chain_name").alias("_chain"))
     kept = usable.join(chain, "store_code", "left").withColumn("chain_name", F.coalesce(F.nullif("chain_name", F.lit("")), "_chain")).drop("_chain")
     return upsert(current, kept, ["store_code"])

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from .matching import _meet, memo_chains
+from .matching import _meet, memo_chains, name_keys, resolve_locations
 
 #: Names that a sheet cuts short, and parts of the names that they stand for, in order of precedence. Fixed values.
 TRUNCATED = {
@@ -163,8 +163,9 @@ def first_with_address(rows: DataFrame) -> DataFrame:
     chain = tx.trim(F.col("chain_name"))
     name = F.coalesce(F.nullif(tx.location_key(F.col("store_name")), F.lit("")), "store_name")
     key = F.concat(F.when(chain != "", F.concat(chain, F.lit("::"))).otherwise(""), F.when(F.coalesce("store_code", F.lit("")) != "", F.concat(F.lit("code:"), "store_code")).otherwise(name))
-    best = rows.groupBy(key.alias("key")).agg(F.min(F.struct((F.coalesce("address", F.lit("")) == "").alias("none"), F.col("ord"))).alias("b"))
-    return rows.withColumn("key", key).join(best.select("key", F.col("b.ord").alias("ord")), ["key", "ord"]).drop("key")
+    row = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+    best = rows.groupBy(key.alias("_key")).agg(F.min(F.struct((F.coalesce("address", F.lit("")) == "").alias("none"), F.col("ord"), row.alias("row"))).alias("b"))
+    return best.select("b.row.*")
 
 
 def one_matrix_row(rows: DataFrame) -> DataFrame:
@@ -180,8 +181,8 @@ def one_matrix_row(rows: DataFrame) -> DataFrame:
     last = rows.groupBy("key").agg(*[F.max(F.when(F.col("_kind") == k, F.col("ord"))).alias(f"_last{k}") for k in (1, 2)], F.max(F.when(F.col("_kind") == 3, True)).alias("_both"))
     low, high = F.coalesce("_last1", F.lit(-1)), F.coalesce("_last2", F.lit(-1))
     own = F.when(F.col("_both"), F.col("_kind") == 3).when((low < 0) & (high < 0), True).when(low > high, (F.col("_kind") == 1) & (F.col("ord") > high)).otherwise((F.col("_kind") == 2) & (F.col("ord") > low))
-    first = rows.join(last, "key").where(own).groupBy("key").agg(F.min("ord").alias("ord"))
-    return rows.join(first, ["key", "ord"]).drop("_kind")
+    row = F.struct(*[F.col(f"`{c}`") for c in rows.columns if c != "_kind"])
+    return rows.join(last, "key").where(own).groupBy("key").agg(F.min(F.struct(F.col("ord"), row.alias("row"))).alias("b")).select("b.row.*")
 
 
 def by_wholesaler(destinations: DataFrame, name: str) -> DataFrame:
@@ -209,3 +210,99 @@ def product_export(products: DataFrame, picks: DataFrame | None = None) -> DataF
     own = products if picks is None else products.join(picks, ["client_id", "jan"], "left_semi")
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     return own.select("client_id", "jan", text("name").alias("name"), text("internal_sku").alias("sku"), text("category").alias("category"), text("wholesale_price").alias("wholesale"), text("retail_price").alias("retail"))
+
+
+def by_code(locations: DataFrame) -> DataFrame:
+    """alias, store_code, store_name: every form of a code; of locations that share one, the last by name and code."""
+    from .sheets import code_aliases  # sheets are read with this module's names
+
+    every = locations.select("store_code", "store_name", F.explode(code_aliases(F.col("store_code"))).alias("alias")).where("alias <> ''")
+    return every.groupBy("alias").agg(F.max_by(F.struct("store_code", "store_name"), F.struct("store_name", "store_code")).alias("l")).select("alias", "l.*")
+
+
+def resolve_stores(entries: DataFrame, locations: DataFrame, legacy: DataFrame | None = None) -> DataFrame:
+    """store_name, store_code, step, matched_code for each distinct pair of the entries: the whole cascade.
+
+    Steps: 1 a legacy code (legacy: code, official), 2 an equal name key, 3 a loosely equal name, 4 コスメ to コスメロフト, 5 a
+    name cut short, 6 ハンズ, 7 a code of more than four digits or other form, in any of its forms, 8 such a code of two to four
+    digits if the names agree, 9 the only location that holds the name. The first step that finds one wins. An entry without
+    a name has its code alone; null names and codes are empty.
+    """
+    own = entries.select(F.coalesce("store_name", F.lit("")).alias("store_name"), F.coalesce("store_code", F.lit("")).alias("store_code")).distinct()
+    base = resolve_locations(own, locations).select("store_name", "store_code", F.col("step").alias("_step"), F.col("matched_code").alias("_code"))
+    names = own.select(F.col("store_name").alias("name")).distinct()
+    parts = [(4, cosmetic_matches), (5, truncated_matches), (6, hands_matches)]
+    out = own.join(base, ["store_name", "store_code"], "left")
+    for n, f in parts:
+        out = out.join(f(names, locations).select(F.col("name").alias("store_name"), F.col("store_code").alias(f"_c{n}")), "store_name", "left")
+    coded = by_code(locations).select(F.col("alias").alias("_alias"), F.col("store_code").alias("_c7"), F.col("store_name").alias("_n7"))
+    out = out.join(coded, (F.col("store_code") != "") & (F.col("store_code") == F.col("_alias")), "left")
+    if legacy is not None:
+        official = legacy.join(coded, F.col("official") == F.col("_alias")).select(F.col("code").alias("_legacy"), F.col("_c7").alias("_c1"))
+        out = out.join(official, F.trim("store_code") == F.col("_legacy"), "left")
+    else:
+        out = out.withColumn("_c1", F.lit(None).cast("string"))
+    short = F.trim("store_code").rlike("^[0-9]{2,4}$")
+    agree = F.arrays_overlap(name_keys(tx.location_key(F.col("store_name"))), name_keys(tx.location_key(F.col("_n7"))))
+    steps = [F.col("_c1"), F.when(F.col("_step") == 1, F.col("_code")), F.when(F.col("_step") == 2, F.col("_code")), F.col("_c4"), F.col("_c5"), F.col("_c6"), F.when(~short, F.col("_c7")), F.when(short & agree, F.col("_c7")), F.when(F.col("_step") == 4, F.col("_code"))]
+    step = F.coalesce(*[F.when(c.isNotNull(), i) for i, c in enumerate(steps, 1)])
+    return out.select("store_name", "store_code", step.alias("step"), F.coalesce(*steps).alias("matched_code"))
+
+
+def introduced_codes(entries: DataFrame, imports: DataFrame, locations: DataFrame) -> DataFrame:
+    """store_code: the locations of the introduced entries of each chain's newest import."""
+    own = entries.where("is_introduced").join(latest_by_chain(imports).select("import_id"), "import_id", "left_semi")
+    return resolve_stores(own, locations).where(F.col("matched_code").isNotNull()).select(F.col("matched_code").alias("store_code")).distinct()
+
+
+def sellout_locations(entries: DataFrame, locations: DataFrame) -> DataFrame:
+    """retailer, store_code, store_name, matched_code of each distinct triple: a short code of ロフト is its official one, else the cascade decides."""
+    own = entries.select("retailer", F.coalesce("store_code", F.lit("")).alias("store_code"), F.coalesce("store_name", F.lit("")).alias("store_name")).distinct()
+    loft = own.where((F.col("retailer") == "ロフト") & F.trim("store_code").rlike("^[0-9]{2,4}$")).withColumn("official", F.concat(F.lit("loft-"), F.trim("store_code")))
+    loft = loft.join(locations.select(F.col("store_code").alias("official")).distinct(), "official").select("retailer", "store_code", "store_name", "official")
+    rest = resolve_stores(own, locations).select("store_name", "store_code", F.col("matched_code").alias("_m"))
+    out = own.join(loft, ["retailer", "store_code", "store_name"], "left").join(rest, ["store_name", "store_code"], "left")
+    return out.select("retailer", "store_code", "store_name", F.coalesce("official", "_m").alias("matched_code"))
+
+
+def enriched(rows: DataFrame, locations: DataFrame) -> DataFrame:
+    """Rows (store_code, store_name, address) with the matched location's name and, where it has them, code and address."""
+    found = resolve_stores(rows, locations).where("matched_code IS NOT NULL").select(F.col("store_name").alias("_n"), F.col("store_code").alias("_c"), "matched_code")
+    there = locations.select(F.col("store_code").alias("matched_code"), F.col("store_name").alias("_name"), F.col("address").alias("_address"))
+    out = rows.join(found, (F.coalesce("store_name", F.lit("")) == F.col("_n")) & (F.coalesce("store_code", F.lit("")) == F.col("_c")), "left").join(there, "matched_code", "left")
+    first = lambda a, b: F.coalesce(F.nullif(a, F.lit("")), b)
+    out = out.withColumn("store_code", first(F.col("store_code"), F.col("matched_code"))).withColumn("store_name", F.coalesce("_name", "store_name")).withColumn("address", first(F.col("_address"), F.col("address")))
+    return out.drop("matched_code", "_n", "_c", "_name", "_address")
+
+
+def row_chain(code: Column, name: Column, chain: Column, wanted: str = "all") -> Column:
+    """The chain of a matrix row: what code or name stand for, else its own, else the one that was asked for."""
+    return tx.first_filled(tx.inferred_chain(code, name), tx.trim(chain), "" if wanted == "all" else wanted)
+
+
+def matrix_rows(entries: DataFrame, locations: DataFrame) -> DataFrame:
+    """Rows of a matrix of stores: of chains with an official list its locations, of others the entries' stores, enriched; each store once.
+
+    entries: chain_name, store_code, store_name, ord.
+    """
+    chains = entries.select(tx.trim(F.col("chain_name")).alias("chain_name")).where("chain_name <> ''").distinct()
+    listed = locations.where(F.col("chain_name").isin(*OFFICIAL)).join(chains, "chain_name", "left_semi").select("chain_name", "store_code", "store_name", "address", F.lit(0).cast("long").alias("ord"))
+    official = listed.select("chain_name").distinct()
+    own = entries.withColumn("chain_name", tx.trim(F.col("chain_name"))).where("chain_name <> ''").join(official, "chain_name", "left_anti")
+    own = enriched(own.select("chain_name", "store_code", "store_name", F.lit("").alias("address"), "ord"), locations)
+    return listed.unionByName(first_with_address(own.select(*listed.columns)))
+
+
+def report_options(entries: DataFrame) -> DataFrame:
+    """kind, value: the products and chains that a report of introductions offers."""
+    chain = tx.trim(F.col("chain_name"))
+    products = entries.where("is_introduced").select(F.lit("product").alias("kind"), tx.first_filled(F.col("product_name"), F.col("jan")).alias("value"))
+    return products.unionByName(entries.where((chain != "") & (chain != tx.UNKNOWN)).select(F.lit("chain").alias("kind"), chain.alias("value"))).distinct()
+
+
+def numbered(rows: DataFrame, order: list[str | Column]) -> DataFrame:
+    """Rows in a total order, with their place in it: a list's sort made visible. Only places within runs of equal first keys meet in a task."""
+    first, own = order[0], Window.partitionBy(order[0]).orderBy(*order[1:])
+    sizes = rows.groupBy(first).agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy(first).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    return rows.withColumn("_r", F.row_number().over(own)).join(before, first).withColumn("place", F.col("_before") + F.col("_r")).drop("_r", "_before")

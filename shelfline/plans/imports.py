@@ -79,6 +79,7 @@ def _locations(t: Tables) -> DataFrame:
         F.upper("store_name").alias("store_name"),
         F.when(n % 28 == 0, "").otherwise("NEW CHAIN").alias("chain_name"),
         "address",
+        n.alias("ord"),
     )
 
 
@@ -93,10 +94,10 @@ QUERIES = {
     "import_errors": (lambda t: _faults(t).withColumn("row_number", F.col("row_number").cast("long")), _sql("SELECT * FROM faults")),
     "import_blocked_files": (lambda t: _faults(t).groupBy("file_id").agg(F.count("*").alias("errors")), _sql("SELECT file_id, count(*) AS errors FROM faults GROUP BY ALL")),
     "import_headers": (
-        lambda t: op.drafts(_normal(t), _faults(t))[0].select("file_id", "order_no", F.col("order_date").cast("string").alias("order_date"), "ship_to_name", "warehouse"),
+        lambda t: op.drafts(_normal(t))[0].select("file_id", "order_no", F.col("order_date").cast("string").alias("order_date"), "ship_to_name", "warehouse"),
         _sql("SELECT DISTINCT file_id, order_no, CAST(order_date AS VARCHAR) AS order_date, ship_to_name, warehouse FROM clean"),
     ),
-    "import_lines": (lambda t: op.drafts(_normal(t), _faults(t))[1].withColumn("line_no", F.col("line_no").cast("long")), _sql("SELECT file_id, order_no, line_no, jan, qty FROM clean")),
+    "import_lines": (lambda t: op.drafts(_normal(t))[1].withColumn("line_no", F.col("line_no").cast("long")), _sql("SELECT file_id, order_no, line_no, jan, qty FROM clean")),
     "import_missing_jans": (
         lambda t: op.missing_jans(_normal(t), t.products(), "C2", t.clients()),
         using(
@@ -106,7 +107,7 @@ QUERIES = {
         ),
     ),
     "import_locks": (
-        lambda t: op.locked(op.drafts(_normal(t), _faults(t))[0].select("file_id", "order_no").withColumn("client_id", F.lit("C1")), t.orders()),
+        lambda t: op.locked(op.drafts(_normal(t))[0].select("file_id", "order_no").withColumn("client_id", F.lit("C1")), t.orders()),
         _sql("SELECT 'C1' AS client_id, c.order_no, c.file_id, o.id AS existing_id, o.status AS existing_status FROM (SELECT DISTINCT file_id, order_no FROM clean) c JOIN shop_orders o ON o.client_id = 'C1' AND o.order_no = c.order_no WHERE o.status <> 'imported'"),
     ),
     "latest_batches": (
@@ -146,15 +147,32 @@ SELECT client_id, jan, name FROM products p WHERE NOT EXISTS (SELECT 1 FROM n WH
         using("products shop_orders order_lines", "SELECT client_id, jan FROM products p WHERE NOT EXISTS (SELECT 1 FROM order_lines l JOIN shop_orders o ON o.id = l.order_id WHERE o.client_id = p.client_id AND l.jan = p.jan)"),
     ),
     "location_upsert": (
-        lambda t: op.merge_locations(t.store_locations(), _locations(t)),
+        # Every code comes twice; the later row, with a name in upper case, counts.
+        lambda t: op.merge_locations(t.store_locations(), _locations(t).unionByName(_locations(t).withColumn("store_name", F.lit("first")).withColumn("ord", -F.col("ord")))),
         using(
             "store_locations",
             f""", n AS (SELECT n.store_code, n.store_name, coalesce(nullif(n.chain_name, ''), o.chain_name) AS chain_name, n.address FROM ({_NEW_LOCATIONS}) n LEFT JOIN store_locations o USING (store_code) WHERE n.store_code <> '')
 SELECT * FROM store_locations WHERE store_code NOT IN (SELECT store_code FROM n) UNION ALL SELECT * FROM n""",
         ),
     ),
+    "import_recheck": (
+        lambda t: op.recheck(_normal(t), t.products().where("client_id = 'C2'"), t.products().where("client_id IN ('C2', 'C3')")),
+        _sql(
+            """, j AS (SELECT DISTINCT file_id, jan FROM src), p AS (SELECT DISTINCT jan, client_id FROM products)
+SELECT file_id, count(*) FILTER (jan NOT IN (SELECT jan FROM p WHERE client_id = 'C2')) AS unregistered_before, count(*) FILTER (jan NOT IN (SELECT jan FROM p WHERE client_id IN ('C2', 'C3'))) AS unregistered_after FROM j GROUP BY ALL""",
+            "products shop_orders order_lines",
+        ),
+    ),
+    "supplier_upsert": (
+        lambda t: op.insert_or_update(t.suppliers(), t.suppliers().where("id LIKE '%3'").select(F.concat(F.lit("X"), "id").alias("id"), "client_id", F.when(F.col("id").like("%13"), F.concat("name", F.lit(" new"))).otherwise(F.col("name")).alias("name"), F.lit("custom").alias("mapping_key")), ["client_id", "name"]),
+        using(
+            "suppliers",
+            """, n AS (SELECT CASE WHEN id LIKE '%13' THEN 'X' || id ELSE id END AS id, client_id, CASE WHEN id LIKE '%13' THEN name || ' new' ELSE name END AS name, 'custom' AS mapping_key FROM suppliers WHERE id LIKE '%3')
+SELECT * FROM suppliers s WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.client_id = s.client_id AND n.name = s.name) UNION ALL SELECT * FROM n""",
+        ),
+    ),
     "location_chain_replace": (
-        lambda t: op.replace_partition(t.store_locations(), _locations(t).where("chain_name <> ''").withColumn("chain_name", F.lit("NATION_3")), "chain_name", "NATION_3"),
+        lambda t: op.replace_partition(t.store_locations(), _locations(t).drop("ord").where("chain_name <> ''").withColumn("chain_name", F.lit("NATION_3")), "chain_name", "NATION_3"),
         using("store_locations", f"SELECT * FROM store_locations WHERE chain_name <> 'NATION_3' UNION ALL SELECT store_code, store_name, 'NATION_3', address FROM ({_NEW_LOCATIONS}) WHERE chain_name <> ''"),
     ),
     "clients_scan": (

@@ -174,7 +174,7 @@ SELECT doc_id, CASE WHEN method <> 'none' THEN own END AS code, method, method I
     ),
     "maker_rows": (lambda t: _maker(t).withColumn("line_no", F.col("line_no").cast("long")), using("products shop_orders order_lines", _MAKER)),
     "sell_in_export": (
-        lambda t: ex.sell_in_export(sellin.sell_in_rows(sellin.sell_in_lines(t.orders(), t.order_lines(), t.products(), START, END), t.products(), START, END)),
+        lambda t: ex.sell_in_export(sellin.sell_in_rows(sellin.sell_in_lines(t.orders(), t.order_lines(START, END), t.products(), START, END), t.products(), START, END)),
         sell_in_sql(
             "SELECT CAST(date AS VARCHAR) AS 日付, store_name AS 店舗, jan AS JAN, product_name AS 商品名, order_count AS 受注件数, qty AS 数量, coalesce(CAST(wholesale_amount AS VARCHAR), '未計算') AS 卸金額, coalesce(CAST(retail_amount AS VARCHAR), '未計算') AS 上代金額 FROM rows"
         ),

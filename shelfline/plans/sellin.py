@@ -12,7 +12,7 @@ START, END, SEARCH, STORE = "1997-03-01", "1997-03-31", "red", "BUILDING"
 
 
 def _priced(t: Tables, start: str = START, end: str = END, store: str | None = None):
-    return op.sell_in_lines(t.orders(), t.order_lines(), t.products(), start, end, store)
+    return op.sell_in_lines(t.orders(), t.order_lines(start, end), t.products(), start, end, store)
 
 
 def _rows(t: Tables, search: str = "", store: str | None = None):
@@ -71,7 +71,7 @@ QUERIES = {
         _sql(f"SELECT count(DISTINCT order_id) AS orders FROM priced WHERE contains(lower(jan), '{SEARCH}') OR contains(lower(product_name), '{SEARCH}')"),
     ),
     "sell_in_store_options": (
-        lambda t: op.store_options(t.orders(), t.order_lines(), START, END),
+        lambda t: op.store_options(t.orders(), t.order_lines(START, END), START, END),
         using("shop_orders order_lines", f"SELECT DISTINCT store_name FROM shop_orders o JOIN order_lines l ON l.order_id = o.id WHERE order_date BETWEEN DATE '{START}' AND DATE '{END}'"),
     ),
 }

@@ -5,7 +5,7 @@ Texts that both sides derive are written once, in SQL that both engines read; th
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -151,6 +151,23 @@ def _cells(t: Tables) -> DataFrame:
 _CELL = "CASE p_partkey % 8 WHEN 0 THEN concat(4900000000000 + p_partkey, '.5') WHEN 1 THEN concat(4900000000000 + p_partkey, '.0') WHEN 2 THEN concat('4.9', p_partkey % 1000 + 1000, '1E12') WHEN 3 THEN concat(4900000000000 + p_partkey, '') WHEN 4 THEN concat(' 49 000000', p_partkey, ' ') WHEN 5 THEN '_' WHEN 6 THEN concat('4.9', p_partkey % 1000 + 1000, 'e+12') ELSE concat('JAN', p_partkey % 1000) END"
 _UNIT = "CASE p_partkey % 4 WHEN 0 THEN 'ml' WHEN 1 THEN ' g ' WHEN 2 THEN '' END"
 
+def _introduction_imports(t: Tables) -> DataFrame:
+    """An import for each chain's entries; every fourth chain has a newer one, which holds none."""
+    n = t.raw("nation").select(F.col("n_name").alias("chain_name"), "n_nationkey")
+    old = n.select(F.concat(F.lit("I-"), "chain_name").alias("import_id"), "chain_name", F.lit("2024-01-01").cast("timestamp").alias("imported_at"))
+    return old.unionByName(n.where("n_nationkey % 4 = 0").select(F.concat(F.lit("J-"), "chain_name").alias("import_id"), "chain_name", F.lit("2024-02-01").cast("timestamp").alias("imported_at")))
+
+
+def _loft(t: Tables) -> DataFrame:
+    return t.store_locations().select("store_code", "store_name")
+
+
+def _official(chain: Column) -> Column:
+    return F.when(F.substring(chain, 8, 9).cast("int") % 3 == 0, op.OFFICIAL[0]).otherwise(chain)
+
+
+_OFFICIAL_SQL = f"CASE WHEN CAST(substr(chain_name, 8) AS INT) % 3 = 0 THEN '{op.OFFICIAL[0]}' ELSE chain_name END"
+
 _TEXTS = "SELECT doc_id, coalesce(text, '') AS text FROM documents"
 _SHIP = "concat('発注元 X\n', CASE doc_id % 4 WHEN 0 THEN 'お届け先' WHEN 1 THEN '納品先：' WHEN 2 THEN 'お届け先住所 1' ELSE 'お届先 御中' END, '\n a \n\n', doc_id, '\n', CASE WHEN doc_id % 3 = 0 THEN '納品先TEL 03' ELSE 'c' END, '\nd\ne\nf\ng\nh\ni')"
 
@@ -237,4 +254,37 @@ tokens(t) AS (VALUES {", ".join(f"('{tx._plain(x)}')" for x in tx.COSME_TOKENS)}
 s AS (SELECT store_code, any_value(k) AS k, CASE WHEN contains(any_value(k), 'cosme') THEN 1000 + length(any_value(k)) ELSE coalesce(max(500 + length(t)) FILTER (contains(k, t) OR contains(t, k)), 0) END AS cosme FROM k, tokens GROUP BY store_code)
 SELECT store_code, CAST(cosme AS INTEGER) AS cosme, CAST(CASE WHEN cosme = 0 AND (starts_with(k, 'イオンモル') OR starts_with(k, 'aeon')) THEN length(k) + 200 ELSE 0 END AS INTEGER) AS aeon FROM s""",
     ),
+    "introduced_codes": (
+        lambda t: op.introduced_codes(t.introductions(), _introduction_imports(t), t.store_locations()),
+        using("introductions", "SELECT DISTINCT store_code FROM introductions WHERE is_introduced AND CAST(substr(chain_name, 8) AS INT) % 4 <> 0"),
+    ),
+    "sellout_store_codes": (
+        lambda t: op.sellout_locations(t.sellout_entries().withColumn("retailer", F.when(F.col("store_code").cast("int") % 5 == 0, "ロフト").otherwise(F.col("retailer"))), _loft(t)).select("retailer", "store_code", "matched_code"),
+        using("sellout_entries", "SELECT DISTINCT CASE WHEN CAST(store_code AS INT) % 5 = 0 THEN 'ロフト' ELSE retailer END AS retailer, store_code, store_code AS matched_code FROM sellout_entries"),
+    ),
+    "stores_enriched": (
+        lambda t: op.enriched(t.store_locations().select(F.when(F.col("store_code").cast("int") % 2 == 0, F.col("store_code")).otherwise("").alias("store_code"), F.upper("store_name").alias("store_name"), F.lit("own").alias("address")), t.store_locations()),
+        using("store_locations", "SELECT store_code, store_name, coalesce(address, 'own') AS address FROM store_locations"),
+    ),
+    "matrix_store_rows": (
+        lambda t: op.matrix_rows(t.introductions().withColumn("chain_name", _official(F.col("chain_name"))), t.store_locations().withColumn("chain_name", _official(F.col("chain_name")))).select("chain_name", "store_code", "store_name"),
+        using("introductions store_locations", f"""SELECT {_OFFICIAL_SQL} AS chain_name, store_code, store_name FROM store_locations WHERE CAST(substr(chain_name, 8) AS INT) % 3 = 0
+UNION ALL SELECT DISTINCT chain_name, store_code, store_name FROM introductions WHERE CAST(substr(chain_name, 8) AS INT) % 3 <> 0"""),
+    ),
+    "matrix_row_chains": (
+        lambda t: t.raw("customer").select("c_custkey", op.row_chain(F.expr(_CODE), F.expr(_NAME), F.concat(F.lit(" N"), "c_nationkey")).alias("chain")),
+        "SELECT c_custkey, CASE c_custkey % 4 WHEN 1 THEN 'ハンズ' ELSE 'ロフト' END AS chain FROM customer",
+    ),
+    "introduction_options": (
+        lambda t: op.report_options(t.introductions()),
+        using("introductions", "SELECT DISTINCT 'product' AS kind, product_name AS value FROM introductions WHERE is_introduced UNION SELECT 'chain', chain_name FROM introductions"),
+    ),
+    "payout_order": (
+        lambda t: op.numbered(t.orders().select("arrival_due_date", "order_no"), ["arrival_due_date", "order_no"]).select("order_no", "place"),
+        using("shop_orders", "SELECT order_no, row_number() OVER (ORDER BY arrival_due_date, order_no) AS place FROM shop_orders"),
+    ),
+    "sell_in_order": (
+        lambda t: op.numbered(t.orders().join(t.order_lines(), F.col("id") == F.col("order_id")).groupBy("order_date", "store_name", "jan").agg(F.sum("qty").alias("qty")), ["order_date", "store_name", "jan"]).select(F.col("order_date").cast("string").alias("date"), "store_name", "jan", "qty", "place"),
+        using("shop_orders order_lines", "SELECT CAST(order_date AS VARCHAR) AS date, store_name, jan, CAST(sum(qty) AS BIGINT) AS qty, row_number() OVER (ORDER BY order_date, store_name, jan) AS place FROM shop_orders o JOIN order_lines ON order_id = o.id GROUP BY order_date, store_name, jan"),
+    ),
 }

@@ -65,11 +65,16 @@ class Tables:
             F.col("o_orderdate").alias("imported_at"),
         )
 
-    def order_lines(self) -> DataFrame:
+    def order_lines(self, first: str | None = None, last: str | None = None) -> DataFrame:
+        """Lines numbered within their order; of orders dated within [first, last] where given, which are picked by their keys before any line is sorted."""
         order = Window.partitionBy("l_orderkey").orderBy(
             "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate", "l_returnflag", "l_linestatus"
         )
-        return self.raw("lineitem").select(
+        lines = self.raw("lineitem")
+        if first is not None:
+            within = self.raw("orders").where(F.col("o_orderdate").cast("date").between(F.lit(first).cast("date"), F.lit(last).cast("date"))).select(F.col("o_orderkey").alias("l_orderkey"))
+            lines = lines.join(within, "l_orderkey", "left_semi")
+        return lines.select(
             F.col("l_orderkey").cast("string").alias("order_id"), F.row_number().over(order).alias("line_no"), jan(F.col("l_partkey")).alias("jan"), F.col("l_quantity").cast("int").alias("qty")
         )
 
