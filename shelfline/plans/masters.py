@@ -28,7 +28,7 @@ def _drafts(t: Tables) -> DataFrame:
 def _sheet(t: Tables) -> DataFrame:
     """Rows of a product sheet: some by JAN, some by name alone."""
     k = F.col("jan").cast("long")
-    return t.products().where("client_id = 'C1'").where(k % 3 == 0).select(F.concat("client_id", "jan").alias("row_id"), "client_id", F.when(k % 2 == 0, F.col("jan")).otherwise("").alias("jan"), F.when(k % 9 == 0, F.lit("")).otherwise(F.col("name")).alias("name"), F.when(k % 5 == 1, F.col("wholesale_price") + 1).alias("wholesale_price"))
+    return t.products().select(F.concat("client_id", "jan").alias("row_id"), "client_id", F.when(k % 2 == 0, F.col("jan")).otherwise("").alias("jan"), F.when(k % 9 == 0, F.lit("")).otherwise(F.col("name")).alias("name"), F.when(k % 5 == 1, F.col("wholesale_price") + 1).alias("wholesale_price"))
 
 
 def _entries(t: Tables) -> DataFrame:
@@ -43,8 +43,8 @@ def _postals(t: Tables) -> DataFrame:
 
 
 def _dest(t: Tables, kind: int) -> DataFrame:
-    k = F.col("n_nationkey")
-    return t.raw("nation").where(k % (kind + 2) == 0).select(F.concat(F.lit("D"), k).alias("code"), F.concat(F.lit(f"{kind} "), "n_name").alias("name"), F.when(k % 4 == kind * 2, "W").alias("wholesaler_name"))
+    k = F.col("s_suppkey")
+    return t.raw("supplier").where(k % (kind + 2) == 0).select(F.concat(F.lit("D"), k).alias("code"), F.concat(F.lit(f"{kind} "), "s_name").alias("name"), F.when(k % 4 == kind * 2, "W").alias("wholesaler_name"))
 
 
 QUERIES = {
@@ -57,13 +57,13 @@ QUERIES = {
         lambda t: op.existing_product(_sheet(t), t.products()),
         using(
             "products",
-            """, s AS (SELECT client_id || jan AS row_id, CASE WHEN CAST(jan AS BIGINT) % 2 = 0 THEN jan ELSE '' END AS jan, CASE WHEN CAST(jan AS BIGINT) % 9 = 0 THEN '' ELSE name END AS name FROM products WHERE client_id = 'C1' AND CAST(jan AS BIGINT) % 3 = 0)
-SELECT row_id, jan AS matched_jan, 'jan' AS by FROM s WHERE jan <> '' UNION ALL SELECT row_id, min(p.jan), 'name' FROM s JOIN products p ON p.client_id = 'C1' AND p.name = s.name WHERE s.jan = '' AND s.name <> '' GROUP BY row_id HAVING count(DISTINCT p.jan) = 1""",
+            """, s AS (SELECT client_id, client_id || jan AS row_id, CASE WHEN CAST(jan AS BIGINT) % 2 = 0 THEN jan ELSE '' END AS jan, CASE WHEN CAST(jan AS BIGINT) % 9 = 0 THEN '' ELSE name END AS name FROM products)
+SELECT row_id, jan AS matched_jan, 'jan' AS by FROM s WHERE jan <> '' UNION ALL SELECT row_id, min(p.jan), 'name' FROM s JOIN products p ON p.client_id = s.client_id AND p.name = s.name WHERE s.jan = '' AND s.name <> '' GROUP BY row_id HAVING count(DISTINCT p.jan) = 1""",
         ),
     ),
     "sheet_merged_products": (
         lambda t: op.merged_products(_sheet(t).where("jan <> ''"), t.products(), ["name", "wholesale_price"]),
-        using("products", "SELECT client_id, jan, name, CASE WHEN CAST(jan AS BIGINT) % 5 = 1 THEN wholesale_price + 1 ELSE wholesale_price END AS wholesale_price FROM products WHERE client_id = 'C1' AND CAST(jan AS BIGINT) % 6 = 0"),
+        using("products", "SELECT client_id, jan, name, CASE WHEN CAST(jan AS BIGINT) % 5 = 1 THEN wholesale_price + 1 ELSE wholesale_price END AS wholesale_price FROM products WHERE CAST(jan AS BIGINT) % 2 = 0"),
     ),
     "edited_orders": (
         lambda t: op.edited_orders(t.orders(), t.orders().where("cast(id as int) % 9 = 0").select("id", F.lit("2000-01-01").cast("date").alias("arrival_due_date"), F.when(F.col("id").cast("int") % 2 == 0, "EDITED").alias("store_name"))).select("id", F.col("arrival_due_date").cast("string").alias("arrival_due_date"), "store_name"),
@@ -112,19 +112,28 @@ SELECT *, known >= least(10, greatest(5, ceil(rows * 2e-1))) AS is_series FROM n
     ),
     "merged_destinations": (
         lambda t: op.merged_destinations(_dest(t, 0), _dest(t, 1)),
-        """SELECT code, name, wholesaler_name FROM (SELECT 'D' || n_nationkey AS code, k || ' ' || n_name AS name, CASE WHEN n_nationkey % 4 = k * 2 THEN 'W' END AS wholesaler_name, k FROM nation, (VALUES (0), (1)) v(k) WHERE n_nationkey % (k + 2) = 0)
+        """SELECT code, name, wholesaler_name FROM (SELECT 'D' || s_suppkey AS code, k || ' ' || s_name AS name, CASE WHEN s_suppkey % 4 = k * 2 THEN 'W' END AS wholesaler_name, k FROM supplier, (VALUES (0), (1)) v(k) WHERE s_suppkey % (k + 2) = 0)
 QUALIFY row_number() OVER (PARTITION BY code ORDER BY wholesaler_name IS NULL, k, name) = 1""",
     ),
+    # Saved orders change their store and keep their id; every eighth order comes again under a new number.
     "order_save": (
-        lambda t: im.upsert(
-            t.orders().select("id", "client_id", "order_no", "status"),
-            im.keep_ids(t.orders().where("status = 'imported' AND cast(id as int) % 4 = 0").select(F.lit("new").alias("id"), "client_id", "order_no", F.lit("imported").alias("status")), t.orders(), ["client_id", "order_no"]),
+        lambda t: im.insert_or_update(
+            t.orders().select("id", "client_id", "order_no", "status", "store_name"),
+            t.orders().where("status = 'imported' AND cast(id as int) % 4 = 0 OR cast(id as int) % 8 = 1").select(
+                F.concat(F.lit("new-"), "id").alias("id"), "client_id", F.when(F.col("id").cast("int") % 8 == 1, F.concat(F.lit("N"), "order_no")).otherwise(F.col("order_no")).alias("order_no"), F.lit("imported").alias("status"), F.lit("SAVED").alias("store_name")
+            ),
             ["client_id", "order_no"],
         ),
-        using("shop_orders", "SELECT id, client_id, order_no, status FROM shop_orders"),
+        using(
+            "shop_orders",
+            """SELECT id, client_id, order_no, status, CASE WHEN status = 'imported' AND CAST(id AS INT) % 4 = 0 THEN 'SAVED' ELSE store_name END AS store_name FROM shop_orders
+UNION ALL SELECT 'new-' || id, client_id, 'N' || order_no, 'imported', 'SAVED' FROM shop_orders WHERE CAST(id AS INT) % 8 = 1""",
+        ),
     ),
     "seed_missing_clients": (
-        lambda t: im.insert_missing(t.clients().select("id", "name"), t.raw("nation").select(F.concat(F.lit("N"), "n_nationkey").alias("id"), F.when(F.col("n_nationkey") < 5, F.element_at(F.array(*map(F.lit, ("asia", "africa", "america", "europe", "x"))), F.col("n_nationkey") + 1)).otherwise(F.col("n_name")).alias("name")), "name"),
-        using("clients", ", s AS (SELECT 'N' || n_nationkey AS id, CASE WHEN n_nationkey < 5 THEN ['asia', 'africa', 'america', 'europe', 'x'][n_nationkey + 1] ELSE n_name END AS name FROM nation) SELECT id, name FROM clients UNION ALL SELECT * FROM s WHERE lower(name) NOT IN (SELECT lower(name) FROM clients)"),
+        lambda t: im.insert_missing(
+            t.raw("customer").where("c_custkey % 3 > 0").select(F.concat(F.lit("C"), "c_custkey").alias("id"), F.col("c_name").alias("name")), t.raw("customer").select(F.concat(F.lit("S"), "c_custkey").alias("id"), F.upper("c_name").alias("name")), "name"
+        ),
+        "SELECT CASE WHEN c_custkey % 3 > 0 THEN 'C' ELSE 'S' END || c_custkey AS id, CASE WHEN c_custkey % 3 > 0 THEN c_name ELSE upper(c_name) END AS name FROM customer",
     ),
 }

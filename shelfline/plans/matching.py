@@ -20,6 +20,11 @@ def _chains(t: Tables) -> DataFrame:
     return t.raw("nation").select(F.col("n_name").alias("name"), F.array(F.concat(F.lit("Mart "), "n_nationkey")).alias("aliases"), F.col("n_nationkey").alias("ord"))
 
 
+def _shops(t: Tables, alias: str) -> DataFrame:
+    """A chain for each customer, with one alias."""
+    return t.raw("customer").select(F.col("c_name").alias("name"), F.array(F.concat(F.lit(alias), "c_custkey")).alias("aliases"), F.col("c_custkey").alias("ord"))
+
+
 def _memos(t: Tables) -> DataFrame:
     """Five kinds of memo: decided by first words, holding a chain, a table header, blank, full-width alias."""
     c = t.raw("customer").join(t.raw("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
@@ -104,27 +109,31 @@ SELECT order_no, line_no, lpad(order_no, CAST(greatest(8, length(order_no)) AS I
   CASE WHEN n % 2 = 0 THEN '03-5555-' || no ELSE '' END AS c9, '佐川急便宅配便' AS c10, CAST(arrival_due_date AS VARCHAR) AS c11, '' AS c12, format('{:,}', CAST(floor(sum(amount) OVER (PARTITION BY id) + 5e-1) AS BIGINT)) AS c13,
   coalesce(internal_sku, '') AS c14, coalesce(name, '') AS c15, CAST(qty AS VARCHAR) AS c16, format('{:,}', CAST(floor(price + 5e-1) AS BIGINT)) AS c17, format('{:,}', CAST(floor(amount + 5e-1) AS BIGINT)) AS c18, '\\' || format('{:,}', CAST(floor(amount + 5e-1) AS BIGINT)) AS c19, '' AS c20 FROM r"""
 
-_SCALARS = using(
-    "products shop_orders",
-    """SELECT id, lpad(order_no, CAST(greatest(8, length(order_no)) AS INTEGER), '0') AS padded, strftime(order_date, '%Y-%m') AS month, strftime(order_date, '%Y') || '年' || month(order_date) || '月' AS label,
-  CAST(order_date AS VARCHAR) || ' 〜 ' || CAST(arrival_due_date AS VARCHAR) AS period, '1,234' AS yen, CAST(1234 AS BIGINT) AS whole, 10e-2 AS tax, '100-0001' AS postal, CAST(2 AS INTEGER) AS aliases, '"a""b"' AS cell FROM shop_orders""",
-)
+_SCALARS = """SELECT o_orderkey AS id, lpad(CAST(o_orderkey AS VARCHAR), CAST(greatest(8, length(CAST(o_orderkey AS VARCHAR))) AS INTEGER), '0') AS padded, strftime(o_orderdate, '%Y-%m') AS month, strftime(o_orderdate, '%Y') || '年' || month(o_orderdate) || '月' AS label,
+  CASE WHEN o_orderkey % 3 = 0 THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) ELSE CAST(CAST(o_orderdate AS DATE) AS VARCHAR) || ' 〜 ' || CAST(CAST(o_orderdate AS DATE) + 3 AS VARCHAR) END AS period,
+  format('{:,}', CAST(floor(o_totalprice + 5e-1) AS BIGINT)) AS yen, CASE WHEN o_orderkey % 4 > 0 THEN CAST(o_orderkey AS BIGINT) END AS whole, CASE WHEN o_orderkey % 2 = 0 OR o_custkey % 30 > 1 THEN CAST(o_custkey % 30 AS DOUBLE) / 100 ELSE CAST(o_custkey % 30 AS DOUBLE) END AS tax,
+  CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE substr(p, 1, 3) || '-' || substr(p, 4) END AS postal, CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 2 END AS aliases, '"a""' || o_orderpriority || '"' AS cell, CAST(floor(o_custkey % 1000 + 5e-1) / 10 AS VARCHAR) || '%' AS share
+FROM (SELECT *, lpad(CAST(o_custkey AS VARCHAR), 7, '0') AS p FROM orders)"""
 
 
 def _scalars(t: Tables) -> DataFrame:
-    day, due = F.col("order_date").cast("string"), F.col("arrival_due_date").cast("string")
-    return t.orders().select(
-        "id",
-        tx.order_number(F.col("order_no")).alias("padded"),
-        tx.month_key(day, F.lit("")).alias("month"),
-        tx.month_label(F.lit(""), day).alias("label"),
-        tx.period_text(day, due).alias("period"),
-        tx.yen(F.lit(1233.5)).alias("yen"),
-        tx.whole_number(F.lit(" 1,234　")).alias("whole"),
-        tx.tax_rate(F.lit("10%")).alias("tax"),
-        tx.postal(F.concat(F.lit("〒1000001 "), "warehouse")).alias("postal"),
-        F.size(tx.aliases(F.concat("warehouse", F.lit("、 x \n"), "warehouse"))).alias("aliases"),
-        tx.csv_cell(F.lit('a"b')).alias("cell"),
+    """Text functions over texts made of each order's columns: blanks, signs and missing parts by its number."""
+    day, key = F.col("o_orderdate").cast("date"), F.col("o_orderkey")
+    start, due = day.cast("string"), F.when(key % 3 > 0, F.date_add(day, 3).cast("string"))
+    rate = F.concat(F.lit(" "), F.col("o_custkey") % 30, F.when(key % 2 == 0, "%").otherwise("　"))
+    return t.raw("orders").select(
+        key.alias("id"),
+        tx.order_number(key.cast("string")).alias("padded"),
+        tx.month_key(start, F.lit("")).alias("month"),
+        tx.month_label(F.lit(""), start).alias("label"),
+        tx.period_text(start, due).alias("period"),
+        tx.yen(F.col("o_totalprice")).alias("yen"),
+        tx.whole_number(F.concat(F.lit(" "), F.format_number("o_orderkey", 0), F.when(key % 4 == 0, ".5").otherwise("　"))).alias("whole"),
+        tx.tax_rate(rate).alias("tax"),
+        tx.postal(F.concat(F.lit("〒"), F.lpad(F.col("o_custkey").cast("string"), 7, "0"), F.when(key % 5 == 0, "9").otherwise(" x"))).alias("postal"),
+        F.size(tx.aliases(F.concat("o_orderpriority", F.lit("、"), F.when(key % 7 == 0, "").otherwise(" x "), F.lit(" \n"), "o_orderpriority"))).alias("aliases"),
+        tx.csv_cell(F.concat(F.lit('a"'), "o_orderpriority")).alias("cell"),
+        tx.percent_text(F.col("o_custkey") % 1000 / 1000).alias("share"),
     )
 
 
@@ -138,8 +147,8 @@ QUERIES = {
         "SELECT DISTINCT CASE c_custkey % 5 WHEN 2 THEN '発注番号　発注日' ELSE ' ' END AS memo FROM customer WHERE c_custkey % 5 IN (2, 3)",
     ),
     "merge_chains": (
-        lambda t: op.merge_chains(_chains(t).where("ord % 2 = 0"), _chains(t).withColumn("aliases", F.array(F.concat(F.lit("Extra "), "ord")))).select("name", F.array_join("aliases", ",").alias("aliases")),
-        "SELECT n_name AS name, CASE WHEN n_nationkey % 2 = 0 THEN 'Extra ' || n_nationkey || ',Mart ' || n_nationkey || ',' || n_name ELSE 'Extra ' || n_nationkey || ',' || n_name END AS aliases FROM nation",
+        lambda t: op.merge_chains(_shops(t, "Mart ").where("ord % 2 = 0"), _shops(t, "Extra ")).select("name", F.array_join("aliases", ",").alias("aliases")),
+        "SELECT c_name AS name, CASE WHEN c_custkey % 2 = 0 THEN c_name || ',Extra ' || c_custkey || ',Mart ' || c_custkey ELSE c_name || ',Extra ' || c_custkey END AS aliases FROM customer",
     ),
     "store_channels": (
         lambda t: _channel_rows(t).join(op.channels(_channel_rows(t)), ["store_name", "matched_store_name"]).select("store_code", "channel"),
