@@ -59,7 +59,7 @@ def _products(t: Tables) -> DataFrame:
 
 
 def _periods(t: Tables) -> DataFrame:
-    e = t.sellout_imports().where("version = 1")
+    e = t.sellout_imports()
     text = F.concat(F.lit("期間："), F.date_format("period_start", "yyyy年M月d日"), F.lit(" ~ "), F.date_format("period_end", "yyyy年M月d日"))
     return e.select(F.col("import_id").alias("file_id"), F.lit("s").alias("sheet_name"), F.posexplode(F.array(F.lit("title"), text, F.lit("2001年1月1日 ~ 2001年1月2日"))).alias("row_idx", "value")).withColumn("col_idx", F.lit(2))
 
@@ -93,6 +93,6 @@ QUERIES = {
     ),
     "sheet_periods": (
         lambda t: op.period(_periods(t)).drop("sheet_name"),
-        using("sellout_entries sellout_imports", "SELECT import_id AS file_id, CAST(period_start AS VARCHAR) AS period_start, CAST(period_end AS VARCHAR) AS period_end FROM sellout_imports WHERE version = 1"),
+        using("sellout_entries sellout_imports", "SELECT import_id AS file_id, CAST(period_start AS VARCHAR) AS period_start, CAST(period_end AS VARCHAR) AS period_end FROM sellout_imports"),
     ),
 }

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import stores as op
+from ..operators.lifecycle import review_flags
 from ..sources.testdata import Tables
 from .matching import _chains
 from .views import using
@@ -168,6 +169,9 @@ def _official(chain: Column) -> Column:
 
 _OFFICIAL_SQL = f"CASE WHEN CAST(substr(chain_name, 8) AS INT) % 3 = 0 THEN '{op.OFFICIAL[0]}' ELSE chain_name END"
 
+_SHEET_JAN = "CASE WHEN p_partkey % 4 = 0 THEN lpad(CAST(p_partkey AS VARCHAR(20)), 13, '0') ELSE 'UNKNOWN' END"
+_SHEET_NAME = "CASE p_partkey % 4 WHEN 0 THEN 'any' WHEN 1 THEN concat(' ', upper(p_name)) WHEN 2 THEN concat(p_name, ' set') ELSE concat('zzz ', p_partkey) END"
+
 _TEXTS = "SELECT doc_id, coalesce(text, '') AS text FROM documents"
 _SHIP = "concat('発注元 X\n', CASE doc_id % 4 WHEN 0 THEN 'お届け先' WHEN 1 THEN '納品先：' WHEN 2 THEN 'お届け先住所 1' ELSE 'お届先 御中' END, '\n a \n\n', doc_id, '\n', CASE WHEN doc_id % 3 = 0 THEN '納品先TEL 03' ELSE 'c' END, '\nd\ne\nf\ng\nh\ni')"
 
@@ -287,4 +291,27 @@ UNION ALL SELECT DISTINCT chain_name, store_code, store_name FROM introductions
         lambda t: op.numbered(t.orders().join(t.order_lines(), F.col("id") == F.col("order_id")).groupBy("order_date", "store_name", "jan").agg(F.sum("qty").alias("qty")), ["order_date", "store_name", "jan"]).select(F.col("order_date").cast("string").alias("date"), "store_name", "jan", "qty", "place"),
         using("shop_orders order_lines", "SELECT CAST(order_date AS VARCHAR) AS date, store_name, jan, CAST(sum(qty) AS BIGINT) AS qty, row_number() OVER (ORDER BY order_date, store_name, jan) AS place FROM shop_orders o JOIN order_lines ON order_id = o.id GROUP BY order_date, store_name, jan"),
     ),
+    "introduction_products": (
+        lambda t: op.resolve_products(t.raw("part").select(F.lit("C1").alias("client_id"), F.expr(_SHEET_JAN).alias("jan"), F.expr(_SHEET_NAME).alias("name")), t.products()),
+        using(
+            "products",
+            f""", r AS (SELECT DISTINCT {_SHEET_JAN} AS jan, trim({_SHEET_NAME}) AS name FROM part), k AS (SELECT *, regexp_replace(lower(name), '[ #_-]', '', 'g') AS key FROM r),
+p AS (SELECT jan, name, regexp_replace(lower(name), '[ #_-]', '', 'g') AS key FROM products WHERE client_id = 'C1'),
+b AS (SELECT k.jan, k.name, arg_min({{'jan': p.jan, 'name': p.name}}, {{'s': CASE WHEN k.key = p.key THEN -length(p.key) - 1000 ELSE -least(length(k.key), length(p.key)) - 100 END, 'n': p.name, 'j': p.jan}}) AS b FROM k JOIN p ON k.key <> '' AND (contains(k.key, p.key) OR contains(p.key, k.key)) GROUP BY k.jan, k.name)
+SELECT 'C1' AS client_id, k.jan, k.name, CASE WHEN j.jan IS NOT NULL THEN k.jan ELSE coalesce(b.b.jan, k.jan) END AS found_jan, CASE WHEN j.jan IS NOT NULL THEN j.name ELSE coalesce(b.b.name, nullif(k.name, ''), k.jan) END AS found_name
+FROM k LEFT JOIN p j ON j.jan = k.jan LEFT JOIN b ON b.jan = k.jan AND b.name = k.name""",
+        ),
+    ),
+    "address_texts": (
+        lambda t: t.store_locations().select("store_code", tx.looks_like_address(F.col("address")).alias("is_address"), tx.located_address(F.when(F.col("store_code").cast("int") % 2 == 0, "100-0001"), F.concat(F.lit("1000001 "), F.coalesce("address", F.lit("")))).alias("full"), tx.header_key(F.concat(F.lit("Ｓｔｏｒｅ　"), "chain_name")).alias("header")),
+        using(
+            "store_locations",
+            """SELECT store_code, length(trim(coalesce(address, ''))) >= 4 AND NOT regexp_matches(trim(coalesce(address, '')), '^[0-9]+$') AS is_address,
+  concat_ws(' ', CASE WHEN CAST(store_code AS INT) % 2 = 0 THEN '100-0001' END, CASE WHEN address IS NULL THEN '1000001' ELSE address END) AS full, 'store' || lower(chain_name) AS header FROM store_locations""",
+        ),
+    ),
+    "order_review_flags": (
+        lambda t: review_flags(t.orders().withColumn("store_name", F.when(F.col("id").cast("int") % 5 > 0, F.col("store_name"))).withColumn("review_reasons", F.when(F.col("id").cast("int") % 3 == 0, F.array(F.lit("店舗名を確認してください"), F.lit("x"))).when(F.col("id").cast("int") % 3 == 1, F.array(F.lit("店舗名を確認してください"))))).select("id", F.size("display_reasons").alias("reasons"), "needs_store", "review"),
+        using("shop_orders", "SELECT id, CASE WHEN CAST(id AS INT) % 3 = 0 THEN 1 ELSE 0 END AS reasons, CAST(id AS INT) % 5 = 0 AS needs_store, CAST(id AS INT) % 3 = 0 OR needs_review OR CAST(id AS INT) % 5 = 0 AS review FROM shop_orders"),
+    ),
 }

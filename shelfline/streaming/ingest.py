@@ -1,39 +1,28 @@
-"""Latest row wins, from a file stream: every micro-batch becomes a new snapshot of the table."""
+"""Latest row wins, from a file stream: batches are appended to a table, and a reader keeps the latest row of each key."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 
 def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
-    return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    """The row of each key that is greatest by `order` and then by its other columns; found by partial maxima, not by sorting a key's rows."""
+    rest = [c for c in rows.columns if c not in keys and c not in order]
+    best = rows.groupBy(*keys).agg(F.max(F.struct(*order, *rest)).alias("_best"))
+    return best.select(*keys, "_best.*").select(*rows.columns)
 
 
-def ingest(spark: SparkSession, source: str, schema: StructType, table: str, checkpoint: str, keys: list[str], order: list[str]) -> StreamingQuery:
-    """Starts a query over the Parquet files of `source`. A batch that runs again writes the same snapshot again.
+def ingest(spark: SparkSession, source: str, schema: StructType, table: str, checkpoint: str) -> StreamingQuery:
+    """Starts a query over the Parquet files of `source` that appends them to `table`; the sink's own log lets each batch count once."""
+    return spark.readStream.schema(schema).parquet(source).writeStream.format("parquet").option("path", table).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-    Snapshots lie under `table` as batch=<id>; current() reads the newest complete one.
-    """
 
-    def merge(batch: DataFrame, number: int) -> None:
-        before = current(spark, table, schema, below=number)
-        latest(before.unionByName(batch), keys, order).write.mode("overwrite").parquet(f"{table}/batch={number:012d}")
-
-    return spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def current(spark: SparkSession, table: str, schema: StructType, below: int | None = None) -> DataFrame:
-    """The newest complete snapshot (before batch `below`), empty if there is none. Listed by Spark's file system, not the driver's."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(table)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
-    done = [n for n in sorted(names) if n.startswith("batch=") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{table}/{n}/_SUCCESS")) and (below is None or int(n[6:]) < below)]
-    return spark.read.schema(schema).parquet(f"{table}/{done[-1]}") if done else spark.createDataFrame([], schema)
+def current(spark: SparkSession, table: str, schema: StructType, keys: list[str], order: list[str]) -> DataFrame:
+    """The latest rows of what has been appended. Written to a new place, they can stand for the table from then on."""
+    return latest(spark.read.schema(schema).parquet(table), keys, order)
 
 
 def tumbling(events: DataFrame, time: str, every: str, late: str, keys: list[str]) -> DataFrame:

@@ -124,6 +124,6 @@ def test_stream_keeps_the_latest_row(spark, tmp_path):
     schema = spark.createDataFrame([], "id string, at int, status string").schema
     for n, rows in enumerate(([("a", 1, "new"), ("b", 1, "new")], [("a", 3, "saved"), ("a", 2, "old")])):
         spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{root}/in/{n}")
-        ingest.ingest(spark, f"{root}/in/*", schema, f"{root}/table", f"{root}/cp", ["id"], ["at", "status"]).awaitTermination()
-    got = ingest.current(spark, f"{root}/table", schema)
+        ingest.ingest(spark, f"{root}/in/*", schema, f"{root}/table", f"{root}/cp").awaitTermination()
+    got = ingest.current(spark, f"{root}/table", schema, ["id"], ["at", "status"])
     assert sorted((r.id, r.status) for r in got.collect()) == [("a", "saved"), ("b", "new")]
