@@ -1,4 +1,4 @@
-"""Store-introduction sheets of five layouts over the long cells table (file_id, sheet_name, row_idx, col_idx, value).
+"""Store-introduction sheets of six layouts over the long cells table (file_id, sheet_name, row_idx, col_idx, value).
 
 Every layout returns file_id, sheet_name, jan, product_name, store_code, store_name, address, postal_code, is_introduced,
 ord; a sheet that does not have the layout, or has fewer than five entries, gives none. dispatch() takes the first layout
@@ -123,7 +123,30 @@ def promotional_list(cells: DataFrame) -> DataFrame:
     return _entries(rows.select(*SHEET, "row_idx", F.coalesce("jan", F.lit("UNKNOWN")).alias("jan"), F.lit("").alias("product_name"), _at(F.col("i_code")).alias("store_code"), _at(F.col("i_name")).alias("store_name"), _at(F.col("i_addr")).alias("address"), tx.postal(_at(F.col("i_post"))).alias("postal_code"), some.alias("is_introduced")), F.struct("row_idx"))
 
 
-LAYOUTS: tuple[tuple[str, Callable[[DataFrame], DataFrame]], ...] = (("allocation", allocation), ("store-allocation", store_allocation), ("flag-list", flag_list), ("row-list", row_list), ("promotional", promotional_list))
+def shipment_list(cells: DataFrame, title: str = "本部送り込みリスト") -> DataFrame:
+    """A title, the product's JAN beside its label, then code, name and quantity of each store, up to the first blank row.
+
+    Rows that are no stores are passed over; of rows with one code the last decides whether it is introduced.
+    """
+    rows = rows_of(cells)
+    titled = cells.where(F.contains("value", F.lit(title))).select(*SHEET).distinct()
+    jan = rows.where("row_idx < 20").withColumn("_l", F.get(F.sort_array(F.map_keys(F.map_filter("c", lambda _, v: F.lower(v).isin("jan", "ｊａｎ")))), F.lit(0))).where("_l IS NOT NULL")
+    jan = jan.withColumn("jan", tx.jan_digits(tx.first_filled(_at(F.col("_l") + 1), _at(4)))).where("jan <> ''").groupBy(*SHEET).agg(F.max_by("jan", "row_idx").alias("jan"))
+    heading = (F.contains(_key(_at(1)), F.lit("コード")) | (_key(_at(1)) == "コ-ド")) & _key(_at(2)).isin("名", "店名")
+    named = rows.where(heading & (F.col("row_idx") < 20) & F.contains(_key(_at(3)), F.lit("商品名")) & ~_at(4).isin("", "バーコード")).groupBy(*SHEET).agg(F.max_by(_at(4), "row_idx").alias("product_name"))
+    heads = rows.where(heading).groupBy(*SHEET).agg(F.min("row_idx").alias("head"))
+    below = rows.join(titled, SHEET, "left_semi").join(heads, SHEET, "left").where(F.col("row_idx") > F.coalesce("head", F.lit(13)))
+    own = below.select(*SHEET, "row_idx", _at(1).alias("store_code"), _at(2).alias("store_name"), _at(4).alias("qty")).where("store_code <> '' OR store_name <> ''")
+    # Blank rows are not there, so rows of one stretch keep their distance to their rank.
+    own = own.withColumn("_run", F.col("row_idx") - F.row_number().over(Window.partitionBy(*SHEET).orderBy("row_idx"))).withColumn("_store", is_store_row(F.col("store_code"), F.col("store_name")))
+    first = own.where("_store").groupBy(*SHEET).agg(F.min("_run").alias("_first"))
+    kept = own.where("_store").join(first, SHEET).where("_run = _first").withColumn("is_introduced", tx.positive(F.col("qty")))
+    kept = kept.withColumn("is_introduced", F.last("is_introduced").over(Window.partitionBy(*SHEET, "store_code").orderBy("row_idx").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    out = kept.join(jan, SHEET).join(named, SHEET, "left")
+    return _entries(out.select(*SHEET, "row_idx", "jan", F.coalesce("product_name", F.lit("")).alias("product_name"), "store_code", "store_name", F.lit("").alias("address"), F.lit("").alias("postal_code"), "is_introduced"), F.struct("row_idx"))
+
+
+LAYOUTS: tuple[tuple[str, Callable[[DataFrame], DataFrame]], ...] = (("allocation", allocation), ("store-allocation", store_allocation), ("flag-list", flag_list), ("row-list", row_list), ("promotional", promotional_list), ("shipment-list", shipment_list))
 
 
 def dispatch(cells: DataFrame) -> DataFrame:

@@ -56,6 +56,24 @@ def _allocation(t: Tables) -> DataFrame:
     return own.unionByName(heads).select("file_id", F.lit("allocation").alias("sheet_name"), "c.*")
 
 
+def _shipments(t: Tables) -> DataFrame:
+    """A list for each chain: every store by a five-digit code, some rows that are no stores, and rows after a gap that don't count."""
+    s = _stores(t).withColumn("sheet_name", F.lit("shipments"))
+    no = F.col("no").cast("int")
+    code = F.concat(F.lit("10"), F.lpad("no", 3, "0"))
+    row = lambda at, *v: (at.alias("row_idx"), *[x.alias(k) for k, x in zip("abdef", v, strict=True)])
+    blank = F.lit("")
+    body = s.select("file_id", "sheet_name", *row(no + 5, blank, code, F.when(F.col("n") % 7 == 0, F.concat(F.lit("関東"), "n")).otherwise(F.col("store_name")), blank, (F.col("n") % 3).cast("string")))
+    ends = s.groupBy("file_id", "sheet_name").agg(F.max(no).alias("last"))
+    after = ends.select("file_id", "sheet_name", *row(F.col("last") + 7, blank, F.lit("10999"), F.lit("late"), blank, F.lit("9")))
+    fixed = [(0, "本部送り込みリスト", "", "", "", ""), (2, "", "", "ｊａｎ", "4900000000035", ""), (9, "", "コード", "店名", "商品名", "item s")]
+    heads = [ends.select("file_id", "sheet_name", *row(F.lit(r), *map(F.lit, v))) for r, *v in fixed]
+    out = body.unionByName(after)
+    for h in heads:
+        out = out.unionByName(h)
+    return _cells(out, list("abdef"))
+
+
 def _store_allocation(t: Tables) -> DataFrame:
     s = _stores(t).withColumn("sheet_name", F.lit("店舗割振"))
     body = s.select("file_id", "sheet_name", (F.col("no").cast("int") + 3).alias("row_idx"), F.col("no").alias("a"), F.col("store_name").alias("b"), F.lit("").alias("c"), F.lit("").alias("d"), (F.col("n") % 2).alias("e"), (F.col("n") % 5).alias("f"))
@@ -105,4 +123,13 @@ UNION ALL SELECT file_id, 'promo', 'promotional', count(*), count(*) FILTER (is_
         lambda t: _stores(t).where(op.is_store_row(F.concat(F.lit("10"), F.lpad("no", 3, "0")), F.when(F.col("n") % 4 == 0, "関東12").when(F.col("n") % 4 == 1, "公式通販").otherwise(F.col("store_name")))).select("file_id", "no"),
         _sql("SELECT file_id, no FROM s WHERE n % 4 > 1"),
     ),
+    "sheet_shipments": (
+        lambda t: op.shipment_list(_shipments(t)).select("file_id", "jan", "product_name", "store_code", "store_name", "is_introduced"),
+        using(
+            "store_locations",
+            _STORES
+            + """, l AS (SELECT file_id, lpad(no, 3, '0') AS no, CAST(no AS INT) AS i, store_name, n FROM s), k AS (SELECT * FROM l WHERE n % 7 <> 0 AND length(no) = 3)
+SELECT file_id, '4900000000035' AS jan, 'item s' AS product_name, '10' || no AS store_code, store_name, n % 3 > 0 AS is_introduced FROM k QUALIFY count(*) OVER (PARTITION BY file_id) >= 5""",
+        ),
+    ),
 }
