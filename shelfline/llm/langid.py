@@ -242,8 +242,8 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", sample: int = S
     return learn(written(counts, "lexicon"), rounds, path)
 
 
-def predict(df: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", path: str | None = None) -> DataFrame:
-    """Adds lang_pred and score, the probability of lang_pred among the languages with equal priors.
+def predict(df: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", path: str | None = None, pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """Adds `pred`, a language, and `score`, its probability among the languages with equal priors.
 
     A text that is null or has no letter, and any text where no language was learned, is `und` with score 0. Among
     languages that are equally likely the first by name is predicted. Columns already named so are replaced.
@@ -280,7 +280,7 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray], text: str = "tex
 
     own = fresh(df, "_judged")
     both = lean(df).withColumn(own, judged(F.col(f"`{text}`").cast("string")))
-    return both.withColumn("lang_pred", F.col(own)["lang_pred"]).withColumn("score", F.col(own)["score"]).drop(own)
+    return both.withColumn(pred, F.col(own)["lang_pred"]).withColumn(score, F.col(own)["score"]).drop(own)
 
 
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

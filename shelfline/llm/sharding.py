@@ -25,31 +25,40 @@ def assign(df: DataFrame, order: list[str], source: str = "source", shards: int
     Columns already named shard, slot or rank are replaced. An empty table stays empty.
     """
     df = df.drop("shard", "slot", "rank")
+    p = _prefix(df)
     total = df.count()
     buckets = buckets or max(BUCKETS, -(-total // ROWS))
     hashed = F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in order])
-    shuffled = df.withColumn("__h", hashed).withColumn("__b", F.pmod(F.shiftrightunsigned("__h", 40), F.lit(buckets)).cast("int"))
-    ranked = _ranked(shuffled, [source], "__b", ["__h", *order], "__place")
-    sizes = df.groupBy(F.col(f"`{source}`").alias("__s")).agg(F.count("*").alias("__n"))
-    part = ranked.join(sizes, F.col(f"`{source}`").eqNullSafe(F.col("__s"))).withColumn("__f", (F.col("__place") + 0.5) / F.col("__n"))
-    part = part.withColumn("__b", F.floor(F.col("__f") * buckets).cast("int"))
-    mixed = _ranked(part, [], "__b", ["__f", F.xxhash64(F.lit(seed), F.col("__s")), "__s", "__h", *order], "rank")
+    shuffled = df.withColumn(f"{p}h", hashed).withColumn(f"{p}b", F.pmod(F.shiftrightunsigned(f"{p}h", 40), F.lit(buckets)).cast("int"))
+    ranked = _ranked(shuffled, [source], f"{p}b", [f"{p}h", *order], f"{p}place")
+    sizes = df.groupBy(F.col(f"`{source}`").alias(f"{p}s")).agg(F.count("*").alias(f"{p}n"))
+    part = ranked.join(sizes, F.col(f"`{source}`").eqNullSafe(F.col(f"{p}s"))).withColumn(f"{p}f", (F.col(f"{p}place") + 0.5) / F.col(f"{p}n"))
+    part = part.withColumn(f"{p}b", F.floor(F.col(f"{p}f") * buckets).cast("int"))
+    mixed = _ranked(part, [], f"{p}b", [f"{p}f", F.xxhash64(F.lit(seed), F.col(f"{p}s")), f"{p}s", f"{p}h", *order], "rank")
     cut = mixed.withColumn("shard", F.expr(f"(rank * {shards}) div {max(total, 1)}").cast("int"))
     cut = cut.withColumn("slot", F.col("rank") - F.expr(f"(shard * {total}L + {shards - 1}) div {shards}"))
-    return cut.drop("__h", "__b", "__s", "__n", "__f", "__place")
+    return cut.drop(*[f"{p}{x}" for x in ("h", "b", "s", "n", "f", "place")])
+
+
+def _prefix(df: DataFrame) -> str:
+    """Underscores with which no column begins."""
+    out = "__"
+    while any(c.startswith(out) for c in df.columns):
+        out += "_"
+    return out
 
 
 def _ranked(df: DataFrame, keys: list[str], bucket: str, order: list[str | Column], out: str) -> DataFrame:
     """Adds `out`, the rank from 0 among the rows of equal keys, by bucket and then by order."""
-    own = [F.col(f"`{k}`") for k in keys]
-    sizes = df.groupBy(*[k.alias(f"__k{i}") for i, k in enumerate(own)], F.col(bucket).alias("__kb")).agg(F.count("*").alias("__c"))
-    before = Window.partitionBy(*[f"__k{i}" for i in range(len(keys))]).orderBy("__kb").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("__before", F.coalesce(F.sum("__c").over(before), F.lit(0))).drop("__c")
-    inner = df.withColumn("__r", F.row_number().over(Window.partitionBy(*own, bucket).orderBy(*order)))
-    on = F.col(bucket) == F.col("__kb")
+    own, p = [F.col(f"`{k}`") for k in keys], _prefix(df)
+    sizes = df.groupBy(*[k.alias(f"{p}k{i}") for i, k in enumerate(own)], F.col(bucket).alias(f"{p}kb")).agg(F.count("*").alias(f"{p}c"))
+    before = Window.partitionBy(*[f"{p}k{i}" for i in range(len(keys))]).orderBy(f"{p}kb").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn(f"{p}before", F.coalesce(F.sum(f"{p}c").over(before), F.lit(0))).drop(f"{p}c")
+    inner = df.withColumn(f"{p}r", F.row_number().over(Window.partitionBy(*own, bucket).orderBy(*[F.col(f"`{c}`") if isinstance(c, str) else c for c in order])))
+    on = F.col(bucket) == F.col(f"{p}kb")
     for i, k in enumerate(own):
-        on &= k.eqNullSafe(F.col(f"__k{i}"))
-    return inner.join(sizes, on).withColumn(out, F.col("__before") + F.col("__r") - 1).drop("__r", "__kb", "__before", *[f"__k{i}" for i in range(len(keys))])
+        on &= k.eqNullSafe(F.col(f"{p}k{i}"))
+    return inner.join(sizes, on).withColumn(out, F.col(f"{p}before") + F.col(f"{p}r") - 1).drop(f"{p}r", f"{p}kb", f"{p}before", *[f"{p}k{i}" for i in range(len(keys))])
 
 
 def write_shards(df: DataFrame, path: str) -> None:
@@ -58,6 +67,9 @@ def write_shards(df: DataFrame, path: str) -> None:
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard and slot under law `rows`; groups (equal texts) are not kept together. Rows that share a doc_id
+    are rows of their own; null texts count as empty.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
         "doc_id", "source", (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32")
     )

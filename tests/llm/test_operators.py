@@ -639,3 +639,15 @@ def test_every_shard_has_its_share_of_each_source(spark):
     assert len(share) == 10 and all(abs(n - 100) <= 1 for n in share)
     other = {r.doc_id: r.shard for r in sharding.assign(df, ["doc_id"], shards=10, seed=8).collect()}
     assert other != {r.doc_id: r.shard for r in got.collect()}
+
+
+def test_columns_of_any_name_stay(spark):
+    names = ["_key", "_t", "_row", "_judged", "_hash", "_run", "_place", "__h", "__b", "__k0", "_x", "pack", "rows", "h"]
+    rows = [(i, f"{EN if i % 2 else FR} more {i}", "en" if i % 2 else "fr", "a", 0, *names) for i in range(12)]
+    df = spark.createDataFrame(rows, SCHEMA + "".join(f", {n} string" for n in names))
+    same = lambda out: [tuple(r[n] for n in names) for r in out.select(*names).distinct().collect()] == [tuple(names)]
+    assert same(bpe.decode(bpe.encode(df))) and same(ngram_lm.model_scores(df, ngram_lm.fit(df, 300, 60))) and same(langid.predict(df, langid.fit(df)))
+    assert same(secrets.scan(df)) and same(sharding.assign(df, ["doc_id"], shards=3)) and same(simhash.fingerprints(df))
+    bench = spark.createDataFrame([(0, EN)], "item_id long, text string")
+    assert licenses.scan(df).count() == simhash.classes(df).count() == minhash.with_next(df, "doc_id", "text").count() == 12
+    assert {r.doc_id for r in decontaminate.overlaps(df, bench).collect()} == {1, 3, 5, 7, 9, 11}

@@ -104,14 +104,15 @@ def test_stages(spark, tmp_path):
     rows += [(104, "my password=abcd1234efgh is not for you or anybody else in the green forest", "en", "s", 0), (None, "a text without any key that is unlike all of the other texts in here", "en", "s", 0)]
     folder = str(tmp_path)
     schema = "doc_id long, text string, lang string, source string, n_chars long"
-    spark.createDataFrame(rows, schema).write.parquet(f"{folder}/documents.parquet")
+    extra = ["_key", "_first", "_spans", "_pred", "score", "lang_pred", "_rules"]
+    spark.createDataFrame([(*r, *extra) for r in rows], schema + "".join(f", {n} string" for n in extra)).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([(0, ITEM)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     seen = []
     for k, (_, stage) in enumerate(cp.STAGES):
         docs = stage(spark, docs, folder)
         if k < len(cp.STAGES) - 1:
-            assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+            assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", *extra]
         docs.write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
         seen.append(docs.collect())
@@ -126,6 +127,7 @@ def test_stages(spark, tmp_path):
     assert Counter((r.doc_id, r.lang, r.source, bytes(r.token_ids), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in seen[4]) == want
     ids = [sorted((r.doc_id for r in rows_ if r.doc_id is not None)) for rows_ in seen]
     clean = [*range(40)]
+    assert all(r[n] == n for rows_ in seen[:-1] for r in rows_ for n in extra)
     assert ids[0] == [*clean, 102, 103, 104]
     assert ids[1] == [*clean, 103, 104] and sum(r.doc_id is None for r in seen[1]) == 1
     assert ids[2] == [*clean, 104] == ids[3] == ids[4]
