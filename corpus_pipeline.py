@@ -3,6 +3,7 @@
 Language ID drops texts without a language, near-duplicates keep the smallest document of each class, decontamination
 drops documents that hold a benchmark passage, the secret scan masks what it finds, and encoding returns token ids.
 All stages but the last return the columns of documents. Rows without text have no language and go in the first stage.
+Extra columns of documents stay up to the last stage, whatever their names; it returns its own columns alone.
 """
 
 from __future__ import annotations
@@ -18,17 +19,17 @@ LEAST_SCORE = 0.5  # of the predicted language
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose text has a language; lang becomes the predicted one where it was null."""
-    model = langid.fit(docs.where(crc_mod("doc_id", 4) != 2))
-    judged = langid.predict(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
-    return judged.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    model, pred, score = langid.fit(docs.where(crc_mod("doc_id", 4) != 2)), fresh(docs, "_pred"), fresh(docs, "_score")
+    judged = langid.predict(docs, model, pred=pred, score=score).where((F.col(pred) != "und") & (F.col(score) >= LEAST_SCORE))
+    return judged.withColumn("lang", F.coalesce("lang", pred)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each class: the smallest doc_id, null last, and of rows that share it the smallest text hash."""
-    key = fresh(docs, "_key")
+    key, name = fresh(docs, "_key"), fresh(docs, "_first")
     keyed = docs.withColumn(key, F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text")))
-    first = simhash.classes(keyed, key=key).where(F.col(key) == F.col("component_id")).select(F.to_json(key, {"ignoreNullFields": "false"}).alias("_first")).distinct()
-    kept = keyed.withColumn(key, F.to_json(key, {"ignoreNullFields": "false"})).join(first, F.col(key) == F.col("_first"), "left_semi")
+    first = simhash.classes(keyed, key=key).where(F.col(key) == F.col("component_id")).select(F.to_json(key, {"ignoreNullFields": "false"}).alias(name)).distinct()
+    kept = keyed.withColumn(key, F.to_json(key, {"ignoreNullFields": "false"})).join(first, F.col(key) == F.col(name), "left_semi")
     return kept.dropDuplicates([key]).select(*docs.columns)
 
 
@@ -42,7 +43,8 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Masks secrets in the texts and keeps n_chars true; documents stay."""
-    masked = secrets.redact(secrets.scan(docs, out="_spans"), spans="_spans")
+    spans = fresh(docs, "_spans")
+    masked = secrets.redact(secrets.scan(docs, out=spans), spans=spans)
     return masked.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
