@@ -20,7 +20,7 @@ confirmed AS (SELECT * EXCLUDE (registered, client_id) FROM paid WHERE order_id
 
 
 def _confirmed(t: Tables, status: str = "imported"):
-    """The reference data hold no snapshots; orders of any status get them as if they were confirmed now."""
+    """The tables hold no snapshots; orders of any status get them as if they were confirmed now."""
     orders = t.orders().where(F.col("status") == status).withColumn("status", F.lit("imported"))
     return op.confirm(orders, t.order_lines(), t.products(), t.clients())
 

@@ -9,10 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..operators import introductions as intro
 from ..operators import stores as op
+from ..operators.imports import insert_or_update, merge_locations
 from ..operators.lifecycle import review_flags
 from ..sources.testdata import Tables
-from .matching import _chains
+from .introductions import _BASE, FORMAT
+from .matching import _chains, _shops
 from .views import using
 
 _TOWN = "CASE c_custkey % 7 WHEN 0 THEN '渋谷' WHEN 1 THEN '池袋' WHEN 2 THEN '名古屋栄' WHEN 3 THEN '本厚木' WHEN 4 THEN '梅田' WHEN 5 THEN 'イクスピアリ' ELSE '仙台' END"
@@ -314,4 +317,24 @@ FROM k LEFT JOIN p j ON j.jan = k.jan LEFT JOIN b ON b.jan = k.jan AND b.name =
         lambda t: review_flags(t.orders().withColumn("store_name", F.when(F.col("id").cast("int") % 5 > 0, F.col("store_name"))).withColumn("review_reasons", F.when(F.col("id").cast("int") % 3 == 0, F.array(F.lit("店舗名を確認してください"), F.lit("x"))).when(F.col("id").cast("int") % 3 == 1, F.array(F.lit("店舗名を確認してください"))))).select("id", F.size("display_reasons").alias("reasons"), "needs_store", "review"),
         using("shop_orders", "SELECT id, CASE WHEN CAST(id AS INT) % 3 = 0 THEN 1 ELSE 0 END AS reasons, CAST(id AS INT) % 5 = 0 AS needs_store, CAST(id AS INT) % 3 = 0 OR needs_review OR CAST(id AS INT) % 5 = 0 AS review FROM shop_orders"),
     ),
+    "introduction_latest_kpis": (
+        lambda t: intro.chain_kpis(intro.dedupe(t.introductions().join(op.latest_by_chain(_introduction_imports(t)).select("import_id"), "import_id", "left_semi")), FORMAT),
+        using("introductions store_locations", _BASE + "SELECT * FROM kpi WHERE CAST(substr(chain, 8) AS INT) % 4 <> 0"),
+    ),
+    # Names that the sheets write in upper case, of stores that the master has or lacks; the later of two rows counts, a blank chain keeps the old one.
+    "locations_from_entries": (
+        lambda t: merge_locations(
+            t.store_locations().where("cast(store_code as int) % 3 <> 0"),
+            t.introductions().groupBy("store_code").agg(F.upper(F.max("store_name")).alias("store_name"), F.max("ord").alias("ord")).select("store_code", "store_name", F.lit("").alias("chain_name"), F.lit("1-1 sheet").alias("address"), "ord"),
+        ),
+        using(
+            "introductions store_locations",
+            """, n AS (SELECT store_code, upper(max(store_name)) AS store_name FROM introductions GROUP BY ALL), o AS (SELECT * FROM store_locations WHERE CAST(store_code AS INT) % 3 <> 0)
+SELECT * FROM o WHERE store_code NOT IN (SELECT store_code FROM n) UNION ALL SELECT n.store_code, n.store_name, o.chain_name, '1-1 sheet' FROM n LEFT JOIN o USING (store_code)""",
+        ),
+    ),
+    "chain_upsert": (
+        lambda t: insert_or_update(_shops(t, "Mart ").where("ord % 2 = 0").withColumn("id", F.concat(F.lit("old-"), "ord")), _shops(t, "Extra ").where("ord % 3 = 0").withColumn("id", F.concat(F.lit("new-"), "ord")), ["name"]).select("id", "name", F.element_at("aliases", 1).alias("alias")),
+        "SELECT CASE WHEN c_custkey % 2 = 0 THEN 'old-' ELSE 'new-' END || c_custkey AS id, c_name AS name, CASE WHEN c_custkey % 3 = 0 THEN 'Extra ' ELSE 'Mart ' END || c_custkey AS alias FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0",
+    ),
 }
