@@ -152,8 +152,10 @@ def history(orders: DataFrame) -> DataFrame:
     )
 
 
-def violations(orders: DataFrame, lines: DataFrame, products: DataFrame) -> DataFrame:
-    """rule, rows: how many rows break each rule; all zero in a sound store."""
+def violations(orders: DataFrame, lines: DataFrame, products: DataFrame, clients: DataFrame) -> DataFrame:
+    """rule, rows: how many rows break each rule; all zero in a sound store. A product's rate must be above its client's fee, or the default one."""
+    fees = clients.select(F.col("id").alias("client_id"), F.coalesce("fbp_fee_rate", F.lit(DEFAULT_FEE)).alias("fee"))
+    priced = products.join(fees, "client_id", "left").withColumn("fee", F.coalesce("fee", F.lit(DEFAULT_FEE)))
     snapshots = [F.col(c).isNull() for c in SNAPSHOTS if c in lines.columns]
     rules = [
         orders.groupBy("client_id", "order_no").count().where("count > 1").agg(F.lit("order number twice").alias("rule"), F.count("*").alias("rows")),
@@ -161,7 +163,7 @@ def violations(orders: DataFrame, lines: DataFrame, products: DataFrame) -> Data
         orders.agg(F.lit("unknown status").alias("rule"), F.count_if(~F.col("status").isin(*STATUSES)).alias("rows")),
         lines.agg(F.lit("quantity not positive").alias("rule"), F.count_if(~(F.col("qty") > 0)).alias("rows")),
         products.agg(F.lit("negative price").alias("rule"), F.count_if((F.col("wholesale_price") < 0) | (F.col("retail_price") < 0)).alias("rows")),
-        products.agg(F.lit("rate not above fee").alias("rule"), F.count_if(payout_rate(F.col("wholesale_price"), F.col("retail_price")) <= DEFAULT_FEE).alias("rows")),
+        priced.agg(F.lit("rate not above fee").alias("rule"), F.count_if(payout_rate(F.col("wholesale_price"), F.col("retail_price")) <= F.col("fee")).alias("rows")),
     ]
     if snapshots:
         some = F.lit(0)
