@@ -83,7 +83,7 @@ def test_one_bad_row_blocks_its_file(spark):
     norm = imports.normalise(df, mapping)
     faults = imports.errors(norm)
     assert sorted((r.file_id, r.row_number) for r in faults.collect()) == [("f", 3), ("f", 4)]
-    headers, lines = imports.drafts(norm, faults)
+    headers, lines = imports.drafts(norm)
     assert [(r.order_no, r.warehouse) for r in headers.collect()] == [("3", "埼玉センター(No.42)")] and lines.first().qty == 4
 
 
