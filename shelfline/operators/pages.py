@@ -11,6 +11,17 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from .imports import latest
 
+#: Markup of the four store lists, which the patterns must match as it is. Fixed values.
+LD_BLOCK = r'<script type="application/ld\+json">\s*(\{[\s\S]*?\})\s*</script>'
+BOX, BOX_ID = 'class="shopdetail-box"', r"shop_id=(\d+)"
+BOX_NAME, BOX_POSTCODE = r"shop-name[^>]*>\s*<a[^>]*>([^<]+)</a>", "shop-postcode[^>]*>〒([^<]+)"
+BOX_ADDRESS, BOX_TEL = r"shop-address[^>]*>\s*([\s\S]*?)</p>", r"(\d{2,4}-\d{2,4}-\d{4})"
+ITEM, ITEM_ID = "shopTable__item", r'href="/store/shop/([^/"]+)'
+ITEM_NAME, ITEM_ADDRESS = r'shopTable__name[\s\S]*?<span class="txt">([^<]+)', r"shopTable__address[\s\S]*?<p>([^<]+)"
+LINK, LINK_ID = r'(?i)(?=<a href="/blogs/shop/\d+"[^>]*class="wl-shop-list__link">)', r'(?i)^<a href="/blogs/shop/(\d+)"[^>]*class="wl-shop-list__link">'
+LINK_NAME, LINK_VALUE = '(?i)<h4 class="wl-shop-list__item-title">([^<]+)</h4>', r'[\s\S]*?wl-shop-list__item-data__value">([^<]+)</div>'
+LINK_ADDRESS, LINK_TEL = f"(?i)wl-place[^>]*>{LINK_VALUE}", f"(?i)wl-tel[^>]*>{LINK_VALUE}"
+
 _LD = "name string, url string, telephone string, address string"
 _ADDRESS = "postalCode string, addressRegion string, addressLocality string, streetAddress string"
 
@@ -26,7 +37,7 @@ def _last(rows: DataFrame) -> DataFrame:
 
 def json_ld(pages: DataFrame) -> DataFrame:
     """Every JSON-LD block; a block that is no JSON or lacks name, slug or address is passed over."""
-    blocks = F.regexp_extract_all("html", F.lit(r'<script type="application/ld\+json">\s*(\{[\s\S]*?\})\s*</script>'), F.lit(1))
+    blocks = F.regexp_extract_all("html", F.lit(LD_BLOCK), F.lit(1))
     rows = pages.select("page_id", F.posexplode(blocks).alias("place", "block")).withColumn("d", F.from_json("block", _LD))
     a = F.from_json("d.address", _ADDRESS)
     slug = F.regexp_replace(F.element_at(F.split(F.regexp_replace(F.coalesce(F.try_parse_url(tx.trim(F.col("d.url")), F.lit("PATH")), F.lit("")), "/+$", ""), "/"), -1), r"\.html$", "")
@@ -47,35 +58,35 @@ def json_ld(pages: DataFrame) -> DataFrame:
 
 
 def boxes(pages: DataFrame) -> DataFrame:
-    rows = pages.select("page_id", F.posexplode(F.split("html", 'class="shopdetail-box"')).alias("place", "part")).where("place > 0")
+    rows = pages.select("page_id", F.posexplode(F.split("html", BOX)).alias("place", "part")).where("place > 0")
     p = F.col("part")
-    address = F.regexp_replace(F.regexp_replace(_found(p, r"shop-address[^>]*>\s*([\s\S]*?)</p>"), r"(?i)<br\s*/?>", " "), "<[^>]+>", "")
-    slug = _found(p, r"shop_id=(\d+)")
+    address = F.regexp_replace(F.regexp_replace(_found(p, BOX_ADDRESS), r"(?i)<br\s*/?>", " "), "<[^>]+>", "")
+    slug = _found(p, BOX_ID)
     return _last(
         rows.select(
             "page_id",
             "place",
             slug.alias("slug"),
             F.concat(F.lit("loft-"), slug).alias("store_code"),
-            tx.trim(_found(p, r"shop-name[^>]*>\s*<a[^>]*>([^<]+)</a>")).alias("store_name"),
-            tx.trim(_found(p, "shop-postcode[^>]*>〒([^<]+)")).alias("postal_code"),
+            tx.trim(_found(p, BOX_NAME)).alias("store_name"),
+            tx.trim(_found(p, BOX_POSTCODE)).alias("postal_code"),
             tx.squeeze(address).alias("address"),
-            _found(p, r"(\d{2,4}-\d{2,4}-\d{4})").alias("tel"),
+            _found(p, BOX_TEL).alias("tel"),
         )
     )
 
 
 def items(pages: DataFrame) -> DataFrame:
-    rows = pages.select("page_id", F.posexplode(F.split("html", "shopTable__item")).alias("place", "part")).where("place > 0")
+    rows = pages.select("page_id", F.posexplode(F.split("html", ITEM)).alias("place", "part")).where("place > 0")
     p = F.col("part")
-    slug, text = _found(p, r'href="/store/shop/([^/"]+)'), tx.trim(_found(p, r"shopTable__address[\s\S]*?<p>([^<]+)"))
+    slug, text = _found(p, ITEM_ID), tx.trim(_found(p, ITEM_ADDRESS))
     return _last(
         rows.select(
             "page_id",
             "place",
             slug.alias("slug"),
             F.concat(F.lit("atcosme-"), slug).alias("store_code"),
-            tx.trim(_found(p, r'shopTable__name[\s\S]*?<span class="txt">([^<]+)')).alias("store_name"),
+            tx.trim(_found(p, ITEM_NAME)).alias("store_name"),
             _found(text, r"^(\d{3}-\d{4})").alias("postal_code"),
             tx.trim(F.regexp_replace(text, r"^\d{3}-\d{4}\s*", "")).alias("address"),
             F.lit("").alias("tel"),
@@ -85,18 +96,18 @@ def items(pages: DataFrame) -> DataFrame:
 
 def links(pages: DataFrame) -> DataFrame:
     """One link for each store; the phone number is optional."""
-    rows = pages.select("page_id", F.posexplode(F.split("html", r'(?i)(?=<a href="/blogs/shop/\d+"[^>]*class="wl-shop-list__link">)')).alias("place", "part"))
-    p, value = F.col("part"), r'[\s\S]*?wl-shop-list__item-data__value">([^<]+)</div>'
-    slug = _found(p, r'(?i)^<a href="/blogs/shop/(\d+)"[^>]*class="wl-shop-list__link">')
+    rows = pages.select("page_id", F.posexplode(F.split("html", LINK)).alias("place", "part"))
+    p = F.col("part")
+    slug = _found(p, LINK_ID)
     return _last(
         rows.select(
             "page_id",
             "place",
             slug.alias("slug"),
             F.concat(F.lit("ainz-"), slug).alias("store_code"),
-            tx.trim(_found(p, '(?i)<h4 class="wl-shop-list__item-title">([^<]+)</h4>')).alias("store_name"),
+            tx.trim(_found(p, LINK_NAME)).alias("store_name"),
             F.lit("").alias("postal_code"),
-            tx.trim(_found(p, f"(?i)wl-place[^>]*>{value}")).alias("address"),
-            tx.trim(_found(p, f"(?i)wl-tel[^>]*>{value}")).alias("tel"),
+            tx.trim(_found(p, LINK_ADDRESS)).alias("address"),
+            tx.trim(_found(p, LINK_TEL)).alias("tel"),
         )
     )
