@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, langid, licenses, minhash, ngram_lm, secrets, sharding, simhash, urls
+from . import bpe, decontaminate, langid, licenses, merkle, minhash, ngram_lm, secrets, sharding, simhash, topk, urls, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": simhash.op8_simhash,
         "op9_minhash": minhash.op9_minhash,
         "op10_sharding": sharding.op10_sharding,
+        "op11_whitening": whitening.op11_whitening,
+        "op12_merkle": merkle.op12_merkle,
+        "op13_topk": topk.op13_topk,
     }
 
 
@@ -29,4 +32,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_secrets": secrets.op4_sql(),
         "op6_urls": urls.op6_sql(),
         "op7_decontaminate": decontaminate.op7_sql(),
+        "op12_merkle": merkle.op12_sql(),
+        "op13_topk": topk.op13_sql(),
     }
