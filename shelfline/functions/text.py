@@ -134,12 +134,12 @@ def csv_cell(c: Column) -> Column:
 def split_address(c: Column) -> Column:
     """array of three parts: lines if there are several, else a cut after the municipality."""
     lines = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), "\r?\n"), trim), lambda x: x != "")
-    rest = F.when(F.get(lines, F.lit(0)).rlike(r"^\d{3}-?\d{4}$"), F.slice(lines, 2, 1000)).otherwise(lines)
+    rest = F.when(F.get(lines, F.lit(0)).rlike(r"^\d{3}-?\d{4}$"), F.slice(lines, F.lit(2), F.size(lines))).otherwise(lines)
     body = F.when(F.size(lines) > 1, F.array_join(rest, "")).otherwise(trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"^(.*?)\d{3}-?\d{4}", "$1")))
     cuts = (r"^(.+?[都道府県].+?郡.+?[町村])", r"^(.+?[都道府県].+?市.+?区)", r"^(.+?[都道府県].+?市)", r"^(.+?[都道府県].+?区)", r"^(.+?[都道府県].+?[町村])")
     head = F.coalesce(*[F.nullif(F.regexp_extract(body, p, 1), F.lit("")) for p in cuts], F.lit(""))
     cut = F.when(head != "", F.array(trim(head), trim(F.substring(body, F.length(head) + 1, F.length(body))), F.lit(""))).otherwise(F.array(body, F.lit(""), F.lit("")))
-    several = F.array(F.get(rest, F.lit(0)), F.get(rest, F.lit(1)), F.array_join(F.slice(rest, 3, 1000), " "))
+    several = F.array(F.get(rest, F.lit(0)), F.get(rest, F.lit(1)), F.array_join(F.slice(rest, F.lit(3), F.size(rest)), " "))
     return F.when((F.size(lines) > 1) & (F.size(rest) >= 2), several).otherwise(cut)
 
 

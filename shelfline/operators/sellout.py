@@ -12,13 +12,13 @@ IMPORTS_READ = 100
 
 
 def latest_imports(imports: DataFrame, read: int | None = IMPORTS_READ) -> DataFrame:
-    """The `read` newest imports of each client, and of these the newest of each retailer and period; imports without a retailer are left out.
+    """The `read` newest imports of each client, and of these each client's newest of a retailer and period; imports without a retailer are left out.
 
     The limit comes first: it is what the report reads. Without one (None) all imports count.
     """
     newest_ = imports if read is None else newest(imports, read)
-    newest_ = newest_.where("coalesce(retailer, '') <> ''")
-    rank = F.row_number().over(Window.partitionBy("retailer", "period_start", "period_end").orderBy(F.desc("imported_at"), F.desc("import_id")))
+    newest_ = newest_.where("trim(coalesce(retailer, '')) <> ''")
+    rank = F.row_number().over(Window.partitionBy("client_id", F.trim("retailer"), "period_start", "period_end").orderBy(F.desc("imported_at"), F.desc("import_id")))
     return newest_.withColumn("_r", rank).where("_r = 1").drop("_r")
 
 
@@ -35,9 +35,9 @@ def _month(f) -> Column:
 
 
 def with_product_names(entries: DataFrame, products: DataFrame) -> DataFrame:
-    """The registered product's name, else the file's, else 未登録; products: jan, name of one client."""
-    named = products.select("jan", F.col("name").alias("_name"))
-    return entries.join(named, "jan", "left").withColumn("product_name", tx.first_filled(F.col("_name"), F.col("product_name"), "未登録")).drop("_name")
+    """The client's registered product's name, else the file's, else 未登録; products: client_id, jan, name."""
+    named = products.select("client_id", "jan", F.col("name").alias("_name"))
+    return entries.join(named, ["client_id", "jan"], "left").withColumn("product_name", tx.first_filled(F.col("_name"), F.col("product_name"), "未登録")).drop("_name")
 
 
 def filtered(entries: DataFrame, retailer: str = "all", store: str = "", product: str = "", year: str = "all", month: str = "all") -> DataFrame:

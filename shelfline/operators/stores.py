@@ -91,10 +91,13 @@ def newest(imports: DataFrame, read: int, key: str = "client_id") -> DataFrame:
 
 
 def latest_by_chain(imports: DataFrame) -> DataFrame:
-    """The newest import of each chain; imports without a chain are left out."""
-    chain = tx.trim(F.col("chain_name"))
-    best = imports.where(chain != "").groupBy(chain.alias("_chain")).agg(F.max(F.struct("imported_at", "import_id")).alias("_best"))
-    return imports.join(best.select("_chain", F.col("_best.import_id").alias("import_id")), "import_id").where(chain == F.col("_chain")).drop("_chain")
+    """Each client's newest import of every chain; of a client without any chain the newest import."""
+    own = F.struct("imported_at", "import_id")
+    chain = F.coalesce(tx.trim(F.col("chain_name")), F.lit(""))
+    best = imports.groupBy("client_id", chain.alias("_chain")).agg(F.max(own).alias("_best"))
+    some = F.max(F.col("_chain") != "").over(Window.partitionBy("client_id"))
+    best = best.withColumn("_some", some).where((F.col("_chain") != "") | ~F.col("_some"))
+    return imports.join(best.select("client_id", F.col("_best.import_id").alias("import_id")), ["client_id", "import_id"], "left_semi")
 
 
 def _fragment(a: Column, b: Column, least: int, most: int) -> Column:

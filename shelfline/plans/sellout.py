@@ -16,13 +16,13 @@ def _latest(t: Tables, read: int | None) -> DataFrame:
 
 
 def _named(t: Tables, read: int | None) -> DataFrame:
-    return op.with_product_names(_latest(t, read), t.products().where("client_id = 'C1'"))
+    return op.with_product_names(_latest(t, read), t.products())
 
 
 _LATEST = """, newest AS (SELECT * FROM sellout_imports{limit}),
-latest AS (SELECT * FROM newest QUALIFY row_number() OVER (PARTITION BY retailer, period_start, period_end ORDER BY imported_at DESC, import_id DESC) = 1),
+latest AS (SELECT * FROM newest QUALIFY row_number() OVER (PARTITION BY client_id, retailer, period_start, period_end ORDER BY imported_at DESC, import_id DESC) = 1),
 own AS (SELECT *, coalesce(nullif(matched_store_name, ''), nullif(store_name, ''), '店舗不明') AS store, strftime(period_end, '%Y-%m') AS label FROM sellout_entries WHERE import_id IN (SELECT import_id FROM latest)),
-named AS (SELECT o.* REPLACE (coalesce(nullif(p.name, ''), nullif(o.product_name, ''), '未登録') AS product_name) FROM own o LEFT JOIN (SELECT * FROM products WHERE client_id = 'C1') p ON p.jan = o.jan)
+named AS (SELECT o.* REPLACE (coalesce(nullif(p.name, ''), nullif(o.product_name, ''), '未登録') AS product_name) FROM own o LEFT JOIN products p ON p.client_id = o.client_id AND p.jan = o.jan)
 """
 
 

@@ -101,13 +101,13 @@ own AS (SELECT e.*, CASE WHEN format_key = 'hands-allocation-list' THEN 'ハン
   WHEN format_key = 'store-allocation-list' THEN '@cosme STORE' WHEN contains(store_name, 'ハンズ') THEN 'ハンズ' WHEN c_custkey % 5 = 0 THEN 'NATION_' || c_nationkey ELSE '店舗不明' END AS matched_chain FROM e JOIN series USING (import_id))
 """
 
-_IMPORTS = "SELECT import_id, client_id, CASE WHEN version = 1 AND month(period_end) = 6 THEN ' ' ELSE ' ' || retailer END AS chain_name, imported_at FROM sellout_imports"
+_IMPORTS = "SELECT import_id, client_id, CASE WHEN client_id = 'C4' OR version = 1 AND month(period_end) = 6 THEN ' ' ELSE ' ' || retailer END AS chain_name, imported_at FROM sellout_imports"
 
 
 def _imports(t: Tables) -> DataFrame:
-    """Imports of five clients; some of June have no chain."""
+    """Imports of five clients who share chains; some of June and all of one client have no chain."""
     i = t.sellout_imports()
-    chain = F.when((F.col("version") == 1) & (F.month("period_end") == 6), " ").otherwise(F.concat(F.lit(" "), "retailer"))
+    chain = F.when((F.col("client_id") == "C4") | (F.col("version") == 1) & (F.month("period_end") == 6), " ").otherwise(F.concat(F.lit(" "), "retailer"))
     return i.select("import_id", "client_id", chain.alias("chain_name"), "imported_at")
 
 
@@ -156,10 +156,11 @@ _CELL = "CASE p_partkey % 8 WHEN 0 THEN concat(4900000000000 + p_partkey, '.5')
 _UNIT = "CASE p_partkey % 4 WHEN 0 THEN 'ml' WHEN 1 THEN ' g ' WHEN 2 THEN '' END"
 
 def _introduction_imports(t: Tables) -> DataFrame:
-    """An import for each chain's entries; every fourth chain has a newer one, which holds none."""
+    """An import for each chain's entries; every fourth chain has a newer one, which holds none, and so has every third one, but of another client."""
     n = t.raw("nation").select(F.col("n_name").alias("chain_name"), "n_nationkey")
-    old = n.select(F.concat(F.lit("I-"), "chain_name").alias("import_id"), "chain_name", F.lit("2024-01-01").cast("timestamp").alias("imported_at"))
-    return old.unionByName(n.where("n_nationkey % 4 = 0").select(F.concat(F.lit("J-"), "chain_name").alias("import_id"), "chain_name", F.lit("2024-02-01").cast("timestamp").alias("imported_at")))
+    some = lambda rows, kind, client, day: rows.select(F.concat(F.lit(kind), "chain_name").alias("import_id"), F.concat(F.lit("C"), client % 5).alias("client_id"), "chain_name", F.lit(day).cast("timestamp").alias("imported_at"))
+    k = F.col("n_nationkey")
+    return some(n, "I-", k, "2024-01-01").unionByName(some(n.where("n_nationkey % 4 = 0"), "J-", k, "2024-02-01")).unionByName(some(n.where("n_nationkey % 3 = 1"), "K-", k + 1, "2024-03-01"))
 
 
 def _loft(t: Tables) -> DataFrame:
@@ -194,8 +195,12 @@ QUERIES = {
         using("sellout_entries sellout_imports", f", i AS ({_IMPORTS}) SELECT client_id, import_id FROM i QUALIFY row_number() OVER (PARTITION BY client_id ORDER BY imported_at DESC, import_id DESC) <= 20"),
     ),
     "imports_latest_by_chain": (
-        lambda t: op.latest_by_chain(_imports(t)).select(F.trim("chain_name").alias("chain"), "import_id"),
-        using("sellout_entries sellout_imports", f", i AS ({_IMPORTS}) SELECT trim(chain_name) AS chain, import_id FROM i WHERE trim(chain_name) <> '' QUALIFY row_number() OVER (PARTITION BY trim(chain_name) ORDER BY imported_at DESC, import_id DESC) = 1"),
+        lambda t: op.latest_by_chain(_imports(t)).select("client_id", F.trim("chain_name").alias("chain"), "import_id"),
+        using(
+            "sellout_entries sellout_imports",
+            f""", i AS ({_IMPORTS}) SELECT client_id, trim(chain_name) AS chain, import_id FROM i WHERE trim(chain_name) <> '' OR client_id NOT IN (SELECT client_id FROM i WHERE trim(chain_name) <> '')
+QUALIFY row_number() OVER (PARTITION BY client_id, trim(chain_name) ORDER BY imported_at DESC, import_id DESC) = 1""",
+        ),
     ),
     "store_rows_once": (
         lambda t: op.first_with_address(_store_rows(t)).select("ord"),

@@ -15,7 +15,8 @@ VIEWS = {
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""",
     "order_lines": """SELECT CAST(l_orderkey AS VARCHAR) AS order_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate, l_returnflag, l_linestatus) AS line_no,
   lpad(CAST(l_partkey AS VARCHAR), 13, '0') AS jan, CAST(l_quantity AS INTEGER) AS qty FROM lineitem""",
-    "sellout_entries": """SELECT n_name || '-' || strftime(l_shipdate, '%Y%m') || '-' || (l_linenumber % 2) AS import_id, CAST(date_trunc('month', l_shipdate) AS DATE) AS period_start, last_day(l_shipdate) AS period_end,
+    "sellout_entries": """SELECT n_name || '-' || strftime(l_shipdate, '%Y%m') || '-' || (l_linenumber % 2) || '-C' || ((CAST(regexp_extract(n_name, '(\\d+)$', 1) AS INT) + CASE WHEN o_custkey % 3 = 0 THEN 1 ELSE 0 END) % 5) AS import_id,
+  'C' || ((CAST(regexp_extract(n_name, '(\\d+)$', 1) AS INT) + CASE WHEN o_custkey % 3 = 0 THEN 1 ELSE 0 END) % 5) AS client_id, CAST(date_trunc('month', l_shipdate) AS DATE) AS period_start, last_day(l_shipdate) AS period_end,
   n_name AS retailer, lpad(CAST(o_custkey AS VARCHAR), 6, '0') AS store_code, c_name AS store_name, CASE WHEN o_custkey % 4 <> 0 THEN 'Shop ' || o_custkey END AS matched_store_name,
   lpad(CAST(l_partkey AS VARCHAR), 13, '0') AS jan, CASE WHEN l_partkey % 6 <> 0 THEN p_name ELSE '' END AS product_name, CAST(l_quantity AS BIGINT) AS qty, CAST(floor(l_extendedprice) AS BIGINT) AS amount,
   l_linenumber % 2 AS version, l_linenumber AS ord
@@ -27,7 +28,7 @@ VIEWS = {
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN part ON l_partkey = p_partkey""",
     "import_batches": """SELECT 'B' || event_id AS id, CASE WHEN user_id % 11 = 0 THEN ' ' ELSE CASE WHEN event_id % 2 = 0 THEN 'Order ' ELSE 'order ' END || (user_id % 40) || '.PDF ' END AS file_name,
   CASE event_type WHEN 'error' THEN 'blocked' WHEN 'purchase' THEN 'saved' ELSE 'checked' END AS status, ts AS imported_at, event_id AS ord FROM events""",
-    "sellout_imports": """SELECT import_id, retailer, period_start, period_end, version, count(*) AS entry_count, CAST(period_end AS TIMESTAMP) + version * INTERVAL 1 DAY AS imported_at, 'C' || (CAST(regexp_extract(retailer, '(\\d+)$', 1) AS INT) % 5) AS client_id FROM sellout_entries GROUP BY ALL""",
+    "sellout_imports": """SELECT import_id, client_id, retailer, period_start, period_end, version, count(*) AS entry_count, CAST(period_end AS TIMESTAMP) + version * INTERVAL 1 DAY AS imported_at FROM sellout_entries GROUP BY ALL""",
 }
 
 

@@ -79,21 +79,24 @@ class Tables:
         )
 
     def sellout_imports(self) -> DataFrame:
-        """A retailer's month comes in two versions; the later one has the higher version number and the later time."""
+        """A retailer's month comes from two clients, from each in two versions; the later one has the higher version number and the later time."""
         e = self.sellout_entries()
-        return e.groupBy("import_id", "retailer", "period_start", "period_end", "version").agg(F.count("*").alias("entry_count")).withColumn(
+        return e.groupBy("import_id", "client_id", "retailer", "period_start", "period_end", "version").agg(F.count("*").alias("entry_count")).withColumn(
             "imported_at", F.expr("cast(period_end as timestamp) + make_interval(0, 0, 0, version)")
-        ).withColumn("client_id", _client(F.regexp_extract("retailer", r"(\d+)$", 1).cast("int") % 5))
+        )
 
     def sellout_entries(self) -> DataFrame:
+        """A third of a retailer's stores report to another client than the rest."""
         nation = self.raw("nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
-        customer = self.raw("customer").join(nation, "c_nationkey").select(F.col("c_custkey").alias("o_custkey"), "c_name", "n_name")
+        client = _client((F.regexp_extract("n_name", r"(\d+)$", 1).cast("int") + F.when(F.col("c_custkey") % 3 == 0, 1).otherwise(0)) % 5)
+        customer = self.raw("customer").join(nation, "c_nationkey").select(F.col("c_custkey").alias("o_custkey"), "c_name", "n_name", client.alias("client_id"))
         orders = self.raw("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
         part = self.raw("part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
         start = F.trunc("l_shipdate", "MM")
         version = (F.col("l_linenumber") % 2).cast("int")
         return self.raw("lineitem").join(orders, "l_orderkey").join(customer, "o_custkey").join(part, "l_partkey").select(
-            F.concat_ws("-", "n_name", F.date_format(start, "yyyyMM"), version).alias("import_id"),
+            F.concat_ws("-", "n_name", F.date_format(start, "yyyyMM"), version, "client_id").alias("import_id"),
+            "client_id",
             start.alias("period_start"),
             F.last_day("l_shipdate").alias("period_end"),
             F.col("n_name").alias("retailer"),
