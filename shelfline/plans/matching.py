@@ -175,7 +175,7 @@ FROM e LEFT JOIN loose ON loose.store_name = e.store_name""",
         using("store_locations", "SELECT store_code, CASE CAST(store_code AS INT) % 4 WHEN 0 THEN 'ロフト' WHEN 1 THEN 'ハンズ' WHEN 2 THEN '@cosme STORE' ELSE CASE WHEN CAST(store_code AS INT) % 8 = 3 THEN 'アインズ' ELSE '' END END AS chain FROM store_locations"),
     ),
     "delivery_destinations": (
-        lambda t: ds.resolve(_delivery_docs(t), _destinations(t)),
+        lambda t: ds.resolve(_delivery_docs(t), _destinations(t)).drop("reasons"),
         # A name of two digits holds that of its first digit too, so no name leads.
         """WITH d AS (SELECT o_orderkey AS doc_id, c_nationkey AS k, o_orderkey % 5 AS kind, c_nationkey % 2 = 0 AS even, CASE WHEN c_nationkey % 2 = 0 THEN 'D-77' || lpad(CAST(c_nationkey AS VARCHAR), 4, '0') ELSE '200-' || lpad(CAST(c_nationkey AS VARCHAR), 4, '0') END AS own FROM orders JOIN customer ON o_custkey = c_custkey),
 m AS (SELECT *, CASE WHEN kind IN (0, 1) AND even THEN 'code' WHEN kind = 2 THEN CASE WHEN even THEN 'postal' ELSE 'code' END WHEN kind = 3 THEN 'tel' WHEN kind = 4 AND even AND k < 10 THEN 'centerName' ELSE 'none' END AS method FROM d)
