@@ -86,6 +86,7 @@ def rarity(words: DataFrame, vocabulary: list[str]) -> dict[str, float]:
 def scan(df: DataFrame, key: str = "doc_id", text: str = "text", templates=TEMPLATES, phrases=PHRASES, rare: int = RARE) -> DataFrame:
     """key, n_words, places: an array of (start, label, is_phrase, score) by start, words from 0; one row for each row of df.
 
+    Templates may have any number of words. Rows that share key and text give equal rows; places of one start come by label.
     Null and empty texts have no words and no places. score: the share of the template's looked-up words that stand in
     place, 1 for a phrase. A template's start may lie before the text if its opening words are missing.
     """
@@ -99,48 +100,55 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text", templates=TEMPL
         chosen = sorted(range(len(words)), key=lambda p: (place[words[p]], p))[: 1 if is_phrase else max(2, len(words) * 3 // 5)]
         index += [(words[p], i, p, k) for k, p in enumerate(chosen)]
         detail.append((i, label, is_phrase, len(words), [" " + " ".join(k) + " " for k in keys], [place[words[p]] for p in chosen], share))
-    spark, wide = df.sparkSession, max(len(e[3]) for e in entries)
+    spark, longs = df.sparkSession, 1 + max(x[3] for x in index) // 64
     posting = spark.createDataFrame(index, "word string, template int, offset int, bit int").join(
         spark.createDataFrame(detail, "template int, label string, is_phrase boolean, long int, keys array<string>, places array<int>, share double"), "template"
     )
     # As long as the templates' rare words: the catalogue bounds it, not the corpus.
     names = ["template", "offset", "bit", "label", "is_phrase", "long", "keys", "places", "share"]
-    posting = posting.groupBy("word").agg(F.collect_list(F.struct(*names)).alias("found"))
+    posting = posting.groupBy("word").agg(F.max("long").alias("reach"), F.collect_list(F.struct(*names)).alias("found"))
 
     listed = sorted({x[0] for x in index})
     anchors = {words[min(range(len(words)), key=lambda p: (place[words[p]], p))] for _, _, is_phrase, words, _, _ in entries if is_phrase}
     ranks = F.create_map(*[F.lit(x) for w in listed for x in (w, place[w])])
+    reach = {w: max(len(entries[i][3]) for v, i, _, _ in index if v == w) for w in listed}
+    reach = F.create_map(*[F.lit(x) for w in listed for x in (w, reach[w])])
     split = plain.select("_key", F.xxhash64("_t").alias("_x"), words_of(F.col("_t")).alias("w"))
     rows = split.withColumn("n", F.size("w")).withColumn("own", F.array_sort(F.transform(F.array_intersect("w", F.array(*map(F.lit, listed))), lambda x: F.element_at(ranks, x))))
     rows = rows.withColumn("cut", F.when(F.size("own") > rare, F.element_at("own", rare)).otherwise(F.lit(len(vocabulary))))
     looked = lambda x: x["word"].isin(*anchors) | (F.element_at(ranks, x["word"]) <= F.col("cut"))
     hits = F.filter(F.transform("w", lambda x, i: F.struct(i.alias("pos"), x.alias("word"))), lambda x: x["word"].isin(*listed) & looked(x))
-    # A hit takes the words around it along, so that the text itself goes no further.
-    around = lambda x: F.slice("w", F.greatest(x["pos"] - wide, F.lit(0)) + 1, F.lit(2 * wide))
+    # A hit takes the words around it along, as far as its templates reach, so that the text itself goes no further.
+    around = lambda x: F.slice("w", F.greatest(x["pos"] - F.element_at(reach, x["word"]), F.lit(0)) + 1, 2 * F.element_at(reach, x["word"]))
     hits = F.transform(hits, lambda x: F.struct(x["pos"].alias("pos"), x["word"].alias("word"), around(x).alias("near")))
     none = F.array(F.struct(F.lit(None).cast("int").alias("pos"), F.lit(None).cast("string").alias("word"), F.lit(None).cast("array<string>").alias("near")))
     # A row for the text itself, whose template is -1, carries its number of words.
     each = rows.select("_key", "_x", "n", "cut", F.explode(F.concat(none, hits)).alias("h")).select("_key", "_x", "n", "cut", "h.*")
     own = F.array(F.struct(F.lit(-1).alias("template"), *[F.lit(None).cast(f"{t}").alias(c) for c, t in (("offset", "int"), ("bit", "int"), ("label", "string"), ("is_phrase", "boolean"), ("long", "int"), ("keys", "array<string>"), ("places", "array<int>"), ("share", "double"))]))
-    met = each.join(F.broadcast(posting), "word", "left").select("_key", "_x", "n", "cut", "pos", "near", F.explode(F.coalesce("found", own)).alias("f")).select("_key", "_x", "n", "cut", "pos", "near", "f.*")
+    met = each.join(F.broadcast(posting), "word", "left").select("_key", "_x", "n", "cut", "pos", "near", "reach", F.explode(F.coalesce("found", own)).alias("f")).select("_key", "_x", "n", "cut", "pos", "near", "reach", "f.*")
     # An anchor that is looked up for its phrase only says nothing of other templates.
     met = met.where((F.col("template") < 0) | F.col("is_phrase") | (F.get("places", F.col("bit")) <= F.col("cut")))
     start = F.col("pos") - F.col("offset")
-    from_ = start - F.greatest(F.col("pos") - wide, F.lit(0))  # the template's start among the words around
+    from_ = start - F.greatest(F.col("pos") - F.col("reach"), F.lit(0))  # the template's start among the words around
     stretch = F.concat(F.lit(" "), F.array_join(F.slice("near", F.greatest(from_, F.lit(0)) + 1, F.greatest(F.col("long") + F.least(from_, F.lit(0)), F.lit(0))), " "), F.lit(" "))
     keyed = F.forall("keys", lambda k: F.contains(stretch, k))
     size = F.size(F.filter("places", lambda p: F.col("is_phrase") | (p <= F.col("cut"))))
-    votes = met.select("_key", "_x", "n", "template", start.alias("start"), "label", "is_phrase", size.alias("size"), "share", F.expr("shiftleft(1L, bit)").alias("vote"), F.when(F.col("template") >= 0, keyed).alias("ok"))
+    votes = met.select("_key", "_x", "n", "template", start.alias("start"), "label", "is_phrase", size.alias("size"), "share", "bit", F.when(F.col("template") >= 0, keyed).alias("ok"))
+    # A bit for each of a template's rare words, in as many numbers as the longest template needs.
+    agreed = sum((F.bit_count(F.bit_or(F.expr(f"IF(bit div 64 = {j}, shiftleft(1L, bit % 64), 0L)"))) for j in range(longs)), F.lit(0))
     starts = votes.groupBy("_key", "_x", "template", "start", "label", "is_phrase", "size", "share").agg(
-        F.max("n").alias("n"), F.count("*").alias("rows"), F.bit_count(F.bit_or("vote")).alias("votes"), F.max("ok").alias("ok")
+        F.max("n").alias("n"), F.count("*").alias("rows"), agreed.alias("votes"), F.max("ok").alias("ok")
     )
     good = F.col("ok") & (F.col("votes") >= F.ceil(F.col("share") * F.col("size")))
     found = F.struct("start", "label", "is_phrase", F.try_divide("votes", "size").alias("score"))
     per = starts.groupBy("_key", "_x").agg(
         F.max("n").cast("long").alias("n_words"), F.sum(F.when(F.col("template") < 0, F.col("rows"))).alias("copies"), F.array_sort(F.collect_list(F.when(good, found))).alias("places")
     )
-    whole = per.select(F.col("_key").alias(key), "n_words", "places", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("_copy"))
-    return whole.drop("_copy")
+    # Equal rows are numbered in two steps, so that no array is as long as their number.
+    block = 1 << 12
+    blocks = per.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(copies - 1) div {block}"))))
+    whole = blocks.withColumn("_c", F.explode(F.sequence(F.col("_b") * block + 1, F.least("copies", (F.col("_b") + 1) * block))))
+    return whole.select(F.col("_key").alias(key), "n_words", "places")
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,10 +9,11 @@ nodes within the parent's interval that lie outside the node's own: those that e
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, written
+from .common import written
+from .ranks import ranked
 
 ARITY = 2
 LEVELS = 10  # of a run
@@ -25,24 +26,6 @@ def digest(values: list[Column]) -> Column:
     return F.sha2(F.concat(*[F.coalesce(F.concat(F.octet_length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in text]), 256)
 
 
-def ranked(df: DataFrame, tree: str, order: list[str]) -> DataFrame:
-    """df as a table with _rank, from 0 in the order of `order` within each tree (null is a tree), and _n, the tree's rows.
-
-    Rows are dealt by ranges of tree and order, so that no tree, however large, meets in one task; rows equal in both are
-    told apart by their place in df. The counts of each tree in each part, a few numbers a task, give the ranks.
-    """
-    at = df.withColumn("_salt", F.monotonically_increasing_id())
-    keys = [tree, *order, "_salt"]
-    dealt = at.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_salt")
-    numbered = written(dealt.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()), "ranked")
-    parts = numbered.groupBy(F.col(tree).alias("_t"), F.col("_part").alias("_p")).agg(F.min("_at").alias("_first"), F.count("*").alias("_c"))
-    own = Window.partitionBy("_t")
-    before = F.coalesce(F.sum("_c").over(own.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = parts.select("_t", "_p", (before - F.col("_first")).alias("_shift"), F.sum("_c").over(own).alias("_n"))
-    both = numbered.join(parts, F.col(tree).eqNullSafe(F.col("_t")) & (F.col("_part") == F.col("_p")))
-    return both.withColumn("_rank", F.col("_at") + F.col("_shift")).drop("_at", "_part", "_p", "_t", "_shift")
-
-
 def _hashed(nodes: Column, arity: int) -> Column:
     """The nodes above: every `arity` of them in a row become one, the last ones however few they are."""
 
@@ -119,7 +102,7 @@ def forest(leaves: DataFrame, tree: str, order: list[str], leaf: str, own: str,
     the leaf to the root the digests of the siblings before the node (left) and behind it (right); a level whose node has
     none is there with two empty lists. own: a struct column of leaves that stays.
     """
-    nodes = ranked(leaves.select(F.col(tree).alias("tree"), F.col(leaf).alias("digest"), F.col(own).alias("own"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)]), "tree", [f"_o{i}" for i in range(len(order))])
+    nodes = ranked(leaves.select(F.col(tree).alias("tree"), F.col(leaf).alias("digest"), F.col(own).alias("own"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)]), ["tree"], [f"_o{i}" for i in range(len(order))], "_rank", "_n")
     nodes = nodes.select("tree", F.col("_rank").alias("index"), F.col("_rank").alias("lo"), (F.col("_rank") + 1).alias("hi"), "digest", F.col("_n").alias("n"), "own")
     span = arity**levels
     tiers = _tiers(nodes, nodes.agg(F.max("n")).first()[0] or 0, arity, levels)
@@ -148,7 +131,7 @@ def _covered(runs: DataFrame, upper: DataFrame, covered: int) -> DataFrame:
 def _over(subroots: DataFrame, arity: int, levels: int) -> DataFrame:
     """tree, tier, lo, hi, path, subroot, root of each tree's top node (tree, top, tier): its way through the tree of trees."""
     rows = subroots.select(F.lit(0).alias("all"), "tree", F.struct("tree", "tier", F.col("top.lo").alias("lo"), F.col("top.hi").alias("hi")).alias("own"), F.col("top.digest").alias("digest"))
-    nodes = ranked(rows, "all", ["tree"]).select(F.col("all").alias("tree"), F.col("_rank").alias("index"), F.col("_rank").alias("lo"), (F.col("_rank") + 1).alias("hi"), "digest", F.col("_n").alias("n"), "own")
+    nodes = ranked(rows, ["all"], ["tree"], "_rank", "_n").select(F.col("all").alias("tree"), F.col("_rank").alias("index"), F.col("_rank").alias("lo"), (F.col("_rank") + 1).alias("hi"), "digest", F.col("_n").alias("n"), "own")
     tiers = _tiers(nodes, nodes.agg(F.max("n")).first()[0] or 0, arity, levels)
     none, ways = F.array().cast("array<struct<left:array<string>,right:array<string>>>"), None
     for runs, covered in reversed(tiers):

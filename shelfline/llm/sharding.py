@@ -1,23 +1,25 @@
 """Sharding by proportional stratified interleaving.
 
 Rows are shuffled within their source by a seeded hash and ranked; a row's fractional rank is its place in its source
-divided by the source's size. In the order of fractional ranks every stretch holds the sources in their proportions, so
-cutting that order into runs of equal length gives shards that match the mixture. Both ranks are sums of a rank within a
-small bucket and of the sizes of the buckets before it, so that no source, however large, meets in one task.
+divided by the source's size, after a seeded part of a place that is the source's own, so that sources of a row or two do
+not all lie in the middle. In the order of fractional ranks every stretch holds the sources in their proportions, so
+cutting that order into runs of equal length gives shards that match the mixture. Both ranks come from tables dealt by
+ranges of all that orders them, so that neither a large source nor many rows of one fraction or hash meet in one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ranks import prefix, ranked
+
 SHARDS = 40
 SEED = 7
-BUCKETS = 1024
-ROWS = 1 << 20  # in a bucket, about, once there are more rows than BUCKETS times as many
+PHASES = 1 << 20
 
 
-def assign(df: DataFrame, order: list[str], source: str = "source", shards: int = SHARDS, seed: int = SEED, buckets: int | None = None) -> DataFrame:
+def assign(df: DataFrame, order: list[str], source: str = "source", shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """Adds shard (0 to shards - 1), slot (from 0 within a shard), and rank (from 0 over all rows).
 
     Shard sizes are at most one apart, and so is each source's share of a shard up to the sources' rounding. A null
@@ -25,40 +27,16 @@ def assign(df: DataFrame, order: list[str], source: str = "source", shards: int
     Columns already named shard, slot or rank are replaced. An empty table stays empty.
     """
     df = df.drop("shard", "slot", "rank")
-    p = _prefix(df)
-    total = df.count()
-    buckets = buckets or max(BUCKETS, -(-total // ROWS))
-    hashed = F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in order])
-    shuffled = df.withColumn(f"{p}h", hashed).withColumn(f"{p}b", F.pmod(F.shiftrightunsigned(f"{p}h", 40), F.lit(buckets)).cast("int"))
-    ranked = _ranked(shuffled, [source], f"{p}b", [f"{p}h", *order], f"{p}place")
-    sizes = df.groupBy(F.col(f"`{source}`").alias(f"{p}s")).agg(F.count("*").alias(f"{p}n"))
-    part = ranked.join(sizes, F.col(f"`{source}`").eqNullSafe(F.col(f"{p}s"))).withColumn(f"{p}f", (F.col(f"{p}place") + 0.5) / F.col(f"{p}n"))
-    part = part.withColumn(f"{p}b", F.floor(F.col(f"{p}f") * buckets).cast("int"))
-    mixed = _ranked(part, [], f"{p}b", [f"{p}f", F.xxhash64(F.lit(seed), F.col(f"{p}s")), f"{p}s", f"{p}h", *order], "rank")
-    cut = mixed.withColumn("shard", F.expr(f"(rank * {shards}) div {max(total, 1)}").cast("int"))
-    cut = cut.withColumn("slot", F.col("rank") - F.expr(f"(shard * {total}L + {shards - 1}) div {shards}"))
-    return cut.drop(*[f"{p}{x}" for x in ("h", "b", "s", "n", "f", "place")])
-
-
-def _prefix(df: DataFrame) -> str:
-    """Underscores with which no column begins."""
-    out = "__"
-    while any(c.startswith(out) for c in df.columns):
-        out += "_"
-    return out
-
-
-def _ranked(df: DataFrame, keys: list[str], bucket: str, order: list[str | Column], out: str) -> DataFrame:
-    """Adds `out`, the rank from 0 among the rows of equal keys, by bucket and then by order."""
-    own, p = [F.col(f"`{k}`") for k in keys], _prefix(df)
-    sizes = df.groupBy(*[k.alias(f"{p}k{i}") for i, k in enumerate(own)], F.col(bucket).alias(f"{p}kb")).agg(F.count("*").alias(f"{p}c"))
-    before = Window.partitionBy(*[f"{p}k{i}" for i in range(len(keys))]).orderBy(f"{p}kb").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn(f"{p}before", F.coalesce(F.sum(f"{p}c").over(before), F.lit(0))).drop(f"{p}c")
-    inner = df.withColumn(f"{p}r", F.row_number().over(Window.partitionBy(*own, bucket).orderBy(*[F.col(f"`{c}`") if isinstance(c, str) else c for c in order])))
-    on = F.col(bucket) == F.col(f"{p}kb")
-    for i, k in enumerate(own):
-        on &= k.eqNullSafe(F.col(f"{p}k{i}"))
-    return inner.join(sizes, on).withColumn(out, F.col(f"{p}before") + F.col(f"{p}r") - 1).drop(f"{p}r", f"{p}kb", f"{p}before", *[f"{p}k{i}" for i in range(len(keys))])
+    p = prefix(df)
+    hashed = df.withColumn(f"{p}h", F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in order]))
+    placed = ranked(hashed, [source], [f"{p}h", *order], f"{p}place", f"{p}n")
+    own = placed.withColumn(f"{p}s", F.xxhash64(F.lit(seed), F.col(f"`{source}`"), F.col(f"`{source}`").isNull()))
+    phase = (F.pmod(f"{p}s", F.lit(PHASES)) + 0.5) / PHASES
+    spread = own.withColumn(f"{p}f", (F.col(f"{p}place") + phase) / F.col(f"{p}n"))
+    mixed = ranked(spread, [], [f"{p}f", f"{p}s", source, f"{p}h", *order], "rank", f"{p}total")
+    cut = mixed.withColumn("shard", F.expr(f"(rank * {shards}) div `{p}total`").cast("int"))
+    cut = cut.withColumn("slot", F.col("rank") - F.expr(f"(shard * `{p}total` + {shards - 1}) div {shards}"))
+    return cut.drop(*[f"{p}{x}" for x in ("h", "s", "n", "f", "place", "total")])
 
 
 def write_shards(df: DataFrame, path: str) -> None:

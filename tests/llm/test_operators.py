@@ -17,7 +17,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from shelfline.llm import bpe, common, decontaminate, langid, licenses, minhash, ngram_lm, secrets, sharding, simhash, urls
+from shelfline.llm import bpe, common, decontaminate, langid, licenses, minhash, ngram_lm, ranks, secrets, sharding, simhash, urls
 from shelfline.llm.components import components
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -651,3 +651,48 @@ def test_columns_of_any_name_stay(spark):
     bench = spark.createDataFrame([(0, EN)], "item_id long, text string")
     assert licenses.scan(df).count() == simhash.classes(df).count() == minhash.with_next(df, "doc_id", "text").count() == 12
     assert {r.doc_id for r in decontaminate.overlaps(df, bench).collect()} == {1, 3, 5, 7, 9, 11}
+
+
+# Long licence texts; ranks
+
+
+@pytest.mark.parametrize("n", [65, 130, 1000])
+def test_a_whole_licence_text_of_any_length_is_found(spark, n):
+    words = [f"w{i * i % 47}" if i % 3 else f"term{i}" for i in range(n)]
+    long_ = licenses.Template("long", " ".join(words), (" ".join(words[n // 2 : n // 2 + 4]),))
+    broken = words[: n // 2] + ["zzz"] * 5 + words[n // 2 + 5 :]
+    texts = [" ".join(words), "before it " + " ".join(words) + " and behind", " ".join(broken), " ".join(words[: n // 3]), "w1 w4 w9"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(0, texts[0])] * 2, "doc_id long, text string")
+    got = licenses.scan(df, templates=(*licenses.TEMPLATES, long_)).collect()
+    assert sorted(r.doc_id for r in got) == [0, 0, 0, 1, 2, 3, 4]
+    by = {r.doc_id: [(p.start, p.label, p.score) for p in r.places] for r in got}
+    assert by[0] == [(0, "long", 1.0)] and by[1] == [(2, "long", 1.0)] and by[2] == by[3] == by[4] == []
+
+
+def test_ranks_are_those_of_a_sort(spark, monkeypatch):
+    rows = [(None if i % 7 == 0 else "big" if i % 3 else f"s{i}", i * 37 % 101, None if i % 5 else i) for i in range(600)] + [("big", 1, 1)] * 300
+    df = spark.createDataFrame(rows, "source string, a long, b long").repartition(5)
+    got = ranks.ranked(df, ["source"], ["a", "b"], "r", "n").collect()
+    assert len(got) == 900
+    for source in {r.source for r in got}:
+        own = sorted((r.r, r.n, r.a, r.b) for r in got if r.source == source)
+        assert [o[0] for o in own] == [*range(len(own))] and {o[1] for o in own} == {len(own)}
+        assert [o[2:] for o in own] == sorted([(r[1], r[2]) for r in rows if r[0] == source], key=lambda x: (x[0], x[1] is not None, x[1] or 0))
+
+
+def test_sharding_is_a_sort_by_fraction(spark):
+    """Many sources of one row, one of a third of all rows that are equal, and none."""
+    rows = [(i, f"site{i}") for i in range(400)] + [(1000, "same")] * 300 + [(2000 + i, "mid") for i in range(150)] + [(None, None)] * 50
+    got = sharding.assign(spark.createDataFrame(rows, "doc_id long, source string"), ["doc_id"], shards=9).collect()
+    assert sorted(r.rank for r in got) == [*range(900)]
+    size, seen, order = Counter(r.source for r in got), Counter(), []
+    names = spark.createDataFrame([(s,) for s in size], "source string")
+    phase = {r.source: (r.h % sharding.PHASES + 0.5) / sharding.PHASES for r in names.select("source", F.xxhash64(F.lit(sharding.SEED), "source", F.col("source").isNull()).alias("h")).collect()}
+    for r in sorted(got, key=lambda r: r.rank):
+        order.append((seen[r.source] + phase[r.source]) / size[r.source])
+        seen[r.source] += 1
+        assert r.shard == r.rank * 9 // 900 and r.slot == r.rank - r.shard * 100
+    assert order == sorted(order)
+    for shard in range(9):
+        own = Counter(r.source for r in got if r.shard == shard)
+        assert all(abs(own[s] - size[s] / 9) <= 6 for s in ("same", "mid", None)) and 30 <= sum(n for s, n in own.items() if s and s.startswith("site")) <= 60
