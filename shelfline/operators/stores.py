@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from .matching import _meet, memo_chains, name_keys, resolve_locations
+from .matching import _inside, _meet, memo_chains, name_keys, resolve_locations
 
 #: Names that a sheet cuts short, and parts of the names that they stand for, in order of precedence. Fixed values.
 TRUNCATED = {
@@ -144,7 +144,12 @@ def truncated_matches(names: DataFrame, locations: DataFrame) -> DataFrame:
 
 
 def hands_key(c: Column) -> Column:
-    out = tx.location_key(c)
+    return _hands(tx.location_key(c))
+
+
+def _hands(key: Column) -> Column:
+    """A plain name as the chain ハンズ writes it. Fixed values."""
+    out = key
     for pattern, by in (("^hb", "ハンズビー"), ("ハンズビーハンズ", "ハンズ"), ("city", "シティ"), ("northgate", ""), ("パルコシティ", ""), (r"\d+店$", ""), ("店$", "")):
         out = F.regexp_replace(out, pattern, by)
     return out
@@ -161,6 +166,52 @@ def hands_matches(names: DataFrame, locations: DataFrame) -> DataFrame:
     return _best(pairs, score, 4)
 
 
+def store_candidates(names: DataFrame, locations: DataFrame, introduced: DataFrame | None = None) -> DataFrame:
+    """name, store_code, stage: the one location whose name holds the name, after filters that each apply only if they leave something.
+
+    Locations of ハンズビー go unless the name speaks of them or no other is there. Stage 1: one is left. 2: one whose name is
+    the place alone. 3: one of the introduced codes. 4: one that is both. A name with SQ also stands for its two long forms.
+    introduced: store_code. Candidates are counted by kind and never gathered, so a name that many locations hold costs no
+    more than its rows. Names that are blank or have no single location are left out.
+    """
+    own = names.select("name").distinct().withColumn("q", tx.location_key(F.col("name"))).where("q <> ''")
+    long_ = F.when(F.col("q").rlike("sq|エスキュ"), F.array(*[F.regexp_replace("q", "sq|エスキュ", x) for x in ("スクエア", "スクランブルスクエア")])).otherwise(F.array().cast("array<string>"))
+    asked = own.withColumn("asked", F.explode(F.array_distinct(F.concat(F.array("q"), long_))))
+    there = _named(locations).where("l_key <> ''")
+    pairs = _inside(asked.select("asked").distinct(), "asked", there.select("l_key").distinct(), "l_key")
+    code = F.lower(F.trim("l_code"))
+    be = F.startswith(code, F.lit("hands-be_")) | F.startswith(code, F.lit("hands-be-")) | (code == "hands-be") | F.contains("l_key", F.lit("ハンズビー")) | F.startswith("l_key", F.lit("hb"))
+    place = F.regexp_replace(F.regexp_replace(_hands(F.col("l_key")), "^ハンズビー", ""), "^ハンズ", "")
+    met = asked.join(pairs, "asked").join(there.withColumn("be", be).withColumn("place", place), "l_key")
+    met = met.groupBy("name", "q", tx.first_filled(F.col("l_code"), F.col("l_name")).alias("l_id")).agg(F.max(F.struct("l_name", "l_code", "be", "place")).alias("l")).select("name", "q", "l.*")
+    if introduced is not None:
+        met = met.join(introduced.select(F.col("store_code").alias("l_code"), F.lit(True).alias("in")).distinct(), "l_code", "left")
+    else:
+        met = met.withColumn("in", F.lit(None).cast("boolean"))
+    exact, known = F.col("place") == F.col("q"), F.coalesce("in", F.lit(False))
+    kinds = {"all": F.lit(True), "exact": exact, "in": known, "both": exact & known}
+    counted = [x for pool, ok in (("any", F.lit(True)), ("rest", ~F.col("be"))) for kind, test in kinds.items() for x in (F.count_if(ok & test).alias(f"{pool}_{kind}"), F.min(F.when(ok & test, F.col("l_code"))).alias(f"{pool}_{kind}_code"))]
+    per = met.groupBy("name", "q").agg(*counted)
+    rest = ~F.col("q").rlike("ビー|^hb") & (F.col("rest_all") > 0)
+    of = lambda c: F.when(rest, F.col(f"rest_{c}")).otherwise(F.col(f"any_{c}"))
+    stages = F.coalesce(*[F.when(of(kind) == 1, F.struct(F.lit(i).alias("stage"), of(f"{kind}_code").alias("code"))) for i, kind in enumerate(kinds, 1)])
+    return per.select("name", stages.alias("s")).where("s IS NOT NULL").select("name", F.col("s.code").alias("store_code"), F.col("s.stage").alias("stage"))
+
+
+#: Codes of one wholesaler's allocation sheets and the pages of the stores that they stand for. Fixed values.
+LEGACY = {
+    "100": "tsutaya-ebisubashi", "101": "tsutaya-kumamoto", "103": "tsutaya-sapporo", "104": "tsutaya-hakodate", "302": "aeon-takaoka", "303": "aeon-takasaki", "304": "maroot-toyama", "501": "tokyo", "502": "osaka",
+    "503": "nagoya", "55": "lumine-shinjuku", "56": "marui-ueno", "61": "lumine-ikebukuro", "62": "lumine-yurakucho", "63": "marui-mizonokuchi", "65": "marui-kobe", "66": "sunshine-ikebukuro", "67": "amuest-hakata",
+    "71": "lumine-omiya", "72": "lalaport-fujimi", "73": "newoman-yokohama", "74": "lumine-yokohama", "75": "aeon-urawamisono", "76": "lazona-kawasaki", "77": "lalaport-toyosu", "81": "sydney-kameido",
+    "83": "termina-kinshicho", "86": "sapporo-stellarplace", "87": "kanazawa-forus", "88": "newoman-takanawa", "89": "mozo-wondercity", "600": "misugi-temmabashi", "601": "misugi-namba",
+}
+
+
+def legacy_codes(spark: SparkSession) -> DataFrame:
+    """code, official."""
+    return spark.createDataFrame([(k, f"atcosme-{v}") for k, v in LEGACY.items()], "code string, official string")
+
+
 def first_with_address(rows: DataFrame) -> DataFrame:
     """One row of each chain and code, or chain and name without a code: the first with an address, else the first by `ord`."""
     chain = tx.trim(F.col("chain_name"))
@@ -223,13 +274,13 @@ def by_code(locations: DataFrame) -> DataFrame:
     return every.groupBy("alias").agg(F.max_by(F.struct("store_code", "store_name"), F.struct("store_name", "store_code")).alias("l")).select("alias", "l.*")
 
 
-def resolve_stores(entries: DataFrame, locations: DataFrame, legacy: DataFrame | None = None) -> DataFrame:
+def resolve_stores(entries: DataFrame, locations: DataFrame, legacy: DataFrame | None = None, introduced: DataFrame | None = None) -> DataFrame:
     """store_name, store_code, step, matched_code for each distinct pair of the entries: the whole cascade.
 
-    Steps: 1 a legacy code (legacy: code, official), 2 an equal name key, 3 a loosely equal name, 4 コスメ to コスメロフト, 5 a
+    Steps: 1 a legacy code (legacy: code, official; LEGACY without it), 2 an equal name key, 3 a loosely equal name, 4 コスメ to コスメロフト, 5 a
     name cut short, 6 ハンズ, 7 a code of more than four digits or other form, in any of its forms, 8 such a code of two to four
-    digits if the names agree, 9 the only location that holds the name. The first step that finds one wins. An entry without
-    a name has its code alone; null names and codes are empty.
+    digits if the names agree, 9 the one candidate of store_candidates(), which may look at the introduced codes. The first
+    step that finds one wins. An entry without a name has its code alone; null names and codes are empty.
     """
     own = entries.select(F.coalesce("store_name", F.lit("")).alias("store_name"), F.coalesce("store_code", F.lit("")).alias("store_code")).distinct()
     base = resolve_locations(own, locations).select("store_name", "store_code", F.col("step").alias("_step"), F.col("matched_code").alias("_code"))
@@ -240,14 +291,14 @@ def resolve_stores(entries: DataFrame, locations: DataFrame, legacy: DataFrame |
         out = out.join(f(names, locations).select(F.col("name").alias("store_name"), F.col("store_code").alias(f"_c{n}")), "store_name", "left")
     coded = by_code(locations).select(F.col("alias").alias("_alias"), F.col("store_code").alias("_c7"), F.col("store_name").alias("_n7"))
     out = out.join(coded, (F.col("store_code") != "") & (F.col("store_code") == F.col("_alias")), "left")
-    if legacy is not None:
-        official = legacy.join(coded, F.col("official") == F.col("_alias")).select(F.col("code").alias("_legacy"), F.col("_c7").alias("_c1"))
-        out = out.join(official, F.trim("store_code") == F.col("_legacy"), "left")
-    else:
-        out = out.withColumn("_c1", F.lit(None).cast("string"))
+    legacy = legacy_codes(entries.sparkSession) if legacy is None else legacy
+    official = legacy.join(coded, F.col("official") == F.col("_alias")).select(F.col("code").alias("_legacy"), F.col("_c7").alias("_c1"))
+    out = out.join(official, F.trim("store_code") == F.col("_legacy"), "left")
+    only = store_candidates(names, locations, introduced).select(F.col("name").alias("store_name"), F.col("store_code").alias("_c9"))
+    out = out.join(only, "store_name", "left")
     short = F.trim("store_code").rlike("^[0-9]{2,4}$")
     agree = F.arrays_overlap(name_keys(tx.location_key(F.col("store_name"))), name_keys(tx.location_key(F.col("_n7"))))
-    steps = [F.col("_c1"), F.when(F.col("_step") == 1, F.col("_code")), F.when(F.col("_step") == 2, F.col("_code")), F.col("_c4"), F.col("_c5"), F.col("_c6"), F.when(~short, F.col("_c7")), F.when(short & agree, F.col("_c7")), F.when(F.col("_step") == 4, F.col("_code"))]
+    steps = [F.col("_c1"), F.when(F.col("_step") == 1, F.col("_code")), F.when(F.col("_step") == 2, F.col("_code")), F.col("_c4"), F.col("_c5"), F.col("_c6"), F.when(~short, F.col("_c7")), F.when(short & agree, F.col("_c7")), F.col("_c9")]
     step = F.coalesce(*[F.when(c.isNotNull(), i) for i, c in enumerate(steps, 1)])
     return out.select("store_name", "store_code", step.alias("step"), F.coalesce(*steps).alias("matched_code"))
 

@@ -179,7 +179,30 @@ _SHEET_NAME = "CASE p_partkey % 4 WHEN 0 THEN 'any' WHEN 1 THEN concat(' ', uppe
 _TEXTS = "SELECT doc_id, coalesce(text, '') AS text FROM documents"
 _SHIP = "concat('発注元 X\n', CASE doc_id % 4 WHEN 0 THEN 'お届け先' WHEN 1 THEN '納品先：' WHEN 2 THEN 'お届け先住所 1' ELSE 'お届先 御中' END, '\n a \n\n', doc_id, '\n', CASE WHEN doc_id % 3 = 0 THEN '納品先TEL 03' ELSE 'c' END, '\nd\ne\nf\ng\nh\ni')"
 
+# Locations of two sub-brands in the same places, and names that end at each stage of the last step.
+_SPOT = f"concat({_TOWN}, cast(c_custkey % 30 as {{S}}))"
+_SPOTS = f"""SELECT concat(CASE c_custkey % 3 WHEN 0 THEN 'hands-be_' WHEN 1 THEN 'hands-' ELSE 'loft-' END, c_custkey) AS code, CASE c_custkey % 3 WHEN 0 THEN concat('ハンズビー', {_SPOT}, 'モディ店') WHEN 1 THEN concat('ハンズ', {_SPOT}, '店') ELSE concat({_SPOT}, 'スクエア ', c_custkey % 40) END AS name FROM customer"""
+_ASKED = f"""SELECT DISTINCT CASE c_custkey % 6 WHEN 0 THEN {_SPOT} WHEN 1 THEN concat({_SPOT}, ' SQ') WHEN 2 THEN concat('ハンズビー', {_SPOT}) WHEN 3 THEN {_TOWN} WHEN 4 THEN concat({_SPOT}, 'モディ') ELSE concat({_SPOT}, 'スクエア ', c_custkey % 8) END AS name FROM customer"""
+_KNOWN = "SELECT concat(CASE c_custkey % 3 WHEN 0 THEN 'hands-be_' WHEN 1 THEN 'hands-' ELSE 'loft-' END, c_custkey) AS code FROM customer WHERE c_custkey % 11 = 0"
+
+
+def _asked(t: Tables) -> DataFrame:
+    customer = t.raw("customer")
+    customer.createOrReplaceTempView("_customer")
+    read = lambda sql: t.spark.sql(sql.replace("{S}", "string").replace("FROM customer", "FROM _customer"))
+    return op.store_candidates(read(_ASKED), read(_SPOTS).withColumnsRenamed({"code": "store_code", "name": "store_name"}), read(_KNOWN).withColumnRenamed("code", "store_code"))
+
+
+_PLAIN = "replace(lower(name), ' ', '')"
+_CANDIDATES = f"""WITH loc AS (SELECT *, {_PLAIN} AS k FROM ({_SPOTS.replace("{S}", "VARCHAR")})), a AS (SELECT *, {_PLAIN} AS q FROM ({_ASKED.replace("{S}", "VARCHAR")})),
+p AS (SELECT a.name, q, code, starts_with(code, 'hands-be_') OR contains(k, 'ハンズビー') AS be, regexp_replace({_HANDS_KEY("k")}, '^(ハンズビー|ハンズ)', '') = q AS exact, code IN ({_KNOWN}) AS known FROM a JOIN loc ON contains(k, q) OR contains(k, replace(q, 'sq', 'スクエア')) OR contains(k, replace(q, 'sq', 'スクランブルスクエア'))),
+r AS (SELECT *, NOT regexp_matches(q, 'ビー|^hb') AND bool_or(NOT be) OVER (PARTITION BY name) AS without FROM p), f AS (SELECT * FROM r WHERE NOT (without AND be)),
+c AS (SELECT name, count(*) AS n, min(code) AS c1, count(*) FILTER (exact) AS n2, min(code) FILTER (exact) AS c2, count(*) FILTER (known) AS n3, min(code) FILTER (known) AS c3, count(*) FILTER (exact AND known) AS n4, min(code) FILTER (exact AND known) AS c4 FROM f GROUP BY name),
+s AS (SELECT name, CASE WHEN n = 1 THEN 1 WHEN n2 = 1 THEN 2 WHEN n3 = 1 THEN 3 WHEN n4 = 1 THEN 4 END AS stage, c1, c2, c3, c4 FROM c)
+SELECT name, [c1, c2, c3, c4][stage] AS store_code, stage FROM s WHERE stage IS NOT NULL"""
+
 QUERIES = {
+    "store_candidates": (_asked, _CANDIDATES),
     "store_matches_cosmetic": (lambda t: op.cosmetic_matches(_sheet(t), _locations(t)), _COSMETIC),
     "store_matches_truncated": (lambda t: op.truncated_matches(_sheet(t), _locations(t)), _TRUNCATED),
     "store_matches_hands": (lambda t: op.hands_matches(_sheet(t), _locations(t)), _HANDS),

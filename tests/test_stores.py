@@ -74,3 +74,20 @@ def test_csv_files_in_two_encodings(spark, tmp_path):
     assert len(got) == 4 and {r.file_id.rsplit("/", 1)[1] for r in got} == {"u.csv", "s.csv"}
     for r in got:
         assert r.fields == ({"発注No": "1", "数量": "2", "備考": "a,b\nc"} if r.row_idx == 0 else {"発注No": "3", "数量": "", "備考": ""})
+
+
+def test_candidates_are_left_out_only_while_others_remain(spark):
+    locations = [("hands-1", "ハンズ柏店"), ("hands-be_2", "ハンズビー柏モディ店"), ("hands-be_3", "ハンズビー川越店"), ("hands-be_4", "ハンズビー川越モディ店"), ("x5", "大宮東口"), ("x6", "大宮西口"), ("x7", "町田駅前"), ("x8", "町田駅前"), ("x9", "渋谷スクランブルスクエア"), ("", "甲府")]
+    want = [("柏", "hands-1", 1), ("ハンズビー柏", "hands-be_2", 1), ("柏モディ", "hands-be_2", 1), ("川越", "hands-be_3", 2), ("大宮", "x6", 3), ("渋谷SQ", "x9", 1), ("甲府", "", 1)]
+    names = spark.createDataFrame([(w[0],) for w in want] + [("町田",), ("",), (None,), ("札幌",)], "name string")
+    known = spark.createDataFrame([("x6",), ("x7",), ("x8",)], "store_code string")
+    got = stores.store_candidates(names, spark.createDataFrame(locations, "store_code string, store_name string"), known)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    alone = stores.store_candidates(names, spark.createDataFrame(locations, "store_code string, store_name string"))
+    assert sorted(map(tuple, alone.collect())) == sorted(w for w in want if w[2] < 3)
+
+
+def test_legacy_codes_and_the_last_step_within_the_cascade(spark):
+    locations = spark.createDataFrame([("atcosme-osaka", "@cosme OSAKA"), ("hands-1", "ハンズ柏店"), ("hands-be_2", "ハンズビー柏モディ店")], "store_code string, store_name string")
+    entries = spark.createDataFrame([("何か", "502"), ("柏", "")], "store_name string, store_code string")
+    assert sorted((r.store_name, r.step, r.matched_code) for r in stores.resolve_stores(entries, locations).collect()) == [("何か", 1, "atcosme-osaka"), ("柏", 9, "hands-1")]
