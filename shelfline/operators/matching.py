@@ -92,25 +92,26 @@ def _grams(c: str, n: int) -> Column:
     return F.array_distinct(F.concat(*[F.when(F.length(c) >= k, of(k)).otherwise(F.array().cast("array<string>")) for k in range(1, n + 1)]))
 
 
-def _inside(a: DataFrame, x: str, b: DataFrame, y: str, n: int = 4) -> DataFrame:
-    """Pairs where y holds x. They meet on that gram of x, of n characters or all of a shorter one, which the fewest y hold.
+def _inside(a: DataFrame, x: str, b: DataFrame, y: str, n: int = 4, by: list[str] = []) -> DataFrame:  # noqa: B006
+    """Pairs where y holds x, of rows equal in the columns `by`. They meet on that gram of x, of n characters or all of a shorter
+    one, which the fewest y hold.
 
     A gram of x that no y holds rules x out. Names that share their beginning so meet on what tells them apart.
     """
     size = F.least(F.length(x), F.lit(n))
     own = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(x) - size + 1), lambda i: F.substring(F.col(x), i, size)))
-    held = b.where(F.length(y) > 0).select(y).distinct().withColumn("_g", F.explode(_grams(y, n)))
-    count = held.groupBy("_g").agg(F.count("*").alias("_n"))
-    asked = a.where(F.length(x) > 0).select(x).distinct().withColumn("_g", F.explode(own)).join(count, "_g", "left")
-    rare = asked.groupBy(x).agg(F.min_by("_g", F.struct("_n", "_g")).alias("_g"), F.count_if(F.col("_n").isNull()).alias("_none")).where("_none = 0").select(x, "_g")
-    pairs = rare.join(held, "_g").where(F.contains(F.col(y), F.col(x))).select(x, y)
-    return a.join(pairs, x).join(b, y)
-
-
-def _meet(a: DataFrame, x: str, b: DataFrame, y: str) -> DataFrame:
-    """Pairs where one text holds the other."""
-    both = [*a.columns, *b.columns]
-    return _inside(a, x, b, y).select(*both).unionByName(_inside(b, y, a, x).select(*both)).distinct()
+    held = b.where(F.length(y) > 0).select(*by, y).distinct().withColumn("_g", F.explode(_grams(y, n)))
+    count = held.groupBy(*by, "_g").agg(F.count("*").alias("_n"))
+    asked = a.where(F.length(x) > 0).select(*by, x).distinct().withColumn("_g", F.explode(own)).join(count, [*by, "_g"], "left")
+    rare = asked.groupBy(*by, x).agg(F.min_by("_g", F.struct("_n", "_g")).alias("_g"), F.count_if(F.col("_n").isNull()).alias("_none")).where("_none = 0").select(*by, x, "_g")
+    pairs = rare.join(held, [*by, "_g"]).where(F.contains(F.col(y), F.col(x))).select(*by, x, y)
+    return a.join(pairs, [*by, x]).join(b, [*by, y])
+
+
+def _meet(a: DataFrame, x: str, b: DataFrame, y: str, by: list[str] = []) -> DataFrame:  # noqa: B006
+    """Pairs where one text holds the other, of rows equal in the columns `by`."""
+    both = [*a.columns, *[c for c in b.columns if c not in by]]
+    return _inside(a, x, b, y, by=by).select(*both).unionByName(_inside(b, y, a, x, by=by).select(*both)).distinct()
 
 
 def channels(stores: DataFrame, name: str = "store_name", matched: str = "matched_store_name") -> DataFrame:

@@ -360,29 +360,3 @@ def numbered(rows: DataFrame, order: list[str | Column]) -> DataFrame:
     sizes = rows.groupBy(first).agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy(first).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     return rows.withColumn("_r", F.row_number().over(own)).join(before, first).withColumn("place", F.col("_before") + F.col("_r")).drop("_r", "_before")
-
-
-def resolve_products(rows: DataFrame, products: DataFrame) -> DataFrame:
-    """client_id, jan, name, found_jan, found_name for each distinct triple of the rows: by JAN, else by name, else as it stands.
-
-    An equal plain name scores its length and 1000; one inside the other the shorter one's length and 100; the best wins, then
-    the first by name and JAN. What is not found keeps its JAN, and a blank name becomes the JAN.
-    """
-    own = rows.select("client_id", F.coalesce(tx.trim(F.col("jan")), F.lit("")).alias("jan"), tx.trim(F.col("name")).alias("name")).distinct().withColumn("key", tx.plain_key(F.col("name")))
-    there = products.select("client_id", F.col("jan").alias("p_jan"), F.col("name").alias("p_name")).withColumn("p_key", tx.plain_key(F.col("p_name"))).where("p_key <> ''")
-    by_jan = own.join(there.select("client_id", F.col("p_jan").alias("jan"), F.col("p_name").alias("j_name")), ["client_id", "jan"], "left")
-    open_ = by_jan.where("j_name IS NULL AND key <> ''").select("client_id", "key").distinct()
-    names = there.select("p_key").distinct()
-    met = _meet(open_.select("key").distinct(), "key", names, "p_key")
-    pairs = open_.join(met, "key").join(there, ["client_id", "p_key"])
-    score = F.when(F.col("key") == F.col("p_key"), F.length("p_key") + 1000).otherwise(F.least(F.length("key"), F.length("p_key")) + 100)
-    best = pairs.groupBy("client_id", "key").agg(F.min_by(F.struct("p_jan", "p_name"), F.struct(-score, F.col("p_name"), F.col("p_jan"))).alias("b"))
-    out = by_jan.join(best, ["client_id", "key"], "left")
-    named = F.col("j_name").isNotNull()
-    return out.select(
-        "client_id",
-        "jan",
-        "name",
-        F.when(named, F.col("jan")).otherwise(F.coalesce("b.p_jan", "jan")).alias("found_jan"),
-        F.when(named, F.col("j_name")).otherwise(F.coalesce("b.p_name", F.nullif("name", F.lit("")), "jan")).alias("found_name"),
-    )

@@ -10,9 +10,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.testdata import Tables
-from . import imports, introductions, layouts, lifecycle, lists, masters, matching, orders, sellin, sellout, sheets, stores
+from . import imports, introductions, layouts, lifecycle, lists, masters, matching, orders, sellin, sellout, sheets, stores, workbooks
 
-MODULES = (sellin, lifecycle, imports, sellout, introductions, layouts, matching, masters, sheets, lists, stores, orders)
+MODULES = (sellin, lifecycle, imports, sellout, introductions, layouts, matching, masters, sheets, lists, stores, orders, workbooks)
 
 
 def _all() -> dict[str, tuple]:

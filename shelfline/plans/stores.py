@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import introductions as intro
 from ..operators import stores as op
+from ..operators import workbooks
 from ..operators.imports import insert_or_update, merge_locations
 from ..operators.lifecycle import review_flags
 from ..sources.testdata import Tables
@@ -323,13 +324,13 @@ UNION ALL SELECT DISTINCT chain_name, store_code, store_name FROM introductions
         using("shop_orders order_lines", "SELECT CAST(order_date AS VARCHAR) AS date, store_name, jan, CAST(sum(qty) AS BIGINT) AS qty, row_number() OVER (ORDER BY order_date, store_name, jan) AS place FROM shop_orders o JOIN order_lines ON order_id = o.id GROUP BY order_date, store_name, jan"),
     ),
     "introduction_products": (
-        lambda t: op.resolve_products(t.raw("part").select(F.lit("C1").alias("client_id"), F.expr(_SHEET_JAN).alias("jan"), F.expr(_SHEET_NAME).alias("name")), t.products()),
+        lambda t: workbooks.resolve(t.raw("part").select(F.lit("C1").alias("client_id"), F.expr(_SHEET_JAN).alias("jan"), F.expr(_SHEET_NAME).alias("name")), t.products()),
         using(
             "products",
-            f""", r AS (SELECT DISTINCT {_SHEET_JAN} AS jan, trim({_SHEET_NAME}) AS name FROM part), k AS (SELECT *, regexp_replace(lower(name), '[ #_-]', '', 'g') AS key FROM r),
-p AS (SELECT jan, name, regexp_replace(lower(name), '[ #_-]', '', 'g') AS key FROM products WHERE client_id = 'C1'),
+            f""", r AS (SELECT DISTINCT {_SHEET_JAN} AS jan, trim({_SHEET_NAME}) AS name FROM part), k AS (SELECT *, regexp_replace(lower(name), '[ x-]', '', 'g') AS key FROM r),
+p AS (SELECT jan, name, regexp_replace(lower(name), '[ x-]', '', 'g') AS key FROM products WHERE client_id = 'C1'),
 b AS (SELECT k.jan, k.name, arg_min({{'jan': p.jan, 'name': p.name}}, {{'s': CASE WHEN k.key = p.key THEN -length(p.key) - 1000 ELSE -least(length(k.key), length(p.key)) - 100 END, 'n': p.name, 'j': p.jan}}) AS b FROM k JOIN p ON k.key <> '' AND (contains(k.key, p.key) OR contains(p.key, k.key)) GROUP BY k.jan, k.name)
-SELECT 'C1' AS client_id, k.jan, k.name, CASE WHEN j.jan IS NOT NULL THEN k.jan ELSE coalesce(b.b.jan, k.jan) END AS found_jan, CASE WHEN j.jan IS NOT NULL THEN j.name ELSE coalesce(b.b.name, nullif(k.name, ''), k.jan) END AS found_name
+SELECT 'C1' AS client_id, k.jan, k.name, CASE WHEN j.jan IS NOT NULL THEN k.jan ELSE coalesce(b.b.jan, k.jan) END AS found_jan, CASE WHEN j.jan IS NOT NULL AND k.key <> j.key AND contains(k.key, j.key) AND length(k.key) > length(j.key) + 2 THEN k.name WHEN j.jan IS NOT NULL THEN j.name ELSE coalesce(b.b.name, nullif(k.name, ''), k.jan) END AS found_name
 FROM k LEFT JOIN p j ON j.jan = k.jan LEFT JOIN b ON b.jan = k.jan AND b.name = k.name""",
         ),
     ),
