@@ -145,56 +145,58 @@ def channel_summary(entries: DataFrame) -> DataFrame:
     return named.agg(F.count("*").alias("introduced"), *[F.count_if(F.col("channel") == c).alias(c) for c in CHANNELS])
 
 
-def lookup(locations: DataFrame) -> DataFrame:
-    """key, loc_ord, store_code, store_name, the first location by name and code for each name key."""
-    w = Window.partitionBy("key").orderBy("store_name", "store_code")
-    keyed = locations.select("store_code", "store_name", F.explode(name_keys(tx.location_key(F.col("store_name")))).alias("key"))
+def lookup(locations: DataFrame, by: list[str] = []) -> DataFrame:  # noqa: B006
+    """by, key, store_code, store_name, the first location by name and code for each name key."""
+    w = Window.partitionBy(*by, "key").orderBy("store_name", "store_code")
+    keyed = locations.select(*by, "store_code", "store_name", F.explode(name_keys(tx.location_key(F.col("store_name")))).alias("key"))
     return keyed.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-def resolve_locations(entries: DataFrame, locations: DataFrame) -> DataFrame:
-    """store_name, store_code, step, matched_code for each distinct pair of the entries; step and code are null without a match.
+def resolve_locations(entries: DataFrame, locations: DataFrame, by: list[str] = []) -> DataFrame:  # noqa: B006
+    """by, store_name, store_code, step, matched_code for each distinct one of the entries; step and code are null without a match.
+    Entries meet locations that are equal in the columns `by`.
 
     Steps: 1 an equal name key (the entry's keys in order), 2 a loosely equal name (a prefix, an inclusion of four or more
     characters, or the first six inside), 3 the code (short numbers are a sheet's own and count only if names agree), 4 the
     only location whose name holds the entry's. The first step that finds one wins; within it the first key, then the
     first location by name and code.
     """
-    by_name = lookup(locations).select("key", F.col("store_name").alias("l_name"), F.col("store_code").alias("l_code"))
-    own = entries.select("store_name", "store_code").distinct().withColumn("name", tx.location_key(F.col("store_name")))
-    keys = own.select("store_name", "store_code", F.posexplode(name_keys(F.col("name"))).alias("pos", "key"))
+    by_name = lookup(locations, by).select(*by, "key", F.col("store_name").alias("l_name"), F.col("store_code").alias("l_code"))
+    pair = [*by, "store_name", "store_code"]
+    own = entries.select(*pair).distinct().withColumn("name", tx.location_key(F.col("store_name")))
+    keys = own.select(*pair, F.posexplode(name_keys(F.col("name"))).alias("pos", "key"))
     first = F.min_by("l_code", F.struct("pos", "l_name", "l_code"))
 
-    exact = keys.join(by_name, "key").groupBy("store_name", "store_code").agg(first.alias("code1"))
-    left = keys.join(exact.select("store_name", "store_code"), ["store_name", "store_code"], "left_anti").where(F.length("key") >= 3)
-    loose = _loose(left, by_name.where(F.length("key") >= 3).withColumnRenamed("key", "cand")).groupBy("store_name", "store_code").agg(first.alias("code2"))
+    exact = keys.join(by_name, [*by, "key"]).groupBy(*pair).agg(first.alias("code1"))
+    left = keys.join(exact.select(*pair), pair, "left_anti").where(F.length("key") >= 3)
+    loose = _loose(left, by_name.where(F.length("key") >= 3).withColumnRenamed("key", "cand"), by).groupBy(*pair).agg(first.alias("code2"))
     short = F.trim("store_code").rlike("^[0-9]{2,4}$")
-    coded = own.where("coalesce(store_code, '') <> ''").join(locations.select("store_code", F.col("store_name").alias("l_name")), "store_code")
+    coded = own.where("coalesce(store_code, '') <> ''").join(locations.select(*by, "store_code", F.col("store_name").alias("l_name")), [*by, "store_code"])
     agree = F.arrays_overlap(name_keys(F.col("name")), name_keys(tx.location_key(F.col("l_name"))))
-    by_code = coded.where(~short | agree).select("store_name", "store_code", F.col("store_code").alias("code3"))
-    names = locations.select(F.col("store_code").alias("l_code"), tx.location_key(F.col("store_name")).alias("l_key")).where("l_key <> ''")
-    holds = _meet(own.where("name <> ''").select("store_name", "store_code", "name"), "name", names, "l_key").where(F.contains("l_key", F.col("name")))
-    unique = holds.groupBy("store_name", "store_code").agg(F.count_distinct("l_code").alias("n"), F.min("l_code").alias("code4")).where("n = 1").drop("n")
+    by_code = coded.where(~short | agree).select(*pair, F.col("store_code").alias("code3"))
+    names = locations.select(*by, F.col("store_code").alias("l_code"), tx.location_key(F.col("store_name")).alias("l_key")).where("l_key <> ''")
+    holds = _meet(own.where("name <> ''").select(*pair, "name"), "name", names, "l_key", by).where(F.contains("l_key", F.col("name")))
+    unique = holds.groupBy(*pair).agg(F.count_distinct("l_code").alias("n"), F.min("l_code").alias("code4")).where("n = 1").drop("n")
 
-    out = own.select("store_name", "store_code")
+    out = own.select(*pair)
     for part in (exact, loose, by_code, unique):
-        out = out.join(part, ["store_name", "store_code"], "left")
+        out = out.join(part, pair, "left")
     step = F.when(F.col("code1").isNotNull(), 1).when(F.col("code2").isNotNull(), 2).when(F.col("code3").isNotNull(), 3).when(F.col("code4").isNotNull(), 4)
-    return out.select("store_name", "store_code", step.alias("step"), F.coalesce("code1", "code2", "code3", "code4").alias("matched_code"))
+    return out.select(*pair, step.alias("step"), F.coalesce("code1", "code2", "code3", "code4").alias("matched_code"))
 
 
-def _loose(keys: DataFrame, names: DataFrame) -> DataFrame:
+def _loose(keys: DataFrame, names: DataFrame, by: list[str] = []) -> DataFrame:  # noqa: B006
     """Pairs (key, cand) that are loosely equal, of a key only the first location where its first six characters stand.
 
     Beginnings meet as wholes: each text's beginnings are joined with the other texts. Of equal first six characters, which
     many names share, one stands for all, and only the first location that holds them counts.
     """
     begin = lambda c: F.transform(F.sequence(F.lit(3), F.length(c)), lambda i: F.substring(F.col(c), F.lit(1), i))
-    ahead = names.withColumn("_p", F.explode(begin("cand"))).join(keys, F.col("_p") == F.col("key")).drop("_p")
-    behind = keys.withColumn("_p", F.explode(begin("key"))).join(names, F.col("_p") == F.col("cand")).drop("_p")
-    cores = keys.where(F.length("key") >= 4).select(F.substring("key", 1, 6).alias("core")).distinct()
-    first = _inside(cores, "core", names.where(F.length("cand") >= 4), "cand").groupBy("core").agg(F.min(F.struct("l_name", "l_code", "cand")).alias("_l")).select("core", "_l.*")
-    inside = keys.where(F.length("key") >= 4).withColumn("core", F.substring("key", 1, 6)).join(first, "core").drop("core")
-    around = _inside(names.where(F.length("cand") >= 4), "cand", keys, "key")
-    cols = [*keys.columns, *names.columns]
+    ahead = names.withColumn("key", F.explode(begin("cand"))).join(keys, [*by, "key"])
+    behind = keys.withColumn("cand", F.explode(begin("key"))).join(names, [*by, "cand"])
+    cores = keys.where(F.length("key") >= 4).select(*by, F.substring("key", 1, 6).alias("core")).distinct()
+    first = _inside(cores, "core", names.where(F.length("cand") >= 4), "cand", by=by).groupBy(*by, "core").agg(F.min(F.struct("l_name", "l_code", "cand")).alias("_l")).select(*by, "core", "_l.*")
+    inside = keys.where(F.length("key") >= 4).withColumn("core", F.substring("key", 1, 6)).join(first, [*by, "core"]).drop("core")
+    around = _inside(names.where(F.length("cand") >= 4), "cand", keys, "key", by=by)
+    cols = [*keys.columns, *[c for c in names.columns if c not in by]]
     return ahead.select(*cols).unionByName(behind.select(*cols)).unionByName(inside.select(*cols)).unionByName(around.select(*cols))

@@ -105,42 +105,42 @@ def _fragment(a: Column, b: Column, least: int, most: int) -> Column:
     return F.coalesce(*[F.when((F.length(a) >= n) & F.contains(b, F.substring(a, 1, n)), n) for n in range(most, least - 1, -1)], F.lit(0))
 
 
-def _near(a: DataFrame, x: str, b: DataFrame, y: str, n: int) -> DataFrame:
-    """Pairs where the first n characters of one text stand in the other, by equi joins on grams of n characters."""
+def _near(a: DataFrame, x: str, b: DataFrame, y: str, n: int, by: list[str]) -> DataFrame:
+    """Pairs, equal in the columns `by`, where the first n characters of one text stand in the other, by equi joins on grams of n characters."""
     grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(F.col(c), i, F.lit(n))))
     a, b = a.where(F.length(x) >= n), b.where(F.length(y) >= n)
-    ahead = a.withColumn("_g", F.substring(x, 1, n)).join(b.withColumn("_g", F.explode(grams(y))), "_g")
-    behind = a.withColumn("_g", F.explode(grams(x))).join(b.withColumn("_g", F.substring(y, 1, n)), "_g")
+    ahead = a.withColumn("_g", F.substring(x, 1, n)).join(b.withColumn("_g", F.explode(grams(y))), [*by, "_g"])
+    behind = a.withColumn("_g", F.explode(grams(x))).join(b.withColumn("_g", F.substring(y, 1, n)), [*by, "_g"])
     return ahead.unionByName(behind).drop("_g").distinct()
 
 
-def _best(pairs: DataFrame, score: Column, least: int) -> DataFrame:
-    """name, store_code: the location of the best score, the first by name and code on ties, from `least` on."""
-    best = pairs.withColumn("_s", score).where(F.col("_s") >= least).groupBy("name").agg(F.min_by("l_code", F.struct(-F.col("_s"), F.col("l_name"), F.col("l_code"))).alias("store_code"))
-    return best.select("name", "store_code")
+def _best(pairs: DataFrame, score: Column, least: int, by: list[str]) -> DataFrame:
+    """by, name, store_code: the location of the best score, the first by name and code on ties, from `least` on."""
+    best = pairs.withColumn("_s", score).where(F.col("_s") >= least).groupBy(*by, "name").agg(F.min_by("l_code", F.struct(-F.col("_s"), F.col("l_name"), F.col("l_code"))).alias("store_code"))
+    return best.select(*by, "name", "store_code")
 
 
-def _named(locations: DataFrame) -> DataFrame:
-    return locations.select(F.col("store_code").alias("l_code"), F.col("store_name").alias("l_name"), tx.location_key(F.col("store_name")).alias("l_key"))
+def _named(locations: DataFrame, by: list[str]) -> DataFrame:
+    return locations.select(*by, F.col("store_code").alias("l_code"), F.col("store_name").alias("l_name"), tx.location_key(F.col("store_name")).alias("l_key"))
 
 
-def cosmetic_matches(names: DataFrame, locations: DataFrame) -> DataFrame:
+def cosmetic_matches(names: DataFrame, locations: DataFrame, by: list[str] = []) -> DataFrame:  # noqa: B006
     """name, store_code: names that start with コスメ to locations of コスメロフト by the longest shared beginning of what follows, 2 to 8 characters."""
-    own = names.select("name").distinct().withColumn("key", tx.location_key(F.col("name"))).where(F.startswith("key", F.lit("コスメ"))).withColumn("core", F.substring("key", 4, 1 << 30)).where(F.length("core") >= 3)
-    there = _named(locations).where(F.startswith("l_key", F.lit("コスメロフト"))).withColumn("cand", F.substring("l_key", 7, 1 << 30))
+    own = names.select(*by, "name").distinct().withColumn("key", tx.location_key(F.col("name"))).where(F.startswith("key", F.lit("コスメ"))).withColumn("core", F.substring("key", 4, 1 << 30)).where(F.length("core") >= 3)
+    there = _named(locations, by).where(F.startswith("l_key", F.lit("コスメロフト"))).withColumn("cand", F.substring("l_key", 7, 1 << 30))
     ahead, behind = _fragment(F.col("core"), F.col("cand"), 2, 8), _fragment(F.col("cand"), F.col("core"), 2, 8)
-    return _best(_near(own, "core", there, "cand", 2), F.when(ahead > 0, ahead).otherwise(behind), 2)
+    return _best(_near(own, "core", there, "cand", 2, by), F.when(ahead > 0, ahead).otherwise(behind), 2, by)
 
 
-def truncated_matches(names: DataFrame, locations: DataFrame) -> DataFrame:
+def truncated_matches(names: DataFrame, locations: DataFrame, by: list[str] = []) -> DataFrame:  # noqa: B006
     """name, store_code: names of the list to the first location that holds the first part that any location holds."""
     spark = names.sparkSession
     listed = spark.createDataFrame([(tx._plain(k), i, tx._plain(p)) for k, parts in TRUNCATED.items() for i, p in enumerate(parts)], "key string, rank int, part string")
     parts = F.array(*[F.lit(p) for p in sorted({tx._plain(p) for ps in TRUNCATED.values() for p in ps})])
-    there = _named(locations).withColumn("part", F.explode(F.filter(parts, lambda p: F.contains("l_key", p)))).groupBy("part").agg(F.min_by("l_code", F.struct("l_name", "l_code")).alias("store_code"))
-    own = names.select("name").distinct().withColumn("key", tx.location_key(F.col("name")))
-    met = own.join(F.broadcast(listed), "key").join(there, "part")
-    return met.groupBy("name").agg(F.min_by("store_code", "rank").alias("store_code"))
+    there = _named(locations, by).withColumn("part", F.explode(F.filter(parts, lambda p: F.contains("l_key", p)))).groupBy(*by, "part").agg(F.min_by("l_code", F.struct("l_name", "l_code")).alias("store_code"))
+    own = names.select(*by, "name").distinct().withColumn("key", tx.location_key(F.col("name")))
+    met = own.join(F.broadcast(listed), "key").join(there, [*by, "part"])
+    return met.groupBy(*by, "name").agg(F.min_by("store_code", "rank").alias("store_code"))
 
 
 def hands_key(c: Column) -> Column:
@@ -155,35 +155,35 @@ def _hands(key: Column) -> Column:
     return out
 
 
-def hands_matches(names: DataFrame, locations: DataFrame) -> DataFrame:
+def hands_matches(names: DataFrame, locations: DataFrame, by: list[str] = []) -> DataFrame:  # noqa: B006
     """name, store_code: names to locations of ハンズ: equal keys, one inside the other, else the longest shared beginning of 4 to 10 characters."""
-    own = names.select("name").distinct().withColumn("key", hands_key(F.col("name"))).where(F.length("key") >= 3)
-    there = _named(locations).where(F.startswith("l_code", F.lit("hands-")) | F.contains("l_key", F.lit("ハンズ"))).withColumn("cand", hands_key(F.col("l_name"))).where("cand <> ''")
-    pairs = _near(own, "key", there, "cand", 4).unionByName(_meet(own, "key", there, "cand")).distinct()
+    own = names.select(*by, "name").distinct().withColumn("key", hands_key(F.col("name"))).where(F.length("key") >= 3)
+    there = _named(locations, by).where(F.startswith("l_code", F.lit("hands-")) | F.contains("l_key", F.lit("ハンズ"))).withColumn("cand", hands_key(F.col("l_name"))).where("cand <> ''")
+    pairs = _near(own, "key", there, "cand", 4, by).unionByName(_meet(own, "key", there, "cand", by)).distinct()
     k, c = F.col("key"), F.col("cand")
     ahead = _fragment(k, c, 4, 10)
     score = F.when(k == c, 1000).when(F.contains(k, c) | F.contains(c, k), F.least(F.length(k), F.length(c)) + 100).when(ahead > 0, ahead).otherwise(_fragment(c, k, 4, 10))
-    return _best(pairs, score, 4)
+    return _best(pairs, score, 4, by)
 
 
-def store_candidates(names: DataFrame, locations: DataFrame, introduced: DataFrame | None = None) -> DataFrame:
-    """name, store_code, stage: the one location whose name holds the name, after filters that each apply only if they leave something.
+def store_candidates(names: DataFrame, locations: DataFrame, introduced: DataFrame | None = None, by: list[str] = []) -> DataFrame:  # noqa: B006
+    """by, name, store_code, stage: the one location whose name holds the name, after filters that each apply only if they leave something.
 
     Locations of ハンズビー go unless the name speaks of them or no other is there. Stage 1: one is left. 2: one whose name is
     the place alone. 3: one of the introduced codes. 4: one that is both. A name with SQ also stands for its two long forms.
     introduced: store_code. Candidates are counted by kind and never gathered, so a name that many locations hold costs no
     more than its rows. Names that are blank or have no single location are left out.
     """
-    own = names.select("name").distinct().withColumn("q", tx.location_key(F.col("name"))).where("q <> ''")
+    own = names.select(*by, "name").distinct().withColumn("q", tx.location_key(F.col("name"))).where("q <> ''")
     long_ = F.when(F.col("q").rlike("sq|エスキュ"), F.array(*[F.regexp_replace("q", "sq|エスキュ", x) for x in ("スクエア", "スクランブルスクエア")])).otherwise(F.array().cast("array<string>"))
     asked = own.withColumn("asked", F.explode(F.array_distinct(F.concat(F.array("q"), long_))))
-    there = _named(locations).where("l_key <> ''")
-    pairs = _inside(asked.select("asked").distinct(), "asked", there.select("l_key").distinct(), "l_key")
+    there = _named(locations, by).where("l_key <> ''")
+    pairs = _inside(asked.select(*by, "asked").distinct(), "asked", there.select(*by, "l_key").distinct(), "l_key", by=by)
     code = F.lower(F.trim("l_code"))
     be = F.startswith(code, F.lit("hands-be_")) | F.startswith(code, F.lit("hands-be-")) | (code == "hands-be") | F.contains("l_key", F.lit("ハンズビー")) | F.startswith("l_key", F.lit("hb"))
     place = F.regexp_replace(F.regexp_replace(_hands(F.col("l_key")), "^ハンズビー", ""), "^ハンズ", "")
-    met = asked.join(pairs, "asked").join(there.withColumn("be", be).withColumn("place", place), "l_key")
-    met = met.groupBy("name", "q", tx.first_filled(F.col("l_code"), F.col("l_name")).alias("l_id")).agg(F.max(F.struct("l_name", "l_code", "be", "place")).alias("l")).select("name", "q", "l.*")
+    met = asked.join(pairs, [*by, "asked"]).join(there.withColumn("be", be).withColumn("place", place), [*by, "l_key"])
+    met = met.groupBy(*by, "name", "q", tx.first_filled(F.col("l_code"), F.col("l_name")).alias("l_id")).agg(F.max(F.struct("l_name", "l_code", "be", "place")).alias("l")).select(*by, "name", "q", "l.*")
     if introduced is not None:
         met = met.join(introduced.select(F.col("store_code").alias("l_code"), F.lit(True).alias("in")).distinct(), "l_code", "left")
     else:
@@ -191,11 +191,11 @@ def store_candidates(names: DataFrame, locations: DataFrame, introduced: DataFra
     exact, known = F.col("place") == F.col("q"), F.coalesce("in", F.lit(False))
     kinds = {"all": F.lit(True), "exact": exact, "in": known, "both": exact & known}
     counted = [x for pool, ok in (("any", F.lit(True)), ("rest", ~F.col("be"))) for kind, test in kinds.items() for x in (F.count_if(ok & test).alias(f"{pool}_{kind}"), F.min(F.when(ok & test, F.col("l_code"))).alias(f"{pool}_{kind}_code"))]
-    per = met.groupBy("name", "q").agg(*counted)
+    per = met.groupBy(*by, "name", "q").agg(*counted)
     rest = ~F.col("q").rlike("ビー|^hb") & (F.col("rest_all") > 0)
     of = lambda c: F.when(rest, F.col(f"rest_{c}")).otherwise(F.col(f"any_{c}"))
     stages = F.coalesce(*[F.when(of(kind) == 1, F.struct(F.lit(i).alias("stage"), of(f"{kind}_code").alias("code"))) for i, kind in enumerate(kinds, 1)])
-    return per.select("name", stages.alias("s")).where("s IS NOT NULL").select("name", F.col("s.code").alias("store_code"), F.col("s.stage").alias("stage"))
+    return per.select(*by, "name", stages.alias("s")).where("s IS NOT NULL").select(*by, "name", F.col("s.code").alias("store_code"), F.col("s.stage").alias("stage"))
 
 
 #: Codes of one wholesaler's allocation sheets and the pages of the stores that they stand for. Fixed values.
@@ -266,41 +266,43 @@ def product_export(products: DataFrame, picks: DataFrame | None = None) -> DataF
     return own.select("client_id", "jan", text("name").alias("name"), text("internal_sku").alias("sku"), text("category").alias("category"), text("wholesale_price").alias("wholesale"), text("retail_price").alias("retail"))
 
 
-def by_code(locations: DataFrame) -> DataFrame:
-    """alias, store_code, store_name: every form of a code; of locations that share one, the last by name and code."""
+def by_code(locations: DataFrame, by: list[str] = []) -> DataFrame:  # noqa: B006
+    """by, alias, store_code, store_name: every form of a code; of locations that share one, the last by name and code."""
     from .sheets import code_aliases  # sheets are read with this module's names
 
-    every = locations.select("store_code", "store_name", F.explode(code_aliases(F.col("store_code"))).alias("alias")).where("alias <> ''")
-    return every.groupBy("alias").agg(F.max_by(F.struct("store_code", "store_name"), F.struct("store_name", "store_code")).alias("l")).select("alias", "l.*")
+    every = locations.select(*by, "store_code", "store_name", F.explode(code_aliases(F.col("store_code"))).alias("alias")).where("alias <> ''")
+    return every.groupBy(*by, "alias").agg(F.max_by(F.struct("store_code", "store_name"), F.struct("store_name", "store_code")).alias("l")).select(*by, "alias", "l.*")
 
 
-def resolve_stores(entries: DataFrame, locations: DataFrame, legacy: DataFrame | None = None, introduced: DataFrame | None = None) -> DataFrame:
-    """store_name, store_code, step, matched_code for each distinct pair of the entries: the whole cascade.
+def resolve_stores(entries: DataFrame, locations: DataFrame, legacy: DataFrame | None = None, introduced: DataFrame | None = None, by: list[str] = []) -> DataFrame:  # noqa: B006
+    """by, store_name, store_code, step, matched_code for each distinct one of the entries: the whole cascade, over the locations
+    that are equal in the columns `by`.
 
     Steps: 1 a legacy code (legacy: code, official; LEGACY without it), 2 an equal name key, 3 a loosely equal name, 4 コスメ to コスメロフト, 5 a
     name cut short, 6 ハンズ, 7 a code of more than four digits or other form, in any of its forms, 8 such a code of two to four
     digits if the names agree, 9 the one candidate of store_candidates(), which may look at the introduced codes. The first
     step that finds one wins. An entry without a name has its code alone; null names and codes are empty.
     """
-    own = entries.select(F.coalesce("store_name", F.lit("")).alias("store_name"), F.coalesce("store_code", F.lit("")).alias("store_code")).distinct()
-    base = resolve_locations(own, locations).select("store_name", "store_code", F.col("step").alias("_step"), F.col("matched_code").alias("_code"))
-    names = own.select(F.col("store_name").alias("name")).distinct()
+    pair = [*by, "store_name", "store_code"]
+    own = entries.select(*by, F.coalesce("store_name", F.lit("")).alias("store_name"), F.coalesce("store_code", F.lit("")).alias("store_code")).distinct()
+    base = resolve_locations(own, locations, by).select(*pair, F.col("step").alias("_step"), F.col("matched_code").alias("_code"))
+    names = own.select(*by, F.col("store_name").alias("name")).distinct()
     parts = [(4, cosmetic_matches), (5, truncated_matches), (6, hands_matches)]
-    out = own.join(base, ["store_name", "store_code"], "left")
+    out = own.join(base, pair, "left")
     for n, f in parts:
-        out = out.join(f(names, locations).select(F.col("name").alias("store_name"), F.col("store_code").alias(f"_c{n}")), "store_name", "left")
-    coded = by_code(locations).select(F.col("alias").alias("_alias"), F.col("store_code").alias("_c7"), F.col("store_name").alias("_n7"))
-    out = out.join(coded, (F.col("store_code") != "") & (F.col("store_code") == F.col("_alias")), "left")
+        out = out.join(f(names, locations, by).select(*by, F.col("name").alias("store_name"), F.col("store_code").alias(f"_c{n}")), [*by, "store_name"], "left")
+    coded = by_code(locations, by).select(*by, F.col("alias").alias("_alias"), F.col("store_code").alias("_c7"), F.col("store_name").alias("_n7"))
+    out = out.withColumn("_alias", F.nullif("store_code", F.lit(""))).join(coded, [*by, "_alias"], "left")
     legacy = legacy_codes(entries.sparkSession) if legacy is None else legacy
-    official = legacy.join(coded, F.col("official") == F.col("_alias")).select(F.col("code").alias("_legacy"), F.col("_c7").alias("_c1"))
-    out = out.join(official, F.trim("store_code") == F.col("_legacy"), "left")
-    only = store_candidates(names, locations, introduced).select(F.col("name").alias("store_name"), F.col("store_code").alias("_c9"))
-    out = out.join(only, "store_name", "left")
+    official = legacy.join(coded, F.col("official") == F.col("_alias")).select(*by, F.col("code").alias("_legacy"), F.col("_c7").alias("_c1"))
+    out = out.withColumn("_legacy", F.trim("store_code")).join(official, [*by, "_legacy"], "left")
+    only = store_candidates(names, locations, introduced, by).select(*by, F.col("name").alias("store_name"), F.col("store_code").alias("_c9"))
+    out = out.join(only, [*by, "store_name"], "left")
     short = F.trim("store_code").rlike("^[0-9]{2,4}$")
     agree = F.arrays_overlap(name_keys(tx.location_key(F.col("store_name"))), name_keys(tx.location_key(F.col("_n7"))))
     steps = [F.col("_c1"), F.when(F.col("_step") == 1, F.col("_code")), F.when(F.col("_step") == 2, F.col("_code")), F.col("_c4"), F.col("_c5"), F.col("_c6"), F.when(~short, F.col("_c7")), F.when(short & agree, F.col("_c7")), F.col("_c9")]
     step = F.coalesce(*[F.when(c.isNotNull(), i) for i, c in enumerate(steps, 1)])
-    return out.select("store_name", "store_code", step.alias("step"), F.coalesce(*steps).alias("matched_code"))
+    return out.select(*pair, step.alias("step"), F.coalesce(*steps).alias("matched_code"))
 
 
 def introduced_codes(entries: DataFrame, imports: DataFrame, locations: DataFrame) -> DataFrame:
