@@ -127,6 +127,24 @@ def supplemental(entries: DataFrame, locations: DataFrame) -> DataFrame:
     return left.join(by_name, F.lower(F.regexp_replace("store_name", r"\s", "")) == F.col("_n"), "left_anti")
 
 
+def filtered(entries: DataFrame, query: str = "", chain: str = "all") -> DataFrame:
+    """Entries whose shown JAN, shown name or stored name holds the text, in any case, of one chain or of all.
+
+    entries: shown_jan, shown_name, product_name, matched_chain.
+    """
+    q = query.strip().lower()
+    text = lambda c: F.contains(F.lower(F.coalesce(F.trim(c), F.lit(""))), F.lit(q))
+    out = entries if not q else entries.where(text(F.col("shown_jan")) | text(F.col("shown_name")) | text(F.col("product_name")))
+    return out if chain == "all" else out.where(F.col("matched_chain") == chain)
+
+
+def picked_products(options: DataFrame, key: str = "all", query: str = "") -> DataFrame:
+    """A matrix's products (product_key, jan, product_name): one key or all, that hold the text in JAN or name."""
+    q = query.strip().lower()
+    out = options if key == "all" else options.where(F.col("product_key") == key)
+    return out.where(F.contains(F.lower("jan"), F.lit(q)) | F.contains(F.lower("product_name"), F.lit(q))) if q else out
+
+
 def locations_by_chain(locations: DataFrame) -> DataFrame:
     return locations.groupBy("chain_name").agg(F.count("*").alias("stores"), F.min("store_name").alias("first_store"), F.count_if(F.col("address").isNotNull()).alias("with_address"))
 

@@ -5,7 +5,7 @@ A transition returns new orders and lines and the orders that it refused with th
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .pricing import DEFAULT_FEE, fee_of, half_up, line_amount, payout_amount, payout_rate, with_products
@@ -90,6 +90,12 @@ def delete(orders: DataFrame, lines: DataFrame, wanted: DataFrame, operator: str
     return orders.join(ids, "id", "left_anti"), lines.join(ids.withColumnRenamed("id", "order_id"), "order_id", "left_anti"), log, refused
 
 
+def deletions(log: DataFrame, client: str | None = None) -> DataFrame:
+    """The deletion log of a client, or of all, with place: newest first within a client, then by target."""
+    own = log if client is None else log.where(F.col("client_id") == client)
+    return own.withColumn("place", F.row_number().over(Window.partitionBy("client_id").orderBy(F.desc("deleted_at"), "target_id")))
+
+
 def order_totals(orders: DataFrame, lines: DataFrame, products: DataFrame) -> DataFrame:
     """Amount of each order: current prices while it is imported, stored amounts after; unknown products count 0."""
     rows = with_products(orders, lines, products)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from .cells import fill_down
 from .imports import latest
 from .sheets import SHEET, _at, _columns, _header_row, rows_of
+from .stores import OFFICIAL
 
 #: Header words of a destination list, by field. Fixed values.
 DESTINATION = {"wholesaler_name": ("卸名", "問屋名", "卸"), "code": ("配送先コード", "センターコード", "コード"), "name": ("配送先名", "センター名", "名称"), "postal_code": ("郵便番号",), "address": ("住所", "住所1"), "tel": ("電話番号", "tel"), "aliases": ("別名",)}
@@ -73,6 +74,30 @@ def period(cells: DataFrame, pattern: str = r"(\d{4})年(\d{1,2})月(\d{1,2})日
     return found.groupBy(*SHEET).agg(F.min_by(F.struct("s", "e"), F.struct("row_idx", "col_idx")).alias("p")).select(*SHEET, F.col("p.s").alias("period_start"), F.col("p.e").alias("period_end"))
 
 
-def collated(rows: DataFrame, column: str, locale: str = "ja") -> DataFrame:
-    """Rows by a name in the locale's order."""
-    return rows.orderBy(F.expr(f"`{column}` collate {locale}"), column)
+def in_order(rows: DataFrame, group: str, name: str, ties: list[str], locale: str = "ja") -> DataFrame:
+    """Rows with place, from 1: groups in the locale's order, names within a group likewise, then ties. Only a group's rows meet in
+    a task; the groups' sizes give the places before them.
+    """
+    by = lambda c: F.expr(f"coalesce(`{c}`, '') collate {locale}")
+    sizes = rows.groupBy(group).agg(F.count("*").alias("_n"))
+    ahead = Window.orderBy(by(group), group).rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(F.col(group).alias("_g"), F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
+    own = rows.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(by(name), name, *ties)))
+    return own.join(before, F.col(group).eqNullSafe(F.col("_g"))).withColumn("place", F.col("_before") + F.col("_r")).drop("_g", "_before", "_r")
+
+
+#: Words in the names of sheets and stores of an address book that tell its chain. Fixed values.
+BOOK_CHAINS = (("アインズ", "アインズ|ｱｲﾝｽﾞ", "(?i)アインズ|ainz"), ("インキューブ", "(?i)インキューブ|incube", "(?i)インキューブ|incube"))
+
+
+def book_locations(book: DataFrame) -> DataFrame:
+    """store_code, store_name, chain_name, address, ord of address books' rows with code and address, for an upsert of locations.
+
+    book: file_id, sheet_name, store_code, store_name, address, ord. A file's chain is what its sheets' or stores' names tell,
+    else blank; files of chains with an official list give none.
+    """
+    rows = book.where((F.coalesce("store_code", F.lit("")) != "") & (tx.trim(F.col("address")) != ""))
+    flags = [F.max(F.coalesce(F.col("sheet_name").rlike(a) | F.coalesce("store_name", F.lit("")).rlike(b), F.lit(False))).alias(f"_{i}") for i, (_, a, b) in enumerate(BOOK_CHAINS)]
+    chain = F.coalesce(*[F.when(F.col(f"_{i}"), name) for i, (name, _, _) in enumerate(BOOK_CHAINS)], F.lit(""))
+    files = rows.groupBy("file_id").agg(*flags).select("file_id", chain.alias("chain_name")).where(~F.col("chain_name").isin(*OFFICIAL))
+    return rows.join(files, "file_id").select("store_code", "store_name", "chain_name", "address", "ord")
