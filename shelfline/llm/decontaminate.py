@@ -200,7 +200,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: s
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents that hold a benchmark passage: one row for each document and item."""
+    """The documents that hold a benchmark passage: one row for each document and item.
+
+    Null and empty texts hold nothing. Rows that share a doc_id, or have none, give one row for each item together, and so do
+    equal items; of equally good places the smallest counts. An empty table gives no rows.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return overlaps(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"))
 

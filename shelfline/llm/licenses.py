@@ -154,7 +154,8 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text", templates=TEMPL
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The licence phrases and notices of every document; null and empty texts have no words, places or labels.
 
-    Rows that share doc_id and text give equal rows; score is the best place's, 0 without one.
+    Rows that share doc_id and text give equal rows; score is the best place's, 0 without one. Labels of one start are sorted
+    and count once. An empty table gives no rows.
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     base = F.filter("places", lambda p: p["is_phrase"])
