@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..sources.order_files import OrderFiles
 
 CARRIER, SENDER, UNCOUNTED = "佐川急便宅配便", "FBP", "未計算"
 
@@ -55,10 +56,23 @@ def maker_rows(orders: DataFrame, lines: DataFrame, products: DataFrame, destina
     return rows.select("order_no", "line_no", *[c.alias(f"c{i + 1}") for i, c in enumerate(cells)])
 
 
-def write_maker_files(rows: DataFrame, path: str) -> None:
-    """A folder of CSV for each order, every cell quoted."""
-    named = rows.select("order_no", "line_no", *[F.col(f"c{i + 1}").alias(h) for i, h in enumerate(MAKER_HEADERS)])
-    named.repartition("order_no").sortWithinPartitions("order_no", "line_no").drop("line_no").write.partitionBy("order_no").option("header", True).option("quoteAll", True).csv(path)
+def maker_lines(rows: DataFrame) -> DataFrame:
+    """order_no, file, place, line: the text of each order's file, the heading at place 0 and then the order's lines; every cell is quoted."""
+    line = lambda cells: F.array_join(F.array(*map(tx.csv_cell, cells)), ",")
+    cells = [F.coalesce(F.col(f"c{i + 1}"), F.lit("")) for i in range(len(MAKER_HEADERS))]
+    body = rows.select("order_no", F.col("line_no").cast("long").alias("place"), line(cells).alias("line"))
+    heads = rows.select("order_no").distinct().select("order_no", F.lit(0).cast("long").alias("place"), F.lit(",".join(f'"{h}"' for h in MAKER_HEADERS)).alias("line"))
+    return heads.unionByName(body).withColumn("file", F.concat(file_name(F.col("order_no")), F.lit(".csv"))).select("order_no", "file", "place", "line")
+
+
+def write_maker_files(rows: DataFrame, path: str, mode: str = "append") -> None:
+    """A file of its own for each order, with a byte-order mark, named by its number; path: a folder that all machines share.
+
+    append adds files and refuses names that are there; overwrite replaces the folder's files once all new ones are written.
+    """
+    rows.sparkSession.dataSource.register(OrderFiles)
+    lines = maker_lines(rows).repartition("file").sortWithinPartitions("file", "place").select("file", "line")
+    lines.write.format("orderfiles").mode(mode).save(path)
 
 
 def sell_in_export(rows: DataFrame) -> DataFrame:

@@ -137,6 +137,13 @@ def _scalars(t: Tables) -> DataFrame:
     )
 
 
+_MAKER_CELLS = " || ',' || ".join(f"""'"' || replace(coalesce(c{i + 1}, ''), '"', '""') || '"'""" for i in range(20))
+_MAKER_HEADS = ",".join(f'"{h}"' for h in ex.MAKER_HEADERS)
+_MAKER_LINES = (
+    _MAKER.replace("\nSELECT order_no, line_no", ",\nm AS (SELECT order_no, line_no", 1)
+    + f""") SELECT DISTINCT order_no, order_no || '.csv' AS file, CAST(0 AS BIGINT) AS place, '{_MAKER_HEADS}' AS line FROM m UNION ALL SELECT order_no, order_no || '.csv', line_no, {_MAKER_CELLS} FROM m"""
+)
+
 QUERIES = {
     "memo_chains": (
         lambda t: _memos(t).join(op.memo_chains(_memos(t), _chains(t)), "memo").select("c_custkey", "chain"),
@@ -182,6 +189,7 @@ m AS (SELECT *, CASE WHEN kind IN (0, 1) AND even THEN 'code' WHEN kind = 2 THEN
 SELECT doc_id, CASE WHEN method <> 'none' THEN own END AS code, method, method IN ('none', 'centerName') AS needs_review FROM m""",
     ),
     "maker_rows": (lambda t: _maker(t).withColumn("line_no", F.col("line_no").cast("long")), using("products shop_orders order_lines", _MAKER)),
+    "maker_lines": (lambda t: ex.maker_lines(_maker(t)), using("products shop_orders order_lines", _MAKER_LINES)),
     "sell_in_export": (
         lambda t: ex.sell_in_export(sellin.sell_in_rows(sellin.sell_in_lines(t.orders(), t.order_lines(START, END), t.products(), START, END), t.products(), START, END)),
         sell_in_sql(
