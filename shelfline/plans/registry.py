@@ -10,9 +10,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.testdata import Tables
-from . import imports, introductions, layouts, lifecycle, lists, masters, matching, matrix, orders, saves, screens, sellin, sellout, sheets, stores, workbooks
+from . import extras, imports, introductions, layouts, lifecycle, lists, masters, matching, matrix, orders, saves, screens, sellin, sellout, sheets, stores, workbooks
 
-MODULES = (sellin, lifecycle, imports, sellout, introductions, layouts, matching, masters, sheets, lists, stores, orders, workbooks, matrix, screens, saves)
+MODULES = (sellin, lifecycle, imports, sellout, introductions, layouts, matching, masters, sheets, lists, stores, orders, workbooks, matrix, screens, saves, extras)
 
 
 def _all() -> dict[str, tuple]:
