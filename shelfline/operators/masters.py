@@ -104,13 +104,6 @@ def official_merge(entries: DataFrame, master: DataFrame, least: int = 5) -> Dat
     return both.where((F.col("_size") >= least) | (F.col("origin") == "file")).drop("_m", "_size")
 
 
-def series(entries: DataFrame, known_codes: DataFrame) -> DataFrame:
-    """Per import: rows, how many codes a series knows, and whether the sheet is one of that series (5 known codes, or 20 % and at most 10)."""
-    known = entries.join(known_codes.select("store_code", F.lit(1).alias("_k")).distinct(), "store_code", "left")
-    n = known.groupBy("import_id").agg(F.count("*").alias("rows"), F.count("_k").alias("known"))
-    return n.withColumn("is_series", F.col("known") >= F.least(F.lit(10), F.greatest(F.lit(5), F.ceil(F.col("rows") * 0.2))))
-
-
 def store_count_warning(imported: Column, master: Column) -> Column:
     """A warning where import and master differ in stores; null where they agree or there is no master."""
     return F.when((master > 0) & (imported != master), F.concat(F.lit("店舗数が一致しません（取込"), imported, F.lit(" / マスタ"), master, F.lit("）")))

@@ -94,14 +94,6 @@ SELECT row_id, jan AS matched_jan, 'jan' AS by FROM s WHERE jan <> '' UNION ALL
 SELECT store_code, store_name, n % 3 < 2 AND n % 2 = 0 AS is_introduced, 'master' AS origin FROM m UNION ALL SELECT '', 'x ' || store_name, true, 'file' FROM m WHERE n % 3 = 2 AND n % 2 = 0""",
         ),
     ),
-    "introduction_series": (
-        lambda t: op.series(t.introductions().select("import_id", "store_code", "store_name").distinct(), t.store_locations().where("cast(store_code as int) % 6 = 0")),
-        using(
-            "introductions store_locations",
-            """, d AS (SELECT DISTINCT import_id, store_code, store_name FROM introductions), n AS (SELECT import_id, count(*) AS rows, count(*) FILTER (CAST(store_code AS INT) % 6 = 0) AS known FROM d GROUP BY ALL)
-SELECT *, known >= least(10, greatest(5, ceil(rows * 2e-1))) AS is_series FROM n""",
-        ),
-    ),
     "store_count_warnings": (
         lambda t: t.store_locations().groupBy("chain_name").agg(F.count("*").alias("m"), F.count("address").alias("i")).select("chain_name", op.store_count_warning(F.col("i"), F.col("m")).alias("warning")),
         using("store_locations", "SELECT chain_name, CASE WHEN count(address) <> count(*) THEN '店舗数が一致しません（取込' || count(address) || ' / マスタ' || count(*) || '）' END AS warning FROM store_locations GROUP BY ALL"),
