@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from .sheets import code_aliases
 from .pricing import payout_rate
 
 
@@ -86,22 +87,28 @@ def location_chains(locations: DataFrame) -> DataFrame:
 
 
 def official_merge(entries: DataFrame, master: DataFrame, least: int = 5) -> DataFrame:
-    """Every master store with its introduction state by code, else by name; introduced rows without a master store are added.
+    """chain_name, store_code, store_name, is_introduced, origin: every chain's master stores with their introduction state, by any
+    form of their code, else by name; introduced rows that no master store stands for are added.
 
-    A master of fewer than `least` stores is no master: the entries stay as they are.
+    entries: chain_name, store_code, store_name, is_introduced, ord; of rows with one code or name the last counts. A master of
+    fewer than `least` stores is no master: its chain's entries stay as they are.
     """
-    name = lambda c: F.lower(F.regexp_replace(c, rf"[{tx.BLANK}]", ""))
-    w = Window.partitionBy("_k").orderBy(F.desc("is_introduced"))
-    flags = entries.select(F.explode(F.array(F.concat(F.lit("c:"), F.coalesce("store_code", F.lit(""))), F.concat(F.lit("n:"), name(F.col("store_name"))))).alias("_k"), "is_introduced").where("_k NOT IN ('c:', 'n:')")
-    flags = flags.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("_k", "is_introduced")
-    m = master.withColumn("_c", F.concat(F.lit("c:"), "store_code")).withColumn("_n", F.concat(F.lit("n:"), name(F.col("store_name"))))
-    by_code = flags.select(F.col("_k").alias("_c"), F.col("is_introduced").alias("_i1"))
-    by_name = flags.select(F.col("_k").alias("_n"), F.col("is_introduced").alias("_i2"))
-    full = m.join(by_code, "_c", "left").join(by_name, "_n", "left").select("store_code", "store_name", F.coalesce("_i1", "_i2", F.lit(False)).alias("is_introduced"), F.lit("master").alias("origin"))
-    rest = entries.where("is_introduced").withColumn("_n", F.concat(F.lit("n:"), name(F.col("store_name")))).join(m.select("store_code"), "store_code", "left_anti").join(m.select("_n"), "_n", "left_anti")
-    rest = rest.select("store_code", "store_name", "is_introduced", F.lit("file").alias("origin")).distinct()
-    both = full.unionByName(rest).withColumn("_m", F.lit(1)).join(master.agg(F.count("*").alias("_size")).withColumn("_m", F.lit(1)), "_m")
-    return both.where((F.col("_size") >= least) | (F.col("origin") == "file")).drop("_m", "_size")
+    name = lambda c: F.concat(F.lit("n:"), F.lower(F.regexp_replace(c, rf"[{tx.BLANK}]", "")))
+    codes = lambda c: F.transform(code_aliases(F.coalesce(c, F.lit(""))), lambda x: F.concat(F.lit("c:"), x))
+    chain, none = ["chain_name"], ("c:", "n:")
+    full = master.groupBy(*chain).agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select(*chain)
+    own = entries.join(full, chain, "left_semi")
+    keys = F.concat(codes(F.col("store_code")), F.array(name(F.col("store_name"))))
+    said = own.select(*chain, "ord", "is_introduced", F.explode(F.array_distinct(keys)).alias("_k")).where(~F.col("_k").isin(*none))
+    last = said.groupBy(*chain, "_k").agg(F.max_by("is_introduced", F.struct("ord", "is_introduced")).alias("_on"))
+    m = master.join(full, chain, "left_semi").select(*chain, "store_code", "store_name")
+    asked = m.select(*chain, "store_code", "store_name", F.posexplode(F.concat(codes(F.col("store_code")), F.array(name(F.col("store_name"))))).alias("_at", "_k"))
+    found = asked.join(last, [*chain, "_k"], "left").groupBy(*chain, "store_code", "store_name").agg(F.min_by("_on", F.when(F.col("_on").isNotNull(), F.col("_at"))).alias("_on"))
+    merged = found.select(*chain, "store_code", "store_name", F.coalesce("_on", F.lit(False)).alias("is_introduced"), F.lit("master").alias("origin"))
+    lone = own.where("is_introduced").withColumn("_id", F.struct(*chain, F.coalesce("store_code", F.lit("")).alias("c"), F.coalesce("store_name", F.lit("")).alias("n")))
+    claimed = lone.select("_id", *chain, F.explode(keys).alias("_k")).where(~F.col("_k").isin(*none)).join(asked.select(*chain, "_k").distinct(), [*chain, "_k"]).select("_id").distinct()
+    rest = lone.join(claimed, "_id", "left_anti").unionByName(entries.join(full, chain, "left_anti").withColumn("_id", F.lit(None).cast(lone.schema["_id"].dataType)))
+    return merged.unionByName(rest.select(*chain, "store_code", "store_name", "is_introduced", F.lit("file").alias("origin")).distinct())
 
 
 def store_count_warning(imported: Column, master: Column) -> Column:

@@ -33,8 +33,8 @@ def _sheet(t: Tables) -> DataFrame:
 
 def _entries(t: Tables) -> DataFrame:
     n = F.col("store_code").cast("int")
-    return t.store_locations().where("chain_name = 'NATION_4'").select(
-        F.when(n % 3 == 0, F.col("store_code")).otherwise("").alias("store_code"), F.when(n % 3 == 1, F.upper("store_name")).otherwise(F.concat(F.lit("x "), "store_name")).alias("store_name"), (n % 2 == 0).alias("is_introduced")
+    return t.store_locations().select(
+        "chain_name", F.when(n % 3 == 0, F.col("store_code")).otherwise("").alias("store_code"), F.when(n % 3 == 1, F.upper("store_name")).otherwise(F.concat(F.lit("x "), "store_name")).alias("store_name"), (n % 2 == 0).alias("is_introduced"), n.cast("long").alias("ord")
     )
 
 
@@ -87,11 +87,12 @@ SELECT row_id, jan AS matched_jan, 'jan' AS by FROM s WHERE jan <> '' UNION ALL
         plans._sql("SELECT file_id AS file_name, 'blocked' AS status, count(*) AS errors FROM faults GROUP BY ALL"),
     ),
     "official_merge": (
-        lambda t: op.official_merge(_entries(t), t.store_locations().where("chain_name = 'NATION_4'")),
+        lambda t: op.official_merge(_entries(t), t.store_locations()),
         using(
             "store_locations",
-            """, m AS (SELECT *, CAST(store_code AS INT) AS n FROM store_locations WHERE chain_name = 'NATION_4')
-SELECT store_code, store_name, n % 3 < 2 AND n % 2 = 0 AS is_introduced, 'master' AS origin FROM m UNION ALL SELECT '', 'x ' || store_name, true, 'file' FROM m WHERE n % 3 = 2 AND n % 2 = 0""",
+            """, m AS (SELECT *, CAST(store_code AS INT) AS n, count(*) OVER (PARTITION BY chain_name) AS size FROM store_locations)
+SELECT chain_name, store_code, store_name, n % 3 < 2 AND n % 2 = 0 AS is_introduced, 'master' AS origin FROM m WHERE size >= 5 UNION ALL SELECT chain_name, '', 'x ' || store_name, true, 'file' FROM m WHERE size >= 5 AND n % 3 = 2 AND n % 2 = 0
+UNION ALL SELECT DISTINCT chain_name, CASE WHEN n % 3 = 0 THEN store_code ELSE '' END, CASE WHEN n % 3 = 1 THEN upper(store_name) ELSE 'x ' || store_name END, n % 2 = 0, 'file' FROM m WHERE size < 5""",
         ),
     ),
     "store_count_warnings": (
