@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, crc_mod, distinct, fresh, lean, mixed, separators, settled, span_hashes, tidy, words
+from .common import chunks, crc_mod, distinct, fresh, lean, mixed, separators, settled, span_hashes, steady, words
 
 FILTER_BITS = 1 << 26  # 8 MB, on the driver and in every Python worker
 BITS_PER_ENTRY = 8  # at least
@@ -45,6 +45,7 @@ _SPACE = separators("space")
 _START, _END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _BELOW = 2  # levels below its least one that the broadcast filter also holds, so that few others pass by chance
 _PARTS = 64  # of the broadcast filter, each built by one task
+_KNOWN = 20  # bits of the slots for levels that a worker has found: 9 MB
 _LEVELS = 160  # more than a count of 64 bits has
 
 
@@ -70,7 +71,7 @@ def _token_hashes(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """word (binary), count: how often each lower-cased white-space word occurs; the end mark is not among them. Exact."""
 
-    @tidy
+    @steady
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, buf, offsets in chunks(batch.column(0), 4 << 20):
@@ -109,7 +110,7 @@ def ngram_counts(docs: DataFrame, text: str, segments: int) -> DataFrame:
     shuffle moves few rows. h is even for bigrams.
     """
 
-    @tidy
+    @steady
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
@@ -153,18 +154,20 @@ def _enter(bits: np.ndarray, h: np.ndarray, level: np.ndarray, first: int = 1) -
 
 def _probe(bits: np.ndarray, h: np.ndarray, size: int, base: np.ndarray | None = None, first: int = 1) -> np.ndarray:
     """The last level for which a filter of `size` bits (from bit `base` of `bits` on) holds each hash, first - 1 if none."""
-    level, open_ = np.full(len(h), first - 1, np.int64), np.arange(len(h))
+    level, open_, own, k = np.full(len(h), first - 1, np.int64), np.arange(len(h)), h, first
     while len(open_):
-        x = _mix(h[open_], level[open_] + 1)
+        x = _mix(own, np.array([k]))
         step = x >> np.uint64(32) | np.uint64(1)
         for _ in range(PROBES):
             at = x & np.uint64(size - 1)
             if base is not None:
-                at += base[open_]
-            hit = (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-            open_, step = open_[hit], step[hit]
+                at += base
+            hit = np.flatnonzero(bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & np.uint8(1))
+            open_, own, step = open_[hit], own[hit], step[hit]
+            base = None if base is None else base[hit]
             x = x[hit] + step
-        level[open_] += 1
+        level[open_] = k
+        k += 1
     return level
 
 
@@ -181,12 +184,25 @@ class Model:
     bits: np.ndarray
     least: int
     table: DataFrame | None
+    known: tuple[np.ndarray, np.ndarray] | None = None
 
     def frequent(self, h: np.ndarray) -> np.ndarray:
-        """The level of each hash that the broadcast filter holds, 0 for others."""
-        size = 8 * len(self.bits) // _PARTS
-        level = _probe(self.bits, h, size, (h >> np.uint64(64 - _PARTS.bit_length() + 1)) * np.uint64(size), max(1, self.least - _BELOW))
-        return np.where(level >= self.least, level, 0)
+        """The level of each hash that the broadcast filter holds, 0 for others.
+
+        A hash that it holds costs a probe for every level. Those found are kept with their levels, one for each value of the
+        leading bits, so that a worker seldom probes for them again in the packs that follow.
+        """
+        if self.known is None:
+            self.known = np.zeros(1 << _KNOWN, np.uint64), np.zeros(1 << _KNOWN, np.uint8)
+        hashes, levels = self.known
+        slot = (h >> np.uint64(64 - _KNOWN)).astype(np.int64)
+        level = np.where(hashes[slot] == h, levels[slot], 0).astype(np.int64)
+        open_ = np.flatnonzero(level == 0)
+        own, size = h[open_], 8 * len(self.bits) // _PARTS
+        found = _probe(self.bits, own, size, (own >> np.uint64(64 - _PARTS.bit_length() + 1)) * np.uint64(size), max(1, self.least - _BELOW))
+        open_, found = open_[found >= self.least], found[found >= self.least]
+        level[open_], hashes[slot[open_]], levels[slot[open_]] = found, h[open_], found
+        return level
 
     def log10(self, level: np.ndarray, at: np.ndarray) -> np.ndarray:
         """log10 of each token's probability; at: for the tokens, their predecessors and the bigrams, the places of their levels."""
@@ -200,7 +216,7 @@ def fit(docs: DataFrame, tokens: int, vocabulary: int, text: str = "text", filte
     segments = 1 << max(SEGMENTS.bit_length() - 1, math.ceil(math.log2(max(1, tokens) / SEGMENT)))
     schema = pa.schema([("segment", pa.int32()), *((x, pa.binary()) for x in ("bits", "h", "level")), ("sizes", pa.list_(pa.int64()))])
 
-    @tidy
+    @steady
     def built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, holding = [], None
 
@@ -233,7 +249,7 @@ def fit(docs: DataFrame, tokens: int, vocabulary: int, text: str = "text", filte
     while (sizes[least:] * (np.arange(_LEVELS - least) + 1 + _BELOW)).sum() > filter_bits // BITS_PER_ENTRY:
         least += 1
 
-    @tidy
+    @steady
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -257,7 +273,7 @@ def packed(df: DataFrame, text: str = "text", row: str = "_row", size: int = PAC
     schema = T.StructType([T.StructField("pack", T.LongType()), T.StructField("rows", T.ArrayType(T.StructType(fields)))])
     names = [f.name for f in fields]
 
-    @tidy
+    @steady
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 33
         for batch in batches:
@@ -272,36 +288,80 @@ def packed(df: DataFrame, text: str = "text", row: str = "_row", size: int = PAC
     return settled(lean(df).select(*[f"`{c}`" for c in names[1:]]).mapInArrow(dealt, schema), "packs", **{"parquet.block.size": 16 << 20})
 
 
-def _grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each text the number of tokens before it; the different n-grams in order; of tokens, predecessors, bigrams the places in them."""
+def _news(x: np.ndarray) -> np.ndarray:
+    """True where a sorted array has a value for the first time."""
+    new = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return new
+
+
+def _different(texts: pa.Array) -> np.ndarray:
+    """The different n-grams of the texts in order, the start mark included."""
+    _, _, buf, offsets = next(chunks(texts, 1 << 60))
+    _, tokens, previous = _token_hashes(buf, offsets)
+    h = np.concatenate([_unigram(tokens), _unigram(_START)[None], _bigram(previous, tokens)])
+    h.sort()
+    return h[_news(h)]
+
+
+def _placed(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different values of x in order, and each value's place in them."""
+    order = np.argsort(x)
+    x = x[order]
+    new, place = _news(x), np.empty(len(x), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return x[new], place
+
+
+def _grams(texts: pa.Array) -> tuple[np.ndarray, int, np.ndarray]:
+    """For each text the number of tokens before it; how many different n-grams there are; of tokens, predecessors, bigrams the
+    places in _different().
+    """
     _, _, buf, offsets = next(chunks(texts, 1 << 60))
     before, tokens, previous = _token_hashes(buf, offsets)
     cuts = before + np.arange(len(before))
-    uni, own = np.unique(_unigram(tokens), return_inverse=True)
-    pairs, both = np.unique(_bigram(previous, tokens), return_inverse=True)
-    ahead = np.append(len(uni), own[:-1])  # the start mark comes after the tokens
-    ahead[cuts[:-1]] = len(uni)
-    every = np.concatenate([uni, _unigram(_START)[None], pairs])
-    order = np.argsort(every, kind="stable")
-    place = np.empty_like(order)
-    place[order] = np.arange(len(order))
-    return cuts, every[order], place[np.stack([own, ahead, both + len(uni) + 1])]
+    uni, own = _placed(np.append(_unigram(tokens), _unigram(_START)))
+    pairs, both = _placed(_bigram(previous, tokens))
+    ahead = np.append(own[-1], own[:-2])
+    ahead[cuts[:-1]] = own[-1]
+    singles = np.searchsorted(pairs, uni) + np.arange(len(uni))  # both are in order and share no value
+    rest = np.ones(len(uni) + len(pairs), bool)
+    rest[singles] = False
+    return cuts, len(rest), np.stack([singles[own[:-1]], singles[ahead], np.flatnonzero(rest)[both]])
+
+
+def _marks(level: np.ndarray) -> bytes:
+    """Levels, mostly 0: a bit for each that is not, then these as bytes."""
+    return np.packbits(level > 0).tobytes() + level[level > 0].astype(np.uint8).tobytes()
+
+
+def _unmarked(data: np.ndarray, n: int) -> np.ndarray:
+    bits = (n + 7) // 8
+    level = np.unpackbits(data[:bits], count=n).astype(np.int64)
+    level[level > 0] = data[bits:]
+    return level
 
 
 def answers(packs: DataFrame, model: Model, shared, text: str = "text") -> DataFrame:
-    """pack, segment, levels: the levels (bytes) of the pack's n-grams that lie in the segment and not in the broadcast filter, in order."""
+    """pack, segment, levels: the levels (bytes) of the pack's n-grams that lie in the segment and not in the broadcast filter, in order.
 
-    @tidy
+    The levels of those that it holds come in a row of a segment below 0, as _marks().
+    """
+
+    @steady
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
             for k in range(len(batch)):
-                _, h, _ = _grams(batch.column(1).slice(k, 1).flatten())
-                h = h[m.frequent(h) == 0]
+                h, pack = _different(batch.column(1).slice(k, 1).flatten()), batch.column(0)[k].as_py()
+                level = m.frequent(h)
+                h = h[level == 0]
                 own, cuts = _split(h, m.segments)
-                yield pa.record_batch([pa.array(own), pa.array(np.full(len(own), batch.column(0)[k].as_py())), _packed(h, cuts)], names=["segment", "pack", "data"])
+                yield pa.record_batch([pa.array(own), pa.array(np.full(len(own), pack)), _packed(h, cuts)], names=["segment", "pack", "data"])
+                apart = -1 - (pack ^ pack >> 33) % m.segments  # packs lie apart, as segments do
+                yield pa.record_batch([pa.array([apart], pa.int32()), pa.array([pack]), pa.array([_marks(level)])], names=["segment", "pack", "data"])
 
-    @tidy
+    @steady
     def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         holding, bits = None, None
         for batch in batches:
@@ -311,6 +371,9 @@ def answers(packs: DataFrame, model: Model, shared, text: str = "text") -> DataF
                 if first < end and segments[first] != holding:
                     holding, bits = segments[first], None
                 data = batch.column(2).slice(first, end - first)
+                if first < end and segments[first] < 0:
+                    out.append((batch.column(1).slice(first, end - first), batch.column(0).slice(first, end - first), data))
+                    continue
                 if first < end and not batch.column(1)[first].is_valid:  # the segment's filter comes before what it is asked
                     bits, data, first = np.frombuffer(data[0].as_buffer(), np.uint8).copy(), data.slice(1), first + 1
                 if first < end:
@@ -334,7 +397,7 @@ def pack_scores(packs: DataFrame, model: Model, text: str = "text", out: str = "
     names = [f.name for f in fields]
     came = settled(answers(packs, model, shared, text), "levels")
 
-    @tidy
+    @steady
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, holding, held = shared.value, None, []
         for batch in batches:
@@ -346,9 +409,9 @@ def pack_scores(packs: DataFrame, model: Model, text: str = "text", out: str = "
                     continue
                 rows = batch.column(3).slice(k, 1).flatten()
                 cols = [rows.field(name) for name in names]
-                before, h, at = _grams(cols[names.index(text)])
-                level = m.frequent(h)
-                level[level == 0] = np.concatenate([np.zeros(0, np.uint8), *held])
+                before, n, at = _grams(cols[names.index(text)])
+                level = _unmarked(held[0], n)
+                level[level == 0] = np.concatenate([np.zeros(0, np.uint8), *held[1:]])
                 scores = np.add.reduceat(m.log10(level, at), before[:-1])
                 yield pa.record_batch([*cols, pa.array(scores)], names=[*names, out])
 
@@ -386,7 +449,7 @@ def base_scores(df: DataFrame, counts: DataFrame, tokens: Column, vocabulary: Co
     shared = df.sparkSession.sparkContext.broadcast((top["word"].combine_chunks().cast(pa.large_binary()), np.log10(top["count"].to_numpy() + 1.0)))
     del top
 
-    @tidy
+    @steady
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, logs_of = shared.value
         for batch in batches:

@@ -12,6 +12,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -208,6 +209,48 @@ def test_scores_are_those_of_the_counts_whatever_is_broadcast(spark, docs, rows,
         assert by[text] == pytest.approx(score, rel=0.02 if filter_bits > 1 << 20 else 0.2), text
 
 
+def test_ngrams_are_hashed_to_their_places_and_probed_once(spark, docs, rows):
+    """What the broadcast filter holds of a pack comes with the answers, so that scoring neither sorts hashes nor probes again."""
+    assert common._lowered(np.arange(256, dtype=np.uint8)).tobytes() == bytes(range(256)).lower()
+    texts = pa.array([*(r[1] for r in rows), None, "", "one", "one one"], pa.string())
+    _, _, buf, offsets = next(common.chunks(texts, 1 << 60))
+    before, tokens, previous = ngram_lm._token_hashes(buf, offsets)
+    every, (cuts, n, at) = ngram_lm._different(texts), ngram_lm._grams(texts)
+    assert n == len(every) == len(set(every.tolist())) and (np.sort(every) == every).all()
+    assert (cuts == before + np.arange(len(texts) + 1)).all()
+    assert (every[at] == [ngram_lm._unigram(tokens), ngram_lm._unigram(previous), ngram_lm._bigram(previous, tokens)]).all()
+    for level in (np.arange(19) % 4 * 53, np.zeros(9, np.int64), np.zeros(0, np.int64)):
+        assert (ngram_lm._unmarked(np.frombuffer(ngram_lm._marks(level), np.uint8), len(level)) == level).all()
+    model, packs = ngram_lm.fit(docs, 10_000, 500), ngram_lm.packed(docs, size=1 << 10)
+    came = {r.pack: r.levels for r in ngram_lm.answers(packs, model, spark.sparkContext.broadcast(model_of(model))).where("segment < 0").collect()}
+    asked = packs.select("pack", F.col("rows")["text"].alias("t")).collect()
+    assert len(asked) == len(came) > 1
+    for r in asked:
+        h = ngram_lm._different(pa.array(r.t, pa.string()))
+        level = model_of(model).frequent(h)
+        assert (ngram_lm._unmarked(np.frombuffer(came[r.pack], np.uint8), len(h)) == level).all()
+        assert (model.frequent(h) == level).all() and (model.frequent(h) == level).all()  # found before or not
+
+
+def test_levels_found_before_are_those_of_the_filter():
+    """Every two hashes share a slot; the filter's own answers count, also the second time."""
+    h = np.random.default_rng(1).integers(0, 1 << 64, 20_000, np.uint64)
+    h = np.sort(np.concatenate([h, h ^ np.uint64(2)]))
+    level, bits = np.arange(40_000) % 14 + 1, np.zeros(1 << 20, np.uint8)
+    part = len(bits) // ngram_lm._PARTS
+    for k in range(ngram_lm._PARTS):
+        own = h >> np.uint64(58) == k
+        ngram_lm._enter(bits[k * part : (k + 1) * part], h[own], level[own], 4)
+    model = ngram_lm.Model(1, 1, 256, bits, 6, None)
+    once = model.frequent(h)
+    assert (once[level >= 6] >= level[level >= 6]).all() and (once >= 6).mean() == pytest.approx((level >= 6).mean(), abs=0.02)
+    assert model.known is not None and (model.frequent(h) == once).all() and (model.frequent(h[::7]) == once[::7]).all()
+
+
+def model_of(m):
+    return ngram_lm.Model(m.tokens, m.vocabulary, m.segments, m.bits, m.least, None)
+
+
 def test_known_text_scores_above_shuffled_words(spark, docs):
     model = ngram_lm.fit(docs, 10_000, 500)
     pair = spark.createDataFrame([(0, EN), (1, " ".join(sorted(EN.split())))], "k int, text string")
