@@ -12,7 +12,7 @@ from .views import using
 
 def _rows(t: Tables) -> DataFrame:
     """Rows under the sample supplier's headings; every 11th order has no ship-to, every 13th a bad date, some quantities are off."""
-    o = t.orders().withColumn("n", F.col("id").cast("int"))
+    o = t.orders().withColumn("n", F.col("id").cast("long"))
     rows = t.order_lines().join(o.select(F.col("id").alias("order_id"), "order_date", "arrival_due_date", "ship_to_name", "warehouse", "n"), "order_id")
     text = lambda d: F.date_format(d, "yyyy/MM/dd")
     return rows.select(
