@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,9 +26,9 @@ def packed(df: DataFrame, out: str = "extras") -> DataFrame:
     return df.withColumn(out, F.parse_json(made)).drop(*there)
 
 
-def field(name: str, extras: str = "extras") -> Column:
+def field(name: str, extras: str | Column = "extras") -> Column:
     """A further field in its type: null where it is absent or not of that type."""
-    return F.try_variant_get(F.col(extras), f"$.{name}", "string" if FIELDS[name] == "text" else "double")
+    return F.try_variant_get(F.col(extras) if isinstance(extras, str) else extras, f"$.{name}", "string" if FIELDS[name] == "text" else "double")
 
 
 def unpacked(df: DataFrame, extras: str = "extras", fields: list[str] | None = None) -> DataFrame:
@@ -34,10 +37,14 @@ def unpacked(df: DataFrame, extras: str = "extras", fields: list[str] | None = N
 
 
 def search(df: DataFrame, query: str, columns: list[str], extras: str = "extras") -> DataFrame:
-    """Rows that hold the text in one of the columns or of the further text fields, in any case; all for a blank text."""
+    """Rows that hold the text in one of the columns or of the further text fields, in any case; all for a blank text.
+
+    The condition names the VARIANT once: what makes it is copied into a filter for each time that it is named there.
+    """
     q = query.strip().lower()
-    texts = F.array(*[F.lower(F.coalesce(F.col(c), F.lit(""))) for c in columns], *[F.lower(F.coalesce(field(c, extras), F.lit(""))) for c, kind in FIELDS.items() if kind == "text"])
-    return df.where(F.exists(texts, lambda x: F.contains(x, F.lit(q)))) if q else df
+    holds = lambda c: F.contains(F.lower(F.coalesce(c, F.lit(""))), F.lit(q))
+    inside = lambda v: reduce(or_, [holds(field(c, v)) for c, kind in FIELDS.items() if kind == "text"])
+    return df.where(reduce(or_, [holds(F.col(c)) for c in columns], F.exists(F.array(F.col(extras)), inside))) if q else df
 
 
 def page(found: DataFrame, keys: list[str], number: int, size: int = 50) -> tuple[DataFrame, DataFrame]:
