@@ -5,6 +5,9 @@ A workbook is decoded elsewhere; here many files' cells become entries at once.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,9 +30,11 @@ def headers(cells: DataFrame, synonyms: dict[str, tuple[str, ...]], header_row:
 
 def row_list(cells: DataFrame, synonyms: dict[str, tuple[str, ...]] = ROW_LIST, header_row: int = 0) -> DataFrame:
     """Entries of a list with one row per sale; the date stands in column 0. Total rows and rows without a date are left out."""
-    cols = headers(cells, synonyms, header_row).unionByName(cells.select("file_id", "sheet_name").distinct().select("*", F.lit("day").alias("field"), F.lit(0).alias("col_idx")))
-    body = cells.where(F.col("row_idx") > header_row).join(cols, ["file_id", "sheet_name", "col_idx"])
-    wide = body.groupBy("file_id", "sheet_name", "row_idx").agg(*[F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in ("day", *synonyms)])
+    per = ["file_id", "sheet_name"]
+    cols = headers(cells, synonyms, header_row).groupBy(*per).agg(*[F.max(F.when(F.col("field") == f, F.col("col_idx"))).alias(f"_{f}") for f in synonyms])
+    body = cells.where(F.col("row_idx") > header_row).join(cols, per, "left")
+    of = {"day": F.col("col_idx") == 0} | {f: F.col("col_idx") == F.col(f"_{f}") for f in synonyms}
+    wide = body.where(reduce(or_, of.values())).groupBy(*per, "row_idx").agg(*[F.max(F.when(own, F.col("value"))).alias(f) for f, own in of.items()])
     day = F.regexp_extract(tx.trim(F.col("day")), r"^(\d{4})(\d{2})(\d{2})$", 0)
     rows = wide.where((day != "") & (tx.trim(F.col("store_code")) != TOTAL_CODE))
     return rows.select(
