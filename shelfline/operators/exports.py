@@ -18,7 +18,7 @@ MAKER_HEADERS = (
 
 
 def maker_rows(orders: DataFrame, lines: DataFrame, products: DataFrame, destinations: DataFrame) -> DataFrame:
-    """order_no, line_no and the 20 columns c1..c20 of confirmed and shipped orders; the order's total stands on every line.
+    """order_no, line_no and the 20 columns c1..c20 of confirmed and shipped orders; the order's total, added line by line, stands on every line.
 
     orders: ship_to_center and ship_to_address besides the usual; destinations: code, name, postal_code, address, tel.
     """
@@ -31,7 +31,9 @@ def maker_rows(orders: DataFrame, lines: DataFrame, products: DataFrame, destina
     rows = lines.join(head, "order_id").join(prod, ["client_id", "jan"], "left")
     price = F.coalesce(F.col("wholesale_price"), F.lit(0.0))
     rows = rows.withColumn("price", price).withColumn("amount", price * F.col("qty"))
-    rows = rows.withColumn("total", F.sum("amount").over(Window.partitionBy("order_id")))
+    # Doubles are added in the order of the lines, whichever way they arrive.
+    whole = Window.partitionBy("order_id").orderBy("line_no", "jan").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumn("total", F.sum("amount").over(whole))
     parts = tx.split_address(F.coalesce("d_address", "ship_to_address"))
     cells: list[Column] = [
         tx.order_number(F.col("order_no")),
