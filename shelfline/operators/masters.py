@@ -28,9 +28,10 @@ def typed_products(drafts: DataFrame) -> DataFrame:
 def existing_product(rows: DataFrame, products: DataFrame) -> DataFrame:
     """row_id, matched_jan, by: the client's product by JAN; a row without JAN by its name, if only one product has it."""
     by_jan = rows.where("jan <> ''").join(products.select("client_id", "jan"), ["client_id", "jan"]).select("row_id", F.col("jan").alias("matched_jan"), F.lit("jan").alias("by"))
-    names = products.select("client_id", tx.trim(F.col("name")).alias("_n"), F.col("jan").alias("p_jan"))
+    # A name that many products share is one row before it meets the rows: its first and last JAN differ.
+    names = products.groupBy("client_id", tx.trim(F.col("name")).alias("_n")).agg(F.min("jan").alias("low"), F.max("jan").alias("high"))
     named = rows.where("jan = ''").select("row_id", "client_id", tx.trim(F.col("name")).alias("_n")).where("_n <> ''").join(names, ["client_id", "_n"])
-    by_name = named.groupBy("row_id").agg(F.count_distinct("p_jan").alias("n"), F.min("p_jan").alias("matched_jan")).where("n = 1").select("row_id", "matched_jan", F.lit("name").alias("by"))
+    by_name = named.groupBy("row_id").agg(F.min("low").alias("matched_jan"), F.max("high").alias("high")).where("matched_jan = high").select("row_id", "matched_jan", F.lit("name").alias("by"))
     return by_jan.unionByName(by_name)
 
 
@@ -48,11 +49,23 @@ def edited_orders(orders: DataFrame, edits: DataFrame) -> DataFrame:
 
 
 def order_files(batches: DataFrame, orders: DataFrame, search: str = "") -> DataFrame:
-    """Saved batches with the numbers of their orders; the text is looked for in name, status and numbers."""
-    numbers = orders.groupBy(F.col("source_file").alias("file_name")).agg(F.array_join(F.array_sort(F.collect_list("order_no")), " ").alias("numbers"), F.count("*").alias("orders"))
+    """Saved batches with the numbers of their orders; the text is looked for in name, status and numbers, joined by blanks.
+
+    A text with n blanks stands within n + 1 of these. So it is looked for once for each file, in name, status and the first n
+    numbers and in each number with the n behind it, and no file's numbers are searched, or copied to its batches, as one text.
+    """
+    q = search.strip().lower()
+    spans = q.count(" ")
+    holds = lambda c: F.contains(F.lower(c), F.lit(q))
+    own = orders.select(F.col("source_file").alias("file_name"), "order_no")
+    numbers = own.groupBy("file_name").agg(F.array_join(F.array_sort(F.collect_list("order_no")), " ").alias("numbers"), F.count("*").alias("orders"), F.max(holds("order_no")).alias("_hit"), F.lit("").alias("_first"))
+    if spans:
+        w = Window.partitionBy("file_name").orderBy("order_no")
+        runs = own.where("order_no IS NOT NULL").select("file_name", F.row_number().over(w).alias("_at"), F.concat_ws(" ", "order_no", *[F.lead("order_no", i).over(w) for i in range(1, spans + 1)]).alias("_run"))
+        found = runs.groupBy("file_name").agg(F.max(holds("_run")).alias("_hit"), F.max(F.when(F.col("_at") == 1, F.substring_index("_run", " ", spans))).alias("_first"))
+        numbers = numbers.drop("_hit", "_first").join(found, "file_name", "left")
     rows = batches.where("status = 'saved'").join(numbers, "file_name", "left")
-    text = F.lower(F.concat_ws(" ", "file_name", "status", "numbers"))
-    return rows.where(F.contains(text, F.lit(search.strip().lower())))
+    return rows.where(F.coalesce("_hit", F.lit(False)) | holds(F.concat_ws(" ", "file_name", "status", "_first"))).drop("_hit", "_first")
 
 
 def search_rows(rows: DataFrame, columns: list[str], query: str) -> DataFrame:
